@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sparseloom.llm import line_dedup
+from sparseloom.llm import bpe, line_dedup
 
-MODULES = (line_dedup,)
+MODULES = (bpe, line_dedup)
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
