@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sparseloom.llm import bpe, line_dedup, quality, records
+from sparseloom.llm import bpe, language, line_dedup, quality, records
 
-MODULES = (records, quality, line_dedup, bpe)
+MODULES = (records, quality, language, line_dedup, bpe)
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
