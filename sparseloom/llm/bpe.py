@@ -169,12 +169,11 @@ class Bpe(Encoder):
     def __init__(self, data: bytes, pattern: str):
         self.ranks = Ranks(data)
         self.pattern = regex.compile(pattern)
-        self.words: dict[str, bytes] = {}
         super().__init__(self._pieces)
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
+    def _pieces(self, pieces: list[str], after_space: bool) -> list[bytes]:
         """Ids of pieces from the ids of their matches; a match that several pieces have is merged once."""
-        matches = [self.pattern.findall(p) for p in pieces]
+        matches = [self.pattern.findall(f" {p}" if after_space else p) for p in pieces]
         new = list(dict.fromkeys(m for found in matches for m in found))
         ids = dict(zip(new, self.ranks.encode([m.encode("utf-8") for m in new])))
         return [b"".join([ids[m] for m in found]) for found in matches]

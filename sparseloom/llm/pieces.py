@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable
 
 #: Pieces that a Python worker remembers; beyond that it starts anew.
-MEMORY = 500_000
+MEMORY = 800_000
 _SPACE = re.compile(r" (?=\S)")
 _ODD = re.compile(r" (?:\s|\Z)")
 _BREAK = re.compile(r"(?<=\S)\n(?=\S)")
@@ -24,24 +24,15 @@ def cut(text: str) -> list[str]:
 class Encoder:
     """Bytes of the ids of whole texts, put together from pieces that are encoded once.
 
-    encode_pieces gets distinct strings and returns bytes for each.
+    encode_pieces gets distinct strings without their leading space, and whether a
+    space precedes them, and returns bytes for each.
     """
 
-    def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]]):
+    def __init__(self, encode_pieces: Callable[[list[str], bool], list[bytes]]):
         self.encode_pieces = encode_pieces
         self.inner: dict[str, bytes] = {}  # pieces after a space
         self.first: dict[str, bytes] = {}  # others
 
-    def _learn(self, inner: set[str], first: set[str]) -> None:
-        inner = [p for p in inner if p not in self.inner]
-        first = [p for p in first if p not in self.first]
-        if len(self.inner) + len(self.first) + len(inner) + len(first) > MEMORY:
-            self.inner, self.first = {}, {}
-            raise _Full
-        got = self.encode_pieces([f" {p}" for p in inner] + first)
-        self.inner.update(zip(inner, got))
-        self.first.update(zip(first, got[len(inner):]))
-
     def _parts(self, piece: str) -> list[str]:
         """A piece at its single line feeds: text, line feed, text and so on; each is matched apart from the rest."""
         out = []
@@ -51,42 +42,35 @@ class Encoder:
             out.append(x)
         return out
 
+    def _learn(self, known: dict[str, bytes], pieces: set[str], after_space: bool) -> None:
+        new = [p for p in pieces if p not in known]
+        known.update(zip(new, self.encode_pieces(new, after_space)))
+
     def batch(self, texts: list[str]) -> list[bytes]:
-        cuts = [cut(t) for t in texts]
-        inner: set[str] = set()
-        first: set[str] = set()
+        cuts, found = [cut(t) for t in texts], []
+        if len(self.inner) + len(self.first) > MEMORY:  # what this batch needs stays, frequent pieces among it
+            self.inner = {p: self.inner[p] for c in cuts for p in c[1:] if p in self.inner}
+            self.first = {}
+        inner, first = self.inner, self.first
+        heads = [self._parts(c[0]) for c in cuts]
+        new: set[str] = set()
+        starts = {p for h in heads for p in h}
         for c in cuts:
-            first.update(self._parts(c[0]))
-            inner.update(c[1:])
-        broken = {p: self._parts(p) for p in inner if "\n" in p}
+            got = list(map(inner.get, c[1:]))
+            if None in got:
+                new.update([p for p, g in zip(c[1:], got) if g is None])
+            found.append(got)
+        broken = {p: self._parts(p) for p in new if "\n" in p}  # these are not remembered as a whole
         for p, parts in broken.items():
-            inner.discard(p)
-            inner.add(parts[0])
-            first.update(parts[1:])
-        try:
-            self._learn(inner, first)
-        except _Full:
-            self._learn_anew(inner, first)
-        known, start = self.inner, self.first
-        known_here = {p: known[parts[0]] + b"".join([start[x] for x in parts[1:]]) for p, parts in broken.items()}
+            new.discard(p)
+            new.add(parts[0])
+            starts.update(parts[1:])
+        self._learn(inner, new, True)
+        self._learn(first, starts, False)
+        whole = {p: inner[parts[0]] + b"".join([first[x] for x in parts[1:]]) for p, parts in broken.items()}
         out = []
-        for c in cuts:
-            head = b"".join([start[x] for x in self._parts(c[0])])
-            rest = c[1:]
-            try:
-                body = b"".join([known[p] for p in rest])
-            except KeyError:
-                body = b"".join([known[p] if p in known else known_here[p] for p in rest])
-            out.append(head + body)
+        for c, h, got in zip(cuts, heads, found):
+            if None in got:
+                got = [(inner[p] if p in inner else whole[p]) if g is None else g for p, g in zip(c[1:], got)]
+            out.append(b"".join([first[x] for x in h]) + b"".join(got))
         return out
-
-    def _learn_anew(self, inner: set[str], first: set[str]) -> None:
-        """After the memory was emptied: all pieces of this batch, however many they are."""
-        a, b = list(inner), list(first)
-        got = self.encode_pieces([f" {p}" for p in a] + b)
-        self.inner = dict(zip(a, got))
-        self.first = dict(zip(b, got[len(a):]))
-
-
-class _Full(Exception):
-    pass

@@ -37,7 +37,7 @@ from sparseloom.llm.pieces import Encoder
 MASK = 0xA282EAD8
 HEAD, INNER, TAIL = struct.Struct("<QI"), struct.Struct("<BqBI"), struct.Struct("<I")
 #: Records of one file at most; it bounds what a task that reads a file holds.
-FILE_RECORDS = 20_000
+FILE_RECORDS = 4_000
 INDEX = "shard int, chunk int, seq long, doc_id long, offset long, length long, n_tokens long"
 
 
@@ -84,10 +84,28 @@ class Tokens(Encoder):
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
+        self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.spaced[i] = token.startswith(space)
         super().__init__(self._pieces)
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def _pieces(self, pieces: list[str], after_space: bool) -> list[bytes]:
+        encode = self.tokenizer.encode_batch_fast
+        if not after_space:
+            return [array("I", e.ids).tobytes() for e in encode(pieces, add_special_tokens=False)]
+        out: list[bytes] = []
+        for k in range(0, len(pieces), 500):
+            part = pieces[k : k + 500]
+            # joined by their spaces the pieces are one text; each begins at the only token that starts with a space
+            ids = np.array(encode(["".join([f" {p}" for p in part])], add_special_tokens=False)[0].ids, "<u4")
+            starts = np.flatnonzero(self.spaced[ids])
+            if len(starts) == len(part):
+                data, ends = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+                out += [data[i:j] for i, j in zip(ends, ends[1:])]
+            else:
+                out += [array("I", e.ids).tobytes() for e in encode([f" {p}" for p in part], add_special_tokens=False)]
+        return out
 
 
 _workers: dict[int, Tokens] = {}
