@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sparseloom.llm import bpe, decontaminate, html_text, language, line_dedup, quality, records
+from sparseloom.llm import bpe, decontaminate, html_text, language, line_dedup, pseudo_likelihood, quality, records
 
-MODULES = (records, quality, language, line_dedup, bpe, decontaminate, html_text)
+MODULES = (records, quality, language, line_dedup, bpe, decontaminate, html_text, pseudo_likelihood)
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
