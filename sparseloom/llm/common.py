@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,3 +57,31 @@ def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def hash128(*cols: Column) -> tuple[Column, Column]:
     """Two independent 64-bit hashes; equal pairs are taken for equal values."""
     return F.xxhash64(*cols), F.xxhash64(F.lit("second"), *cols)
+
+
+class BitFilter:
+    """A set of 64-bit hashes as bits: never misses a member, lets some others pass. Its size has a bound whatever it holds."""
+
+    def __init__(self, bits: int, packed: np.ndarray):
+        self.shift, self.packed = np.uint64(64 - bits), packed
+
+    def passes(self, hashes: np.ndarray) -> np.ndarray:
+        at = (hashes >> self.shift).astype(np.int64)
+        return (self.packed[at >> 3] >> (at & 7).astype(np.uint8)) & np.uint8(1) > 0
+
+
+def bit_filter(hashes: DataFrame, column: str, most_bits: int = 28) -> BitFilter:
+    """The filter of a column of evenly spread 64-bit hashes: about 16 bits for each, at most 2**most_bits (32 MB) in all.
+
+    What comes to the driver are words of 64 bits, at most 2**(most_bits - 6) of them.
+    Beyond the bound more hashes pass than should; the exact test follows in a join.
+    """
+    n = hashes.count()
+    bits = min(most_bits, max(12, (16 * n + 1).bit_length()))
+    place = F.shiftrightunsigned(column, 64 - bits)
+    word = F.shiftright(place, 6)
+    one = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - bits}) & 63 AS int))")
+    rows = hashes.groupBy(word.alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
+    packed = np.zeros(1 << (bits - 6), np.int64)
+    packed[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+    return BitFilter(bits, packed.view(np.uint8))
