@@ -49,9 +49,10 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id and text alone, a null text as the empty one; other columns are left behind."""
-    return docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+def texts(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and text alone, a null text as the empty one; other columns are left behind, or packed in carried."""
+    carried = (F.struct(*(docs[c].alias(c) for c in carry)).alias("carried"),) if carry else ()
+    return docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), *carried)
 
 
 def hash128(*cols: Column) -> tuple[Column, Column]:

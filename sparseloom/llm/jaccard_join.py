@@ -68,21 +68,20 @@ def _labels(sets: list[np.ndarray], trees: int, depth: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, trees: int = TREES, depth: int | None = None, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """doc_id, s1 and s2 (a hash of the set of shingles, null without words) and the paths in all trees."""
+    """doc_id, s1 and s2 (a hash of the set of shingles) and the paths in all trees (null without words)."""
     depth = depth or prefix_depth(threshold, trees, DEEPEST, recall)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, sets = b.column(0), [shingles(t, n) for t in b.column(1).to_pylist()]
             use = np.flatnonzero([len(s) > 0 for s in sets])
-            s1, s2, paths = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64), [None] * len(sets)
+            s1, s2 = np.array([set_hash(s) for s in sets], np.int64).reshape(-1, 2).T
+            paths = [None] * len(sets)
             if len(use):
                 labels = _labels([sets[i] for i in use], trees, depth).view(np.int64)
                 for i, row in zip(use, labels):
-                    s1[i], s2[i] = set_hash(sets[i])
                     paths[i] = row
-            empty = np.array([p is None for p in paths], bool)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(s1, mask=empty), pa.array(s2, mask=empty), pa.array(paths, pa.list_(pa.int64()))], ["doc_id", "s1", "s2", "paths"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(s1), pa.array(s2), pa.array(paths, pa.list_(pa.int64()))], ["doc_id", "s1", "s2", "paths"])
 
     base = texts(docs, "doc_id", "text")
     return small_batches(base).mapInArrow(run, "doc_id long, s1 long, s2 long, paths array<long>")
@@ -129,7 +128,8 @@ def _within(rows: list[tuple], across: bool, share: Fraction) -> Iterator[tuple[
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL) -> DataFrame:
     """doc_id, class_id (smallest id among the documents linked to it, directly or by others; its own if none), n_links (other documents at the threshold).
 
-    A document whose text is null, empty or without words has no links. Rows without
+    Documents without words (null, empty or blank texts) are equal to each other and to
+    no others. Rows without
     an id are left out; rows of one id are one document, and if their texts differ, one
     of these (the same in every run) stands for it. An empty table gives an empty result. Ids are whole
     numbers; other columns than id and text are not read.
@@ -143,7 +143,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = texts(docs, id_col, text_col).select(F.col("doc_id").cast("long"), "text").filter("doc_id IS NOT NULL")
     signed = materialize(signatures(base, trees, None, n, threshold, recall), "signatures")
     members = signed.groupBy("doc_id").agg(F.min(F.struct("s1", "s2")).alias("s")).select("doc_id", "s.s1", "s.s2")
-    sets = members.filter("s1 IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    sets = members.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     sets = materialize(sets, "sets")
     paths = signed.select(F.col("doc_id").alias("rep"), "s1", "s2", "paths").join(sets, ["rep", "s1", "s2"]).select("rep", F.explode(F.array_distinct("paths")).alias("path")).distinct()
     centre = paths.groupBy("path").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("path", "centre")
@@ -191,9 +191,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if not across.isEmpty():  # groups of several blocks are put together from the edges of their units
         classes = closed.union(connected_components(across).select(F.col("node").alias("rep"), F.col("component").alias("root")))
     per_set = sets.join(links.select("rep", "links"), "rep", "left").join(classes, "rep", "left").select("s1", "s2", "rep", "copies", "links", "root")
-    return members.join(per_set, ["s1", "s2"], "left").select(
-        "doc_id", F.coalesce("root", "rep", "doc_id").alias("class_id"),
-        (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).alias("n_links"),
+    return members.join(per_set, ["s1", "s2"]).select(
+        "doc_id", F.coalesce("root", "rep").alias("class_id"),
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
 
 
@@ -210,7 +210,8 @@ s AS (SELECT DISTINCT doc_id, s FROM g WHERE s IS NOT NULL
       UNION SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND 4),
 z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
-p AS (SELECT a, b FROM c JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 10 * k >= 8 * (x.n + y.n - k)),
+p AS (SELECT a, b FROM c JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 10 * k >= 8 * (x.n + y.n - k)
+      UNION ALL SELECT x.doc_id, y.doc_id FROM w x JOIN w y ON len(x.ws) = len(y.ws) AND x.doc_id <> y.doc_id WHERE len(x.ws) = 0),
 r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
 m AS (SELECT a AS doc_id, min(b) AS class_id FROM r GROUP BY a)
 SELECT doc_id, class_id, (SELECT count(*) FROM p WHERE p.a = m.doc_id)::BIGINT AS n_links FROM m

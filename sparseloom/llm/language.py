@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sparseloom.llm.common import read_table, small_batches
+from sparseloom.llm.common import read_table, small_batches, texts
 
 ORDER = 4
 #: Bound of the sample that the trees are grown from: texts of a language, picked by hash.
@@ -151,8 +152,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 _workers: dict[str, Scorer] = {}
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The language of each whole text: doc_id, lang_pred, score, a row for each input row.
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """The language of each whole text: doc_id, lang_pred, score, a row for each input row; and carried, a struct of the columns in carry, if any.
 
     score is the share of the winner if each language's code length is taken for its
     likelihood. A text that is null or has no letter is 'und' with score 0, and so is
@@ -177,11 +178,12 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 share = 1 / np.exp2(np.minimum(bits.min(1)[:, None] - bits, 0)).sum(1)
                 for i, j, s in zip(use, best, share):
                     pred[i], score[i] = m.languages[j], float(min(1.0, s))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), *b.columns[2:]], ["doc_id", "lang_pred", "score", *more])
 
-    base = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    kind = base.schema["doc_id"].dataType.simpleString()
-    return small_batches(base).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    more = ["carried"] if carry else []
+    base = texts(docs, id_col, text_col, carry)
+    schema = T.StructType([base.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *(base.schema[c] for c in more)])
+    return small_batches(base).mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:

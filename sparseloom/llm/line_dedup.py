@@ -19,11 +19,12 @@ def line_key(line: Column) -> Column:
     return F.when(F.length(key) == F.octet_length(key), F.lower(key)).otherwise(F.translate(key, UPPER, LOWER))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
     """Drop lines whose key at least min_docs documents hold, except in the document with the smallest id.
 
     Returns a row for each input row: doc_id, text (lines that stay, joined by a
-    line feed), n_lines (before dropping), n_dropped.
+    line feed), n_lines (before dropping), n_dropped, and carried, a struct of the
+    columns named in carry, if any.
 
     A null or empty text is one empty line. Keys shorter than min_chars code points
     never count. All rows of one id are one document: a line that only they hold is
@@ -35,7 +36,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     positions of their dropped lines. A hot line is one row for each document in the
     counts, summed before they are shuffled, and a splittable key in the join.
     """
-    base = texts(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("version"), F.split("text", "\n", -1).alias("lines"))
+    more = ["carried"] if carry else []
+    base = texts(docs, id_col, text_col, carry).select("doc_id", F.xxhash64("text").alias("version"), F.split("text", "\n", -1).alias("lines"), *more)
     keyed = (
         base.filter(F.col("doc_id").isNotNull())
         .select("doc_id", "version", F.posexplode("lines").alias("pos", "line"))
@@ -60,7 +62,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return base.join(drops, ["doc_id", "version"], "left").select(
         "doc_id", kept.alias("text"),
         F.size("lines").cast("long").alias("n_lines"),
-        F.when(F.col("drops").isNull(), 0).otherwise(F.size("drops")).cast("long").alias("n_dropped"),
+        F.when(F.col("drops").isNull(), 0).otherwise(F.size("drops")).cast("long").alias("n_dropped"), *more,
     )
 
 
