@@ -40,12 +40,16 @@ CAT = ["event_type", "user_id"]
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as samples: type and user as categories, the normalised value as a number."""
+    return numbered_samples(spark, sf_dir)[0]
+
+
+def numbered_samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """Events as samples, and the number of their features: type and user as categories, the normalised value as a number."""
     e = events(spark, sf_dir)
-    words = enc.dictionaries(e, CAT)
-    first = int(enc.offsets(words, 2).agg(F.max(F.col("start") + F.col("cardinality"))).first()[0])
+    words = materialize(enc.dictionaries(e, CAT), "words")
+    first = (words.agg(F.max("feat")).first()[0] or 0) + 1
     scaled = enc.min_max(e.withColumn("given", F.col("value")), enc.bounds(e, ["value"]), ["value"])
-    return enc.encode(scaled, words, first, CAT, ["value"], F.when(F.col("given") > THRESHOLD, 1).otherwise(0), "event_id")
+    return enc.encode(scaled, words, first, CAT, ["value"], F.when(F.col("given") > THRESHOLD, 1).otherwise(0), "event_id"), first + 1
 
 
 #: The same as rows of d: event_id, y, a and b (category numbers), c (number of the value), x (the value).
@@ -57,9 +61,9 @@ d AS (SELECT event_id, CASE WHEN value > {THRESHOLD} THEN 1 ELSE 0 END AS y, t.f
       FROM events JOIN t ON event_type = t.v JOIN u ON user_id = u.v CROSS JOIN m)"""
 
 
-def formula_model(spark: SparkSession, kind: str) -> Model:
-    """Weights from a rule, for all features, so that scores can be computed elsewhere."""
-    feat = spark.range(-1, N_FEATS).select(F.col("id").cast("int").alias("feat"))
+def formula_model(spark: SparkSession, kind: str, n_feats: int) -> Model:
+    """Weights from a rule, for all features of the data, so that scores can be computed elsewhere."""
+    feat = spark.range(-1, n_feats).select(F.col("id").cast("int").alias("feat"))
     w = F.when(F.col("feat") == -1, 0.1).otherwise((F.pmod(F.col("feat") * 37, F.lit(101)) - 50) / 1000.0)
     linear = feat.select("feat", w.alias("w"), F.lit(0.0).alias("n"), F.lit(0.0).alias("z"))
     if kind == "LR":
@@ -256,7 +260,8 @@ def ftrl_prox(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _logits(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    return logits(samples(spark, sf_dir), formula_model(spark, kind))
+    given, n = numbered_samples(spark, sf_dir)
+    return logits(given, formula_model(spark, kind, n))
 
 
 @query(f"WITH {D} SELECT event_id AS seq, round({LINEAR}, 9) AS logit FROM d")
@@ -276,7 +281,8 @@ def ffm_logit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {D} SELECT event_id AS seq, y, round(1 / (1 + exp(-({FFM}))), 9) AS prediction FROM d")
 def predict_prob(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return predict(samples(spark, sf_dir), formula_model(spark, "FFM"), output_prob=True).select("seq", "y", F.round("prediction", 9).alias("prediction"))
+    given, n = numbered_samples(spark, sf_dir)
+    return predict(given, formula_model(spark, "FFM", n), output_prob=True).select("seq", "y", F.round("prediction", 9).alias("prediction"))
 
 
 LOSS = "CASE WHEN y = 1 THEN ln(1 + exp(-logit)) ELSE ln(1 + exp(logit)) END"
@@ -346,7 +352,8 @@ def _fm_gradient_sql() -> str:
 
 @query(_fm_gradient_sql())
 def fm_batch_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, model = samples(spark, sf_dir), formula_model(spark, "FM")
+    s, n = numbered_samples(spark, sf_dir)
+    model = formula_model(spark, "FM", n)
     joined = entries(s).filter("feat >= 0").join(model.factors.select("feat", "v"), "feat")
     vx = joined.select("seq", F.transform("v", lambda v: v * F.col("value")).alias("vx"))
     sums = vx.groupBy("seq").agg(F.array(*(F.sum(F.col("vx")[k]) for k in range(K))).alias("s"))
@@ -365,7 +372,8 @@ def _ffm_gradient_sql() -> str:
 
 @query(_ffm_gradient_sql())
 def ffm_batch_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, model = samples(spark, sf_dir), formula_model(spark, "FFM")
+    s, n = numbered_samples(spark, sf_dir)
+    model = formula_model(spark, "FFM", n)
     errors = logits(s, model).select("seq", (sigmoid(F.col("logit")) - F.col("y")).alias("e"))
     return _vectors(ffm_gradients(ffm_pairs(s, model), errors, K), "feat", "field")
 
