@@ -16,9 +16,9 @@ def valid(samples: DataFrame, p) -> DataFrame:
 
 
 def entries(samples: DataFrame) -> DataFrame:
-    """seq, field, feat, value: a row for each entry, and one for the bias, which has value 1."""
+    """seq, y, field, feat, value: a row for each entry, and one for the bias, which has value 1. So every sample has a row, and sums by seq need no second look at the samples."""
     bias = F.array(F.struct(F.lit(0).alias("field"), F.lit(BIAS).alias("feat"), F.lit(1.0).cast("float").alias("value")))
-    return samples.select("seq", F.explode(F.concat(bias, "x")).alias("e")).select("seq", "e.field", "e.feat", F.col("e.value").cast("double").alias("value"))
+    return samples.select("seq", "y", F.explode(F.concat(bias, "x")).alias("e")).select("seq", "y", "e.field", "e.feat", F.col("e.value").cast("double").alias("value"))
 
 
 def pairs(samples: DataFrame) -> DataFrame:
@@ -29,20 +29,20 @@ def pairs(samples: DataFrame) -> DataFrame:
 
 
 def linear_sums(samples: DataFrame, model: Model) -> DataFrame:
-    """seq, linear: bias and weighted sum of the entries."""
+    """seq, y, linear: bias and weighted sum of the entries."""
     w = F.coalesce("w", initial_weight(model.params, F.col("feat")))
-    return entries(samples).join(model.linear.select("feat", "w"), "feat", "left").groupBy("seq").agg(F.sum(w * F.col("value")).alias("linear"))
+    return entries(samples).join(model.linear.select("feat", "w"), "feat", "left").groupBy("seq").agg(F.max("y").alias("y"), F.sum(w * F.col("value")).alias("linear"))
 
 
 def fm_logits(samples: DataFrame, model: Model) -> DataFrame:
-    """seq, logit. Pairs are never formed: half of squared sums less sums of squares, factor by factor, in the same pass as the linear part."""
+    """seq, y, logit. Pairs are never formed: half of squared sums less sums of squares, factor by factor, in the same pass as the linear part."""
     p, k = model.params, model.params.n_factors
     joined = entries(samples).join(model.linear.select("feat", "w"), "feat", "left").join(model.factors.select("feat", "v"), "feat", "left")
     w = F.coalesce("w", initial_weight(p, F.col("feat")))
     v = F.when(F.col("feat") == BIAS, F.array(*[F.lit(0.0)] * k)).otherwise(F.coalesce("v", initial_factors(p, F.col("feat"))))
-    joined = joined.select("seq", (w * F.col("value")).alias("wx"), v.alias("v"), "value").withColumn("vx", F.transform("v", lambda e: e * F.col("value")))
-    sums = joined.groupBy("seq").agg(F.sum("wx").alias("linear"), vector_sum(F.col("vx"), k).alias("s"), F.sum(dot(F.col("vx"), F.col("vx"))).alias("q"))
-    return sums.select("seq", (F.col("linear") + 0.5 * (dot(F.col("s"), F.col("s")) - F.col("q"))).alias("logit"))
+    joined = joined.select("seq", "y", (w * F.col("value")).alias("wx"), v.alias("v"), "value").withColumn("vx", F.transform("v", lambda e: e * F.col("value")))
+    sums = joined.groupBy("seq").agg(F.max("y").alias("y"), F.sum("wx").alias("linear"), vector_sum(F.col("vx"), k).alias("s"), F.sum(dot(F.col("vx"), F.col("vx"))).alias("q"))
+    return sums.select("seq", "y", (F.col("linear") + 0.5 * (dot(F.col("s"), F.col("s")) - F.col("q"))).alias("logit"))
 
 
 def ffm_pairs(samples: DataFrame, model: Model) -> DataFrame:
@@ -55,17 +55,15 @@ def ffm_pairs(samples: DataFrame, model: Model) -> DataFrame:
 
 def ffm_logits(samples: DataFrame, model: Model) -> DataFrame:
     crossed = ffm_pairs(samples, model).groupBy("seq").agg(F.sum(dot(F.col("vi"), F.col("vj")) * F.col("xx")).alias("crossed"))
-    return linear_sums(samples, model).join(crossed, "seq", "left").select("seq", (F.col("linear") + F.coalesce("crossed", F.lit(0.0))).alias("logit"))
+    return linear_sums(samples, model).join(crossed, "seq", "left").select("seq", "y", (F.col("linear") + F.coalesce("crossed", F.lit(0.0))).alias("logit"))
 
 
 def logits(samples: DataFrame, model: Model) -> DataFrame:
     """seq, y, logit: a row for each sample, those without entries too. seq tells samples apart."""
     inside = valid(samples, model.params)
     if model.params.model_type == "LR":
-        scored = linear_sums(inside, model).withColumnRenamed("linear", "logit")
-    else:
-        scored = (fm_logits if model.params.model_type == "FM" else ffm_logits)(inside, model)
-    return samples.select("seq", "y").join(scored, "seq")
+        return linear_sums(inside, model).withColumnRenamed("linear", "logit")
+    return (fm_logits if model.params.model_type == "FM" else ffm_logits)(inside, model)
 
 
 def predict(samples: DataFrame, model: Model, output_prob: bool = False) -> DataFrame:

@@ -39,9 +39,12 @@ def _vector_weight(p: Params, n: str, z: str) -> Column:
 
 
 def linear_gradients(samples: DataFrame, errors: DataFrame) -> DataFrame:
-    """feat, g, q: summed gradients and squared gradients of linear weights and bias. errors: seq, e."""
-    g = F.col("e") * F.col("value")
-    return entries(samples).join(errors, "seq").groupBy("feat").agg(F.sum(g).alias("g"), F.sum(g * g).alias("q"))
+    """feat, g, q: summed gradients and squared gradients of linear weights and bias. errors: seq, e.
+
+    Errors meet whole samples, before these are taken apart: one row for each is shuffled.
+    """
+    g = F.col("y") * F.col("value")  # entries pass on the error in the place of y
+    return entries(samples.select("seq", "x").join(errors.select("seq", F.col("e").alias("y")), "seq")).groupBy("feat").agg(F.sum(g).alias("g"), F.sum(g * g).alias("q"))
 
 
 def fm_gradients(joined: DataFrame, sums: DataFrame, k: int) -> DataFrame:
@@ -86,22 +89,22 @@ def batch_step(samples: DataFrame, model: Model) -> tuple[Model, DataFrame]:
     p, k = model.params, model.params.n_factors
     inside = valid(samples, p)
     weight = F.coalesce(ftrl_weight(F.col("n"), F.col("z"), p), F.lit(0.0))
-    sums = entries(inside).join(model.linear.select("feat", "n", "z"), "feat", "left").groupBy("seq").agg(F.sum(weight * F.col("value")).alias("logit"))
+    sums = entries(inside).join(model.linear.select("feat", "n", "z"), "feat", "left").groupBy("seq").agg(F.max("y").alias("y"), F.sum(weight * F.col("value")).alias("logit"))
     joined = None
     if p.model_type == "FM":
         own = entries(inside).filter(F.col("feat") != BIAS).join(model.factors.select("feat", "n", "z"), "feat", "left").withColumns(_factor_state(p, F.col("feat")))
         joined = own.select("seq", "feat", "value", _vector_weight(p, "n", "z").alias("v"))
         vx = joined.withColumn("vx", F.transform("v", lambda v: v * F.col("value")))
         crossed = vx.groupBy("seq").agg(vector_sum(F.col("vx"), k).alias("s"), F.sum(dot(F.col("vx"), F.col("vx"))).alias("sq"))
-        sums = sums.join(crossed, "seq", "left").select("seq", (F.col("logit") + F.coalesce(0.5 * (dot(F.col("s"), F.col("s")) - F.col("sq")), F.lit(0.0))).alias("logit"), "s")
+        sums = sums.join(crossed, "seq", "left").select("seq", "y", (F.col("logit") + F.coalesce(0.5 * (dot(F.col("s"), F.col("s")) - F.col("sq")), F.lit(0.0))).alias("logit"), "s")
     elif p.model_type == "FFM":
         joined = pairs(inside)
         for a, f, v in (("i", "fj", "vi"), ("j", "fi", "vj")):
             side = model.factors.select(F.col("feat").alias(a), F.col("field").alias(f), "n", "z")
             joined = joined.join(side, [a, f], "left").withColumns(_factor_state(p, F.col(a), F.col(f))).withColumn(v, _vector_weight(p, "n", "z")).drop("n", "z")
         crossed = joined.groupBy("seq").agg(F.sum(dot(F.col("vi"), F.col("vj")) * F.col("xx")).alias("crossed"))
-        sums = sums.join(crossed, "seq", "left").select("seq", (F.col("logit") + F.coalesce("crossed", F.lit(0.0))).alias("logit"))
-    scored = samples.select("seq", "y").join(sums, "seq").withColumn("e", sigmoid(F.col("logit")) - F.col("y"))
+        sums = sums.join(crossed, "seq", "left").select("seq", "y", (F.col("logit") + F.coalesce("crossed", F.lit(0.0))).alias("logit"))
+    scored = sums.withColumn("e", sigmoid(F.col("logit")) - F.col("y"))
     errors = scored.select("seq", "e")
     linear = _updated_linear(model, linear_gradients(inside, errors))
     factors = None
