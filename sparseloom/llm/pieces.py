@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable
 
-#: Pieces that a Python worker remembers; beyond that it starts anew.
-MEMORY = 800_000
+#: Pieces of a generation; a Python worker remembers the current and the one before.
+MEMORY = 400_000
+#: Texts taken at a time.
+TEXTS = 300
+MARKS = frozenset(".,;:!?")
 _SPACE = re.compile(r" (?=\S)")
 _ODD = re.compile(r" (?:\s|\Z)")
 _BREAK = re.compile(r"(?<=\S)\n(?=\S)")
@@ -32,6 +36,7 @@ class Encoder:
         self.encode_pieces = encode_pieces
         self.inner: dict[str, bytes] = {}  # pieces after a space
         self.first: dict[str, bytes] = {}  # others
+        self.before: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # both, of the generation before
 
     def _parts(self, piece: str) -> list[str]:
         """A piece at its single line feeds: text, line feed, text and so on; each is matched apart from the rest."""
@@ -43,14 +48,31 @@ class Encoder:
         return out
 
     def _learn(self, known: dict[str, bytes], pieces: set[str], after_space: bool) -> None:
-        new = [p for p in pieces if p not in known]
+        older = self.before[not after_space]
+        new = []
+        for p in pieces:
+            if p not in known:
+                got = older.get(p)
+                if got is None:
+                    new.append(p)
+                else:
+                    known[p] = got
         known.update(zip(new, self.encode_pieces(new, after_space)))
 
     def batch(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text. A few texts are taken at a time, so that what was looked up is still in the processor's cache when it is joined."""
+        collects = gc.isenabled()
+        gc.disable()  # millions of strings without cycles would be visited again and again
+        try:
+            return [ids for i in range(0, len(texts), TEXTS) for ids in self._some(texts[i : i + TEXTS])]
+        finally:
+            if collects:
+                gc.enable()
+
+    def _some(self, texts: list[str]) -> list[bytes]:
         cuts, found = [cut(t) for t in texts], []
-        if len(self.inner) + len(self.first) > MEMORY:  # what this batch needs stays, frequent pieces among it
-            self.inner = {p: self.inner[p] for c in cuts for p in c[1:] if p in self.inner}
-            self.first = {}
+        if len(self.inner) + len(self.first) > MEMORY:
+            self.before, self.inner, self.first = (self.inner, self.first), {}, {}
         inner, first = self.inner, self.first
         heads = [self._parts(c[0]) for c in cuts]
         new: set[str] = set()
@@ -60,13 +82,17 @@ class Encoder:
             if None in got:
                 new.update([p for p, g in zip(c[1:], got) if g is None])
             found.append(got)
+        older = self.before[0]
         broken = {p: self._parts(p) for p in new if "\n" in p}  # these are not remembered as a whole
-        for p, parts in broken.items():
-            new.discard(p)
-            new.add(parts[0])
-            starts.update(parts[1:])
+        # letters and a mark after them are matched apart: the letters are encoded once for all marks
+        marked = {p: (p[:-1], p[-1]) for p in new if p[-1] in MARKS and p not in older and p[:-1].isalpha()}
+        for parts in (*broken.items(), *marked.items()):
+            new.discard(parts[0])
+            new.add(parts[1][0])
+            starts.update(parts[1][1:])
         self._learn(inner, new, True)
         self._learn(first, starts, False)
+        inner.update([(p, inner[letters] + first[mark]) for p, (letters, mark) in marked.items()])
         whole = {p: inner[parts[0]] + b"".join([first[x] for x in parts[1:]]) for p, parts in broken.items()}
         out = []
         for c, h, got in zip(cuts, heads, found):
