@@ -8,20 +8,20 @@ from pyspark.sql import SparkSession
 
 
 def build_session(app: str = "sparseloom", master: str | None = None, partitions: int | None = None, **conf: str) -> SparkSession:
-    """A session with adaptive execution on and UTC time; on a cluster, master comes from spark-submit."""
+    """A session with adaptive execution on and UTC time.
+
+    Under spark-submit master and memory come from there; elsewhere a local session is made.
+    """
     builder = SparkSession.builder.appName(app)
-    if master or "SPARK_ENV_LOADED" not in os.environ:
-        builder = builder.master(master or "local[*]")
     settings = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
-        "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
-        "spark.driver.memory": "8g",
-        "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
+    if master or "PYSPARK_GATEWAY_PORT" not in os.environ:
+        builder = builder.master(master or "local[*]")
+        settings |= {"spark.driver.memory": "8g", "spark.ui.enabled": "false"}
     if partitions:
         settings["spark.sql.shuffle.partitions"] = str(partitions)
-    settings.update(conf)
-    return builder.config(map=settings).getOrCreate()
+    return builder.config(map=settings | conf).getOrCreate()

@@ -110,3 +110,11 @@ def test_dictionary_in_order_of_values(spark):
 def test_constant_column(spark):
     df = spark.createDataFrame([(1, 3.0), (2, 3.0)], "id int, v double")
     assert [r["v"] for r in enc.min_max(df, enc.bounds(df, ["v"]), ["v"]).collect()] == [0.0, 0.0]
+
+
+def test_encode_command(spark, tmp_path):
+    from sparseloom.encode_cli import main
+
+    (tmp_path / "t.csv").write_text(CSV)
+    main(["--data_path", str(tmp_path / "t.csv"), "--train_output_path", str(tmp_path / "a"), "--eval_output_path", str(tmp_path / "b"), "--cat_cols", "1,3", "--num_cols", "2,4", "--threshold", "1", "--normalize", "true"])
+    assert read_samples(spark, str(tmp_path / "a")).count() + read_samples(spark, str(tmp_path / "b")).count() == 40
