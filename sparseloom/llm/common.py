@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparseloom.storage import materialize, shared_path
+
+__all__ = ["BitFilter", "bit_filter", "hash128", "materialize", "read_table", "shared_path", "small_batches", "texts"]
+
 #: Rows of one Arrow batch handed to Python; long texts make small batches the safer choice.
 BATCH_ROWS = 1000
 
@@ -17,29 +18,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_path(spark: SparkSession, purpose: str) -> str:
-    """A new path in the folder that driver and executors share.
-
-    The cluster names it in spark.checkpoint.dir; only where that is unset, as in
-    local tests, a temporary folder of this machine is set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, purpose: str) -> DataFrame:
-    """Write df to the shared folder and read it again: later steps start from files, not from its lineage."""
-    spark = df.sparkSession
-    path = shared_path(spark, purpose)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(df: DataFrame) -> DataFrame:
     """Keep Arrow batches small for the session that runs df, unless it asks for smaller ones."""
     conf = df.sparkSession.conf

@@ -25,9 +25,12 @@ from sparseloom.llm.common import read_table, small_batches, texts
 ORDER = 4
 #: Bound of the sample that the trees are grown from: texts of a language, picked by hash.
 SAMPLE_TEXTS = 300
+#: Languages that are learned at most, the most frequent ones.
+LANGUAGES = 200
 NO_LANGUAGE = "und"
 _PAD = b" " * ORDER
-_SLOT_BITS = 20
+#: Slots of the table of grams times languages, as a power of two.
+_TABLE_BITS = 22
 
 
 def _grams(data: bytes, n: int) -> np.ndarray:
@@ -96,8 +99,13 @@ class Scorer:
 
     def __init__(self, trees: list[Tree]):
         self.trees = trees
-        self.key = np.full(1 << _SLOT_BITS, np.uint64(2**64 - 1))
-        self.bits = np.zeros((1 << _SLOT_BITS, len(trees)), np.float32)
+        bits = max(10, _TABLE_BITS - len(trees).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.key = np.full(1 << bits, np.uint64(2**64 - 1))
+        self.bits = np.zeros((1 << bits, len(trees)), np.float32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
     def batch(self, texts: list[str]) -> np.ndarray:
         raw = [_PAD + t.encode("utf-8").lower() for t in texts]
@@ -108,14 +116,14 @@ class Scorer:
         for i in range(ORDER):
             inside[starts + i] = False
         keys = keys[inside]
-        slot = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+        slot = self._slot(keys)
         new = self.key[slot] != keys
         bits = self.bits[slot]
         if new.any():
             fresh, back = np.unique(keys[new], return_inverse=True)
             found = np.stack([t.code_lengths(fresh) for t in self.trees], 1).astype(np.float32)
             bits[new] = found[back]
-            where = ((fresh * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+            where = self._slot(fresh)
             self.key[where], self.bits[where] = fresh, found  # of grams that share a slot the last stays
         doc = np.repeat(np.arange(len(texts)), lengths - ORDER)
         return np.stack([np.bincount(doc, bits[:, j], len(texts)) for j in range(len(self.trees))], 1)
@@ -133,11 +141,12 @@ class Model:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_texts: int = SAMPLE_TEXTS) -> Model:
     """Trees from about sample_texts texts of each language, picked by a hash of id and text, the same ones in every run.
 
-    Rows without text or language are left out. Only the sample comes to the driver;
-    its share is set from the exact number of rows of each language.
+    Rows without text or language are left out, and languages beyond the LANGUAGES most
+    frequent ones. Only the sample comes to the driver; its share is set from the exact
+    number of rows of each language.
     """
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("lang")).filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    numbers = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    numbers = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not numbers:
         return Model({})
     share = F.create_map(*(x for lang, n in sorted(numbers.items()) for x in (F.lit(lang), F.lit(min(1.0, sample_texts / n)))))
