@@ -6,10 +6,14 @@ import gc
 import re
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Pieces of a generation; a Python worker remembers the current and the one before.
 MEMORY = 400_000
-#: Texts taken at a time.
-TEXTS = 300
+#: Characters of texts that are taken together.
+CHARACTERS = 4_000_000
 MARKS = frozenset(".,;:!?")
 _SPACE = re.compile(r" (?=\S)")
 _ODD = re.compile(r" (?:\s|\Z)")
@@ -59,44 +63,83 @@ class Encoder:
                     known[p] = got
         known.update(zip(new, self.encode_pieces(new, after_space)))
 
+    def _learn_pieces(self, new: set[str], starts: set[str]) -> dict[str, bytes]:
+        """Encode what is not known: pieces after a space, and others. Returns those with line feeds, which are not remembered as a whole."""
+        older = self.before[0]
+        broken = {p: self._parts(p) for p in new if "\n" in p}
+        # letters and a mark after them are matched apart: the letters are encoded once for all marks
+        marked = {p: (p[:-1], p[-1]) for p in new if p[-1] in MARKS and p not in older and p[:-1].isalpha()}
+        for p, parts in (*broken.items(), *marked.items()):
+            new.discard(p)
+            new.add(parts[0])
+            starts.update(parts[1:])
+        self._learn(self.inner, new, True)
+        self._learn(self.first, starts, False)
+        inner, first = self.inner, self.first
+        inner.update([(p, inner[letters] + first[mark]) for p, (letters, mark) in marked.items()])
+        return {p: inner[parts[0]] + b"".join([first[x] for x in parts[1:]]) for p, parts in broken.items()}
+
+    def _together(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that can be cut at every space: pieces are numbered by Arrow, each distinct one is looked up once, ids are gathered by number."""
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        offsets = lists.offsets.to_numpy()
+        coded = lists.values.dictionary_encode()
+        number = coded.indices.to_numpy().astype(np.int64)
+        # the first piece of a text follows no space: numbers of its own
+        heads = [self._parts(t.partition(" ")[0]) for t in texts]
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        number[offsets[:-1]] = len(distinct) + np.arange(len(texts))
+        used = np.zeros(len(distinct) + len(texts), bool)
+        used[number] = True
+        found = [self.inner.get(p) if u else b"" for p, u in zip(distinct, used.tolist())]
+        new = {p for p, f in zip(distinct, found) if f is None}
+        whole = self._learn_pieces(new, {p for h in heads for p in h})
+        inner, first = self.inner, self.first
+        found = [(inner[p] if p in inner else whole[p]) if f is None else f for p, f in zip(distinct, found)]
+        found += [b"".join([first[x] for x in h]) for h in heads]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begin = np.cumsum(size) - size
+        each = size[number]
+        end = np.cumsum(each)
+        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(begin[number] - (end - each), each) + np.arange(int(each.sum()))]
+        stop = np.append(0, end)[offsets]
+        return [ids[i:j].tobytes() for i, j in zip(stop[:-1].tolist(), stop[1:].tolist())]
+
+    def _apart(self, text: str) -> bytes:
+        """Ids of a text with spaces that are no places to cut."""
+        head, *rest = cut(text)
+        head = self._parts(head)
+        whole = self._learn_pieces({p for p in rest if p not in self.inner}, set(head))
+        return b"".join([self.first[x] for x in head]) + b"".join([self.inner[p] if p in self.inner else whole[p] for p in rest])
+
     def batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text. A few texts are taken at a time, so that what was looked up is still in the processor's cache when it is joined."""
+        """Ids of each text. Texts are taken together up to a number of characters, a longer one by itself."""
         collects = gc.isenabled()
-        gc.disable()  # millions of strings without cycles would be visited again and again
+        gc.disable()  # many strings without cycles would be visited again and again
         try:
-            return [ids for i in range(0, len(texts), TEXTS) for ids in self._some(texts[i : i + TEXTS])]
+            out: list[bytes] = [b""] * len(texts)
+            group: list[int] = []
+            room = CHARACTERS
+
+            def flush() -> None:
+                if len(self.inner) + len(self.first) > MEMORY:
+                    self.before, self.inner, self.first = (self.inner, self.first), {}, {}
+                if group:
+                    for i, ids in zip(group, self._together([texts[i] for i in group])):
+                        out[i] = ids
+                    group.clear()
+
+            for i, t in enumerate(texts):
+                if _ODD.search(t):
+                    out[i] = self._apart(t)
+                    continue
+                if group and len(t) > room:
+                    flush()
+                    room = CHARACTERS
+                group.append(i)
+                room -= len(t)
+            flush()
+            return out
         finally:
             if collects:
                 gc.enable()
-
-    def _some(self, texts: list[str]) -> list[bytes]:
-        cuts, found = [cut(t) for t in texts], []
-        if len(self.inner) + len(self.first) > MEMORY:
-            self.before, self.inner, self.first = (self.inner, self.first), {}, {}
-        inner, first = self.inner, self.first
-        heads = [self._parts(c[0]) for c in cuts]
-        new: set[str] = set()
-        starts = {p for h in heads for p in h}
-        for c in cuts:
-            got = list(map(inner.get, c[1:]))
-            if None in got:
-                new.update([p for p, g in zip(c[1:], got) if g is None])
-            found.append(got)
-        older = self.before[0]
-        broken = {p: self._parts(p) for p in new if "\n" in p}  # these are not remembered as a whole
-        # letters and a mark after them are matched apart: the letters are encoded once for all marks
-        marked = {p: (p[:-1], p[-1]) for p in new if p[-1] in MARKS and p not in older and p[:-1].isalpha()}
-        for parts in (*broken.items(), *marked.items()):
-            new.discard(parts[0])
-            new.add(parts[1][0])
-            starts.update(parts[1][1:])
-        self._learn(inner, new, True)
-        self._learn(first, starts, False)
-        inner.update([(p, inner[letters] + first[mark]) for p, (letters, mark) in marked.items()])
-        whole = {p: inner[parts[0]] + b"".join([first[x] for x in parts[1:]]) for p, parts in broken.items()}
-        out = []
-        for c, h, got in zip(cuts, heads, found):
-            if None in got:
-                got = [(inner[p] if p in inner else whole[p]) if g is None else g for p, g in zip(c[1:], got)]
-            out.append(b"".join([first[x] for x in h]) + b"".join(got))
-        return out
