@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sparseloom.storage import materialize, shared_path
 
-__all__ = ["BitFilter", "bit_filter", "hash128", "materialize", "read_table", "shared_path", "small_batches", "texts"]
+__all__ = ["BitFilter", "bit_filter", "hash128", "materialize", "own_exchange", "read_table", "shared_path", "small_batches", "texts"]
 
 #: Rows of one Arrow batch handed to Python; long texts make small batches the safer choice.
 BATCH_ROWS = 1000
@@ -27,6 +27,16 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def own_exchange(sums: DataFrame, *keys: str) -> DataFrame:
+    """Sums by keys (64-bit numbers, never null) that are about to meet the rows they were made from.
+
+    Spark would join them where they were summed up, all rows of a hot key in one task.
+    With its keys computed anew the (small) table of sums is exchanged for the join, as
+    the rows are, and adaptive execution can split a hot key.
+    """
+    return sums.withColumns({k: F.bitwise_not(F.bitwise_not(k)) for k in keys})
+
+
 def texts(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id and text alone, a null text as the empty one; other columns are left behind, or packed in carried."""
     carried = (F.struct(*(docs[c].alias(c) for c in carry)).alias("carried"),) if carry else ()

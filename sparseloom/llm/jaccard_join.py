@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparseloom.llm.common import materialize, read_table, small_batches, texts
+from sparseloom.llm.common import materialize, own_exchange, read_table, small_batches, texts
 from sparseloom.llm.components import connected_components
 from sparseloom.llm.words import WordHashes, gram_hashes, mixed
 
@@ -147,7 +147,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sets = materialize(sets, "sets")
     paths = signed.select(F.col("doc_id").alias("rep"), "s1", "s2", "paths").join(sets, ["rep", "s1", "s2"]).select("rep", F.explode(F.array_distinct("paths")).alias("path")).distinct()
     centre = paths.groupBy("path").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("path", "centre")
-    groups = connected_components(paths.join(centre, "path").filter("rep != centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")))
+    groups = connected_components(paths.join(own_exchange(centre, "path"), "path").filter("rep != centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")))
     size = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
     dealt = groups.join(size, "component").select(F.col("node").alias("rep"), "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     # every block meets itself and each other one once

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparseloom.llm.common import hash128, read_table, texts
+from sparseloom.llm.common import hash128, own_exchange, read_table, texts
 
 #: ASCII white space, stripped at both ends of a line.
 WHITE = " \t\n\x0b\x0c\r"
@@ -52,7 +52,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .filter(F.col("n_docs") >= min_docs)
     )
     drops = (
-        hashed.join(shared, ["h1", "h2"])
+        hashed.join(own_exchange(shared, "h1", "h2"), ["h1", "h2"])
         .filter(F.col("doc_id") != F.col("keeper"))
         .groupBy("doc_id", "version").agg(F.collect_set("pos").alias("drops"))
     )

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparseloom.llm.common import bit_filter, materialize, read_table, small_batches, texts
+from sparseloom.llm.common import bit_filter, materialize, own_exchange, read_table, small_batches, texts
 from sparseloom.llm.words import WordHashes, mixed
 
 WINDOW, ANCHOR = 35, 8
@@ -132,7 +132,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     tested = materialize(hashed.join(tests, ["id", "version", "at"]), "windows")
     each = tested.select("anchor", "n", "id", "version", F.shiftright("at", _TAIL).alias("first"), F.posexplode("windows").alias("k", "hash"))
     again = each.groupBy("anchor", "hash").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("anchor", "hash")
-    ends = each.filter("n = 1").join(again, ["anchor", "hash"]).groupBy("id", "version", "first").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("mask"))
+    ends = each.filter("n = 1").join(own_exchange(again, "anchor", "hash"), ["anchor", "hash"]).groupBy("id", "version", "first").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("mask"))
     return whole.union(ends.select("id", "version", "first", "mask"))
 
 
