@@ -11,9 +11,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces of a generation; a Python worker remembers the current and the one before.
-MEMORY = 400_000
+MEMORY = 250_000
 #: Characters of texts that are taken together.
-CHARACTERS = 4_000_000
+CHARACTERS = 3_000_000
 MARKS = frozenset(".,;:!?")
 _SPACE = re.compile(r" (?=\S)")
 _ODD = re.compile(r" (?:\s|\Z)")
@@ -68,7 +68,7 @@ class Encoder:
         older = self.before[0]
         broken = {p: self._parts(p) for p in new if "\n" in p}
         # letters and a mark after them are matched apart: the letters are encoded once for all marks
-        marked = {p: (p[:-1], p[-1]) for p in new if p[-1] in MARKS and p not in older and p[:-1].isalpha()}
+        marked = {p: (p[:-1], p[-1]) for p in new if p[-1:] in MARKS and p not in older and p[:-1].isalpha()}
         for p, parts in (*broken.items(), *marked.items()):
             new.discard(p)
             new.add(parts[0])
@@ -89,13 +89,13 @@ class Encoder:
         heads = [self._parts(t.partition(" ")[0]) for t in texts]
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         number[offsets[:-1]] = len(distinct) + np.arange(len(texts))
-        used = np.zeros(len(distinct) + len(texts), bool)
-        used[number] = True
-        found = [self.inner.get(p) if u else b"" for p, u in zip(distinct, used.tolist())]
-        new = {p for p, f in zip(distinct, found) if f is None}
-        whole = self._learn_pieces(new, {p for h in heads for p in h})
+        found = list(map(self.inner.get, distinct))
+        missing = [i for i, f in enumerate(found) if f is None]
+        whole = self._learn_pieces({distinct[i] for i in missing}, {p for h in heads for p in h})
         inner, first = self.inner, self.first
-        found = [(inner[p] if p in inner else whole[p]) if f is None else f for p, f in zip(distinct, found)]
+        for i in missing:
+            p = distinct[i]
+            found[i] = inner[p] if p in inner else whole[p]
         found += [b"".join([first[x] for x in h]) for h in heads]
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4
         begin = np.cumsum(size) - size

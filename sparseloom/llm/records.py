@@ -38,7 +38,7 @@ MASK = 0xA282EAD8
 HEAD, INNER, TAIL = struct.Struct("<QI"), struct.Struct("<BqBI"), struct.Struct("<I")
 #: Records of one file at most; it bounds what a task that reads a file holds.
 FILE_RECORDS = 4_000
-INDEX = "shard int, chunk int, seq long, doc_id long, offset long, length long, n_tokens long"
+INDEX = "shard int, chunk int, seq long, doc_id long, offset long, length long, n_tokens long, start long, ids_crc32 long"
 
 
 def masked(data: bytes) -> int:
@@ -55,7 +55,7 @@ def frame(doc_id: int | None, ids: bytes, width: int) -> bytes:
     return b"".join((size, TAIL.pack(masked(size)), payload, TAIL.pack(masked(payload)), b"\n"))
 
 
-def frames(data: bytes, check: bool = True) -> Iterator[tuple[int, int, int | None, bytes]]:
+def frames(data: bytes) -> Iterator[tuple[int, int, int | None, bytes]]:
     """Offset, length, document id and ids (little-endian, 32 bits) of each record; a wrong checksum is an error."""
     at = 0
     while at < len(data):
@@ -64,7 +64,7 @@ def frames(data: bytes, check: bool = True) -> Iterator[tuple[int, int, int | No
             raise ValueError(f"the length at offset {at} is damaged")
         end = at + HEAD.size + n
         payload = data[at + HEAD.size : end]
-        if check and masked(payload) != TAIL.unpack_from(data, end)[0]:
+        if masked(payload) != TAIL.unpack_from(data, end)[0]:
             raise ValueError(f"the record at offset {at} is damaged")
         null, doc_id, width, count = INNER.unpack_from(payload)
         ids = payload[INNER.size :]
@@ -153,14 +153,14 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     name = F.col("path")
     return spark.read.format("binaryFile").load(path).select(
         F.regexp_extract(name, r"part-(\d+)-[^/]*$", 1).cast("int").alias("shard"),
-        F.coalesce(F.expr(r"try_cast(regexp_extract(path, '-c(\\d+)[^/]*$', 1) AS int)"), F.lit(0)).alias("chunk"),
+        F.coalesce(F.expr(r"try_cast(regexp_extract(path, '-c(\\d+)\\.[^/]*$', 1) AS int)"), F.lit(0)).alias("chunk"),
         "content",
     )
 
 
 def read_records(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """Records with their place: shard, chunk, seq, doc_id, offset, length, n_tokens, start (ids before it in its file), ids_crc32 and ids (or null)."""
-    schema = INDEX + ", start long, ids_crc32 long, ids array<long>"
+    schema = INDEX + ", ids array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -185,16 +185,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def write_index(spark: SparkSession, path: str, index_path: str) -> None:
-    """Offset and length of each record, and its number of ids, as a table of its own."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for shard, chunk, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                rows = [(shard, chunk, seq, doc_id, offset, length, len(ids) // 4) for seq, (offset, length, doc_id, ids) in enumerate(frames(content.as_py(), check=False))]
-                kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 5]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds)], ["shard", "chunk", "seq", "doc_id", "offset", "length", "n_tokens"])
-
-    _files(spark, path).mapInArrow(run, INDEX).write.parquet(index_path)
+    """Read all files back, check their records, and write the places of these as a table of its own: all columns of read_records but ids."""
+    read_records(spark, path, with_ids=False).drop("ids").write.parquet(index_path)
 
 
 def shuffled_records(spark: SparkSession, path: str, index_path: str, seed: int) -> DataFrame:
@@ -217,7 +209,7 @@ def shuffled_records(spark: SparkSession, path: str, index_path: str, seed: int)
 
 
 def with_global_start(records: DataFrame, index: DataFrame) -> DataFrame:
-    """start becomes the number of ids of all documents before: those of earlier files are summed over the index, a row for each file."""
+    """start becomes the number of ids of all documents before, in earlier files too: these are summed over the index, a row for each file."""
     sums = index.groupBy("shard", "chunk").agg(F.sum("n_tokens").alias("n"))
     order = Window.orderBy("shard", "chunk").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("shard", "chunk", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
@@ -228,7 +220,8 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, index_path = shared_path(spark, "records"), shared_path(spark, "records-index")
     write_records(read_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     write_index(spark, path, index_path)
-    out = with_global_start(read_records(spark, path, with_ids=False), spark.read.parquet(index_path))
+    index = spark.read.parquet(index_path)  # what was read back from the files
+    out = with_global_start(index, index)
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

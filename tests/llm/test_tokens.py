@@ -77,3 +77,12 @@ def test_damage_is_seen():
         bad[at] ^= 4
         with pytest.raises(Exception):
             list(records.frames(bytes(bad)))
+
+
+def test_file_numbers(spark, tmp_path):
+    """The names that Spark gives hold a random part, which may look like a number of a chunk."""
+    names = {"part-00003-1b2c3d4e-c123-4aaa-c456-0123456789ab-c002.txt": (3, 2), "part-00012-c1234567-0000-4000-8000-c00000000000-c000.txt": (12, 0), "part-100001-aaaaaaaa-c111-4aaa-8aaa-aaaaaaaaaaaa-c010.txt": (100001, 10)}
+    for n in names:
+        (tmp_path / n).write_bytes(b"x")
+    got = records._files(spark, str(tmp_path)).select("shard", "chunk").collect()
+    assert sorted(map(tuple, got)) == sorted(names.values())
