@@ -11,9 +11,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces of a generation; a Python worker remembers the current and the one before.
-MEMORY = 250_000
+MEMORY = 150_000
 #: Characters of texts that are taken together.
-CHARACTERS = 3_000_000
+CHARACTERS = 2_000_000
 MARKS = frozenset(".,;:!?")
 _SPACE = re.compile(r" (?=\S)")
 _ODD = re.compile(r" (?:\s|\Z)")
@@ -141,5 +141,6 @@ class Encoder:
             flush()
             return out
         finally:
+            pa.default_memory_pool().release_unused()
             if collects:
                 gc.enable()
