@@ -11,9 +11,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces of a generation; a Python worker remembers the current and the one before.
-MEMORY = 150_000
+MEMORY = 250_000
 #: Characters of texts that are taken together.
-CHARACTERS = 2_000_000
+CHARACTERS = 3_000_000
 MARKS = frozenset(".,;:!?")
 _SPACE = re.compile(r" (?=\S)")
 _ODD = re.compile(r" (?:\s|\Z)")
@@ -40,6 +40,7 @@ class Encoder:
         self.encode_pieces = encode_pieces
         self.inner: dict[str, bytes] = {}  # pieces after a space
         self.first: dict[str, bytes] = {}  # others
+        self.batches = 0
         self.before: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # both, of the generation before
 
     def _parts(self, piece: str) -> list[str]:
@@ -141,6 +142,8 @@ class Encoder:
             flush()
             return out
         finally:
-            pa.default_memory_pool().release_unused()
+            self.batches += 1
+            if self.batches % 8 == 0:  # what Arrow holds for its next allocations
+                pa.default_memory_pool().release_unused()
             if collects:
                 gc.enable()
