@@ -423,7 +423,7 @@ def stream_train(spark: SparkSession, sf_dir: str) -> DataFrame:
 # samples
 
 
-@query(f"WITH {D} SELECT y AS given, 1 + (y = 0)::INTEGER * 0 AS copies, count(*) AS n FROM d GROUP BY ALL UNION ALL SELECT 2, 3, 3 * count(*) FROM d")
+@query(f"WITH {D} SELECT y AS given, 1 AS copies, count(*) AS n FROM d GROUP BY ALL UNION ALL SELECT 2, 3, 3 * count(*) FROM d")
 def negative_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three negatives for each event: how many rows there are, of each label, all drawn numbers within their fields."""
     s = materialize(samples(spark, sf_dir), "samples")
