@@ -60,13 +60,12 @@ def parse_samples(lines: DataFrame, file_type: str, mode: str = "FAILFAST", valu
     rest = [c for c in lines.columns if c != value_col]
     cut = lines.select(*rest, F.col(value_col).alias("_line"), tokens(F.col(value_col)).alias("_t"))
 
-    def entry(t: Column) -> Column:
-        p = F.split(t, ":")
+    def entry(p: Column) -> Column:
         part = [F.try_element_at(p, F.lit(i + 1)) for i in range(n)]
         field = F.lit(0) if n == 2 else _whole(part[0])
         return F.struct(field.alias("field"), _whole(part[n - 2]).alias("feat"), _real(part[n - 1]).alias("value"), (F.size(p) == n).alias("ok"))
 
-    read = cut.select(*rest, "_line", _whole(F.try_element_at("_t", F.lit(1))).alias("_y"), F.transform(F.slice("_t", 2, F.greatest(F.size("_t") - 1, F.lit(0))), entry).alias("_x"))
+    read = cut.select(*rest, "_line", _whole(F.try_element_at("_t", F.lit(1))).alias("_y"), F.transform(F.transform(F.slice("_t", 2, F.greatest(F.size("_t") - 1, F.lit(0))), lambda t: F.split(t, ":")), entry).alias("_x"))
     good = F.col("_y").isNotNull() & ~F.exists("_x", lambda e: ~e.ok | e.field.isNull() | e.feat.isNull() | e.value.isNull())
     good = F.coalesce(good, F.lit(False))
     x = F.filter(F.transform("_x", lambda e: F.struct(e.field.alias("field"), e.feat.alias("feat"), e.value.alias("value"))), lambda e: e.value != 0)
