@@ -21,6 +21,7 @@ from sparseloom.functions.params import Params
 from sparseloom.operators.model import BIAS, Model, empty_model
 from sparseloom.operators.score import valid
 from sparseloom.plans.batch import kept
+from sparseloom.storage import materialize
 
 _OUT = "feat int, field int, w float, n float, z float, v array<float>, vn array<float>, vz array<float>, loss double, rows long"
 
@@ -132,8 +133,8 @@ def mixing_round(samples: DataFrame, model: Model, shards: int, epochs: int = 1)
         return pd.DataFrame(list(_fold(p, epochs, rows, state)), columns=columns)
 
     folded = dealt.groupBy("shard").cogroup(_state(model, wanted).groupBy("for_shard")).applyInPandas(run, _OUT)
+    folded = materialize(folded, "folded")  # linear weights and factors come from one run of the shards
     linear = folded.filter(F.col("w").isNotNull()).groupBy("feat").agg(*(F.avg(F.col(c).cast("double")).alias(c) for c in ("w", "n", "z")), F.sum("loss").alias("loss"), F.sum("rows").alias("rows"))
-    linear = kept(Model(p, linear)).linear
     factors = None
     if model.factors is not None:
         count = F.count(F.lit(1))

@@ -389,10 +389,13 @@ def ftrl_batch_ffm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mixing(spark: SparkSession, sf_dir: str, kind: str, init: str = "warm") -> DataFrame:
-    """Shards of about 2,000 samples each, whatever the number of samples."""
+    """Shards of about 2,000 samples each, whatever the number of samples. A row for each linear weight and, with v, vn and vz, for each factor."""
     s = materialize(samples(spark, sf_dir), "samples")
     model, losses = mixing_round(s, empty_model(spark, params(kind, factor_init=init)), shards=max(2, s.count() // 2000))
-    return model.linear.crossJoin(F.broadcast(losses.select("loss")))  # one row
+    rows = model.linear
+    if model.factors is not None:
+        rows = rows.unionByName(model.factors.select(*model.factor_key, "v", F.col("n").alias("vn"), F.col("z").alias("vz")), allowMissingColumns=True)
+    return rows.crossJoin(F.broadcast(losses.select("loss")))  # one row
 
 
 @query()

@@ -142,3 +142,28 @@ def test_sequential_equals_batch_for_one_sample(spark, samples):
     a = {r["feat"]: r["z"] for r in train_batch(one, params("LR")).linear.collect()}
     b = {r["feat"]: r["z"] for r in mixing_round(one, empty_model(spark, params("LR")), 1)[0].linear.collect()}
     assert a == pytest.approx(b)
+
+
+@pytest.mark.parametrize("kind", ["FM", "FFM"])
+def test_mixing_queries_have_averaged_factors(spark, small, kind):
+    """Factors of the query are the averages over shards that were folded by hand; the kept model doesn't fold again."""
+    from sparseloom import queries
+
+    p, s = queries.params(kind, factor_init="warm"), queries.samples(spark, small)
+    n = max(2, s.count() // 2000)
+    folds = [Fold(p) for _ in range(n)]
+    for r in s.withColumn("shard", F.pmod(F.xxhash64("seq"), F.lit(n))).orderBy("seq").collect():
+        folds[r["shard"]].learn(r["y"], [(e["field"], e["feat"], e["value"]) for e in r["x"]])
+    want = {}
+    for fold in folds:
+        for key, state in fold.factors.items():
+            want.setdefault(key, []).append(state)
+    rows = queries.QUERIES[f"ftrl_mixing_{kind.lower()}"](spark, small).collect()
+    got = {(r["feat"], r["field"]) if kind == "FFM" else (r["feat"],): r for r in rows if r["w"] is None}
+    assert got.keys() == want.keys() and any(len(states) > 1 for states in want.values())
+    for key, states in want.items():
+        for i, c in enumerate(("v", "vn", "vz")):
+            assert got[key][c] == pytest.approx([sum(map(float, x)) / len(states) for x in zip(*(t[i] for t in states))], rel=1e-4, abs=1e-6)
+    assert len([r for r in rows if r["w"] is not None]) == len(set().union(*(f.linear for f in folds)))
+    model, _ = mixing_round(s, empty_model(spark, p), n)
+    assert "CoGroup" not in model.factors._jdf.queryExecution().toString()
