@@ -17,9 +17,9 @@ from sparseloom.llm.common import read_table, small_batches, texts
 from sparseloom.llm.pieces import Encoder
 
 NONE = np.int32(2**31 - 1)
-#: Widths of the matrices, in bytes of a piece; longer pieces are merged one by one.
-WIDTHS = (4, 8, 12, 16, 24, 32, 48, 64, 128, 256)
-ROWS = 4096
+#: Widths of the matrices, in bytes of a piece, and on by doubling; cells of a matrix, a wider row apart.
+WIDTHS = (4, 8, 12, 16, 24, 32, 48)
+ROWS, CELLS = 4096, 1 << 20
 
 
 class Ranks:
@@ -42,8 +42,9 @@ class Ranks:
                     left.append(a), right.append(b), joined.append(i)
         self._fill(np.array(left, np.int64), np.array(right, np.int64), np.array(joined, np.int32))
         # ids that can be part of an older token: joining all their occurrences at once could skip a merge
-        early = np.array(joined) < np.maximum(left, right)
-        self.unsafe = set(np.maximum(left, right)[early].tolist())
+        self.unsafe = np.zeros(len(self.token), bool)
+        for part in (np.array(left), np.array(right)):
+            self.unsafe[part[np.array(joined) < part]] = True
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -83,64 +84,64 @@ class Ranks:
             left = left[~hit & (found >= 0)]
         return out
 
-    def merge_rows(self, pieces: list[bytes], width: int) -> list[np.ndarray]:
-        """Every row joins its leftmost pair of the smallest rank in each round, until no row has a pair left."""
+    def merge_rows(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """Every row joins its leftmost pair of the smallest rank in each round, until no row has a pair left.
+
+        The next pairs of that rank to the right are the next leftmost ones, so they are
+        joined in the same round, unless the new id could begin or end a pair of a still
+        smaller rank.
+        """
         n = len(pieces)
         lengths = np.fromiter(map(len, pieces), np.int64, n)
+        width = int(lengths.max())
+        columns = np.arange(width + 1)
         ids = np.full((n, width + 1), -1, np.int32)
-        inside = np.arange(width + 1) < lengths[:, None]
-        ids[inside] = self.byte[np.frombuffer(b"".join(pieces), np.uint8)]
+        ids[columns < lengths[:, None]] = self.byte[np.frombuffer(b"".join(pieces), np.uint8)]
         out: list[np.ndarray] = [None] * n  # type: ignore[list-item]
         row = np.arange(n)
         pair = self.join(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(n, width)
-        columns = np.arange(width + 1)
         while len(row):
-            at = pair.argmin(1)  # the first of equal ones
-            every = np.arange(len(row))
-            best = pair[every, at]
+            best = pair.min(1)
             more = best != NONE
-            for i in np.flatnonzero(~more):
-                out[row[i]] = ids[i, : lengths[row[i]]]
             if not more.all():
-                ids, pair, row, at, best = ids[more], pair[more], row[more], at[more], best[more]
-                every = np.arange(len(row))
-            if not len(row):
-                break
-            # compaction: what follows the second id of the pair moves one column to the left
-            take = np.minimum(columns + (columns > at[:, None]), width)
+                for i in np.flatnonzero(~more):
+                    out[row[i]] = ids[i, : lengths[i]].copy()
+                ids, pair, row, best, lengths = ids[more], pair[more], row[more], best[more], lengths[more]
+                if not len(row):
+                    break
+            hit = pair == best[:, None]
+            first = hit.argmax(1)
+            alone = np.flatnonzero(self.unsafe[best])
+            hit[alone] = False
+            hit[alone, first[alone]] = True
+            if (hit[:, 1:] & hit[:, :-1]).any():  # of overlapping pairs every second one, from the left
+                before = np.maximum.accumulate(np.where(hit, -1, columns[:width]), 1)
+                hit &= (columns[:width] - before) % 2 == 1
+            r, c = np.nonzero(hit)
+            ids[r, c] = best[r]
+            # compaction: the second id of each pair goes, what follows moves to the left
+            if len(r) == len(row):
+                at, take = c, np.minimum(columns + (columns > c[:, None]), width)
+            else:
+                gone = np.zeros(ids.shape, np.uint8)
+                gone[r, c + 1] = 1
+                take = np.argsort(gone, 1, kind="stable")
+                at = c - (np.arange(len(r)) - np.searchsorted(r, r))
+            lengths = lengths - np.bincount(r, minlength=len(row))
             ids = np.take_along_axis(ids, take, 1)
-            ids[every, at] = best
-            ids[:, width] = -1
+            ids[columns >= lengths[:, None]] = -1
             pair = np.take_along_axis(pair, np.minimum(take[:, :width], width - 1), 1)
-            pair[:, width - 1] = NONE
-            pair[every, at] = self.join(best, ids[every, at + 1])
-            before = np.flatnonzero(at > 0)
-            pair[before, at[before] - 1] = self.join(ids[before, at[before] - 1], best[before])
-            lengths[row] -= 1
+            pair[columns[:width] >= lengths[:, None] - 1] = NONE
+            pair[r, at] = self.join(ids[r, at], ids[r, at + 1])
+            left = at > 0
+            r, at = r[left], at[left]
+            pair[r, at - 1] = self.join(ids[r, at - 1], ids[r, at])
+            longest = int(lengths.max())
+            if longest <= width // 2:
+                width, columns = longest, columns[: longest + 1]
+                ids, pair = ids[:, : width + 1].copy(), pair[:, :width].copy()
         return out
 
-    def merge_long(self, piece: bytes) -> np.ndarray:
-        """A single long row. All occurrences of the smallest pair are joined in one round, where that can't change the outcome."""
-        ids = self.byte[np.frombuffer(piece, np.uint8)]
-        while len(ids) > 1:
-            pair = self.join(ids[:-1], ids[1:])
-            best = pair.min()
-            if best == NONE:
-                break
-            at = np.flatnonzero(pair == best)
-            if int(best) in self.unsafe:
-                at = at[:1]
-            elif len(at) > 1:
-                # of overlapping pairs every second one, from the left
-                start = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) != 1, np.arange(len(at)), 0))
-                at = at[(np.arange(len(at)) - start) % 2 == 0]
-            ids = ids.copy()
-            ids[at] = best
-            stay = np.ones(len(ids), bool)
-            stay[at + 1] = False
-            ids = ids[stay]
-        return ids
-
     def encode(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each piece as little-endian unsigned 32-bit integers."""
         out: list[bytes] = [b""] * len(pieces)
@@ -149,14 +150,13 @@ class Ranks:
             whole = self.rank.get(p)
             if whole is not None:
                 out[i] = whole.to_bytes(4, "little")
-            elif len(p) > WIDTHS[-1]:
-                out[i] = self.merge_long(p).astype("<u4").tobytes()
             elif p:
-                by_width.setdefault(next(w for w in WIDTHS if len(p) <= w), []).append(i)
+                by_width.setdefault(next((w for w in WIDTHS if len(p) <= w), 1 << (len(p) - 1).bit_length()), []).append(i)
         for width, which in by_width.items():
-            for k in range(0, len(which), ROWS):
-                part = which[k : k + ROWS]
-                for i, ids in zip(part, self.merge_rows([pieces[i] for i in part], width)):
+            rows = max(1, min(ROWS, CELLS // width))
+            for k in range(0, len(which), rows):
+                part = which[k : k + rows]
+                for i, ids in zip(part, self.merge_rows([pieces[i] for i in part])):
                     out[i] = ids.astype("<u4").tobytes()
         return out
 

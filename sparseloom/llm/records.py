@@ -36,8 +36,8 @@ from sparseloom.llm.pieces import Encoder
 #: Fixed values of the format.
 MASK = 0xA282EAD8
 HEAD, INNER, TAIL = struct.Struct("<QI"), struct.Struct("<BqBI"), struct.Struct("<I")
-#: Records of one file at most; it bounds what a task that reads a file holds.
-FILE_RECORDS = 4_000
+#: Bytes of one file, unless a single record is longer; it bounds what a task that reads a file holds.
+FILE_BYTES = 32 << 20
 INDEX = "shard int, chunk int, seq long, doc_id long, offset long, length long, n_tokens long, start long, ids_crc32 long"
 
 
@@ -76,20 +76,33 @@ def frames(data: bytes) -> Iterator[tuple[int, int, int | None, bytes]]:
 
 
 class Tokens(Encoder):
-    """Ids of the tokenizers library. Its pre-tokenizer splits by the byte-level pattern, so pieces between safe cuts can be remembered."""
+    """Ids of the tokenizers library. Its pre-tokenizer splits by the byte-level pattern, so pieces between safe cuts can be remembered.
+
+    A text that holds an added token is handed to the library as a whole: these are found before the pattern splits.
+    """
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
         self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.spaced[i] = token.startswith(space)
         super().__init__(self._pieces)
 
+    def batch(self, texts: list[str]) -> list[bytes]:
+        whole = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
+        rest = list(texts)
+        for i in whole:
+            rest[i] = ""
+        out = super().batch(rest)
+        for i in whole:
+            out[i] = array("I", self.tokenizer.encode(texts[i], add_special_tokens=False).ids).tobytes()
+        return out
+
     def _pieces(self, pieces: list[str], after_space: bool) -> list[bytes]:
         encode = self.tokenizer.encode_batch_fast
         if not after_space:
@@ -118,16 +131,18 @@ def _tokens(definition: str) -> Tokens:
     return _workers[key]
 
 
-def write_records(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_records(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES) -> None:
     """Encode whole texts, append end_id to each and write the records to path.
 
+    A string of an added token in a text becomes that token's id, as the library has it.
+
     Null and empty texts become records of end_id alone. Rows without an id come
     first, with the null flag set. Rows of one id follow each other, by text; equal
     rows are written as often as they occur. An empty table leaves a folder without
     records. Other columns than id and text are not read.
 
     The texts are dealt out by ranges of ids before they are encoded: each is moved
-    once, encoded once, and a range is a file or more.
+    once, encoded once, and a range is a file or more, of file_bytes at most or of one record.
     """
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:  # a definition of a few MB, read by the driver
@@ -138,15 +153,29 @@ def write_records(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         tokens = _tokens(sent.value)
         width = 2 if max(tokens.tokenizer.get_vocab_size() - 1, end_id) < 1 << 16 else 4
         end = struct.pack("<I", end_id)
+        block: list[bytes] = []
+        size = 0
+
+        def file() -> pa.RecordBatch:
+            # the writer sets the line feed after the last record
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(block)[:-1]], pa.binary())], ["block"])
+
         for b in batches:
-            records = [frame(i, ids + end, width) for i, ids in zip(b.column(0).to_pylist(), tokens.batch(b.column(1).to_pylist()))]
-            yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], ["record"])
+            for i, ids in zip(b.column(0).to_pylist(), tokens.batch(b.column(1).to_pylist())):
+                record = frame(i, ids + end, width)
+                if block and size + len(record) > file_bytes:
+                    yield file()
+                    block.clear()
+                    size = 0
+                block.append(record)
+                size += len(record)
+        if block:
+            yield file()
 
     base = texts(docs, id_col, text_col).select(F.col("doc_id").cast("long"), "text")
     ordered = small_batches(base).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    # each record ends in the line feed that the writer sets between rows
-    record = F.expr("cast(substring(record, 1, octet_length(record) - 1) AS string)")
-    ordered.mapInArrow(run, "record binary").select(record.alias("value")).write.option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    # a row is a file
+    ordered.mapInArrow(run, "block binary").select(F.col("block").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -209,10 +238,13 @@ def shuffled_records(spark: SparkSession, path: str, index_path: str, seed: int)
 
 
 def with_global_start(records: DataFrame, index: DataFrame) -> DataFrame:
-    """start becomes the number of ids of all documents before, in earlier files too: these are summed over the index, a row for each file."""
+    """start becomes the number of ids of all documents before, in earlier files too."""
     sums = index.groupBy("shard", "chunk").agg(F.sum("n_tokens").alias("n"))
-    order = Window.orderBy("shard", "chunk").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select("shard", "chunk", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
+    # sums over shards, a row for each task that wrote, then over the files of each
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shards = sums.groupBy("shard").agg(F.sum("n").alias("n")).select("shard", before(Window.orderBy("shard")).alias("first"))
+    files = sums.select("shard", "chunk", before(Window.partitionBy("shard").orderBy("chunk")).alias("more"))
+    base = files.join(shards, "shard").select("shard", "chunk", (F.col("first") + F.col("more")).alias("base"))
     return records.join(base, ["shard", "chunk"]).withColumn("start", F.col("start") + F.col("base")).drop("base")
 
 

@@ -5,6 +5,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -16,6 +17,7 @@ DATA = open(RANKS, "rb").read()
 OURS = bpe.Bpe(DATA, public_tokenizers.PATTERN)
 THEIRS = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, DATA.splitlines())}, special_tokens={})
 TOKENS = records.Tokens(open(JSON, encoding="utf-8").read())
+LIBRARY = tokenizers.Tokenizer.from_file(JSON)
 
 
 def as_ids(text):
@@ -27,13 +29,18 @@ def as_ids(text):
 def test_any_text(text):
     ids = OURS.batch([text])[0]
     assert ids == as_ids(text) and OURS.ranks.decode(ids) == text.encode()
-    want = TOKENS.tokenizer.encode(text, add_special_tokens=False).ids
+    want = LIBRARY.encode(text, add_special_tokens=False).ids
     assert TOKENS.batch([text])[0] == np.array(want, "<u4").tobytes()
 
 
+def test_added_tokens():
+    for text in ("a <|endoftext|> b", "<|endoftext|><|endoftext|>", " <|endoftext|>\n\nx  <|endoftext|", "<|endo", ""):
+        assert TOKENS.batch([text, "other words"])[0] == np.array(LIBRARY.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_long_pieces():
     rnd = random.Random(3)
-    for text in ("a" * 3001, "ab" * 2000, " " * 999, "é" * 700, "".join(rnd.choice("abcdefg") for _ in range(4000)), "\n" * 500 + "x"):
+    for text in ("a" * 3001, "x" * 100_000, "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=30_000)), "ab" * 2000, " " * 999, "é" * 700, "".join(rnd.choice("abcdefg") for _ in range(4000)), "\n" * 500 + "x"):
         assert OURS.batch([text])[0] == as_ids(text)
 
 
@@ -54,17 +61,19 @@ def test_encode_and_decode(make_docs, edges):
     assert back == sorted((str(i), (t or "").encode()) for i, t in edges)
 
 
-def test_records_round_trip(spark, make_docs, edges, monkeypatch):
-    monkeypatch.setattr(records, "FILE_RECORDS", 3)
+def test_records_round_trip(spark, make_docs, edges):
+    edges = [*edges, (10, "a <|endoftext|> b<|endoftext|>"), (11, "<|endoftext|>"), (12, "<|endoftext |>"), (13, "tall words of some length " * 150_000)]
     path, index = shared_path(spark, "r"), shared_path(spark, "i")
-    records.write_records(make_docs(edges).repartition(5), path, JSON)
+    records.write_records(make_docs(edges).repartition(5), path, JSON, file_bytes=300)
     records.write_index(spark, path, index)
     want = sorted(((i is not None, i or 0), (t or "")) for i, t in edges)
-    want = [(i, TOKENS.tokenizer.encode(t, add_special_tokens=False).ids + [0]) for (has, i), t in want for i in [i if has else None]]
+    want = [(i, LIBRARY.encode(t, add_special_tokens=False).ids + [0]) for (has, i), t in want for i in [i if has else None]]
     rows = records.with_global_start(records.read_records(spark, path), spark.read.parquet(index)).collect()
     rows.sort(key=lambda r: r["start"])
     assert [(r["doc_id"], r["ids"]) for r in rows] == want
     assert [r["start"] for r in rows] == np.cumsum([0, *(len(x) for _, x in want[:-1])]).tolist()
+    assert len({(r["shard"], r["chunk"]) for r in rows}) > 5
+    assert next(ids for i, ids in want if i == 10)[2] == 50256
     some = [[(r["doc_id"], r["ids"]) for r in records.shuffled_records(spark, path, index, seed).collect()] for seed in (1, 1, 2)]
     assert some[0] == some[1] != some[2] and sorted(map(str, some[0])) == sorted(map(str, want))
 
