@@ -1,17 +1,23 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
 A page is cut into blocks at block-level tags. A block has its number of words and
-its link density (share of words inside links), those of the blocks before and
-after it, and what encloses it. A tree grown on a small labelled table says which
-blocks are content.
+its link density (share of words inside links), those of the two blocks before and
+after it, and how much running text the page has before and after it. What tags and
+names of classes say of an element (side matter, reader comments, main matter) is a
+feature too, with the share of the page's words that the element holds; it drops or
+keeps nothing by itself. A tree grown on a labelled table of generated pages says
+which blocks are content.
 """
 
 from __future__ import annotations
 
 import html
+import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,67 +36,99 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 UNSEEN = frozenset("script style template noscript iframe object svg math canvas textarea title select button datalist audio video".split())
 #: Of those, the ones that hold raw text up to their closing tag. Fixed values.
 RAW = frozenset("script style textarea title iframe noscript".split())
-#: Tags and words of class, id or role that tell what an element is for.
-SIDE_TAGS = frozenset("nav footer aside form menu dialog".split())
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Elements that close an open one of their own kind.
+SIBLINGS = frozenset(("p", "li", "td", "th", "dt", "dd", "option", "tr"))
+#: What tags and names of elements hint at.
+SIDE_TAGS = frozenset("nav footer aside form menu dialog header".split())
+MAIN_TAGS = frozenset(("article", "main"))
 SIDE_WORDS = frozenset(
-    "ad ads adv advert advertisement alert banner bottombar breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies copyright crumbs disclaimer disqus "
-    "feedback foot footer gdpr head header legal login masthead menu menubar modal nav navbar navigation newsletter notice notification pager pagination popup "
-    "promo promotion promoted recommended related remark replies reply respond response responses search share sharing sidebar sidenav signup skyscraper social sponsor sponsored subscribe tags "
-    "toc toolbar topbar trending warning widget".split()
+    "ad ads adv advert advertisement banner breadcrumb breadcrumbs complementary consent contentinfo cookie cookies copyright disclaimer "
+    "footer gdpr header legal login masthead menu menubar modal nav navbar navigation newsletter notice notification pager pagination popup "
+    "promo promotion promoted recommended related search share sharing sidebar sidenav signup social sponsor sponsored subscribe teaser "
+    "toolbar topbar trending widget".split()
 )
-MAIN_TAGS = frozenset(("article", "main"))
-MAIN_WORDS = frozenset("article articlebody body content entry main maincontent post postbody posttext story storybody text".split())
+TALK_WORDS = frozenset("comment comments disqus discussion feedback remarks replies reply respond responses".split())
+MAIN_WORDS = frozenset("article body content entry main maincontent post postbody posttext story storybody text".split())
+#: Last parts of compound names that leave the meaning to the first part, and first parts that only tell of a state.
+NEUTRAL = frozenset("area bar block body box container content entry group holder inner item items links list panel posts row section slot text thread top unit wrap wrapper".split())
+STATES = frozenset("has is no non not with without".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _HINT = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none", re.I)
-_WORD = re.compile(r"[A-Za-z]+")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
+NONE, SIDE, TALK, MAIN = range(4)
 
 
 @dataclass
 class Block:
     words: list[str] = field(default_factory=list)
     linked: int = 0
-    side: bool = False
-    main: bool = False
     heading: bool = False
     listed: bool = False
+    #: What the innermost element with a hint is; numbers of the innermost side and talk elements around the block, -1 if none; within a main one.
+    near: int = NONE
+    side: int = -1
+    talk: int = -1
+    main: bool = False
+
+
+def _word_kind(w: str) -> int:
+    return SIDE if w in SIDE_WORDS else TALK if w in TALK_WORDS else MAIN if w in MAIN_WORDS else NONE
+
 
+@lru_cache(100_000)
+def name_kind(name: str) -> int:
+    """What a class, id or role hints at. A compound name means its last part, or its first one before a neutral part."""
+    parts = [w for w in re.split(r"[^a-z]+", _HUMP.sub("-", name).lower()) if w]
+    if not parts or parts[0] in STATES:
+        return NONE
+    first, last = _word_kind(parts[0]), _word_kind(parts[-1])
+    if first in (SIDE, TALK) and parts[-1] in NEUTRAL:
+        return first
+    return last
 
-def _kind(tag: str, attributes: str, within_main: bool) -> tuple[bool, bool]:
-    """Whether an element is beside the main text, and whether it is the main text's own."""
-    side, main = tag in SIDE_TAGS or (tag == "header" and not within_main), tag in MAIN_TAGS
-    if attributes and tag not in ("body", "html", "a"):
-        for m in _HINT.finditer(attributes):
-            words = {w.lower() for w in _WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", m[1] or m[2] or m[3] or ""))}
-            if tag not in MAIN_TAGS and words & SIDE_WORDS and not (within_main and words & SIDE_WORDS <= {"head", "header"}):
-                side = True
-            elif words & MAIN_WORDS:
-                main = True
-    return side, main
 
+def element_kind(tag: str, attributes: str, within_main: bool) -> int:
+    kind = MAIN if tag in MAIN_TAGS else SIDE if tag in SIDE_TAGS and not (tag == "header" and within_main) else NONE
+    if kind == NONE and attributes and tag not in ("body", "html", "a") and "=" in attributes:
+        kinds = {name_kind(name) for m in _HINT.finditer(attributes) for name in (m[1] or m[2] or m[3] or "").split()}
+        kind = next((k for k in (TALK, SIDE, MAIN) if k in kinds), NONE)
+    return kind
 
-def blocks(page: str) -> list[Block]:
-    """Text blocks in page order; blocks without a word are left out."""
+
+def blocks(page: str) -> tuple[list[Block], list[int]]:
+    """Text blocks in page order, those without a word left out; and the words within each element with a side or talk hint."""
     out: list[Block] = []
-    # open elements: tag, what it was before: in side matter, in main matter, unseen, in a link
-    stack: list[tuple[str, bool, bool, bool, bool]] = []
-    side = main = unseen = link = False
+    held: list[int] = []  # words before the element while it is open, then words in it
+    # open elements: tag, number in held or -1, and what was before: context, unseen, in a link
+    stack: list[tuple[str, int, tuple[int, int, int, bool], bool, bool]] = []
+    count: Counter[str] = Counter()
+    around = (NONE, -1, -1, False)
+    unseen = link = heading = False
     parts: list[tuple[str, bool]] = []
-    heading = listed = False
+    total = 0
+    endless: set[str] = set()
 
     def flush() -> None:
-        nonlocal parts
+        nonlocal total
         if parts:
-            text = html.unescape("".join(p for p, _ in parts))
-            words = text.split()
+            words = html.unescape("".join([p for p, _ in parts])).split()
             if words:
                 linked = sum(len(html.unescape(p).split()) for p, inside in parts if inside)
-                out.append(Block(words, min(linked, len(words)), side, main, heading, listed))
-            parts = []
-
-    at = 0
-    end = len(page)
+                out.append(Block(words, min(linked, len(words)), heading, bool(count["li"] or count["td"]), *around))
+                total += len(words)
+            parts.clear()
+
+    def close() -> None:
+        nonlocal around, unseen, link
+        tag, number, around, unseen, link = stack.pop()
+        count[tag] -= 1
+        if number >= 0:
+            held[number] = total - held[number]
+
+    at, end = 0, len(page)
     while at < end:
         m = _TAG.search(page, at)
         if not m:
@@ -108,66 +146,82 @@ def blocks(page: str) -> list[Block]:
         if tag in BLOCK or tag in UNSEEN and tag not in ("svg", "math"):
             flush()
         if closing:
-            # only up to the closest element of that tag; a closing tag without one is ignored
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    _, side, main, unseen, link = stack[i]
-                    del stack[i:]
-                    break
-            if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            # up to the closest element of that tag; a closing tag without one is ignored
+            if count[tag]:
+                while stack[-1][0] != tag:
+                    close()
+                close()
+            if tag in HEADINGS:
                 heading = False
-            elif tag in ("li", "td", "ul", "ol", "table", "tr"):
-                listed = any(s[0] in ("li", "td") for s in stack)
             continue
         if tag in RAW:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = close.end() if close else (end if tag in ("script", "style") else at)
+            stop = None if tag in endless else re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            if not stop:
+                endless.add(tag)
+            at = stop.end() if stop else (end if tag in ("script", "style") else at)
             continue
         if tag in VOID or attributes.endswith("/") and tag not in BLOCK:
             continue
-        if tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
+        if tag in HEADINGS or tag == "p":
             heading = tag != "p"
-            if stack and stack[-1][0] == "p":  # a paragraph ends where the next one starts
-                _, side, main, unseen, link = stack.pop()
-        elif tag in ("li", "td", "th"):
-            listed = True
-            if stack and stack[-1][0] == tag:
-                _, side, main, unseen, link = stack.pop()
-        elif tag not in BLOCK and tag not in UNSEEN and tag != "a" and "=" not in attributes:
+        if tag in SIBLINGS and stack and stack[-1][0] == tag:  # ends where the next one starts
+            close()
+        elif tag not in BLOCK and tag not in UNSEEN and tag != "a" and "=" not in attributes and "hidden" not in attributes:
             continue  # inline markup
-        if len(stack) > 2000:  # absurd nesting, of tags that were never closed
-            del stack[1000:]
-        stack.append((tag, side, main, unseen, link))
-        if tag == "a":
-            link = True
-            if not attributes or "=" not in attributes:
-                continue
-        s, c = _kind(tag, attributes, main)
-        side, main = side or s, main or (c and not side and not s)
+        kind = element_kind(tag, attributes, around[3]) if tag != "a" else NONE
+        stack.append((tag, len(held) if kind in (SIDE, TALK) else -1, around, unseen, link))
+        count[tag] += 1
+        if kind:
+            around = (kind, len(held) if kind == SIDE else around[1], len(held) if kind == TALK else around[2], around[3] or kind == MAIN)
+            if kind != MAIN:
+                held.append(total)
+        link = link or tag == "a"
         unseen = unseen or tag in UNSEEN or bool(attributes) and bool(_HIDDEN.search(attributes))
     if at < end and not unseen:
         parts.append((page[at:], link))
     flush()
-    return out
+    while stack:
+        close()
+    return out, held
 
 
-FEATURES = ("words", "link", "words_before", "link_before", "words_after", "link_after", "side", "main", "has_main", "heading", "listed")
+FEATURES = (
+    "words", "link", "words_before", "link_before", "words_after", "link_after", "words_before_2", "link_before_2", "words_after_2", "link_after_2",
+    "text_before", "text_after", "of_longest", "heading", "listed", "near_side", "near_talk", "near_main", "in_main", "side_share", "talk_share", "main_share",
+)
+#: Words of a block of running text, and its largest link density.
+LONG, LINKED = 12, 0.34
 
 
-def features(found: list[Block]) -> np.ndarray:
+def features(found: list[Block], held: list[int]) -> np.ndarray:
     """A row for each block, columns as in FEATURES. Neighbours beyond the page have no words."""
     n = len(found)
-    words = np.array([0, *(len(b.words) for b in found), 0], float)
-    link = np.array([0, *(b.linked / len(b.words) for b in found), 0], float)
-    has_main = any(b.main for b in found)
-    flags = [np.array([getattr(b, f) for b in found], float) for f in ("side", "main", "heading", "listed")]
-    return np.stack([words[1:-1], link[1:-1], words[:-2], link[:-2], words[2:], link[2:], flags[0], flags[1], np.full(n, float(has_main)), flags[2], flags[3]], 1) if n else np.zeros((0, len(FEATURES)))
+    if not n:
+        return np.zeros((0, len(FEATURES)))
+    words = np.zeros(n + 4)
+    words[2:-2] = [len(b.words) for b in found]
+    link = np.zeros(n + 4)
+    link[2:-2] = [b.linked for b in found]
+    link[2:-2] /= words[2:-2]
+    w, total = words[2:-2], words.sum()
+    text = np.where((w >= LONG) & (link[2:-2] <= LINKED), w, 0)
+    before = np.cumsum(text) - text
+    near = np.array([b.near for b in found])
+    main = np.array([b.main for b in found], float)
+    inside = np.array([0, *held]) / total
+    return np.stack([
+        w, link[2:-2], words[1:-3], link[1:-3], words[3:-1], link[3:-1], words[:-4], link[:-4], words[4:], link[4:],
+        before / total, (text.sum() - before - text) / total, w / w.max(),
+        np.array([b.heading for b in found], float), np.array([b.listed for b in found], float),
+        near == SIDE, near == TALK, near == MAIN, main,
+        inside[[b.side + 1 for b in found]], inside[[b.talk + 1 for b in found]], np.full(n, (w * main).sum() / total),
+    ], 1)
 
 
 class DecisionTree:
     """Splits that lower the Gini impurity most, to a depth; leaves hold the majority."""
 
-    def __init__(self, depth: int = 8, least: int = 3):
+    def __init__(self, depth: int = 9, least: int = 6):
         self.depth, self.least = depth, least
         self.column, self.limit, self.low, self.high, self.value = [], [], [], [], []
 
@@ -215,62 +269,151 @@ class DecisionTree:
         return value[node]
 
 
-def labelled_pages() -> list[str]:
-    """The labelled table, as pages of common layouts. A block whose first word is 'keep' is content."""
-
-    def keep(n: int) -> str:
-        return " ".join(["keep"] * n)
-
-    def drop(n: int, linked: int = 0) -> str:
-        return f'<a href="#">{" ".join(["drop"] * linked)}</a> ' * bool(linked) + " ".join(["drop"] * (n - linked))
-
-    def menu(n: int) -> str:
-        return "<ul>" + "".join(f"<li>{drop(1 + i % 3, 1 + i % 3)}</li>" for i in range(n)) + "</ul>"
-
-    def body(sizes: tuple[int, ...]) -> str:
-        return "".join(f"<h2>{keep(3)}</h2>" * (i == 2) + f"<p>{keep(n)}</p>" for i, n in enumerate(sizes)) + f"<ul><li>{keep(sizes[0])}</li><li>{keep(2)}</li></ul>" * (len(sizes) > 3)
-
-    pages = []
-    for k, sizes in enumerate(((40, 25, 60), (1, 30, 2, 80), (12,), (150, 3, 45, 20, 9), (6, 5), (1,), (33, 1, 1, 70))):
-        text, lead = body(sizes), f"<h1>{keep(2 + k)}</h1>"
-        side = f'<div class="sidebar"><h3>{drop(2)}</h3>{menu(3)}<p>{drop(15 + 20 * (k % 3), 2)}</p></div>'
-        talk = f'<div id="comments"><h3>{drop(2)}</h3><div class="comment"><p>{drop(30 + 9 * k)}</p></div><div class="comment"><p>{drop(4)}</p></div></div>'
-        ad, notice = f'<div class="ad">{drop(4 + 12 * (k % 4))}</div>', f'<div class="cookie-notice">{drop(18)} {drop(2, 2)}</div>'
-        form = f"<form><label>{drop(2)}</label><p>{drop(9)}</p></form>"
-        top, foot = f"<nav>{menu(4 + k)}</nav>", f"<footer>{drop(5 + 6 * k, k % 3)}</footer>"
-        pages += [
-            f"{top}{ad}<article>{lead}{text}</article>{foot}",
-            f"<header>{drop(6)}</header>{top}<main>{lead}{text}<aside>{drop(20)}</aside></main>{talk}{foot}",
-            f'{top}{notice}<article><header>{lead}</header>{text}{ad}<section class="related">{menu(3)}</section></article>{side}{form}{foot}',
-            f'<div class="menu">{menu(6)}</div><div class="content">{lead}{text}</div>{side}<div class="footer">{drop(12, 3)}</div>',
-            f'{top}<div id="post"><div class="entry">{lead}{text}{talk}</div></div>{form}{foot}',
-            f"<p>{drop(7)}</p><article>{lead}{text}</article><p>{drop(11 + 8 * k)}</p>{foot}",
-            f"{top}{ad}{lead}{text}{foot}{talk}",
-            f"<article>{lead}{text}</article>",
-            f'<main>{lead}<p><a href="#">{keep(2 + k)}</a></p>{text}<ul><li><a href="#">{keep(4)}</a></li></ul></main>{foot}',
-            f'{top}<article>{lead}<p>{keep(9)} <a href="#">{keep(6)}</a></p>{text}</article>',
-            f'<div class="content">{text}<p><a href="#">{keep(1 + k)}</a></p></div>{foot}',
-            f"{lead}{text}{foot}",
-        ]
-        if min(sizes) > 10:  # a page without any hint: words and links must do
-            pages += [f"{menu(7)}{text}<p>{drop(4, 3)}</p>", f"<table><tr><td>{menu(5)}</td><td>{text}</td></tr></table><div>{drop(3, 2)}</div>"]
-    return pages
+#: Names of elements in the labelled pages.
+NAMES = {
+    "top": ("nav", "menu", "main-nav", "navbar", "topbar", "site-header", "header"), "side": ("sidebar", "widget", "widget-area", "right-sidebar", "sidenav"),
+    "foot": ("footer", "site-footer", "copyright", "footer-links"), "ad": ("ad", "ads", "ad-slot", "advert", "sponsored", "promo", "banner"),
+    "notice": ("cookie-notice", "notice", "consent", "newsletter", "cookies"), "more": ("related", "related-posts", "recommended", "share", "trending"),
+    "talk": ("comments", "comment-list", "discussion", "replies", "commentsSection"), "main": ("content", "entry-content", "post", "article-body", "story", "main", "post-content", "text"),
+    "plain": ("layout", "row", "page", "wrap", "has-sidebar", "no-sidebar", "header-fixed", "inner", "grid", "note warning", "with-comments", "col-8"),
+}
+TAGS = {"top": ("nav", "header"), "side": ("aside",), "foot": ("footer",), "ad": ("aside",), "notice": ("dialog", "aside"), "more": ("nav", "aside"), "talk": ("section",), "main": ("article", "main")}
+#: Pages of the labelled table, and where its random choices start.
+PAGES, SEED = 1000, 3
+
+
+def labelled_pages(n: int = PAGES, seed: int = SEED, themes: tuple[str, ...] = ("tags", "classes", "mixed", "none", "wrapped")) -> list[str]:
+    """The labelled table, as n pages put together at random. A block whose first word is 'keep' is content.
+
+    Themes say how parts are marked: by tags, by class names, by either, not at all, or
+    by either within an element whose name or tag misleads. Where nothing marks them,
+    readers' comments come with linked names.
+    """
+    rng = random.Random(seed)
+
+    def words(kind: str, k: int, linked: int = 0) -> str:
+        k = max(1, k)
+        linked = min(linked, k)
+        plain = " ".join([kind] * (k - linked))
+        return f"{plain} " * bool(plain) + f'<a href="#">{" ".join([kind] * linked)}</a>' * bool(linked)
+
+    def size(middle: float, spread: float, most: int) -> int:
+        return max(1, min(most, round(rng.lognormvariate(np.log(middle), spread))))
+
+    def links(k: int, longest: int) -> str:
+        items = (words("drop", m, m) for m in (rng.randint(1, longest) for _ in range(k)))
+        style = rng.randrange(3)
+        if style == 0:
+            return "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>"
+        return "".join(f"<div>{x}</div>" for x in items) if style == 1 else "<p>" + " | ".join(items).replace("|", rng.choice(("", "drop"))) + "</p>"
+
+    def text(kind: str, k: int, linked: int = 0) -> str:
+        tag = rng.choice(("p", "p", "p", "div"))
+        return f"<{tag}>{words(kind, k, linked)}</{tag}>"
+
+    def article(marked: bool, mark) -> str:
+        out = [f"<h1>{words('keep', size(6, 0.7, 20))}</h1>"] if rng.random() < 0.85 else []
+        if rng.random() < 0.2:
+            out.append(text("keep", rng.randint(2, 6)))
+        middle = rng.choice((4, 12, 30, 45, 60))
+        for i in range(rng.choice((1, 1, 2, 3, 4, 6, 9, 14))):
+            roll = rng.random()
+            if i and roll < 0.1:
+                out.append(f"<h{rng.randint(2, 4)}>{words('keep', size(3, 0.6, 12))}</h2>")
+            elif i and roll < 0.2:
+                out.append("<ul>" + "".join(f"<li>{words('keep', size(7, 0.7, 60), rng.randrange(3) if rng.random() < 0.3 else 0)}</li>" for _ in range(rng.randint(2, 6))) + "</ul>")
+            elif i and roll < 0.25:
+                out.append(f"<blockquote>{words('keep', size(18, 0.7, 90))}</blockquote>")
+            elif i and marked and roll < 0.32:
+                out.append(mark(rng.choice(("ad", "more")), text("drop", size(7, 0.8, 30), rng.randrange(4)) if rng.random() < 0.6 else links(rng.randint(2, 5), 8)))
+            elif i and roll < 0.36:
+                out.append(f'<div class="{rng.choice(NAMES["plain"])}">{words("keep", size(14, 0.6, 60))}</div>')
+            else:
+                out.append(text("keep", size(middle, 0.9, 400), rng.randint(1, 4) if rng.random() < 0.25 else 0))
+        return "".join(out)
+
+    def page(theme: str) -> str:
+        marked = theme != "none"
+
+        def mark(part: str, inner: str) -> str:
+            how = theme if theme in ("tags", "classes") else rng.choice(("tags", "classes"))
+            if not marked:
+                return f"<div>{inner}</div>"
+            name = rng.choice(NAMES[part])
+            if how == "tags" and part in TAGS and not (part == "talk" and rng.random() < 0.5):
+                tag = rng.choice(TAGS[part])
+                return f'<{tag} id="{name}">{inner}</{tag}>' if tag == "section" or rng.random() < 0.2 else f"<{tag}>{inner}</{tag}>"
+            return f'<div {rng.choice(("class", "id"))}="{name}">{inner}</div>'
+
+        def maybe(chance: float, part) -> str:
+            return part() if rng.random() < chance else ""
+
+        def ad() -> str:
+            k = size(8, 0.6, 20 if marked else 9)
+            return mark("ad", text("drop", k, rng.choice((0, 0, k // 2, k)) if marked else k))
+
+        def form() -> str:
+            fields = "".join(f"<label>{words('drop', rng.randint(1, 2))}</label><input name=x>" for _ in range(rng.randint(1, 3)))
+            return f"<form>{maybe(0.5, lambda: text('drop', size(6, 0.5, 14)))}{fields}<button>drop</button></form>"
+
+        def side() -> str:
+            teaser = maybe(0.4, lambda: text("drop", size(12, 0.6, 35), rng.randint(2, 9)))
+            return mark("side", f"<h3>{words('drop', rng.randint(1, 3))}</h3>{links(rng.randint(2, 8), 7)}{teaser}")
+
+        def talk() -> str:
+            linked = not marked or rng.random() < 0.5
+            one = lambda: f"<div>{words('drop', 2, 2 * linked)}</div>" + text("drop", size(14, 0.9, 150))
+            return mark("talk", f"<h3>{words('drop', rng.randint(1, 3))}</h3>" + "".join(one() for _ in range(rng.randint(1, 6))))
+
+        def foot() -> str:
+            k = size(7, 0.7, 40 if marked else 11)
+            return mark("foot", maybe(0.4, lambda: links(rng.randint(2, 7), 3)) + text("drop", k, rng.choice((0, 0, k // 3, k))))
+
+        top = maybe(0.2, lambda: mark("top", words("drop", rng.randint(1, 6)))) + maybe(0.9, lambda: mark("top", links(rng.randint(3, 12), 3)))
+        top += maybe(0.4, ad) + maybe(0.15 * marked, lambda: mark("notice", text("drop", size(14, 0.5, 30), rng.randrange(3))))
+        main = article(marked, mark)
+        if marked and rng.random() < 0.8:
+            main = mark("main", main)
+        left, right = (maybe(0.25, side) for _ in range(2))
+        after = maybe(0.2, lambda: mark("more", f"<h3>{words('drop', rng.randint(1, 3))}</h3>{links(rng.randint(2, 6), 10)}"))
+        after += maybe(0.25, talk) + right + maybe(0.2, form) + maybe(0.15, ad) + maybe(0.75, foot)
+        body = f"{left}{main}{after}"
+        if theme == "wrapped":
+            misled = rng.choice(("form", "side", "main", "plain", "talk", "article"))
+            if misled in ("side", "talk") or misled == "form" and rng.random() < 0.5:  # around the article alone
+                name = rng.choice(NAMES[misled]) if misled != "form" else "form"
+                around = f'<div class="{name}">{main}</div>' if misled != "form" else f"<form>{main}</form>"
+                if rng.random() < 0.4:
+                    top = left = after = ""
+                body = f"{left}{around}{after}"
+            elif misled == "form":
+                body = f'<form id="page">{top}{body}</form>'
+                top = ""
+            else:
+                body = f"<article>{body}</article>" if misled == "article" else f'<div class="{rng.choice(NAMES[misled])}">{body}</div>'
+        if rng.random() < 0.15:
+            body = f'<div class="{rng.choice(NAMES["plain"])}">{body}</div>'
+        if rng.random() < 0.06:  # a page of little more than the text
+            top, body = "", maybe(0.5, lambda: main) or mark("main", text("keep", size(2, 1, 12))) + maybe(0.3, ad)
+        return f"<html><body>{top}{body}</body></html>"
+
+    return [page(themes[i % len(themes)]) for i in range(n)]
 
 
 def train_tree(pages: list[str] | None = None) -> DecisionTree:
     rows, labels = [], []
     for page in pages or labelled_pages():
-        found = blocks(page)
-        rows.append(features(found))
+        found, held = blocks(page)
+        rows.append(features(found, held))
         labels += [b.words[0] == "keep" for b in found]
     return DecisionTree().fit(np.concatenate(rows), np.array(labels))
 
 
 def main_text(page: str | None, tree: DecisionTree) -> str:
-    found = blocks(page or "")
+    found, held = blocks(page or "")
     if not found:
         return ""
-    return " ".join(" ".join(b.words) for b, kept in zip(found, tree.predict(features(found))) if kept)
+    return " ".join([" ".join(b.words) for b, kept in zip(found, tree.predict(features(found, held))) if kept])
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", tree: DecisionTree | None = None) -> DataFrame:
