@@ -15,15 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparseloom.llm.common import read_table, small_batches, texts
+from sparseloom.llm.common import bit_filter, materialize, read_table, small_batches, texts
 from sparseloom.llm.words import WordHashes, gram_hashes
 
 #: Words of a seed, and of the shortest tile.
 SEED = 5
 #: Share of an item's words that must be covered.
 COVERAGE = 0.6
-#: The filter for seeds has this many bits, however large the benchmark is.
-FILTER_BITS = 25
+#: The filter for seeds has at most 2**FILTER_BITS bits, however large the benchmark is.
+FILTER_BITS = 28
 _EDGE = b".,;:!?\"'()[]{}<>*#&%$|-_"
 #: Base of the running hashes.
 _BASE = 1_000_003
@@ -120,7 +120,7 @@ def _window_hashes(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """item_id and words of items that have a word. Items of one id and equal words are one."""
+    """item_id, words and item_version (a hash of these) of items that have a word. Items of one id and equal words are one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -128,29 +128,50 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     base = benchmark.select(benchmark[id_col].alias("item_id"), F.coalesce(benchmark[text_col], F.lit("")).alias("text")).filter(F.col("item_id").isNotNull())
     kind = base.schema["item_id"].dataType.simpleString()
-    return small_batches(base).mapInArrow(run, f"item_id {kind}, item array<long>").filter(F.size("item") > 0).distinct()
+    found = small_batches(base).mapInArrow(run, f"item_id {kind}, item array<long>").filter(F.size("item") > 0).distinct()
+    return found.withColumn("item_version", F.xxhash64("item"))
 
 
 def _item_seeds(items: DataFrame, seed: int) -> DataFrame:
+    """seed, item_id, item_version and n_item: a row for each distinct seed of an item."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, words in zip(b.column(0), b.column(1).to_pylist()):
+            for k, words in enumerate(b.column(1).to_pylist()):
                 s = np.unique(seeds_of(np.array(words, np.int64).view(np.uint64), seed))
-                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array([i.as_py()] * len(s), b.column(0).type), pa.array([len(words)] * len(s), pa.int32())], ["seed", "item_id", "n_item"])
+                of = pa.array(np.full(len(s), k))
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), b.column(0).take(of), b.column(2).take(of), pa.array(np.full(len(s), len(words), np.int32))], ["seed", "item_id", "item_version", "n_item"])
 
     kind = items.schema["item_id"].dataType.simpleString()
-    return items.mapInArrow(run, f"seed long, item_id {kind}, n_item int")
+    return items.mapInArrow(run, f"seed long, item_id {kind}, item_version long, n_item int")
+
+
+def cover(words: int, at: np.ndarray, n: int) -> int:
+    """Words that lie in windows of n words starting at these places."""
+    edge = np.zeros(words + 1, np.int64)
+    edge[at] += 1
+    edge[at + n] -= 1
+    return int((np.cumsum(edge) > 0).sum())
 
 
-def _filter(seeds: DataFrame) -> tuple[np.ndarray, list[int]]:
-    """Bits of the seeds, gathered as words of 64: at most 2**FILTER_BITS / 64 rows. And the seed lengths in use (short items)."""
-    place = F.shiftrightunsigned("seed", 64 - FILTER_BITS)
-    rows = seeds.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(seed, {64 - FILTER_BITS}) & 63 AS int))")).alias("bits")).collect()
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for r in rows:
-        bits[r["word"]] = r["bits"]
-    lengths = sorted(r["n"] for r in seeds.select(F.least(F.col("n_item"), F.lit(SEED)).alias("n")).distinct().collect())
-    return np.unpackbits(bits.view(np.uint8), bitorder="little").view(bool), lengths
+def telling_seeds(item: np.ndarray, heat: dict[int, int], seed: int, coverage: float) -> np.ndarray:
+    """The seeds of which every document that covers enough of the item holds one; the hottest ones are spared.
+
+    heat has the pairs that a seed would make; one that no document holds is left out.
+    Tiles lie within windows of shared seeds. The hottest seeds whose windows together
+    cover too few words can't make a leak by themselves, so one of the others is there.
+    """
+    found = seeds_of(item, seed).view(np.int64)
+    n = min(seed, len(item))
+    hot = sorted((s for s in set(found.tolist()) if s in heat), key=lambda s: (-heat[s], s))
+    low, high = 0, len(hot)  # the longest run of hottest seeds that is spared
+    while low < high:
+        k = (low + high + 1) // 2
+        if cover(len(item), np.flatnonzero(np.isin(found, hot[:k])), n) / len(item) < coverage:
+            low = k
+        else:
+            high = k - 1
+    return np.array(hot[low:], np.int64)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", seed: int = SEED, coverage: float = COVERAGE) -> DataFrame:
@@ -161,14 +182,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     itself and the best coverage counts. Empty tables give an empty result. Columns
     other than ids and texts are not read.
 
-    The whole text is scanned against a filter of fixed size; only stretches of words
-    that may match an item leave the scan. Seeds then meet in a join, so neither
-    table has to be small, and a hot seed is a key that the join can split.
+    The whole text is scanned once, against a filter of bounded size; only stretches of
+    words that may match an item leave the scan. Documents and items meet in a join on
+    telling seeds: what many items and documents share makes pairs only where it covers
+    enough of an item by itself. Pairs are dealt out evenly and those whose shared seeds
+    cover too few words are not tiled.
     """
-    items = _items(benchmark, item_col, item_text_col)
-    seeds = _item_seeds(items, seed)
-    bits, lengths = _filter(seeds)
-    sent = docs.sparkSession.sparkContext.broadcast(bits)
+    items = materialize(_items(benchmark, item_col, item_text_col), "items")
+    seeds = materialize(_item_seeds(items, seed), "item-seeds")
+    lengths = sorted(r["n"] for r in seeds.select(F.least(F.col("n_item"), F.lit(seed)).alias("n")).distinct().collect())  # seed values at most
+    sent = docs.sparkSession.sparkContext.broadcast(bit_filter(seeds, "seed", FILTER_BITS))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = sent.value
@@ -176,17 +199,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             ids, stretches, found = [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 words = words_of(t)
-                cover = np.zeros(len(words) + 1, np.int64)
+                edge = np.zeros(len(words) + 1, np.int64)
                 hits = []
                 for n in lengths:
                     s = gram_hashes(words, n)
-                    at = np.flatnonzero(marked[(s >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
+                    at = np.flatnonzero(marked.passes(s))
                     if len(at):
                         hits.append(np.unique(s[at]))
-                        np.add.at(cover, at, 1)
-                        np.add.at(cover, at + n, -1)
+                        edge[at] += 1
+                        edge[at + n] -= 1
                 if hits:
-                    edges = np.diff(np.concatenate([[0], (np.cumsum(cover) > 0).astype(np.int8)[:-1], [0]]))
+                    edges = np.diff(np.concatenate([[0], (np.cumsum(edge) > 0).astype(np.int8)[:-1], [0]]))
                     ids.append(i)
                     stretches.append([words[x:y].view(np.int64).tolist() for x, y in zip(np.flatnonzero(edges > 0), np.flatnonzero(edges < 0))])
                     found.append(np.unique(np.concatenate(hits)).view(np.int64).tolist())
@@ -194,23 +217,41 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     base = texts(docs, id_col, text_col).filter(F.col("doc_id").isNotNull())
     kind, item_kind = base.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
-    hits = small_batches(base).mapInArrow(scan, f"doc_id {kind}, stretches array<array<long>>, seeds array<long>").distinct()
-    pairs = (
-        hits.select("doc_id", F.xxhash64("stretches").alias("version"), F.explode("seeds").alias("seed"))
-        .join(seeds.select("seed", "item_id"), "seed")
-        .select("doc_id", "version", "item_id").distinct()
-    )
-    both = pairs.join(hits.select("doc_id", "stretches", F.xxhash64("stretches").alias("version")), ["doc_id", "version"]).join(items, "item_id")
+    hits = small_batches(base).mapInArrow(scan, f"doc_id {kind}, stretches array<array<long>>, seeds array<long>")
+    hits = materialize(hits.withColumn("version", F.xxhash64("stretches")), "stretches")
+    # pairs that a seed would make, from sums on both sides
+    held = hits.select(F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count(F.lit(1)).alias("n_docs"))
+    asked = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("n_items"))
+    heat = held.join(asked, "seed").select("seed", (F.col("n_docs") * F.col("n_items")).alias("heat"))
+    of_item = seeds.join(heat, "seed").groupBy("item_id", "item_version").agg(F.collect_list(F.struct("seed", "heat")).alias("heats"))  # at most the item's own seeds
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, (item, heats) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
+                s = telling_seeds(np.array(item, np.int64).view(np.uint64), {h["seed"]: h["heat"] for h in heats}, seed, coverage)
+                of = pa.array(np.full(len(s), k))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), pa.array(s)], ["item_id", "item_version", "seed"])
+
+    telling = items.join(of_item, ["item_id", "item_version"]).select("item_id", "item_version", "item", "heats")
+    telling = small_batches(telling).mapInArrow(choose, f"item_id {item_kind}, item_version long, seed long")
+    pairs = hits.select("doc_id", "version", F.explode("seeds").alias("seed")).join(telling, "seed").select("doc_id", "version", "item_id", "item_version").distinct()
+    both = pairs.join(hits.select("doc_id", "version", "stretches").dropDuplicates(["doc_id", "version"]), ["doc_id", "version"]).join(items, ["item_id", "item_version"])
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.sparkSession.sparkContext.defaultParallelism)
+    dealt = both.select("doc_id", "item_id", "stretches", "item", "version").repartition(parts, "doc_id", "version", "item_id")
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n_covered, n_tiles, n_item = [], [], []
             for stretches, item in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                got = tiles(np.array(item, np.int64).view(np.uint64), [np.array(s, np.int64).view(np.uint64) for s in stretches], seed)
+                item = np.array(item, np.int64).view(np.uint64)
+                parts = [np.array(s, np.int64).view(np.uint64) for s in stretches]
+                n = min(seed, len(item))
+                shared = np.isin(gram_hashes(item, n), np.concatenate([gram_hashes(s, n) for s in parts]))
+                got = tiles(item, parts, seed) if cover(len(item), np.flatnonzero(shared), n) / len(item) >= coverage else []
                 n_covered.append(sum(n for _, _, n in got)), n_tiles.append(len(got)), n_item.append(len(item))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in (n_item, n_covered, n_tiles))], ["doc_id", "item_id", "n_item", "n_covered", "n_tiles"])
 
-    tiled = both.select("doc_id", "item_id", "stretches", "item").mapInArrow(tile, f"doc_id {kind}, item_id {item_kind}, n_item long, n_covered long, n_tiles long")
+    tiled = small_batches(dealt.drop("version")).mapInArrow(tile, f"doc_id {kind}, item_id {item_kind}, n_item long, n_covered long, n_tiles long")
     share = F.col("n_covered") / F.col("n_item")
     return tiled.withColumn("coverage", share).filter(share >= coverage).groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "n_item", "n_covered", "n_tiles")).alias("best")).select("doc_id", "item_id", "best.n_item", "best.n_covered", "best.n_tiles", "best.coverage")
 

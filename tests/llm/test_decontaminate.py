@@ -2,7 +2,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sparseloom.llm.decontaminate import find_leaks, flag_documents, tiles
+from sparseloom.llm.decontaminate import COVERAGE, SEED, find_leaks, flag_documents, seeds_of, telling_seeds, tiles, words_of
 from tests.llm.conftest import words
 
 
@@ -68,5 +68,48 @@ def test_brute_force_on_the_table(spark, small):
     docs = {r["doc_id"]: " ".join(r["text"].split()) for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     items = {r["item_id"]: " ".join(r["text"].split()) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()}
     leaks = {(r["doc_id"], r["item_id"]) for r in find_leaks(spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/benchmark.parquet")).collect()}
+    # every pair with a common seed is tiled whole
+    docs_w, items_w = ({k: words_of(t) for k, t in x.items()} for x in (docs, items))
+    holders = {}
+    for d, w in docs_w.items():
+        for h in set(seeds_of(w, SEED).tolist()) | {int(x) for x in w}:
+            holders.setdefault(h, set()).add(d)
+    brute = set()
+    for i, w in items_w.items():
+        for d in set().union(*(holders.get(h, set()) for h in seeds_of(w, SEED).tolist())):
+            if sum(n for _, _, n in tiles(w, [docs_w[d]], SEED)) / len(w) >= COVERAGE:
+                brute.add((d, i))
+    assert leaks == brute
     whole = {(d, i) for d, t in docs.items() for i, s in items.items() if s in t}
     assert whole <= leaks
+
+
+def test_shared_templates(spark, make_docs):
+    """Words that all items and many documents share make no pairs, and hide no leak."""
+    rare = lambda seed, n: [f"r{x}" for x in np.random.default_rng(seed).integers(0, 100_000, n)]
+    template = words(100, 12)
+    items = [(i, " ".join(template + rare(1000 + i, 20 + i % 9))) for i in range(300)]
+    docs = [(d, " ".join(template + rare(5000 + d, 60))) for d in range(500)]
+    docs += [(1000 + i, " ".join(words(9, 30) + t.split()[16:] + words(8, 5) + t.split()[:16])) for i, t in items[::50]]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in find_leaks(make_docs(docs), benchmark).collect()}
+    assert got == {(1000 + i, i) for i, _ in items[::50]}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 5), min_size=1, max_size=14), st.lists(st.integers(1, 5), max_size=30), st.dictionaries(st.integers(0, 40), st.integers(1, 9)))
+def test_telling_seeds_lose_nothing(item, text, heats):
+    a, b = np.array(item, np.uint64), np.array(text, np.uint64)
+    found = seeds_of(a, 3).view(np.int64)
+    n = min(3, len(a))
+    shared = set(seeds_of(b, n).view(np.int64).tolist()) if len(b) >= n else set()
+    heat = {s: heats.get(k, 1) for k, s in enumerate(found.tolist())} | {s: 5 for s in shared & set(found.tolist())}
+    if sum(m for _, _, m in tiles(a, [b] if len(b) else [], 3)) / len(a) >= 0.6:
+        assert shared & set(telling_seeds(a, heat, 3, 0.6).tolist())
+
+
+def test_one_very_long_text(spark, make_docs):
+    item = words(11, 60)
+    long = " ".join(words(12, 400_000, 50_000) + item[30:] + words(13, 100_000, 50_000) + item[:30])
+    benchmark = spark.createDataFrame([(0, " ".join(item)), (1, " ".join(words(14, 50)))], "item_id long, text string")
+    assert [(r["doc_id"], r["item_id"], r["n_covered"]) for r in find_leaks(make_docs([(1, long), (2, "short")]), benchmark).collect()] == [(1, 0, 60)]
