@@ -59,14 +59,14 @@ class BitFilter:
         return (self.packed[at >> 3] >> (at & 7).astype(np.uint8)) & np.uint8(1) > 0
 
 
-def bit_filter(hashes: DataFrame, column: str, most_bits: int = 28) -> BitFilter:
-    """The filter of a column of evenly spread 64-bit hashes: about 16 bits for each, at most 2**most_bits (32 MB) in all.
+def bit_filter(hashes: DataFrame, column: str, most_bits: int = 28, least_bits: int = 12) -> BitFilter:
+    """The filter of a column of evenly spread 64-bit hashes: about 16 bits for each, 2**least_bits at least and at most 2**most_bits (32 MB) in all.
 
     What comes to the driver are words of 64 bits, at most 2**(most_bits - 6) of them.
     Beyond the bound more hashes pass than should; the exact test follows in a join.
     """
     n = hashes.count()
-    bits = min(most_bits, max(12, (16 * n + 1).bit_length()))
+    bits = min(most_bits, max(least_bits, (16 * n + 1).bit_length()))
     place = F.shiftrightunsigned(column, 64 - bits)
     word = F.shiftright(place, 6)
     one = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - bits}) & 63 AS int))")

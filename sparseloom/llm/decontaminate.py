@@ -22,8 +22,8 @@ from sparseloom.llm.words import WordHashes, gram_hashes
 SEED = 5
 #: Share of an item's words that must be covered.
 COVERAGE = 0.6
-#: The filter for seeds has at most 2**FILTER_BITS bits, however large the benchmark is.
-FILTER_BITS = 28
+#: The filter for seeds has 2**25 to 2**28 bits (4 to 32 MB), however large the benchmark is. Few false hits pay: each costs a row beyond the scan.
+LEAST_BITS, FILTER_BITS = 25, 28
 _EDGE = b".,;:!?\"'()[]{}<>*#&%$|-_"
 #: Base of the running hashes.
 _BASE = 1_000_003
@@ -191,7 +191,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     items = materialize(_items(benchmark, item_col, item_text_col), "items")
     seeds = materialize(_item_seeds(items, seed), "item-seeds")
     lengths = sorted(r["n"] for r in seeds.select(F.least(F.col("n_item"), F.lit(seed)).alias("n")).distinct().collect())  # seed values at most
-    sent = docs.sparkSession.sparkContext.broadcast(bit_filter(seeds, "seed", FILTER_BITS))
+    sent = docs.sparkSession.sparkContext.broadcast(bit_filter(seeds, "seed", FILTER_BITS, LEAST_BITS))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = sent.value
