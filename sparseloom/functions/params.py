@@ -38,6 +38,8 @@ class Params:
     factor_init: str = "parity"
     strict_loss: bool = False
     seed: int = 42
+    #: What becomes of lines that can't be read: FAILFAST, DROPMALFORMED or PERMISSIVE.
+    mode: str = "FAILFAST"
     train_data: str = ""
     eval_data: str = ""
     model_path: str = ""
@@ -48,6 +50,8 @@ class Params:
             raise ValueError(f"model_type is one of {', '.join(MODELS)}, not {self.model_type}")
         if self.factor_init not in ("parity", "warm"):
             raise ValueError("factor_init is 'parity' or 'warm'")
+        if self.mode not in ("FAILFAST", "DROPMALFORMED", "PERMISSIVE"):
+            raise ValueError("mode is FAILFAST, DROPMALFORMED or PERMISSIVE")
         for name in ("n_fields", "n_feats", "n_factors", "n_epochs"):
             if getattr(self, name) < 1:
                 raise ValueError(f"{name} is at least 1")

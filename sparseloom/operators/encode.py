@@ -7,46 +7,45 @@ from pyspark.sql import functions as F
 
 from sparseloom.functions.expressions import hash_uniform, number_text
 from sparseloom.functions.params import EncodeParams
-
-#: Sort keys of one bucket share all but these last characters (whole numbers), or these first ones (other values).
-_LAST, _FIRST = 4, 4
-
+from sparseloom.storage import materialize
 
 def label(p: EncodeParams, column: Column) -> Column:
     """1 above the threshold, else 0; with negative sampling every given row is a positive."""
     return F.lit(1) if p.neg_sampling else F.when(column > p.threshold, 1).otherwise(0)
 
 
-def _sort_key(df: DataFrame, column: str) -> tuple[Column, Column]:
-    """Text that sorts like the column's values, and its bucket."""
-    if df.schema[column].dataType.typeName() in ("byte", "short", "integer", "long"):
-        key = F.lpad((F.col(column).cast("decimal(20,0)") + F.lit("9223372036854775808").cast("decimal(20,0)")).cast("string"), 20, "0")
-        return key, F.substring(key, 1, 20 - _LAST)
-    key = F.col(column).cast("string")
-    return key, F.substring(key, 1, _FIRST)
+_WHOLE, _REAL = ("byte", "short", "integer", "long"), ("float", "double", "decimal")
+
+
+def _values(df: DataFrame, i: int, column: str) -> DataFrame:
+    """field, value (text), whole and real: what a column's values sort by, besides their text."""
+    kind, c = df.schema[column].dataType.typeName(), F.col(column)
+    none = lambda t: F.lit(None).cast(t)
+    whole = c.cast("long") if kind in _WHOLE else none("long")
+    real = c.cast("double") if kind in _REAL else none("double")
+    return df.filter(c.isNotNull()).select(F.lit(i).alias("field"), c.cast("string").alias("value"), whole.alias("whole"), real.alias("real")).distinct()
 
 
 def dictionaries(train: DataFrame, columns: list[str], first: int = 1) -> DataFrame:
     """field, value (text), feat: the sorted distinct values of each column, numbered on from the column before.
 
-    Nulls have no number. Values are ranked in buckets of sort keys, and buckets by their
-    sums, so no column's dictionary is sorted in one task.
+    Numbers sort as numbers, other values as text. Nulls have no number. Distinct values
+    are dealt out by ranges of field and value, ranked within their range, and ranges
+    are laid end to end by their sums, so no column is sorted in one task.
     """
-    parts = []
-    for i, c in enumerate(columns):
-        key, bucket = _sort_key(train, c)
-        parts.append(train.filter(F.col(c).isNotNull()).select(F.lit(i).alias("field"), F.col(c).cast("string").alias("value"), key.alias("key"), bucket.alias("bucket")).distinct())
-    if not parts:
-        return train.sparkSession.createDataFrame([], "field int, value string, feat int")
-    values = parts[0]
-    for part in parts[1:]:
-        values = values.unionByName(part)
-    sums = values.groupBy("field", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("field").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select("field", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    start = offsets(values.select("field", "value"), len(columns), first).select("field", "start")
-    ranked = values.withColumn("rank", F.row_number().over(Window.partitionBy("field", "bucket").orderBy("key")))
-    return ranked.join(base, ["field", "bucket"]).join(start, "field").select("field", "value", (F.col("start") + F.col("base") + F.col("rank") - 1).cast("int").alias("feat"))
+    spark = train.sparkSession
+    if not columns:
+        return spark.createDataFrame([], "field int, value string, feat int")
+    values = _values(train, 0, columns[0])
+    for i, c in enumerate(columns[1:], 1):
+        values = values.unionByName(_values(train, i, c))
+    order = ["field", "whole", "real", "value"]
+    dealt = materialize(values.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "values")
+    sums = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    base = sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    rank = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    return dealt.withColumn("rank", rank).join(base, "part").select("field", "value", (F.col("base") + F.col("rank") + (first - 1)).cast("int").alias("feat"))
 
 
 def offsets(values: DataFrame, n_fields: int, first: int = 1) -> DataFrame:

@@ -16,9 +16,14 @@ def valid(samples: DataFrame, p) -> DataFrame:
 
 
 def entries(samples: DataFrame) -> DataFrame:
-    """seq, y, field, feat, value: a row for each entry, and one for the bias, which has value 1. So every sample has a row, and sums by seq need no second look at the samples."""
-    bias = F.array(F.struct(F.lit(0).alias("field"), F.lit(BIAS).alias("feat"), F.lit(1.0).cast("float").alias("value")))
-    return samples.select("seq", "y", F.explode(F.concat(bias, "x")).alias("e")).select("seq", "y", "e.field", "e.feat", F.col("e.value").cast("double").alias("value"))
+    """seq, y, field, feat, value: a row for each entry, and one of nulls for a sample without entries, so sums by seq need no second look at the samples."""
+    return samples.select("seq", "y", F.explode_outer("x").alias("e")).select("seq", "y", "e.field", "e.feat", F.col("e.value").cast("double").alias("value"))
+
+
+def with_bias(sums: DataFrame, linear: DataFrame, weight: Column) -> DataFrame:
+    """sums (one row for each sample) with the bias, from the one row of linear that has it; 0 without one."""
+    bias = linear.filter(F.col("feat") == BIAS).agg(F.coalesce(F.max(weight), F.lit(0.0)).alias("bias"))
+    return sums.crossJoin(F.broadcast(bias))  # one row
 
 
 def pairs(samples: DataFrame) -> DataFrame:
@@ -29,9 +34,10 @@ def pairs(samples: DataFrame) -> DataFrame:
 
 
 def linear_sums(samples: DataFrame, model: Model) -> DataFrame:
-    """seq, y, linear: bias and weighted sum of the entries."""
+    """seq, y, linear: bias and weighted sum of the entries. A feature of most samples is a key that adaptive execution splits, as the sums go on by sample."""
     w = F.coalesce("w", initial_weight(model.params, F.col("feat")))
-    return entries(samples).join(model.linear.select("feat", "w"), "feat", "left").groupBy("seq").agg(F.max("y").alias("y"), F.sum(w * F.col("value")).alias("linear"))
+    sums = entries(samples).join(model.linear.select("feat", "w"), "feat", "left").groupBy("seq").agg(F.max("y").alias("y"), F.sum(w * F.col("value")).alias("s"))
+    return with_bias(sums, model.linear, F.col("w")).select("seq", "y", (F.col("bias") + F.coalesce("s", F.lit(0.0))).alias("linear"))
 
 
 def fm_logits(samples: DataFrame, model: Model) -> DataFrame:
@@ -39,10 +45,11 @@ def fm_logits(samples: DataFrame, model: Model) -> DataFrame:
     p, k = model.params, model.params.n_factors
     joined = entries(samples).join(model.linear.select("feat", "w"), "feat", "left").join(model.factors.select("feat", "v"), "feat", "left")
     w = F.coalesce("w", initial_weight(p, F.col("feat")))
-    v = F.when(F.col("feat") == BIAS, F.array(*[F.lit(0.0)] * k)).otherwise(F.coalesce("v", initial_factors(p, F.col("feat"))))
+    v = F.coalesce("v", initial_factors(p, F.col("feat")))
     joined = joined.select("seq", "y", (w * F.col("value")).alias("wx"), v.alias("v"), "value").withColumn("vx", F.transform("v", lambda e: e * F.col("value")))
     sums = joined.groupBy("seq").agg(F.max("y").alias("y"), F.sum("wx").alias("linear"), vector_sum(F.col("vx"), k).alias("s"), F.sum(dot(F.col("vx"), F.col("vx"))).alias("q"))
-    return sums.select("seq", "y", (F.col("linear") + 0.5 * (dot(F.col("s"), F.col("s")) - F.col("q"))).alias("logit"))
+    crossed = F.coalesce(F.col("linear") + 0.5 * (dot(F.col("s"), F.col("s")) - F.col("q")), F.lit(0.0))
+    return with_bias(sums, model.linear, F.col("w")).select("seq", "y", (F.col("bias") + crossed).alias("logit"))
 
 
 def ffm_pairs(samples: DataFrame, model: Model) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from sparseloom.functions.expressions import dot, ftrl_weight, ftrl_z, log_loss, sigmoid, vector_sum
 from sparseloom.functions.params import Params
 from sparseloom.operators.model import BIAS, Model, empty_model, initial_factors
-from sparseloom.operators.score import entries, pairs, valid
+from sparseloom.operators.score import entries, pairs, valid, with_bias
 from sparseloom.storage import materialize
 
 
@@ -44,7 +44,9 @@ def linear_gradients(samples: DataFrame, errors: DataFrame) -> DataFrame:
     Errors meet whole samples, before these are taken apart: one row for each is shuffled.
     """
     g = F.col("y") * F.col("value")  # entries pass on the error in the place of y
-    return entries(samples.select("seq", "x").join(errors.select("seq", F.col("e").alias("y")), "seq")).groupBy("feat").agg(F.sum(g).alias("g"), F.sum(g * g).alias("q"))
+    each = entries(samples.select("seq", "x").join(errors.select("seq", F.col("e").alias("y")), "seq")).filter(F.col("feat").isNotNull())
+    bias = errors.agg(F.sum("e").alias("g"), F.sum(F.col("e") * F.col("e")).alias("q")).filter(F.col("g").isNotNull())
+    return each.groupBy("feat").agg(F.sum(g).alias("g"), F.sum(g * g).alias("q")).unionByName(bias.withColumn("feat", F.lit(BIAS)))
 
 
 def fm_gradients(joined: DataFrame, sums: DataFrame, k: int) -> DataFrame:
@@ -89,10 +91,11 @@ def batch_step(samples: DataFrame, model: Model) -> tuple[Model, DataFrame]:
     p, k = model.params, model.params.n_factors
     inside = valid(samples, p)
     weight = F.coalesce(ftrl_weight(F.col("n"), F.col("z"), p), F.lit(0.0))
-    sums = entries(inside).join(model.linear.select("feat", "n", "z"), "feat", "left").groupBy("seq").agg(F.max("y").alias("y"), F.sum(weight * F.col("value")).alias("logit"))
+    sums = entries(inside).join(model.linear.select("feat", "n", "z"), "feat", "left").groupBy("seq").agg(F.max("y").alias("y"), F.sum(weight * F.col("value")).alias("s"))
+    sums = with_bias(sums, model.linear, weight).select("seq", "y", (F.col("bias") + F.coalesce("s", F.lit(0.0))).alias("logit"))
     joined = None
     if p.model_type == "FM":
-        own = entries(inside).filter(F.col("feat") != BIAS).join(model.factors.select("feat", "n", "z"), "feat", "left").withColumns(_factor_state(p, F.col("feat")))
+        own = entries(inside).filter(F.col("feat").isNotNull()).join(model.factors.select("feat", "n", "z"), "feat", "left").withColumns(_factor_state(p, F.col("feat")))
         joined = own.select("seq", "feat", "value", _vector_weight(p, "n", "z").alias("v"))
         vx = joined.withColumn("vx", F.transform("v", lambda v: v * F.col("value")))
         crossed = vx.groupBy("seq").agg(vector_sum(F.col("vx"), k).alias("s"), F.sum(dot(F.col("vx"), F.col("vx"))).alias("sq"))

@@ -1,7 +1,6 @@
 """Sequential FTRL within shards, parameters averaged over shards.
 
-A shard's samples are taken one after another, in the order of seq, in single
-precision; each sees what the one before left. With one shard this is the plain
+A shard's samples are taken one after another, in single precision; each sees what the one before left. With one shard this is the plain
 sequential algorithm. With more, every round starts all shards from the average of
 the round before. A shard is one task, so its number of samples is bounded by the
 number of shards.
@@ -9,8 +8,6 @@ number of shards.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,87 +24,125 @@ _OUT = "feat int, field int, w float, n float, z float, v array<float>, vn array
 
 
 class Fold:
-    """The state of one shard: coordinate -> [w, n, z], single numbers for linear weights, arrays for factors."""
+    """The state of one shard: rows of w, n and z for the coordinates it has met. A sample gathers its rows, and puts them back."""
 
     def __init__(self, p: Params):
-        self.p, self.linear, self.factors = p, {}, {}
-
-    def weight(self, n, z):
-        p = self.p
-        w = -(z - np.where(z > 0, 1, -1) * p.w_l1) / (p.w_l2 + (p.w_beta + np.sqrt(n)) / p.w_alpha)
-        return np.where(np.abs(z) <= p.w_l1, 0, w).astype(np.float32)
-
-    def linear_state(self, feat: int) -> np.ndarray:
-        s = self.linear.get(feat)
-        if s is None:
-            s = self.linear[feat] = np.zeros(3, np.float32)
-        s[0] = self.weight(s[1], s[2])
-        return s
-
-    def factor_state(self, key: tuple[int, ...]) -> np.ndarray:
-        s = self.factors.get(key)
-        if s is None:
-            s = self.factors[key] = np.zeros((3, self.p.n_factors), np.float32)
-            if self.p.factor_init == "warm":
-                w = np.random.default_rng([self.p.seed, *(k + 1 for k in key)]).normal(self.p.init_mean, self.p.init_stddev, self.p.n_factors)
-                s[2] = -w * (self.p.w_l2 + self.p.w_beta / self.p.w_alpha) - np.sign(w) * self.p.w_l1
-        s[0] = self.weight(s[1], s[2])
-        return s
-
-    def move(self, s: np.ndarray, g) -> None:
-        """s changes in place by gradient g; its weight stays what this sample used."""
-        s[2] += g - (np.sqrt(s[1] + g * g) - np.sqrt(s[1])) / np.float32(self.p.w_alpha) * s[0]
-        s[1] += g * g
-
-    def learn(self, y: int, x: list[tuple[int, int, float]]) -> float:
-        """One sample; its loss before the step."""
+        self.p, k = p, p.n_factors
+        self.feats: dict[int, int] = {BIAS: 0}
+        self.keys: dict[tuple[int, ...], int] = {}
+        self.lin, self.fac = np.zeros((3, 64), np.float32), np.zeros((3, 64, k), np.float32)
+        self.alpha, self.l1, self.l2, self.beta = (np.float32(x) for x in (p.w_alpha, p.w_l1, p.w_l2, p.w_beta))
+
+    @property
+    def linear(self) -> dict[int, np.ndarray]:
+        """feat -> w, n, z"""
+        return {f: self.lin[:, i] for f, i in self.feats.items()}
+
+    @property
+    def factors(self) -> dict[tuple[int, ...], np.ndarray]:
+        """feat[, field] -> arrays of w, n, z"""
+        return {key: self.fac[:, i] for key, i in self.keys.items()}
+
+    def row(self, feat: int, state: tuple[float, float, float] | None = None) -> int:
+        i = self.feats.setdefault(feat, len(self.feats))
+        if i >= self.lin.shape[1]:
+            self.lin = np.concatenate([self.lin, np.zeros_like(self.lin)], 1)
+        if state:
+            self.lin[:, i] = state
+        return i
+
+    def factor_row(self, key: tuple[int, ...], state: list | None = None) -> int:
+        i = self.keys.get(key)
+        if i is None:
+            p = self.p
+            i = self.keys[key] = len(self.keys)
+            if i >= self.fac.shape[1]:
+                self.fac = np.concatenate([self.fac, np.zeros_like(self.fac)], 1)
+            if state is None and p.factor_init == "warm":
+                w = np.random.default_rng([p.seed, *(k + 1 for k in key)]).normal(p.init_mean, p.init_stddev, p.n_factors)
+                self.fac[2, i] = -w * (p.w_l2 + p.w_beta / p.w_alpha) - np.sign(w) * p.w_l1
+        if state is not None:
+            self.fac[:, i] = state
+        return i
+
+    def prepare(self, x: list[tuple[int, int, float]]) -> tuple[np.ndarray, ...]:
+        """Rows and values of a sample (the bias first), rows of its factors, and the products of pairs."""
         kind = self.p.model_type
-        x = [(field, feat, np.float32(value)) for field, feat, value in x]
-        bias = self.linear_state(BIAS)
-        weights = [self.linear_state(feat) for _, feat, _ in x]
-        logit = bias[0] + sum((s[0] * v for s, (_, _, v) in zip(weights, x)), np.float32(0))
-        crossed = []
+        rows = np.array([0, *(self.row(feat) for _, feat, _ in x)])
+        values = np.array([1, *(v for _, _, v in x)], np.float32)
+        own, product = np.zeros(0, np.int64), values[1:]
         if kind == "FM":
-            own = [self.factor_state((feat,)) for _, feat, _ in x]
-            total = sum((s[0] * v for s, (_, _, v) in zip(own, x)), np.zeros(self.p.n_factors, np.float32))
-            logit += np.float32(0.5) * (total * total - sum((s[0] * s[0] * v * v for s, (_, _, v) in zip(own, x)), np.zeros(self.p.n_factors, np.float32))).sum()
+            own = np.array([self.factor_row((feat,)) for _, feat, _ in x], np.int64)
         elif kind == "FFM":
-            for a in range(len(x)):
-                for b in range(a + 1, len(x)):
-                    (fa, i, va), (fb, j, vb) = x[a], x[b]
-                    crossed.append((self.factor_state((i, fb)), self.factor_state((j, fa)), va * vb))
-            logit += sum((s[0] @ t[0] * v for s, t, v in crossed), np.float32(0))
-        e = np.float32(1 / (1 + np.exp(-np.float64(logit)))) - np.float32(y)
-        for s, (_, _, v) in zip(weights, x):
-            self.move(s, e * v)
-        if kind == "FM":
-            for s, (_, _, v) in zip(own, x):
-                self.move(s, e * (v * total - s[0] * v * v))
-        for s, t, v in crossed:
-            gs, gt = e * t[0] * v, e * s[0] * v
-            self.move(s, gs)
-            self.move(t, gt)
-        self.move(bias, e)
+            both = [(x[a], x[b]) for a in range(len(x)) for b in range(a + 1, len(x))]
+            own = np.array([self.factor_row((i, g)) for (_, i, _), (g, _, _) in both] + [self.factor_row((j, f)) for (f, _, _), (_, j, _) in both], np.int64)
+            product = np.array([np.float32(v) * np.float32(u) for (_, _, v), (_, _, u) in both], np.float32)
+        return rows, values, own, product
+
+    def weight(self, n: np.ndarray, z: np.ndarray) -> np.ndarray:
+        w = (np.where(z > 0, self.l1, -self.l1) - z) / (self.l2 + (self.beta + np.sqrt(n)) / self.alpha)
+        w[np.abs(z) <= self.l1] = 0
+        return w
+
+    def move(self, state: np.ndarray, rows: np.ndarray, w: np.ndarray, g: np.ndarray) -> None:
+        """Rows change by their gradients; weights stay what this sample used. Steps of one row add up: their roots cancel."""
+        q = g * g
+        if len(set(rows.tolist())) < len(rows):
+            rows, first, back = np.unique(rows, return_index=True, return_inverse=True)
+            sums = np.zeros((2, *w[first].shape), np.float32)
+            np.add.at(sums[0], back, g)
+            np.add.at(sums[1], back, q)
+            w, g, q = w[first], sums[0], sums[1]
+        n = state[1, rows]
+        new = n + q
+        state[2, rows] += g - (np.sqrt(new) - np.sqrt(n)) / self.alpha * w
+        state[1, rows] = new
+
+    def step(self, y: int, sample: tuple[np.ndarray, ...]) -> float:
+        """One sample; its loss before the step."""
+        rows, values, own, product = sample
+        w = self.lin[0, rows] = self.weight(self.lin[1, rows], self.lin[2, rows])
+        logit = (w * values).sum()
+        if len(own):
+            v = self.fac[0, own] = self.weight(self.fac[1, own], self.fac[2, own])
+            if self.p.model_type == "FM":
+                vx = v * product[:, None]
+                total = vx.sum(0)
+                logit += np.float32(0.5) * (total * total - (vx * vx).sum(0)).sum()
+            else:
+                half = len(product)
+                logit += ((v[:half] * v[half:]).sum(1) * product).sum()
         t = float(logit)
+        e = np.float32(1 / (1 + np.exp(-np.float64(logit)))) - np.float32(y)
+        self.move(self.lin, rows, w, e * values)
+        if len(own):
+            if self.p.model_type == "FM":
+                g = e * (product[:, None] * total - v * (product * product)[:, None])
+            else:
+                g = e * np.concatenate([v[half:], v[:half]]) * np.concatenate([product, product])[:, None]
+            self.move(self.fac, own, v, g)
         return float(np.log1p(np.exp(-abs(t))) + max(t, 0.0) - y * t)
 
+    def learn(self, y: int, x: list[tuple[int, int, float]]) -> float:
+        return self.step(y, self.prepare(x))
 
-def _fold(p: Params, epochs: int, rows: pd.DataFrame, state: pd.DataFrame) -> Iterator[tuple]:
+
+def _fold(p: Params, epochs: int, shuffle: int | None, rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
     fold = Fold(p)
     for r in state.itertuples(index=False):
         if r.w is not None and not np.isnan(r.w):
-            fold.linear[r.feat] = np.array([r.w, r.n, r.z], np.float32)
+            fold.row(r.feat, (r.w, r.n, r.z))
         if r.v is not None:
-            fold.factors[(r.feat, r.field) if p.model_type == "FFM" else (r.feat,)] = np.array([list(r.v), list(r.vn), list(r.vz)], np.float32)
+            fold.factor_row((r.feat, r.field) if p.model_type == "FFM" else (r.feat,), [list(r.v), list(r.vn), list(r.vz)])
     rows = rows.sort_values("seq", kind="stable")
-    samples = [(int(y), [(e["field"], e["feat"], e["value"]) for e in x]) for y, x in zip(rows["y"], rows["x"])]
+    samples = [(int(y), fold.prepare([(e["field"], e["feat"], e["value"]) for e in x])) for y, x in zip(rows["y"], rows["x"])]
     loss = 0.0
-    for _ in range(epochs):
-        loss = sum(fold.learn(y, x) for y, x in samples)
-    for feat, s in fold.linear.items():
-        yield feat, -1, float(s[0]), float(s[1]), float(s[2]), None, None, None, loss if feat == BIAS else 0.0, len(samples) if feat == BIAS else 0
-    for key, s in fold.factors.items():
-        yield key[0], key[1] if len(key) > 1 else -1, None, None, None, *(a.tolist() for a in s), 0.0, 0
+    for epoch in range(epochs):
+        order = range(len(samples)) if shuffle is None else np.random.default_rng([p.seed, shuffle + epoch]).permutation(len(samples))
+        loss = sum(fold.step(*samples[i]) for i in order)
+    linear = [(feat, -1, *map(float, s), None, None, None, loss if feat == BIAS else 0.0, len(samples) if feat == BIAS else 0) for feat, s in fold.linear.items()]
+    factors = [(key[0], key[1] if len(key) > 1 else -1, None, None, None, *(a.tolist() for a in s), 0.0, 0) for key, s in fold.factors.items()]
+    return pd.DataFrame(linear + factors, columns=[c.split()[0] for c in _OUT.split(", ")])
 
 
 def _state(model: Model, wanted: DataFrame) -> DataFrame:
@@ -120,17 +155,16 @@ def _state(model: Model, wanted: DataFrame) -> DataFrame:
     return wanted.join(state, "feat")
 
 
-def mixing_round(samples: DataFrame, model: Model, shards: int, epochs: int = 1) -> tuple[Model, DataFrame]:
-    """The average of the shards' models, a coordinate over the shards that touched it; and one row: loss (mean over the samples, in the last epoch) and n."""
+def mixing_round(samples: DataFrame, model: Model, shards: int, epochs: int = 1, shuffle: int | None = None) -> tuple[Model, DataFrame]:
+    """Samples are taken in the order of seq, or, given the number of an epoch, in an order that it and the seed fix.
+
+    Returns the average of the shards' models, a coordinate over the shards that touched it; and one row: loss (mean over the samples, in the last epoch) and n."""
     p, k = model.params, model.params.n_factors
     dealt = valid(samples, p).select(F.pmod(F.xxhash64("seq"), F.lit(shards)).cast("int").alias("shard"), "seq", "y", "x")
     wanted = dealt.select(F.col("shard").alias("for_shard"), F.explode(F.concat(F.transform("x", lambda e: e.feat), F.array(F.lit(BIAS)))).alias("feat")).distinct()
-    columns = [c.split()[0] for c in _OUT.split(", ")]
 
     def run(rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty:
-            return pd.DataFrame(columns=columns)
-        return pd.DataFrame(list(_fold(p, epochs, rows, state)), columns=columns)
+        return _fold(p, epochs, shuffle, rows, state)
 
     folded = dealt.groupBy("shard").cogroup(_state(model, wanted).groupBy("for_shard")).applyInPandas(run, _OUT)
     folded = materialize(folded, "folded")  # linear weights and factors come from one run of the shards
@@ -146,7 +180,8 @@ def mixing_round(samples: DataFrame, model: Model, shards: int, epochs: int = 1)
 
 
 def train_mixing(samples: DataFrame, p: Params, shards: int, start: Model | None = None) -> Model:
+    """n_epochs rounds; every epoch takes the samples in another order."""
     model = start or empty_model(samples.sparkSession, p)
-    for _ in range(p.n_epochs):
-        model = kept(mixing_round(samples, model, shards)[0])
+    for epoch in range(p.n_epochs):
+        model = kept(mixing_round(samples, model, shards, shuffle=epoch)[0])
     return model

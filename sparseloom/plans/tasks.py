@@ -6,6 +6,7 @@ import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparseloom.functions.metrics import mean_loss
 from sparseloom.functions.params import Params
@@ -13,8 +14,8 @@ from sparseloom.operators.model import Model, empty_model, save_model
 from sparseloom.operators.score import logits
 from sparseloom.plans.batch import batch_step, kept
 from sparseloom.sources.sparse_text import detect_format, read_samples
-from sparseloom.storage import materialize
-from sparseloom.streaming.online import train_online
+from sparseloom.storage import materialize, shared_path
+from sparseloom.streaming.online import evaluate_stream, mean_of, stream_lines, train_online
 
 
 @dataclass
@@ -28,19 +29,30 @@ def evaluate(samples: DataFrame, model: Model) -> float:
     return mean_loss(logits(samples, model), model.params.strict_loss).first()["loss"]
 
 
-def run(spark: SparkSession, p: Params, mode: str = "FAILFAST") -> tuple[Model, list[Epoch]]:
-    """Read, train and evaluate after each epoch, and save the model if a path is given. Losses of training are those before the step."""
+def evaluate_files(spark: SparkSession, p: Params, file_type: str, model: Model, mode: str) -> float:
+    """Mean loss over the files of eval_data, read as a stream."""
+    return mean_of(evaluate_stream(stream_lines(spark, p.eval_data), model, file_type, shared_path(spark, "offsets"), shared_path(spark, "evaluated"), mode))
+
+
+def run(spark: SparkSession, p: Params, mode: str | None = None) -> tuple[Model, list[Epoch]]:
+    """Read, train and evaluate after each epoch, and save the model if a path is given. Losses of training are those before the step.
+
+    Online, data are folders of text files that are read as streams. mode says what
+    becomes of lines that can't be read; in both tolerant modes these train nothing.
+    """
+    mode = mode or p.mode
     file_type = detect_format(spark, p.train_data)
     p.check_format(file_type)
-    held = materialize(read_samples(spark, p.eval_data, file_type, mode), "eval") if p.eval_data else None
+    model, epochs = empty_model(spark, p), []
+    began = time.perf_counter()
     if p.online:
-        began = time.perf_counter()
-        model, means = train_online(spark, p.train_data, p, file_type)
-        epochs = [Epoch(m, None, (time.perf_counter() - began) / len(means)) for m in means]
-        if held is not None:
-            epochs[-1].eval_loss = evaluate(held, model)
+        for model, loss in train_online(spark, p.train_data, p, file_type, mode=mode):
+            held = evaluate_files(spark, p, file_type, model, mode) if p.eval_data else None
+            epochs.append(Epoch(loss, held, time.perf_counter() - began))
+            began = time.perf_counter()
     else:
-        samples, model, epochs = materialize(read_samples(spark, p.train_data, file_type, mode), "train"), empty_model(spark, p), []
+        readable = lambda path: materialize(read_samples(spark, path, file_type, mode).filter(F.col("y").isNotNull()), "samples")
+        samples, held = readable(p.train_data), readable(p.eval_data) if p.eval_data else None
         for _ in range(p.n_epochs):
             began = time.perf_counter()
             new, losses = batch_step(samples, model)

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparseloom.functions.expressions import ftrl_weight, log_loss, sgn, sigmoid
+from sparseloom.functions.expressions import ftrl_weight, ftrl_z, log_loss, number_text, sgn, sigmoid
 from sparseloom.functions.metrics import mean_loss
 from sparseloom.functions.params import EncodeParams, Params
 from sparseloom.operators import encode as enc
 from sparseloom.operators.filters import has_zero, in_range, nonzero, row_partitions
-from sparseloom.operators.model import Model, empty_model, load_model, save_model, zero_weights
+from sparseloom.operators.model import Model, empty_model, export_text, import_text, initial_factors, initial_weight, load_model, save_model, zero_weights
 from sparseloom.operators.score import entries, ffm_pairs, logits, predict
 from sparseloom.plans.batch import batch_step, ffm_gradients, fm_gradients, train_batch
 from sparseloom.plans.mixing import mixing_round
-from sparseloom.sources.sparse_text import line_formats, parse_samples, with_chunks
-from sparseloom.sources.tabular import split
+from sparseloom.plans.tasks import run as run_task
+from sparseloom.sources.sparse_text import line_formats, parse_by_pattern, parse_garbage_as_zero, parse_samples, read_lines, with_chunks, write_lines
+from sparseloom.sources.tabular import read_train_eval, split
 from sparseloom.storage import materialize, shared_path
 from sparseloom.streaming.online import latest_model, stream_lines, train_stream
 
@@ -136,11 +137,11 @@ WITH r AS (SELECT p_partkey, p_name, p_brand FROM part WHERE p_partkey % 10 < 8)
 n AS (SELECT p_name AS v, row_number() OVER (ORDER BY p_name) AS f FROM (SELECT DISTINCT p_name FROM r)),
 b AS (SELECT p_brand AS v, (SELECT count(*) FROM n) + row_number() OVER (ORDER BY p_brand) AS f FROM (SELECT DISTINCT p_brand FROM r))
 SELECT p_partkey AS seq, coalesce(n.f, 0)::INTEGER AS name_feat, coalesce(b.f, 0)::INTEGER AS brand_feat
-FROM part LEFT JOIN n ON p_name = n.v LEFT JOIN b ON p_brand = b.v WHERE p_partkey % 10 >= 8""")
+FROM part LEFT JOIN n ON p_name = n.v LEFT JOIN b ON p_brand = b.v""")
 def categorical_encode_oov(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
     words = enc.dictionaries(part.filter("p_partkey % 10 < 8"), ["p_name", "p_brand"])
-    x = enc.encode(part.filter("p_partkey % 10 >= 8"), words, 0, ["p_name", "p_brand"], [], F.lit(1), "p_partkey")
+    x = enc.encode(part, words, 0, ["p_name", "p_brand"], [], F.lit(1), "p_partkey")
     return x.select("seq", F.col("x")[0].feat.alias("name_feat"), F.col("x")[1].feat.alias("brand_feat"))
 
 
@@ -311,24 +312,37 @@ def _rounded(model: DataFrame) -> DataFrame:
     return model.select("feat", F.round("w", 8).alias("w"), F.round("n", 6).alias("n"), F.round("z", 6).alias("z"))
 
 
-def _epochs_sql(epochs: int) -> str:
-    """Steps of all samples, unrolled: e holds entries with the bias, s0, s1 and so on the sums n and z after each step."""
-    w = "(CASE WHEN abs(coalesce(s.z, 0)) <= 0.1 THEN 0 ELSE -(s.z - (CASE WHEN s.z > 0 THEN 1 ELSE -1 END) * 0.1) / (5 + (1 + sqrt(s.n)) / 0.05) END)"
-    sql = f"""WITH {D},
-e AS (SELECT event_id, y, -1 AS f, 1.0::DOUBLE AS x FROM d UNION ALL SELECT event_id, y, a, 1 FROM d UNION ALL SELECT event_id, y, b, 1 FROM d UNION ALL SELECT event_id, y, c, x FROM d WHERE TRUE),
+def _steps_head(x: str = "x") -> str:
+    """e holds entries with the bias, s0 the weights at the start."""
+    return f"""WITH {D},
+e AS (SELECT event_id, y, -1 AS f, 1.0::DOUBLE AS x FROM d UNION ALL SELECT event_id, y, a, 1 FROM d UNION ALL SELECT event_id, y, b, 1 FROM d UNION ALL SELECT event_id, y, c, {x} FROM d),
 s0 AS (SELECT DISTINCT f, 0.0::DOUBLE AS n, 0.0::DOUBLE AS z, 0.0::DOUBLE AS w FROM e)"""
-    for i in range(epochs):
-        sql += f""",
-r{i} AS (SELECT event_id, 1 / (1 + exp(-sum(s.w * x))) - any_value(y) AS err FROM e JOIN s{i} s USING (f) GROUP BY event_id),
+
+
+def _logit_sql(name: str, state: str, where: str) -> str:
+    return f""",
+{name} AS (SELECT event_id, any_value(y) AS y, sum(w * x) AS logit, 1 / (1 + exp(-sum(w * x))) - any_value(y) AS err FROM e JOIN {state} USING (f) WHERE {where} GROUP BY event_id)"""
+
+
+def _step_sql(i: int, where: str = "TRUE") -> str:
+    """Step i over the samples of a condition: r<i> has logits before it, s<i + 1> sums and weights after it."""
+    return _logit_sql(f"r{i}", f"s{i}", where) + f""",
 g{i} AS (SELECT f, sum(err * x) AS g, sum(err * x * err * x) AS q FROM e JOIN r{i} USING (event_id) GROUP BY f),
-h{i} AS (SELECT f, n + q AS n, z + g - (sqrt(n + q) - sqrt(n)) / 0.05 * w AS z FROM s{i} JOIN g{i} USING (f)),
-s{i + 1} AS (SELECT f, n, z, {w} AS w FROM h{i} s)"""
-    return sql + f" SELECT f::INTEGER AS feat, round(w, 8) AS w, round(n, 6) AS n, round(z, 6) AS z FROM s{epochs}"
+h{i} AS (SELECT f, n + coalesce(q, 0) AS n, z + coalesce(g, 0) - (sqrt(n + coalesce(q, 0)) - sqrt(n)) / 0.05 * w AS z FROM s{i} LEFT JOIN g{i} USING (f)),
+s{i + 1} AS (SELECT f, n, z, (CASE WHEN abs(z) <= 0.1 THEN 0 ELSE -(z - (CASE WHEN z > 0 THEN 1 ELSE -1 END) * 0.1) / (5 + (1 + sqrt(n)) / 0.05) END) AS w FROM h{i})"""
+
+
+def _epochs_steps_sql(epochs: int, x: str = "x") -> str:
+    return _steps_head(x) + "".join(_step_sql(i) for i in range(epochs))
+
+
+def _epochs_sql(epochs: int) -> str:
+    return _epochs_steps_sql(epochs) + f" SELECT f::INTEGER AS feat, round(w, 8) AS w, round(n, 6) AS n, round(z, 6) AS z FROM s{epochs}"
 
 
 @query(_epochs_sql(1))
 def ftrl_batch_step_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(train_batch(samples(spark, sf_dir), params("LR")).linear)
+    return _rounded(train_batch(materialize(samples(spark, sf_dir), "samples"), params("LR")).linear)
 
 
 @query(_epochs_sql(3))
@@ -378,20 +392,110 @@ def ffm_batch_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vectors(ffm_gradients(ffm_pairs(s, model), errors, K), "feat", "field")
 
 
-@query()
+def formula_start(spark: SparkSession, kind: str, n_feats: int, **more) -> Model:
+    """A model to train on from: factors that a rule gives instead of hashes, sums that stand for them, no linear weights yet."""
+    p = params(kind, factor_init="warm", **more)
+    given = formula_model(spark, kind, n_feats)
+    return Model(p, given.linear.limit(0), given.factors.withColumn("z", F.transform("v", lambda v: ftrl_z(v, p))))
+
+
+_PROX = "(CASE WHEN abs({z}) <= 0.1 THEN 0 ELSE -({z} - (CASE WHEN {z} > 0 THEN 1 ELSE -1 END) * 0.1) / (5 + (1 + sqrt({n})) / 0.05) END)"
+
+
+def _factor_steps_sql(kind: str, epochs: int) -> str:
+    """Steps of an FM or FFM over all samples, unrolled: s0, s1 and so on for linear weights, v0, v1 and so on for factors, o0, o1 and so on for logits before the step."""
+    ffm = kind == "FFM"
+    start = " UNION ALL ".join(
+        f"SELECT f, {g} AS g, {k} AS k, {_vf('f', g, k) if ffm else _v('f', k)} AS v FROM every" for g in (range(3) if ffm else (0,)) for k in range(K)
+    )
+    pairs = "SELECT event_id, a AS i, 0 AS fi, b AS j, 1 AS fj, 1.0::DOUBLE AS xx FROM d UNION ALL SELECT event_id, a, 0, c, 2, x FROM d UNION ALL SELECT event_id, b, 1, c, 2, x FROM d"
+    sql = f"""WITH {D},
+every AS (SELECT unnest(range(0, (SELECT c + 1 FROM m))) AS f),
+e AS (SELECT event_id, a AS f, 1.0::DOUBLE AS x FROM d UNION ALL SELECT event_id, b, 1 FROM d UNION ALL SELECT event_id, c, x FROM d),
+l AS (SELECT * FROM e UNION ALL SELECT event_id, -1, 1 FROM d),
+p AS ({pairs}),
+s0 AS (SELECT DISTINCT f, 0.0::DOUBLE AS n, 0.0::DOUBLE AS z, 0.0::DOUBLE AS w FROM l),
+v0 AS (SELECT f, g, k, 0.0::DOUBLE AS n, -v * 25.0 - sign(v) * 0.1 AS z, v FROM ({start}))"""
+    for i in range(epochs):
+        if ffm:
+            sql += f""",
+j{i} AS (SELECT p.*, vi.k, vi.v AS vi, vj.v AS vj FROM p JOIN v{i} vi ON vi.f = i AND vi.g = fj JOIN v{i} vj ON vj.f = j AND vj.g = fi AND vj.k = vi.k),
+c{i} AS (SELECT event_id, sum(vi * vj * xx) AS crossed FROM j{i} GROUP BY event_id),"""
+        else:
+            sql += f""",
+j{i} AS (SELECT event_id, k, sum(v * x) AS t, sum(v * x * v * x) AS q FROM e JOIN v{i} USING (f) GROUP BY event_id, k),
+c{i} AS (SELECT event_id, 0.5 * sum(t * t - q) AS crossed FROM j{i} GROUP BY event_id),"""
+        sql += f"""
+b{i} AS (SELECT event_id, sum(w * x) AS linear FROM l JOIN s{i} USING (f) GROUP BY event_id),
+o{i} AS (SELECT event_id, y, linear + crossed AS logit, 1 / (1 + exp(-(linear + crossed))) - y AS err FROM d JOIN b{i} USING (event_id) JOIN c{i} USING (event_id)),
+g{i} AS (SELECT f, sum(err * x) AS g, sum(err * x * err * x) AS q FROM l JOIN o{i} USING (event_id) GROUP BY f),
+h{i} AS (SELECT f, n + q AS n, z + g - (sqrt(n + q) - sqrt(n)) / 0.05 * w AS z FROM s{i} JOIN g{i} USING (f)),
+s{i + 1} AS (SELECT f, n, z, {_PROX.format(z="z", n="n")} AS w FROM h{i}),"""
+        if ffm:
+            each = f"SELECT i AS f, fj AS g, k, err * vj * xx AS d FROM j{i} JOIN o{i} USING (event_id) UNION ALL SELECT j, fi, k, err * vi * xx FROM j{i} JOIN o{i} USING (event_id)"
+        else:
+            each = f"SELECT f, 0 AS g, k, err * (x * t - v * x * x) AS d FROM e JOIN v{i} USING (f) JOIN j{i} USING (event_id, k) JOIN o{i} USING (event_id)"
+        sql += f"""
+u{i} AS (SELECT f, g, k, sum(d) AS d, sum(d * d) AS q FROM ({each}) GROUP BY f, g, k),
+w{i} AS (SELECT f, g, k, n + coalesce(q, 0) AS n, z + coalesce(d, 0) - (sqrt(n + coalesce(q, 0)) - sqrt(n)) / 0.05 * v AS z FROM v{i} LEFT JOIN u{i} USING (f, g, k)),
+v{i + 1} AS (SELECT f, g, k, n, z, {_PROX.format(z="z", n="n")} AS v FROM w{i})"""
+    return sql
+
+
+def _factor_rows(model: Model) -> DataFrame:
+    long = model.factors.select(*model.factor_key, F.posexplode(F.arrays_zip("v", "n", "z")).alias("k", "s"))
+    return long.select(*model.factor_key, "k", F.round("s.v", 7).alias("v"), F.round("s.n", 6).alias("n"), F.round("s.z", 6).alias("z"))
+
+
+_FACTOR_ROWS = "k::INTEGER AS k, round(v, 7) AS v, round(n, 6) AS n, round(z, 6) AS z FROM v{n}"
+
+
+def trained_factors(spark: SparkSession, sf_dir: str, kind: str, epochs: int = 2) -> tuple[DataFrame, Model]:
+    s, n = numbered_samples(spark, sf_dir)
+    s = materialize(s, "samples")
+    start = formula_start(spark, kind, n, n_epochs=epochs)
+    return s, train_batch(s, start.params, start)
+
+
+@query(_factor_steps_sql("FM", 2) + " SELECT f::INTEGER AS feat, " + _FACTOR_ROWS.format(n=2))
 def ftrl_batch_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return train_batch(materialize(samples(spark, sf_dir), "samples"), params("FM", n_epochs=2, factor_init="warm")).factors
+    return _factor_rows(trained_factors(spark, sf_dir, "FM")[1])
 
 
-@query()
+@query(_factor_steps_sql("FFM", 2) + " SELECT f::INTEGER AS feat, g::INTEGER AS field, " + _FACTOR_ROWS.format(n=2))
 def ftrl_batch_ffm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return train_batch(materialize(samples(spark, sf_dir), "samples"), params("FFM", n_epochs=2, factor_init="warm")).factors
+    return _factor_rows(trained_factors(spark, sf_dir, "FFM")[1])
+
+
+@query(_factor_steps_sql("FM", 2) + " SELECT f::INTEGER AS feat, round(w, 8) AS w, round(n, 6) AS n, round(z, 6) AS z FROM s2")
+def ftrl_batch_fm_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(trained_factors(spark, sf_dir, "FM")[1].linear)
+
+
+@query(_factor_steps_sql("FFM", 1) + " SELECT f::INTEGER AS feat, g::INTEGER AS field, " + _FACTOR_ROWS.format(n=1))
+def ffm_model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A trained FFM, saved and loaded."""
+    path = shared_path(spark, "saved")
+    save_model(trained_factors(spark, sf_dir, "FFM", 1)[1], path)
+    return _factor_rows(load_model(spark, path))
+
+
+@query(_factor_steps_sql("FM", 1) + " SELECT f::INTEGER AS feat, k::INTEGER AS k, round(v, 7) AS v FROM v1")
+def fm_text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A trained FM as text, and read again."""
+    model, path = trained_factors(spark, sf_dir, "FM", 1)[1], shared_path(spark, "text")
+    export_text(model, path)
+    return _factor_rows(import_text(spark, path, model.params)).select("feat", "k", "v")
+
+
+#: Shards of the mixing queries: part of what they compute, so the same for every table. More data ask for more.
+SHARDS = 16
 
 
 def _mixing(spark: SparkSession, sf_dir: str, kind: str, init: str = "warm") -> DataFrame:
-    """Shards of about 2,000 samples each, whatever the number of samples. A row for each linear weight and, with v, vn and vz, for each factor."""
+    """A row for each linear weight and, with v, vn and vz, for each factor."""
     s = materialize(samples(spark, sf_dir), "samples")
-    model, losses = mixing_round(s, empty_model(spark, params(kind, factor_init=init)), shards=max(2, s.count() // 2000))
+    model, losses = mixing_round(s, empty_model(spark, params(kind, factor_init=init)), SHARDS)
     rows = model.linear
     if model.factors is not None:
         rows = rows.unionByName(model.factors.select(*model.factor_key, "v", F.col("n").alias("vn"), F.col("z").alias("vz")), allowMissingColumns=True)
@@ -413,14 +517,72 @@ def ftrl_mixing_ffm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixing(spark, sf_dir, "FFM")
 
 
-@query()
+ARRIVALS = 3
+#: The number as it comes back from text of four decimals.
+_WRITTEN = "round_even(x, 4)::FLOAT::DOUBLE"
+
+
+def _arrivals(spark: SparkSession, sf_dir: str) -> str:
+    """Events as text files that arrive one after another: a folder, each file written after the one before."""
+    path = shared_path(spark, "lines")
+    text = materialize(enc.lines(samples(spark, sf_dir), "libffm"), "text")
+    for i in range(ARRIVALS):
+        text.filter(F.col("seq") % ARRIVALS == i).select("value").coalesce(1).write.mode("append").text(path)
+    return path
+
+
+def _stream_sql(passes: int) -> str:
+    """LR steps over arrivals, unrolled."""
+    sql = _steps_head(_WRITTEN)
+    for i in range(passes * ARRIVALS):
+        sql += _step_sql(i, f"event_id % {ARRIVALS} = {i % ARRIVALS}")
+    return sql
+
+
+@query(_stream_sql(1) + f" SELECT f::INTEGER AS feat, round(w, 6) AS w, round(n, 5) AS n, round(z, 5) AS z FROM s{ARRIVALS}")
 def stream_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as text files, trained on as a stream, two files to a micro-batch."""
-    text, models = shared_path(spark, "lines"), shared_path(spark, "online")
-    enc.lines(samples(spark, sf_dir), "libffm").repartition(4, "seq").select("value").write.text(text)
-    p = params("LR")
-    losses = train_stream(stream_lines(spark, text, 2), p, "libffm", shared_path(spark, "offsets"), models)
-    return latest_model(spark, models, losses, p).linear
+    """Events as text files, trained on as a stream, a file to a micro-batch."""
+    models, p = shared_path(spark, "online"), params("LR")
+    losses = train_stream(stream_lines(spark, _arrivals(spark, sf_dir), 1), p, "libffm", shared_path(spark, "offsets"), models)
+    model = latest_model(spark, models, losses, p).linear
+    return model.select("feat", F.round("w", 6).alias("w"), F.round("n", 5).alias("n"), F.round("z", 5).alias("z"))
+
+
+_EPOCH_LOSS = "SELECT {e} AS epoch, round((SELECT avg(" + LOSS + ") FROM ({train})), 6) AS train_loss, round((SELECT avg(" + LOSS + ") FROM ({held})), 6) AS eval_loss"
+
+
+def _epochs(spark: SparkSession, epochs: list) -> DataFrame:
+    return spark.createDataFrame([(i, round(e.train_loss, 6), round(e.eval_loss, 6)) for i, e in enumerate(epochs)], "epoch int, train_loss double, eval_loss double")
+
+
+def _online_sql(passes: int) -> str:
+    sql = _stream_sql(passes)
+    steps = passes * ARRIVALS
+    for i in range(ARRIVALS, steps + 1, ARRIVALS):
+        sql += _logit_sql(f"t{i}", f"s{i}", "TRUE")
+    rows = [_EPOCH_LOSS.format(e=e, train=" UNION ALL ".join(f"SELECT y, logit FROM r{i}" for i in range(e * ARRIVALS, (e + 1) * ARRIVALS)), held=f"SELECT y, logit FROM t{(e + 1) * ARRIVALS}") for e in range(passes)]
+    return sql + " " + " UNION ALL ".join(rows)
+
+
+@query(_online_sql(2))
+def online_task(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two passes over arriving files and an evaluation after each: losses of the passes."""
+    path = _arrivals(spark, sf_dir)
+    return _epochs(spark, run_task(spark, params("LR", n_epochs=2, train_data=path, eval_data=path))[1])
+
+
+def _offline_sql(passes: int) -> str:
+    sql = _epochs_steps_sql(passes, _WRITTEN)
+    for i in range(1, passes + 1):
+        sql += _logit_sql(f"t{i}", f"s{i}", "TRUE")
+    return sql + " " + " UNION ALL ".join(_EPOCH_LOSS.format(e=e, train=f"SELECT y, logit FROM r{e}", held=f"SELECT y, logit FROM t{e + 1}") for e in range(passes))
+
+
+@query(_offline_sql(2))
+def offline_task(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two epochs over text files and an evaluation after each: losses of the epochs."""
+    path = _arrivals(spark, sf_dir)
+    return _epochs(spark, run_task(spark, params("LR", online=False, n_epochs=2, train_data=path, eval_data=path))[1])
 
 
 # samples
@@ -441,34 +603,156 @@ def negative_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.filter(inside).groupBy(given.alias("given"), F.when(F.col("own"), 1).otherwise(3).alias("copies")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT count(*) AS n, sum(event_id)::BIGINT AS total FROM events")
+@query("SELECT event_id, 1::BIGINT AS n_parts, TRUE AS shares_hold FROM events")
 def train_eval_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The two parts together are all rows, each once."""
+    """Each row is in one of the two parts, and the parts have about their shares of the rows."""
     train, evaluation = split(events(spark, sf_dir), 0.8, 42, "event_id")
-    return train.union(evaluation).agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("total"))
+    rows = train.select("event_id", F.lit(1).alias("t")).union(evaluation.select("event_id", F.lit(0)))
+    share = rows.agg(F.avg("t").alias("share"))  # one row
+    return rows.groupBy("event_id").agg(F.count(F.lit(1)).alias("n_parts")).crossJoin(F.broadcast(share)).select("event_id", "n_parts", F.col("share").between(0.75, 0.85).alias("shares_hold"))
 
 
-@query("SELECT event_id, event_type, user_id, value FROM events")
+@query("SELECT event_id, event_type, user_id, value, TRUE AS out_of_order FROM events")
 def shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enc.shuffled(events(spark, sf_dir), 42, "event_id")
+    """Shuffled rows, and whether places and ids have nothing to do with each other (a correlation below 0.1)."""
+    mixed = materialize(enc.shuffled(events(spark, sf_dir), 42, "event_id").withColumn("place", F.monotonically_increasing_id()), "shuffled")
+    ranks = mixed.groupBy(F.spark_partition_id().alias("part")).agg(F.corr("place", "event_id").alias("c"), F.count(F.lit(1)).alias("n"))
+    loose = ranks.agg((F.sum(F.abs("c") * F.col("n")) / F.sum("n") < 0.1).alias("out_of_order"))  # one row
+    return mixed.drop("place").crossJoin(F.broadcast(loose))
 
 
 @query(_epochs_sql(1))
 def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, path = train_batch(samples(spark, sf_dir), params("LR")), shared_path(spark, "saved")
+    model, path = train_batch(materialize(samples(spark, sf_dir), "samples"), params("LR")), shared_path(spark, "saved")
     save_model(model, path)
     return _rounded(load_model(spark, path).linear)
 
 
-@query("SELECT TRUE AS has_zero")
+@query(_factor_steps_sql("FM", 1) + " SELECT (SELECT bool_or(w = 0) FROM s1 WHERE f >= 0) OR (SELECT bool_or(v = 0) FROM v1) AS has_zero, (SELECT count(*) FROM s1 WHERE f >= 0 AND w = 0) AS zero_weights, (SELECT count(*) FROM v1 WHERE v = 0) AS zero_factors")
 def trained_zero_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weights that FTRL has set to exactly 0 exist after training, as factors do in parity mode."""
-    return zero_weights(train_batch(samples(spark, sf_dir), params("FM")))
+    """Whether training has set weights or factors to exactly 0, and how many."""
+    model = trained_factors(spark, sf_dir, "FM", 1)[1]
+    weights = model.linear.filter("feat >= 0").agg(F.count_if(F.col("w") == 0).alias("zero_weights"))
+    factors = model.factors.select(F.explode("v").alias("v")).agg(F.count_if(F.col("v") == 0).alias("zero_factors"))
+    return zero_weights(model).crossJoin(F.broadcast(weights)).crossJoin(F.broadcast(factors))  # one row each
 
 
-@query()
+@query(_factor_steps_sql("FM", 2) + f" SELECT y, round(avg({LOSS}), 6) AS loss, count(*) AS n FROM o1 GROUP BY y")
 def train_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Loss of a step over the trained model, by label."""
-    s = materialize(samples(spark, sf_dir), "samples")
-    _, losses = batch_step(s, train_batch(s, params("FM", n_epochs=2, factor_init="warm")))
+    """Losses before the second step, by label."""
+    s, model = trained_factors(spark, sf_dir, "FM", 1)
+    _, losses = batch_step(s, model)
     return losses.groupBy("y").agg(F.round(F.avg("loss"), 6).alias("loss"), F.count(F.lit(1)).alias("n"))
+
+
+# text in other forms
+
+
+def _text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of events, some entries of which no strict reader takes."""
+    y = (F.col("value") > THRESHOLD).cast("int")
+    return events(spark, sf_dir).select(F.col("event_id").alias("seq"), F.concat_ws(" ", y, F.format_string("0:%d:1.5", "event_id"), F.lit("junk"), F.format_string("1:%d:-2", "user_id"), F.lit("2:7:x")).alias("value"))
+
+
+def _entries(parsed: DataFrame) -> DataFrame:
+    return parsed.select("seq", "y", F.posexplode("x").alias("pos", "e")).select("seq", "y", "pos", "e.field", "e.feat", F.col("e.value").cast("double").alias("value"))
+
+
+_Y = f"CASE WHEN value > {THRESHOLD} THEN 1 ELSE 0 END AS y"
+
+
+@query(f"SELECT event_id AS seq, {_Y}, 0 AS pos, 0 AS field, event_id::INTEGER AS feat, 1.5::DOUBLE AS value FROM events")
+def parse_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entries(parse_by_pattern(_text(spark, sf_dir)))
+
+
+@query(f"""SELECT event_id AS seq, {_Y}, 0 AS pos, 0 AS field, event_id::INTEGER AS feat, 1.5::DOUBLE AS value FROM events
+UNION ALL SELECT event_id, {_Y}, 1, 0, 1, user_id::DOUBLE FROM events WHERE user_id <> 0 UNION ALL SELECT event_id, {_Y}, CASE WHEN user_id = 0 THEN 1 ELSE 2 END, -2, 2, 7 FROM events""")
+def parse_garbage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that are no numbers count as 0, and triples go on after them."""
+    return _entries(parse_garbage_as_zero(_text(spark, sf_dir)))
+
+
+def _modes_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bad = F.when(F.col("event_id") % 7 == 0, " 5").when(F.col("event_id") % 7 == 1, " 1:x:2").otherwise("")
+    y = (F.col("value") > THRESHOLD).cast("int")
+    return events(spark, sf_dir).select(F.col("event_id").alias("seq"), F.concat(y, F.format_string(" 0:%d:1", "user_id"), bad).alias("value"))
+
+
+@query(f"SELECT event_id AS seq, {_Y}, user_id::INTEGER AS feat FROM events WHERE event_id % 7 > 1")
+def parse_drop_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_samples(_modes_text(spark, sf_dir), "libffm", "DROPMALFORMED").select("seq", "y", F.col("x")[0].feat.alias("feat"))
+
+
+@query(f"""SELECT event_id AS seq, CASE WHEN event_id % 7 > 1 THEN y ELSE -1 END AS y,
+CASE event_id % 7 WHEN 0 THEN y || ' 0:' || user_id || ':1 5' WHEN 1 THEN y || ' 0:' || user_id || ':1 1:x:2' ELSE '' END AS corrupt FROM (SELECT event_id, user_id, {_Y} FROM events)""")
+def parse_permissive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_samples(_modes_text(spark, sf_dir), "libffm", "PERMISSIVE").select("seq", F.coalesce("y", F.lit(-1)).alias("y"), F.coalesce("_corrupt_record", F.lit("")).alias("corrupt"))
+
+
+@query("SELECT row_number() OVER (ORDER BY event_id) - 1 AS seq, event_id || ' ' || event_type AS value FROM events")
+def text_files_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines written to several files in order, and numbered as they are read."""
+    path = shared_path(spark, "ordered")
+    write_lines(events(spark, sf_dir).orderBy("event_id").select(F.concat_ws(" ", "event_id", "event_type").alias("value")), path)
+    return read_lines(spark, path)
+
+
+@query(r"""WITH q AS (SELECT event_id, event_id % 100000 AS q FROM events)
+SELECT event_id, regexp_replace(printf('%.4f', (q // 10 + CASE WHEN q % 10 > 5 OR (q % 10 = 5 AND (q // 10) % 2 = 1) THEN 1 ELSE 0 END) / 10000), '(\.\d+?)0+$', '\1') AS text FROM q""")
+def number_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five decimals as text of four, ties to even."""
+    return events(spark, sf_dir).select("event_id", number_text((F.col("event_id") % 100000) / 100000.0).alias("text"))
+
+
+# tables
+
+
+@query("""
+WITH o AS (SELECT o_orderkey, o_orderstatus, o_orderpriority, o_totalprice, o_custkey FROM orders),
+s AS (SELECT v, row_number() OVER (ORDER BY v) AS f FROM (SELECT DISTINCT o_orderpriority AS v FROM o WHERE o_orderkey % 10 < 8)),
+k AS (SELECT v, (SELECT count(*) FROM s) + row_number() OVER (ORDER BY v) AS f FROM (SELECT DISTINCT o_custkey AS v FROM o WHERE o_orderkey % 10 < 8)),
+m AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi, (SELECT count(*) FROM s) + (SELECT count(*) FROM k) + 1 AS c FROM o WHERE o_orderkey % 10 < 8)
+SELECT o_orderkey AS seq, o_orderkey % 10 < 8 AS train, CASE WHEN o_totalprice > 150000 THEN 1 ELSE 0 END AS y, coalesce(s.f, 0)::INTEGER AS priority, coalesce(k.f, 0)::INTEGER AS customer,
+       c::INTEGER AS price_feat, round(((o_totalprice - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END)::FLOAT::DOUBLE, 5) AS price
+FROM o LEFT JOIN s ON o_orderpriority = s.v LEFT JOIN k ON o_custkey = k.v CROSS JOIN m""")
+def csv_to_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train and eval rows as two CSV files with headers, read and encoded by the positions of columns."""
+    paths = []
+    for i, which in enumerate(("o_orderkey % 10 < 8", "o_orderkey % 10 >= 8")):
+        paths.append(shared_path(spark, f"csv{i}"))
+        chosen = table(spark, sf_dir, "orders").filter(which)
+        chosen.select("o_orderkey", "o_totalprice", "o_orderpriority", F.col("o_totalprice").alias("price"), "o_custkey").write.csv(paths[-1], header=True)
+    p = EncodeParams(label_col=0, cat_cols=(1, 3), num_cols=(2,), threshold=150000, normalize=True)
+    train, held = read_train_eval(spark, p, "", *paths)
+    parts = []
+    for which, (df, given) in zip((True, False), zip(enc.transform(train, held, p, "o_orderkey"), (train, held))):
+        parts.append(df.select("seq", F.lit(which).alias("train"), "y", F.col("x")[0].feat.alias("priority"), F.col("x")[1].feat.alias("customer"), F.col("x")[2].feat.alias("price_feat"), F.round(F.col("x")[2].value.cast("double"), 5).alias("price")))
+    return parts[0].union(parts[1])
+
+
+@query("SELECT l_linenumber AS given, TRUE AS whole, TRUE AS within, TRUE AS reached, 2 * count(*) AS n FROM lineitem GROUP BY l_linenumber")
+def whole_number_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two negatives for each line, its quantity drawn from the whole numbers between the table's smallest and largest one, both of which come up."""
+    li = table(spark, sf_dir, "lineitem").select("l_linenumber", F.col("l_quantity").cast("int").alias("q"))
+    li = materialize(li.withColumn("seq", F.monotonically_increasing_id()), "lineitem")
+    low = enc.bounds(li, ["q"]).first()
+    x = F.array(F.struct(F.lit(0).alias("field"), F.lit(1).alias("feat"), F.col("q").cast("float").alias("value")))
+    both = enc.with_negatives(li.select("seq", F.lit(1).alias("y"), x.alias("x")), [], [(float(low["min_q"]), float(low["max_q"]), True)], 2, 42)
+    drawn = both.filter("y = 0").select(F.col("x")[0].value.alias("q"))
+    ends = drawn.agg(F.min("q").alias("a"), F.max("q").alias("b"), F.count_if(F.col("q") != F.floor("q")).alias("broken"))  # one row
+    flags = ends.select((F.col("broken") == 0).alias("whole"), (F.col("a") >= low["min_q"]).alias("l"), (F.col("b") <= low["max_q"]).alias("h"), ((F.col("a") == low["min_q"]) & (F.col("b") == low["max_q"])).alias("reached"))
+    per = li.groupBy(F.col("l_linenumber").alias("given")).agg((2 * F.count(F.lit(1))).alias("n"))
+    return per.crossJoin(F.broadcast(flags)).select("given", "whole", (F.col("l") & F.col("h")).alias("within"), "reached", "n")
+
+
+@query("SELECT 'weights' AS part, count(DISTINCT user_id) AS n, TRUE AS mean_holds, TRUE AS spread_holds FROM events UNION ALL SELECT 'factors', 4 * count(*), TRUE, TRUE FROM events")
+def initial_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Initial weights of users and factors of events: drawn about the mean with the deviation asked for (within five standard errors)."""
+    p = params("FM", init_mean=0.5)
+    e = events(spark, sf_dir)
+    weights = e.select("user_id").distinct().select(F.lit("weights").alias("part"), initial_weight(p, F.col("user_id").cast("int")).alias("w"))
+    factors = e.select(F.lit("factors").alias("part"), F.explode(initial_factors(p, F.col("event_id").cast("int"))).alias("w"))
+    stats = weights.union(factors).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.avg("w").alias("m"), F.stddev_pop("w").alias("s"))
+    error = 5 * p.init_stddev / F.sqrt("n")
+    return stats.select("part", "n", (F.abs(F.col("m") - p.init_mean) < error).alias("mean_holds"), (F.abs(F.col("s") - p.init_stddev) < error).alias("spread_holds"))

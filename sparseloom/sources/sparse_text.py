@@ -6,10 +6,11 @@ feat, value). Order and repetitions of entries are kept; entries of value 0 are
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparseloom.functions.expressions import tokens
+from sparseloom.storage import materialize
 
 ENTRY = "struct<field: int, feat: int, value: float>"
 #: Numbers are read as far as they go, so '1.0' is the whole number 1.
@@ -17,12 +18,18 @@ _WHOLE, _REAL = r"^([+-]?\d+)", r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
 MODES = ("FAILFAST", "DROPMALFORMED", "PERMISSIVE")
 
 
+def _number(t: Column, kind: str, characters: str, pattern: str) -> Column:
+    """A plain cast serves for nearly all tokens; the pattern reads those that go on after the number."""
+    plain = F.when(F.translate(t, characters, "") == "", t.try_cast(kind))
+    return F.coalesce(plain, F.regexp_extract(t, pattern, 1).try_cast(kind))
+
+
 def _whole(t: Column) -> Column:
-    return F.regexp_extract(t, _WHOLE, 1).try_cast("int")
+    return _number(t, "int", "0123456789+-", _WHOLE)
 
 
 def _real(t: Column) -> Column:
-    return F.regexp_extract(t, _REAL, 1).try_cast("float")
+    return _number(t, "float", "0123456789+-.eE", _REAL)
 
 
 def token_format(token: Column) -> Column:
@@ -65,7 +72,10 @@ def parse_samples(lines: DataFrame, file_type: str, mode: str = "FAILFAST", valu
         field = F.lit(0) if n == 2 else _whole(part[0])
         return F.struct(field.alias("field"), _whole(part[n - 2]).alias("feat"), _real(part[n - 1]).alias("value"), (F.size(p) == n).alias("ok"))
 
-    read = cut.select(*rest, "_line", _whole(F.try_element_at("_t", F.lit(1))).alias("_y"), F.transform(F.transform(F.slice("_t", 2, F.greatest(F.size("_t") - 1, F.lit(0))), lambda t: F.split(t, ":")), entry).alias("_x"))
+    found = F.transform(F.transform(F.slice("_t", 2, F.greatest(F.size("_t") - 1, F.lit(0))), lambda t: F.split(t, ":")), entry)
+    row = F.struct(_whole(F.try_element_at("_t", F.lit(1))).alias("y"), found.alias("x"))
+    # what is read is used several times below; a generator of one row keeps it from being computed for each use
+    read = cut.select(*rest, "_line", F.explode(F.array(row)).alias("_r")).select(*rest, "_line", F.col("_r.y").alias("_y"), F.col("_r.x").alias("_x"))
     good = F.col("_y").isNotNull() & ~F.exists("_x", lambda e: ~e.ok | e.field.isNull() | e.feat.isNull() | e.value.isNull())
     good = F.coalesce(good, F.lit(False))
     x = F.filter(F.transform("_x", lambda e: F.struct(e.field.alias("field"), e.feat.alias("feat"), e.value.alias("value"))), lambda e: e.value != 0)
@@ -100,9 +110,19 @@ def parse_garbage_as_zero(lines: DataFrame, value_col: str = "value") -> DataFra
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with seq: by file name and place in the file's part of the input. It orders lines within a file that is one input split, and tells all lines apart."""
-    lines = spark.read.text(path)
-    return lines.select(F.monotonically_increasing_id().alias("seq"), "value")
+    """Lines with seq: 0, 1, 2 and so on in the order of file paths and of lines within a file.
+
+    Lines are numbered within their part of a file as they are read; the parts are laid
+    end to end by their sums. No line is sorted or shuffled.
+    """
+    part = ["_file", "_start"]
+    given = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    given = materialize(given, "lines")
+    parts = given.groupBy(*part).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = parts.groupBy("_file").agg(F.sum("_n").alias("_n")).select("_file", before(Window.orderBy("_file")).alias("_base"))  # a row for each file
+    laid = parts.select(*part, (before(Window.partitionBy("_file").orderBy("_start")) - F.col("_first")).alias("_shift")).join(files, "_file")
+    return given.join(laid, part).select((F.col("_base") + F.col("_shift") + F.col("_id")).alias("seq"), "value")
 
 
 def read_samples(spark: SparkSession, path: str, file_type: str | None = None, mode: str = "FAILFAST") -> DataFrame:

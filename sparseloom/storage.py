@@ -9,16 +9,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, purpose: str) -> str:
-    """A new path below spark.checkpoint.dir; where that is unset, as in tests, below a temporary folder."""
+    """A new path below spark.checkpoint.dir.
+
+    Where that is unset a local session, as in tests, gets a temporary folder; a cluster
+    gets an error, as its executors would not see the driver's folders.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    """Have the driver remove a path when it ends."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def materialize(df: DataFrame, purpose: str) -> DataFrame:
-    """Write df and read it again: what follows starts from files, so its plan stays short and a lost executor costs one step."""
-    path = shared_path(df.sparkSession, purpose)
+    """Write df and read it again: what follows starts from files, so its plan stays short and a lost executor costs one step. The files go when the driver ends."""
+    spark = df.sparkSession
+    path = shared_path(spark, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    remove_at_end(spark, path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -6,6 +6,8 @@ writes the same model in the same place.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +46,7 @@ def train_stream(lines: DataFrame, p: Params, file_type: str, checkpoint: str, m
         batch_path = f"{models}/input-{batch_id}"
         keyed.write.mode("overwrite").parquet(batch_path)  # keys are drawn once
         samples = parse_samples(session.read.schema("seq long, value string").parquet(batch_path), file_type, mode)
-        new, losses = batch_step(samples, model)
+        new, losses = batch_step(samples.filter(F.col("y").isNotNull()), model)
         mean_loss(losses, p.strict_loss).select(F.lit(batch_id).cast("long").alias("batch_id"), "loss", "n").write.mode("overwrite").parquet(f"{models}/losses/batch={batch_id}")
         new.linear.write.mode("overwrite").parquet(f"{models}/{batch_id}/linear")
         if new.factors is not None:
@@ -60,26 +62,30 @@ def latest_model(spark: SparkSession, models: str, losses: DataFrame, p: Params)
     return empty_model(spark, p) if last is None else _read(spark, f"{models}/{last}", p)
 
 
-def train_online(spark: SparkSession, path: str, p: Params, file_type: str, files_per_batch: int = 1) -> tuple[Model, list[float]]:
-    """n_epochs passes over the files of a folder; the model and the mean progressive loss of each pass."""
-    model, means = None, []
+def mean_of(losses: DataFrame) -> float:
+    """Mean over all samples of the losses of batches; NaN without any."""
+    total = losses.agg(F.sum(F.col("loss") * F.col("n")) / F.sum("n")).first()[0]
+    return float("nan") if total is None else total
+
+
+def train_online(spark: SparkSession, path: str, p: Params, file_type: str, files_per_batch: int = 1, mode: str = "FAILFAST") -> Iterator[tuple[Model, float]]:
+    """n_epochs passes over the files of a folder: the model after each pass and the mean progressive loss in it."""
+    model = None
     for _ in range(p.n_epochs):
         models = shared_path(spark, "online")
-        losses = train_stream(stream_lines(spark, path, files_per_batch), p, file_type, shared_path(spark, "offsets"), models, model)
-        total = losses.agg(F.sum(F.col("loss") * F.col("n")) / F.sum("n")).first()[0]
-        means.append(float("nan") if total is None else total)
+        losses = train_stream(stream_lines(spark, path, files_per_batch), p, file_type, shared_path(spark, "offsets"), models, model, mode)
         model = latest_model(spark, models, losses, p)
-    return model, means
+        yield model, mean_of(losses)
 
 
-def evaluate_stream(lines: DataFrame, model: Model, file_type: str, checkpoint: str, out: str) -> DataFrame:
+def evaluate_stream(lines: DataFrame, model: Model, file_type: str, checkpoint: str, out: str, mode: str = "FAILFAST") -> DataFrame:
     """Losses of a stream under a fixed model, batch by batch: batch_id, loss, n."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
         path = f"{out}/input-{batch_id}"
         batch.select(F.monotonically_increasing_id().alias("seq"), "value").write.mode("overwrite").parquet(path)
-        samples = parse_samples(batch.sparkSession.read.schema("seq long, value string").parquet(path), file_type)
-        mean_loss(logits(samples, model), model.params.strict_loss).select(F.lit(batch_id).cast("long").alias("batch_id"), "loss", "n").write.mode("overwrite").parquet(f"{out}/losses/batch={batch_id}")
+        samples = parse_samples(batch.sparkSession.read.schema("seq long, value string").parquet(path), file_type, mode)
+        mean_loss(logits(samples.filter(F.col("y").isNotNull()), model), model.params.strict_loss).select(F.lit(batch_id).cast("long").alias("batch_id"), "loss", "n").write.mode("overwrite").parquet(f"{out}/losses/batch={batch_id}")
 
     lines.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return lines.sparkSession.read.schema("batch_id long, loss double, n long").parquet(f"{out}/losses/*")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from sparseloom.functions.params import EncodeParams
 from sparseloom.operators import encode as enc
 from sparseloom.operators.filters import has_zero, in_range
-from sparseloom.sources.sparse_text import detect_format, parse_by_pattern, parse_garbage_as_zero, parse_samples, read_samples, write_lines
+from sparseloom.sources.sparse_text import detect_format, parse_by_pattern, parse_garbage_as_zero, parse_samples, read_lines, read_samples, write_lines
 from sparseloom.sources.tabular import read_train_eval
 
 
@@ -118,3 +118,28 @@ def test_encode_command(spark, tmp_path):
     (tmp_path / "t.csv").write_text(CSV)
     main(["--data_path", str(tmp_path / "t.csv"), "--train_output_path", str(tmp_path / "a"), "--eval_output_path", str(tmp_path / "b"), "--cat_cols", "1,3", "--num_cols", "2,4", "--threshold", "1", "--normalize", "true"])
     assert read_samples(spark, str(tmp_path / "a")).count() + read_samples(spark, str(tmp_path / "b")).count() == 40
+
+
+def test_lines_in_order(spark, tmp_path):
+    """Line numbers follow file names and places, however files are split and packed."""
+    want = []
+    for name, n in (("a.txt", 700), ("b.txt", 3), ("c.txt", 1500)):
+        lines = [f"{name} {i} " + "x" * (i % 37) for i in range(n)]
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+        want += lines
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+        got = sorted((r["seq"], r["value"]) for r in read_lines(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert got == list(enumerate(want))
+
+
+def test_dictionary_of_numbers_and_long_names(spark):
+    rows = [(float(x), f"Customer#{k:06d}", x % 3 == 0) for k, x in enumerate((2, 10, -1, 2, 0.5, 1e9, -300))]
+    df = spark.createDataFrame(rows, "d double, s string, b boolean")
+    words = enc.dictionaries(df, ["d", "s", "b"]).orderBy("feat").collect()
+    assert [r["feat"] for r in words] == list(range(1, 16))
+    assert [float(r["value"]) for r in words if r["field"] == 0] == sorted({r[0] for r in rows})
+    assert [r["value"] for r in words if r["field"] == 1] == sorted(r[1] for r in rows)

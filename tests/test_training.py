@@ -66,6 +66,16 @@ def test_one_shard_is_the_sequential_algorithm(spark, samples):
         assert got[f] == pytest.approx(tuple(map(float, s)), rel=1e-6)
 
 
+def test_epochs_take_samples_in_other_orders(spark, samples):
+    p = params("LR", n_epochs=3)
+    model, again = (sorted(map(tuple, train_mixing(samples.repartition(k), p, shards=1).linear.collect())) for k in (1, 3))
+    assert model == again
+    in_file_order = empty_model(spark, p)
+    for _ in range(3):
+        in_file_order = mixing_round(samples, in_file_order, 1)[0]
+    assert model != sorted(map(tuple, in_file_order.linear.collect()))
+
+
 def test_shards_are_averaged(spark, samples):
     model = train_mixing(samples, params("FFM", n_epochs=2, factor_init="warm"), shards=3)
     assert model.linear.filter("feat = -1").count() == 1
@@ -133,7 +143,7 @@ def test_tasks(spark, tmp_path, online):
     (tmp_path / "train" / "b.txt").write_text("\n".join(LINES[5:]))
     p = params("FFM", online=online, n_epochs=2, train_data=str(tmp_path / "train"), eval_data=str(tmp_path / "train"), model_path=str(tmp_path / "model"))
     model, epochs = run(spark, p)
-    assert len(epochs) == 2 and epochs[-1].eval_loss < math.log(2) and epochs[1].train_loss < epochs[0].train_loss
+    assert len(epochs) == 2 and epochs[-1].eval_loss < epochs[0].eval_loss < math.log(2) and epochs[1].train_loss < epochs[0].train_loss
     assert evaluate(spark.createDataFrame([(i, y, [(k, f, 1.0) for k, f in enumerate(x)]) for i, (y, x) in enumerate(ROWS)], "seq long, y int, x array<struct<field: int, feat: int, value: float>>"), load_model(spark, p.model_path)) == pytest.approx(epochs[-1].eval_loss)
 
 
@@ -150,7 +160,7 @@ def test_mixing_queries_have_averaged_factors(spark, small, kind):
     from sparseloom import queries
 
     p, s = queries.params(kind, factor_init="warm"), queries.samples(spark, small)
-    n = max(2, s.count() // 2000)
+    n = queries.SHARDS
     folds = [Fold(p) for _ in range(n)]
     for r in s.withColumn("shard", F.pmod(F.xxhash64("seq"), F.lit(n))).orderBy("seq").collect():
         folds[r["shard"]].learn(r["y"], [(e["field"], e["feat"], e["value"]) for e in r["x"]])
@@ -167,3 +177,18 @@ def test_mixing_queries_have_averaged_factors(spark, small, kind):
     assert len([r for r in rows if r["w"] is not None]) == len(set().union(*(f.linear for f in folds)))
     model, _ = mixing_round(s, empty_model(spark, p), n)
     assert "CoGroup" not in model.factors._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("online", [True, False])
+def test_tasks_with_bad_lines(spark, tmp_path, online):
+    """In a tolerant mode lines that can't be read train nothing, alone or online; else they end the task."""
+    for name, lines in (("clean", LINES), ("dirty", LINES[:5] + ["1 5 7", "", "x 1:1:1"] + LINES[5:])):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.txt").write_text("\n".join(lines))
+    one = {k: str(tmp_path / k) for k in ("clean", "dirty")}
+    clean = run(spark, params("LR", online=online, train_data=one["clean"]))[1]
+    for mode in ("DROPMALFORMED", "PERMISSIVE"):
+        got = run(spark, params("LR", online=online, mode=mode, train_data=one["dirty"]))[1]
+        assert got[0].train_loss == pytest.approx(clean[0].train_loss)
+    with pytest.raises(Exception):
+        run(spark, params("LR", online=online, train_data=one["dirty"]))
