@@ -16,17 +16,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparseloom.llm.common import read_table, small_batches, texts
 
 ORDER = 4
-#: Bound of the sample that the trees are grown from: texts of a language, picked by hash.
-SAMPLE_TEXTS = 300
-#: Languages that are learned at most, the most frequent ones.
-LANGUAGES = 200
+#: Bounds of the sample that the trees are grown from: texts of a language, picked by hash, and of their distinct grams the most frequent ones.
+SAMPLE_TEXTS, SAMPLE_GRAMS = 300, 500_000
 NO_LANGUAGE = "und"
 _PAD = b" " * ORDER
 #: Slots of the table of grams times languages, as a power of two.
@@ -42,18 +40,24 @@ def _grams(data: bytes, n: int) -> np.ndarray:
     return key
 
 
+def gram_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of ORDER + 1 bytes of texts, letters in lower case, and how often they occur."""
+    keys = [_grams(_PAD + t.lower(), ORDER + 1) for t in texts]
+    return np.unique(np.concatenate([*keys, np.zeros(0, np.uint64)]), return_counts=True)
+
+
 class Tree:
-    """Counts of one language, by order: sorted contexts with their sums, sorted context-and-byte keys with counts."""
+    """Counts of one language, by order: sorted contexts with their sums, sorted context-and-byte keys with counts. Grown from counts of the longest grams, of which shorter ones are sums."""
 
-    def __init__(self, texts: list[bytes]):
-        data = [_PAD + t.lower() for t in texts]
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
         self.grams, self.counts, self.contexts, self.total, self.distinct, self.shadow = [], [], [], [], [], []
         for k in range(ORDER + 1):
-            parts = [_grams(d, k + 1) for d in data]
-            gram, count = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint64), return_counts=True)
+            gram, back = np.unique(keys & np.uint64((1 << 8 * (k + 1)) - 1), return_inverse=True)
+            count = np.zeros(len(gram), np.int64)
+            np.add.at(count, back, counts)
             context, first = np.unique(gram >> np.uint64(8), return_index=True)
-            spans = lambda x: np.add.reduceat(x, first) if len(first) else x
-            self.grams.append(gram), self.counts.append(count.astype(np.int64)), self.contexts.append(context)
+            spans = lambda x: np.add.reduceat(x, first) if len(first) else x  # noqa: B023, E731
+            self.grams.append(gram), self.counts.append(count), self.contexts.append(context)
             self.total.append(spans(self.counts[k])), self.distinct.append(spans(np.ones(len(gram), np.int64)))
             if k:  # how often the bytes of a context follow the next shorter one
                 shorter = np.searchsorted(self.grams[k - 1], gram & np.uint64((1 << 8 * k) - 1))
@@ -132,30 +136,41 @@ class Scorer:
 class Model:
     """Trees of the learned languages, in the order of their names."""
 
-    def __init__(self, samples: dict[str, list[bytes]]):
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.key = uuid.uuid4().hex
-        self.languages = sorted(samples)
-        self.trees = [Tree(samples[n]) for n in self.languages]
+        self.languages = sorted(counts)
+        self.trees = [Tree(*counts[n]) for n in self.languages]
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_texts: int = SAMPLE_TEXTS) -> Model:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_texts: int = SAMPLE_TEXTS, sample_grams: int = SAMPLE_GRAMS) -> Model:
     """Trees from about sample_texts texts of each language, picked by a hash of id and text, the same ones in every run.
 
-    Rows without text or language are left out, and languages beyond the LANGUAGES most
-    frequent ones. Only the sample comes to the driver; its share is set from the exact
-    number of rows of each language.
+    Rows without text or language are left out; every other language is learned. Grams
+    are counted where the texts are; to the driver come counts, at most sample_grams for
+    a language. The share of texts is set from the exact number of rows of each language.
     """
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("lang")).filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    numbers = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    if not numbers:
-        return Model({})
-    share = F.create_map(*(x for lang, n in sorted(numbers.items()) for x in (F.lit(lang), F.lit(min(1.0, sample_texts / n)))))
+    numbers = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     place = (F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53)))
-    picked = rows.filter(place < share[F.col("lang")]).select("lang", "text").collect()
-    samples: dict[str, list[bytes]] = {lang: [] for lang in numbers}
-    for r in sorted(picked, key=lambda r: (r["lang"], r["text"])):
-        samples[r["lang"]].append(r["text"].encode("utf-8"))
-    return Model({lang: t for lang, t in samples.items() if t})
+    picked = rows.join(F.broadcast(numbers), "lang").filter(place < F.lit(float(sample_texts)) / F.col("n")).select("lang", "text")  # a row for each language
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of: dict[str, list[bytes]] = {}
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                of.setdefault(lang, []).append(text.encode("utf-8"))
+            for lang, texts_ in of.items():
+                keys, n = gram_counts(texts_)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+
+    sums = small_batches(picked).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    found = sums.withColumn("rank", rank).filter(F.col("rank") <= sample_grams).select("lang", "gram", "n").toArrow().sort_by([("lang", "ascending"), ("gram", "ascending")])
+    names, gram, n = found.column("lang").to_pandas().to_numpy(), found.column("gram").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    counts = {lang: (gram[names == lang], n[names == lang]) for lang in dict.fromkeys(names.tolist())}
+    for r in numbers.select("lang").toLocalIterator():  # a language of nothing but empty texts
+        counts.setdefault(r["lang"], (gram[:0], n[:0]))
+    return Model(counts)
 
 
 _workers: dict[str, Scorer] = {}

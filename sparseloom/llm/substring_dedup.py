@@ -154,7 +154,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     its occurrences is gathered anywhere.
     """
     marks = materialize(find_repeats(docs, window, id_col, text_col), "marks")
-    marks = marks.groupBy("id", "version").agg(F.collect_list(F.struct("first", "mask")).alias("marks"))
+    marks = marks.distinct().groupBy("id", "version").agg(F.collect_list(F.struct("first", "mask")).alias("marks"))
     joined = _keyed(docs, id_col, text_col).join(marks, ["id", "version"], "left").select("doc_id", "text", "marks")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

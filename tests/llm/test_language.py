@@ -1,11 +1,11 @@
 import numpy as np
 
-from sparseloom.llm.language import ORDER, Model, Scorer, Tree, held_out, op5_language_id, predict, train
+from sparseloom.llm.language import ORDER, Model, Scorer, Tree, gram_counts, held_out, op5_language_id, predict, train
 from pyspark.sql import functions as F
 
 
 def tree():
-    return Tree([b"the cat sat on the mat", b"a cat and a hat", "épée".encode()])
+    return Tree(*gram_counts([b"the cat sat on the mat", b"a cat and a hat", "épée".encode()]))
 
 
 def test_probabilities_sum_to_one():
@@ -17,7 +17,7 @@ def test_probabilities_sum_to_one():
 
 def test_code_lengths_by_hand():
     """'b' after 'a' in 'abab': the longest known context decides, and escapes go to shorter ones."""
-    t = Tree([b"abab"])
+    t = Tree(*gram_counts([b"abab"]))
     key = int.from_bytes(b"zzzab"[-ORDER - 1 :], "big")
     # context 'a' was seen twice, always before b: 2 / (2 + 1)
     assert abs(t.code_lengths(np.array([key], np.uint64))[0] - np.log2(3 / 2)) < 1e-12
@@ -39,7 +39,7 @@ def test_held_out_accuracy(spark, small):
 
 
 def test_edges(spark, make_docs, edges):
-    model = Model({"en": [b"one of the words in a line"], "fr": ["été où ça".encode()]})
+    model = Model({"en": gram_counts([b"one of the words in a line"]), "fr": gram_counts(["été où ça".encode()])})
     got = predict(make_docs([*edges, (50, "123 456 ..."), (51, "the line of words")]), model)
     pred = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in got.collect()}
     assert got.count() == len(edges) + 2
@@ -59,3 +59,26 @@ def test_fold(spark):
 
     got = spark.range(200).select("id", held_out(F.col("id")).alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 4 == 2) for r in got)
+
+
+def test_counts_in_executors_are_those_of_the_texts(make_docs):
+    """Trees grown from distributed counts are the trees of the texts themselves; every language is learned, however many there are."""
+    rows = [(i, f"text number {i} of kind {i % 7}, été") for i in range(60)]
+    docs = make_docs(rows).withColumn("lang", F.concat(F.lit("l"), (F.col("doc_id") % 30).cast("string"))).repartition(5)
+    model = train(docs)
+    assert model.languages == sorted(f"l{k}" for k in range(30))
+    for lang, tree_ in zip(model.languages, model.trees):
+        want = Tree(*gram_counts([t.encode() for i, t in rows if f"l{i % 30}" == lang]))
+        assert all((a == b).all() for x, y in ((tree_.grams, want.grams), (tree_.counts, want.counts), (tree_.total, want.total)) for a, b in zip(x, y))
+
+
+def test_ties_go_to_the_first_name(make_docs):
+    same = gram_counts([b"the same words"])
+    got = predict(make_docs([(1, "the same words"), (2, "other ones")]), Model({"zz": same, "aa": same, "mm": same}))
+    assert {r["lang_pred"] for r in got.collect()} == {"aa"} and all(abs(r["score"] - 1 / 3) < 1e-6 for r in got.collect())
+
+
+def test_long_text(make_docs):
+    model = Model({"en": gram_counts([b"one of the words in a line"]), "fr": gram_counts(["des mots dans une ligne".encode()])})
+    got = predict(make_docs([(1, "the words in one line " * 150_000), (2, "une ligne des mots " * 100_000)]), model)
+    assert {r["doc_id"]: r["lang_pred"] for r in got.collect()} == {1: "en", 2: "fr"}

@@ -33,3 +33,18 @@ def test_run(spark, make_docs, edges, tmp_path):
     spark.createDataFrame([(1, "One.")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert 60 in {r["doc_id"] for r in got.collect()}
+
+
+def test_rows_with_shared_or_missing_ids(spark, make_docs, tmp_path):
+    """Rows of one id and different texts, and rows without an id, are documents of their own; a near copy with an id is kept before one without."""
+    text = lambda k: f"clean text number {k} " + " ".join(f"w{k}x{i}" for i in range(30))
+    item = " ".join(f"item{i}" for i in range(30))
+    rows = [(1, text(1)), (1, text(2)), (None, text(3)), (None, text(1)), (None, "x " + item), (4, text(4)), (4, text(4)), (5, text(4)), (3, "y " + item)]
+    make_docs(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[2:4]:
+        docs = materialize(stage(spark, docs, str(tmp_path)), name)
+    got = sorted((str(r["doc_id"]), r["text"]) for r in docs.collect())
+    assert got == sorted([("1", text(1)), ("1", text(2)), ("None", text(3)), ("4", text(4))])
+    assert corpus_pipeline.keep_one_of_each_group(spark, make_docs([(1, None), (2, ""), (None, " ")]), str(tmp_path)).count() == 1
