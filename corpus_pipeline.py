@@ -13,14 +13,16 @@ from sparseloom.llm import bpe, decontaminate, jaccard_join, language, line_dedu
 from sparseloom.llm.common import materialize, read_table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+def with_key(docs: DataFrame) -> DataFrame:
+    """Rows are told apart by id and text: rows without an id, and rows that share one, are documents of their own."""
+    return docs.withColumn("key", F.xxhash64("doc_id", "text"))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without text or without a letter go. A null lang becomes the predicted one."""
+    """Documents without text or without a letter go. lang becomes the predicted one."""
     model = language.train(docs.filter(~language.held_out(F.col("doc_id"))))
     known = language.predict(docs, model, carry=COLUMNS).filter(F.col("lang_pred") != language.NO_LANGUAGE)
-    row = {c: F.col(f"carried.{c}") for c in COLUMNS}
-    return known.select(*((F.coalesce(x, F.col("lang_pred")) if c == "lang" else x).alias(c) for c, x in row.items()))
+    return known.select(*(F.col("lang_pred").alias("lang") if c == "lang" else F.col(f"carried.{c}").alias(c) for c in COLUMNS))
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,15 +32,21 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates the document with the smallest id stays; rows of one id are one document. Rows without an id go."""
-    first = jaccard_join.jaccard_join(docs).filter(F.col("doc_id") == F.col("class_id")).select("doc_id")
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """Of near-duplicates the document with the smallest id stays, one without an id only among its like. Of equal ids the smaller hash of id and text decides, of rows equal in both the smaller row."""
+    keyed = with_key(docs)
+    classes = jaccard_join.jaccard_join(keyed, "key").select(F.col("doc_id").alias("key"), "class_id")
+    ids = keyed.select("key", "doc_id").distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    first = ids.join(classes, "key").groupBy("class_id").agg(F.min(order).alias("first")).select(F.col("first.key").alias("key"))
+    kept = keyed.join(first, "key", "left_semi").groupBy("key").agg(F.min(F.struct(*COLUMNS)).alias("row"))
+    return kept.select("row.*")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    leaks = decontaminate.find_leaks(docs, read_table(spark, sf_dir, "benchmark"))
-    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    keyed = with_key(docs)
+    leaks = decontaminate.find_leaks(keyed, read_table(spark, sf_dir, "benchmark"), "key")
+    return keyed.join(leaks.select(F.col("doc_id").alias("key")).distinct(), "key", "left_anti").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
