@@ -1,21 +1,26 @@
 """N-gram Jaccard join through a forest of MinHash prefix tries, with exact verification.
 
 Texts whose sets of word shingles have a Jaccard similarity of at least THRESHOLD are
-linked. Each distinct set gets TREES labels of up to DEEPEST minimum hashes; a label
-is a path in a trie, and sets that share a path of some depth in some tree are
-candidates. The depth is shortened until the chance that a pair at the threshold
-shares a path reaches RECALL. Groups of candidates are then compared set against
-set, exactly.
+linked. Each distinct set gets TREES labels of DEEPEST minimum hashes. A label is a
+path in a trie, read from its root; sets that share a prefix meet at a node. The
+prefix that must match is shortened, level by level, until the recall that is measured
+on planted pairs reaches RECALL: for sets that a hash picks, a partner at the threshold
+is made and the longest prefix that the two share in any tree is noted.
+
+Sets that meet are compared by sketches of four bits for each minimum hash first. What
+is clearly below the threshold moves no text; the others are compared set against set,
+exactly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparseloom.llm.common import materialize, own_exchange, read_table, small_batches, texts
@@ -24,8 +29,12 @@ from sparseloom.llm.words import WordHashes, gram_hashes, mixed
 
 WORDS, THRESHOLD = 5, 0.8
 TREES, DEEPEST, RECALL = 32, 12, 0.9999
-#: Sets of one block; a group of more is split by hash, and blocks are compared two by two.
-BLOCK = 256
+#: Sets of one block, and sketches of one; a group of more is split by hash, and blocks are compared two by two.
+BLOCK, SKETCHES = 256, 1024
+#: Of how many sets one gets a planted partner.
+PLANTED = 8
+#: Bits of a minimum hash in a sketch, each in a plane of its own; standard errors between the threshold and what a sketch must show: one in 10**8 pairs at the threshold shows less.
+PLANES, ERRORS = 4, 5.7
 
 _hashes = WordHashes()
 
@@ -43,48 +52,168 @@ def set_hash(s: np.ndarray) -> tuple[int, int]:
     return int(one.view(np.int64)), int(np.bitwise_xor.reduce(mixed(s * (np.uint64(2) * place + np.uint64(1)))).view(np.int64))
 
 
-def prefix_depth(threshold: float, trees: int, deepest: int, recall: float) -> int:
-    """The deepest prefix at which a pair at the threshold still meets in some tree with chance recall: shortened from the full label."""
-    depth = deepest
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
-        depth -= 1
-    return depth
+def chance(similarity: float, depth: int, trees: int) -> float:
+    """That a pair shares a prefix of that depth in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
 
 
-def _labels(sets: list[np.ndarray], trees: int, depth: int) -> np.ndarray:
-    """For each set and tree, a hash of the path of depth minimum hashes; equal paths of different trees differ."""
+def matched_prefix(met: dict[int, int], threshold: float, trees: int, deepest: int, recall: float) -> tuple[int, float]:
+    """The longest prefix to match that reaches the recall, and the recall measured for it. met: longest shared prefix -> planted pairs.
+
+    From the full label on, a level is taken off until no more planted pairs are lost
+    than the target allows, and either enough of them were seen to say so (three
+    more losses would still be allowed) or their expected number says the same.
+    """
+    n = sum(met.values())
+    for depth in range(deepest, 0, -1):
+        lost = sum(k for level, k in met.items() if level < depth)
+        allowed = n * (1 - recall)
+        if lost <= allowed + 3 and (lost + 3 <= allowed or chance(threshold, depth, trees) >= recall):
+            return depth, 1 - lost / n if n else chance(threshold, depth, trees)
+    raise ValueError(f"{trees} trees can't reach a recall of {recall} at {threshold}; take more trees")
+
+
+def planted(s: np.ndarray, share: Fraction) -> np.ndarray | None:
+    """A set at the threshold (or as little above it as a set of that size allows), made from s by taking some shingles out and new ones in; None if only s itself is that similar."""
+    swap = int(len(s) * (1 - share) / (1 + share))
+    out = swap or int(len(s) * (1 - share))
+    if not out:
+        return None
+    order = np.argsort(mixed(s ^ np.uint64(0x5851F42D4C957F2D)))
+    new = mixed(s[order[:swap]] + np.uint64(0x14057B7EF767814F))
+    return np.concatenate([s[order[out:]], new])
+
+
+def _minima(sets: list[np.ndarray], trees: int, deepest: int) -> np.ndarray:
+    """For each set, trees times deepest minimum hashes, folded to 16 bits."""
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     flat, first = np.concatenate(sets), np.cumsum(sizes) - sizes
+    flat = (flat ^ (flat >> np.uint64(32))).astype(np.uint32)
     rng = np.random.default_rng(11)
-    out = np.empty((len(sets), trees), np.uint64)
-    for t in range(trees):
-        path = np.full(len(sets), np.uint64(t + 1))
-        for _ in range(depth):
-            a, b = rng.integers(0, 2**64, 2, dtype=np.uint64)
-            h = (flat ^ b) * (a | np.uint64(1))
-            path = mixed(path + np.minimum.reduceat(h ^ (h >> np.uint64(32)), first))
-        out[:, t] = path
+    out = np.empty((len(sets), trees * deepest), np.uint16)
+    for t in range(trees * deepest):
+        a, b = rng.integers(0, 2**32, 2, dtype=np.uint32)
+        h = np.minimum.reduceat((flat ^ b) * (a | np.uint32(1)), first)
+        out[:, t] = h ^ (h >> np.uint32(16))
     return out
 
 
-def signatures(docs: DataFrame, trees: int = TREES, depth: int | None = None, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """doc_id, s1 and s2 (a hash of the set of shingles) and the paths in all trees (null without words)."""
-    depth = depth or prefix_depth(threshold, trees, DEEPEST, recall)
+def signatures(docs: DataFrame, trees: int = TREES, deepest: int = DEEPEST, n: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, s1 and s2 (a hash of the set of shingles), labels (binary, tree by tree), sketch (PLANES bits of each minimum hash, plane by plane, 64 to a number) and met (longest prefix shared with the planted partner, null if there is none). Without words, all but doc_id, s1 and s2 are null."""
+    share = Fraction(str(threshold))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, sets = b.column(0), [shingles(t, n) for t in b.column(1).to_pylist()]
-            use = np.flatnonzero([len(s) > 0 for s in sets])
             s1, s2 = np.array([set_hash(s) for s in sets], np.int64).reshape(-1, 2).T
-            paths = [None] * len(sets)
-            if len(use):
-                labels = _labels([sets[i] for i in use], trees, depth).view(np.int64)
-                for i, row in zip(use, labels):
-                    paths[i] = row
-            yield pa.RecordBatch.from_arrays([ids, pa.array(s1), pa.array(s2), pa.array(paths, pa.list_(pa.int64()))], ["doc_id", "s1", "s2", "paths"])
+            labels, sketches, met = ([None] * len(sets) for _ in range(3))
+            use = [i for i, s in enumerate(sets) if len(s)]
+            if use:
+                found = _minima([sets[i] for i in use], trees, deepest)
+                bits = np.zeros((len(use), PLANES, -(-trees * deepest // 64) * 8), np.uint8)
+                for k in range(PLANES):
+                    packed = np.packbits((found >> k) & 1, axis=1)
+                    bits[:, k, : packed.shape[1]] = packed
+                for i, label, sketch in zip(use, found, bits.reshape(len(use), -1).view(np.int64)):
+                    labels[i], sketches[i] = label.tobytes(), sketch
+                partners = {k: p for k, i in enumerate(use) if s1[i] % PLANTED == 0 and (p := planted(sets[i], share)) is not None}
+                if partners:
+                    same = (_minima(list(partners.values()), trees, deepest) == found[list(partners)]).reshape(len(partners), trees, deepest)
+                    for k, longest in zip(partners, np.logical_and.accumulate(same, 2).sum(2).max(1)):
+                        met[use[k]] = int(longest)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(s1), pa.array(s2), pa.array(labels, pa.binary()), pa.array(sketches, pa.list_(pa.int64())), pa.array(met, pa.int32())], ["doc_id", "s1", "s2", "labels", "sketch", "met"])
 
     base = texts(docs, "doc_id", "text")
-    return small_batches(base).mapInArrow(run, "doc_id long, s1 long, s2 long, paths array<long>")
+    return small_batches(base).mapInArrow(run, "doc_id long, s1 long, s2 long, labels binary, sketch array<long>, met int")
+
+
+def _components_of_pairs(rows: list, linked: np.ndarray) -> np.ndarray:
+    """For each row the first row that it hangs together with."""
+    root = np.arange(len(rows))
+    while True:
+        lower = np.minimum(root, np.where(linked, root, len(rows)).min(1, initial=len(rows)))
+        lower = lower[lower]
+        if (lower == root).all():
+            return root
+        root = lower
+
+
+def _dealt(groups: DataFrame, size: DataFrame, key: str) -> DataFrame:
+    """Members of groups (key, rep) dealt to blocks by hash; every block meets itself and each other one once: key, blocks, low, high, side, rep. size: key, blocks."""
+    dealt = groups.join(size, key).select(key, "rep", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
+    dealt = dealt.select(key, "rep", "blocks", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return dealt.select(key, "blocks", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") > F.col("other")).cast("int").alias("side"), "rep")
+
+
+def _units(rows: DataFrame, unit: list[str]) -> DataFrame:
+    return small_batches(rows.repartition(*unit).sortWithinPartitions(*unit))
+
+
+def plausible_groups(signed: DataFrame, sets: DataFrame, depth: int, trees: int, deepest: int, threshold: float) -> DataFrame:
+    """node, component: sets that hang together by pairs that share a prefix and whose sketches don't rule the threshold out.
+
+    At each node the sketches are compared with that of the smallest member first. Nodes
+    whose members hang together by then, in all trees, are done; others are compared two
+    by two, in blocks. Only ids and sketches move.
+    """
+    hashes, longs = trees * deepest, -(-trees * deepest // 64)
+    unlike = (1 - threshold) * (1 - 0.5**PLANES)
+    apart = int(hashes * unlike + ERRORS * np.sqrt(hashes * unlike * (1 - unlike)))  # hashes in which a pair may differ
+    mine = signed.select(F.col("doc_id").alias("rep"), "s1", "s2", "labels", "sketch").filter(F.col("labels").isNotNull()).join(sets.select("rep", "s1", "s2"), ["rep", "s1", "s2"])
+    mine = materialize(mine.select("rep", "labels", "sketch"), "labels")
+    sketches = mine.select("rep", "sketch")
+    prefix = lambda t: F.xxhash64(t, F.substring("labels", t * (2 * deepest) + 1, F.lit(2 * depth)))
+    nodes = mine.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), prefix)).alias("path"))
+    shared = nodes.groupBy("path").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).filter("centre != last").select("path", "centre")
+    near = materialize(nodes.join(own_exchange(shared, "path"), "path"), "nodes")
+    star = near.filter("rep != centre").select("rep", "centre").distinct()
+    star = star.join(sketches, "rep").join(sketches.select(F.col("rep").alias("centre"), F.col("sketch").alias("other")), "centre")
+    plane = lambda i, k: F.col("sketch")[k * longs + i].bitwiseXOR(F.col("other")[k * longs + i])
+    differ = sum((F.bit_count(reduce(Column.bitwiseOR, (plane(i, k) for k in range(PLANES)))) for i in range(longs)), F.lit(0))
+    stars = connected_components(star.filter(differ <= apart).select(F.col("rep").alias("a"), F.col("centre").alias("b")))
+    of = F.coalesce("component", "rep")
+    placed = near.join(stars.withColumnRenamed("node", "rep"), "rep", "left")
+    node = placed.groupBy("path").agg(F.min(of).alias("low"), F.max(of).alias("high"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("members")).filter("low != high")
+    # nodes of equal members in several trees are one
+    open_ = materialize(node.groupBy("n", "members").agg(F.min("path").alias("path")).select("path", F.ceil(F.col("n") / SKETCHES).cast("int").alias("blocks")), "open")
+    if open_.isEmpty():
+        return stars
+    unit = ["path", "blocks", "low", "high"]
+    rows = _dealt(near.select("path", "rep"), own_exchange(open_, "path"), "path").join(sketches, "rep").select(*unit, "side", "rep", "sketch")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, members = None, {}
+
+        def flush() -> list[tuple[int, int]]:
+            found = sorted((rep, side, sketch) for (side, rep), sketch in members.items())
+            planes = np.unpackbits(np.array([r[2] for r in found], np.int64).view(np.uint8).reshape(len(found), PLANES, -1), axis=2)
+            values = sum(planes[:, k] << k for k in range(PLANES)).T.copy()  # a row for each hash
+            differ = np.zeros((len(found), len(found)), np.uint16)
+            for v in values:
+                differ += v[:, None] != v
+            linked = differ <= apart
+            np.fill_diagonal(linked, False)
+            if key[2] != key[3]:  # two blocks: pairs of one block are those of another unit
+                side = np.array([r[1] for r in found])
+                linked &= side[:, None] != side
+            root = _components_of_pairs(found, linked)
+            return [(found[i][0], found[r][0]) for i, r in enumerate(root) if i != r]
+
+        def out(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs)], ["a", "b"])
+
+        for b in batches:
+            for path, blocks, low, high, side, rep, sketch in zip(*(c.to_pylist() for c in b.columns)):
+                if key != (path, blocks, low, high):
+                    if members and (pairs := flush()):
+                        yield out(pairs)
+                    key, members = (path, blocks, low, high), {}
+                members[side, rep] = sketch
+        if members and (pairs := flush()):
+            yield out(pairs)
+
+    more = _units(rows, unit).mapInArrow(compare, "a long, b long")
+    return connected_components(more.union(stars.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
 
 def _within(rows: list[tuple], across: bool, share: Fraction) -> Iterator[tuple[int, int, int]]:
@@ -114,17 +243,16 @@ def _within(rows: list[tuple], across: bool, share: Fraction) -> Iterator[tuple[
         linked &= side[:, None] != side
     copies = np.array([r[2] for r in rows], np.int64)
     number = linked @ copies
-    root = np.arange(len(rows))
-    while True:
-        lower = np.minimum(root, np.where(linked, root, len(rows)).min(1, initial=len(rows)))
-        lower = lower[lower]
-        if (lower == root).all():
-            break
-        root = lower
+    root = _components_of_pairs(rows, linked)
     for i, r in enumerate(rows):
         yield r[1], int(number[i]), rows[root[i]][1]
 
 
+def measured_prefixes(signed: DataFrame) -> dict[int, int]:
+    """Longest prefix that a planted pair shares -> pairs."""
+    return {r["met"]: r["n"] for r in signed.filter(F.col("met").isNotNull()).groupBy("met").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each level
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL) -> DataFrame:
     """doc_id, class_id (smallest id among the documents linked to it, directly or by others; its own if none), n_links (other documents at the threshold).
 
@@ -134,28 +262,22 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     of these (the same in every run) stands for it. An empty table gives an empty result. Ids are whole
     numbers; other columns than id and text are not read.
 
-    Documents of equal sets are represented by one of them. Within a path, every set
-    is paired with the smallest id there alone, so candidates grow with the
-    number of sets; their components are compared in blocks, all pairs of them
-    inside tasks, and only sums and one edge for each set come out. No cap is set on
-    groups. Hot sets and paths are summed before they are shuffled.
+    Documents of equal sets are represented by one of them. Sets that meet in a trie are
+    told apart by sketches; those that hang together by pairs that may reach the
+    threshold are compared in blocks, all pairs of them inside tasks, and only sums and
+    one edge for each set come out. No cap is set on groups. Hot sets and nodes are
+    summed before they are shuffled.
     """
     base = texts(docs, id_col, text_col).select(F.col("doc_id").cast("long"), "text").filter("doc_id IS NOT NULL")
-    signed = materialize(signatures(base, trees, None, n, threshold, recall), "signatures")
+    signed = materialize(signatures(base, trees, DEEPEST, n, threshold), "signatures")
     members = signed.groupBy("doc_id").agg(F.min(F.struct("s1", "s2")).alias("s")).select("doc_id", "s.s1", "s.s2")
     sets = members.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     sets = materialize(sets, "sets")
-    paths = signed.select(F.col("doc_id").alias("rep"), "s1", "s2", "paths").join(sets, ["rep", "s1", "s2"]).select("rep", F.explode(F.array_distinct("paths")).alias("path")).distinct()
-    centre = paths.groupBy("path").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("path", "centre")
-    groups = connected_components(paths.join(own_exchange(centre, "path"), "path").filter("rep != centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")))
+    depth, _ = matched_prefix(measured_prefixes(signed), threshold, trees, DEEPEST, recall)
+    groups = plausible_groups(signed, sets, depth, trees, DEEPEST, threshold).withColumnRenamed("node", "rep")
+    groups = materialize(groups, "groups")
     size = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
-    dealt = groups.join(size, "component").select(F.col("node").alias("rep"), "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    # every block meets itself and each other one once
-    dealt = dealt.select("rep", "component", "blocks", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.join(sets.select("rep", "copies", "s1"), "rep").select(
-        "rep", "copies", "s1", "component", "blocks", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-        (F.col("block") > F.col("other")).cast("int").alias("side"),
-    )
+    dealt = _dealt(groups, size, "component").join(sets.select("rep", "copies", "s1"), "rep")
     units = dealt.join(base.withColumnRenamed("doc_id", "rep"), "rep")
     share = Fraction(str(threshold))
 
@@ -182,7 +304,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         yield from flush(True)
 
     unit = ["component", "blocks", "low", "high"]
-    compared = small_batches(units.select(*unit, "side", "rep", "copies", "s1", "text").repartition(*unit).sortWithinPartitions(*unit)).mapInArrow(compare, "rep long, links long, root long, open boolean")
+    compared = _units(units.select(*unit, "side", "rep", "copies", "s1", "text"), unit).mapInArrow(compare, "rep long, links long, root long, open boolean")
     compared = materialize(compared, "compared")
     links = compared.groupBy("rep").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.bool_or("open").alias("open"))
     closed = links.filter("NOT open AND links > 0").select("rep", "root")

@@ -1,4 +1,8 @@
 import random
+from fractions import Fraction
+
+import numpy as np
+import pytest
 
 from sparseloom.llm import jaccard_join
 from sparseloom.llm.components import connected_components
@@ -64,11 +68,58 @@ def test_repeated_and_missing_ids(make_docs, edges):
 
 
 def test_depth():
+    """Levels are taken off until the target is reached, by what was measured and by what is expected."""
     for trees in (8, 32, 64):
-        k = jaccard_join.prefix_depth(0.8, trees, 20, 0.999)
-        found = lambda d: 1 - (1 - 0.8**d) ** trees  # noqa: B023, E731
-        assert found(k) >= 0.999 or k == 1
-        assert found(k + 1) < 0.999
+        k, _ = jaccard_join.matched_prefix({}, 0.8, trees, 20, 0.999)
+        assert jaccard_join.chance(0.8, k, trees) >= 0.999 > jaccard_join.chance(0.8, k + 1, trees)
+    many = {12: 50_000, 9: 40_000, 8: 9_990, 7: 8, 3: 2}
+    assert jaccard_join.matched_prefix(many, 0.8, 32, 12, 0.9999) == (7, 1 - 2 / 100_000)  # deeper than expectation alone allows
+    assert jaccard_join.matched_prefix({12: 90_000, 4: 10_000}, 0.8, 32, 12, 0.9999)[0] == 4  # measured losses count
+    with pytest.raises(ValueError):
+        jaccard_join.matched_prefix({}, 0.5, 2, 12, 0.9999)
+
+
+def test_planted_pairs():
+    for n in (*range(1, 40), 100, 1000, 12345):
+        s = np.unique(np.random.default_rng(n).integers(0, 2**63, n, dtype=np.uint64))
+        p = jaccard_join.planted(s, Fraction(4, 5))
+        if p is None:
+            assert n < 5
+            continue
+        common = len(np.intersect1d(s, p))
+        assert 0.8 <= common / (len(s) + len(p) - common) < (0.8 + 2.5 / n if n > 9 else 1)
+
+
+def test_measured_recall(spark, small):
+    """The recall measured on planted pairs agrees with what chance predicts, and the prefix that is matched reaches the target."""
+    signed = jaccard_join.signatures(spark.read.parquet(f"{small}/documents.parquet")).cache()
+    met = jaccard_join.measured_prefixes(signed)
+    depth, recall = jaccard_join.matched_prefix(met, 0.8, jaccard_join.TREES, jaccard_join.DEEPEST, jaccard_join.RECALL)
+    assert recall >= 0.99 and depth >= 5 and sum(met.values()) > 5
+
+
+def test_templated_texts(make_docs, monkeypatch):
+    """Texts that share most of their words, no two of them at the threshold, meet in tries, but none is moved to be compared."""
+    template = words(50, 200, 5000)
+    rng = random.Random(9)
+    rows = [(i, " ".join(template[:130] + [f"own{i}x{k}" for k in range(80)] + template[130:])) for i in range(500)]
+    rows += [(1000 + i, rows[i][1] + " more words") for i in range(0, 500, 100)]
+    rng.shuffle(rows)
+    moved = []
+    real = jaccard_join._dealt
+    monkeypatch.setattr(jaccard_join, "_dealt", lambda groups, size, key: moved.append((key, groups.count())) or real(groups, size, key))
+    assert got(jaccard_join.jaccard_join(make_docs(rows))) == brute(rows)
+    assert dict(moved)["component"] == 10
+
+
+def test_sketches_in_blocks(make_docs, monkeypatch):
+    """Nodes of unlike members are compared in blocks; no link is lost however small the blocks are."""
+    template = words(51, 150, 5000)
+    rows = [(i, " ".join(template + [f"own{i // 3}x{k}" for k in range(60)] + [f"e{i}"] * (i % 3))) for i in range(150)]
+    want = brute(rows)
+    for size in (4, 40):
+        monkeypatch.setattr(jaccard_join, "SKETCHES", size)
+        assert got(jaccard_join.jaccard_join(make_docs(rows))) == want
 
 
 def test_components(spark):
