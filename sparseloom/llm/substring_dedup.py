@@ -2,11 +2,19 @@
 
 Every window of WINDOW words holds one anchor: its ANCHOR-word sequence of the
 smallest hash (the first of equal ones). Neighbouring windows mostly share theirs; a
-stretch of windows with one anchor is a run. Equal windows have equal anchors at equal
-offsets, so documents are joined on anchors, and runs of one anchor are compared: a
-run whose whole stretch of words occurs again is a repeat at once, the ends of a
-repeat are found window by window among the different runs of its anchor. The union
-of repeated windows is the set of maximal repeats of at least WINDOW words.
+stretch of windows with one anchor is a run, an anchor with the words around it that a
+match through it can take up. Equal windows have equal anchors at equal offsets, so
+documents are joined on anchors, and matches are extended from there for all
+occurrences of an anchor at once, as one by one would take all pairs of a hot anchor:
+
+* to the whole run: occurrences whose stretches of words are equal match over all of
+  it, to both sides, and go on in the runs beside it;
+* where stretches differ, a match ends within the run: the words from k before the
+  anchor to WINDOW - ANCHOR - k after it are compared by hash for each k, so that of
+  all ways to extend a match to the least length none is missed.
+
+Extended matches that touch are one: their union is the set of maximal repeats of at
+least WINDOW words, which come out as spans.
 """
 
 from __future__ import annotations
@@ -97,18 +105,13 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def find_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Repeated windows: id, version, first (window of a run), mask (bit k: the window first + k occurs elsewhere too)."""
     base = _keyed(docs, id_col, text_col)
-    signed = lambda x: pa.array(x.view(np.int64))
-    anchors = _scan(base, window, lambda r, b: pa.RecordBatch.from_arrays([signed(r.anchor)], ["anchor"]), "anchor long")
-    repeated = materialize(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "anchors")
-    sent = docs.sparkSession.sparkContext.broadcast(bit_filter(repeated, "anchor"))
 
     def occurrences(r: Runs, b: pa.RecordBatch) -> pa.RecordBatch:
-        use = np.flatnonzero(sent.value.passes(r.anchor))
-        row = pa.array(r.doc[use])
-        return pa.RecordBatch.from_arrays([signed(r.anchor[use]), signed(r.stretch[use]), b.column(0).take(row), b.column(1).take(row), pa.array(r.at[use])], ["anchor", "stretch", "id", "version", "at"])
+        row = pa.array(r.doc)
+        return pa.RecordBatch.from_arrays([signed(r.anchor), signed(r.stretch), b.column(0).take(row), b.column(1).take(row), pa.array(r.at)], ["anchor", "stretch", "id", "version", "at"])
 
-    seen = _scan(base, window, occurrences, "anchor long, stretch long, id long, version long, at long")
-    seen = materialize(seen.join(repeated, "anchor"), "runs")
+    signed = lambda x: pa.array(x.view(np.int64))
+    seen = materialize(_scan(base, window, occurrences, "anchor long, stretch long, id long, version long, at long"), "runs")
     # a class: runs of one anchor with equal words; its number of runs and one of them
     classes = materialize(seen.groupBy("anchor", "stretch").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "version", "at")).alias("one")), "classes")
     whole = seen.join(classes.filter("n > 1").select("anchor", "stretch"), ["anchor", "stretch"])
@@ -148,9 +151,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     their own, so each repeats the other. A row without an id is treated like others.
     An empty table gives an empty result; columns besides id and text are not read.
 
-    Texts are scanned three times but shuffled once. Anchors are counted with sums
-    before the shuffle; filters of bounded size keep anchors that occur once from
-    being shuffled again; a hot anchor is a key that joins can split, and no list of
+    Texts are scanned twice but shuffled once. Runs are counted with sums before the
+    shuffle; a filter of bounded size keeps most runs that need no further look out of
+    the second scan's output; a hot anchor is a key that joins can split, and no list of
     its occurrences is gathered anywhere.
     """
     marks = materialize(find_repeats(docs, window, id_col, text_col), "marks")
