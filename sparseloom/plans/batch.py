@@ -107,7 +107,8 @@ def batch_step(samples: DataFrame, model: Model) -> tuple[Model, DataFrame]:
             joined = joined.join(side, [a, f], "left").withColumns(_factor_state(p, F.col(a), F.col(f))).withColumn(v, _vector_weight(p, "n", "z")).drop("n", "z")
         crossed = joined.groupBy("seq").agg(F.sum(dot(F.col("vi"), F.col("vj")) * F.col("xx")).alias("crossed"))
         sums = sums.join(crossed, "seq", "left").select("seq", "y", (F.col("logit") + F.coalesce("crossed", F.lit(0.0))).alias("logit"))
-    scored = sums.withColumn("e", sigmoid(F.col("logit")) - F.col("y"))
+    # losses and the gradients of each table go on from what is scored
+    scored = materialize(sums.withColumn("e", sigmoid(F.col("logit")) - F.col("y")), "scored")
     errors = scored.select("seq", "e")
     linear = _updated_linear(model, linear_gradients(inside, errors))
     factors = None

@@ -30,6 +30,14 @@ def stream_lines(spark: SparkSession, path: str, files_per_batch: int = 1) -> Da
     return spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path)
 
 
+def _readable(batch: DataFrame, path: str, file_type: str, mode: str) -> DataFrame:
+    """The samples of a batch, kept in path: lines are parsed and keys drawn once. Lines that a tolerant mode passes over are left out."""
+    keyed = batch.select(F.monotonically_increasing_id().alias("seq"), "value")
+    samples = parse_samples(keyed, file_type, mode).filter(F.col("y").isNotNull()).select("seq", "y", "x")
+    samples.write.mode("overwrite").parquet(path)
+    return batch.sparkSession.read.schema(samples.schema).parquet(path)
+
+
 def train_stream(lines: DataFrame, p: Params, file_type: str, checkpoint: str, models: str, start: Model | None = None, mode: str = "FAILFAST") -> DataFrame:
     """Run the stream over all that is there: losses of its batches, as batch_id, loss (mean, before the step) and n. Models go to models/<batch id>.
 
@@ -42,11 +50,7 @@ def train_stream(lines: DataFrame, p: Params, file_type: str, checkpoint: str, m
     def step(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         model = _read(session, f"{models}/{batch_id - 1}", p) if batch_id else first
-        keyed = batch.select(F.monotonically_increasing_id().alias("seq"), "value")
-        batch_path = f"{models}/input-{batch_id}"
-        keyed.write.mode("overwrite").parquet(batch_path)  # keys are drawn once
-        samples = parse_samples(session.read.schema("seq long, value string").parquet(batch_path), file_type, mode)
-        new, losses = batch_step(samples.filter(F.col("y").isNotNull()), model)
+        new, losses = batch_step(_readable(batch, f"{models}/input-{batch_id}", file_type, mode), model)
         mean_loss(losses, p.strict_loss).select(F.lit(batch_id).cast("long").alias("batch_id"), "loss", "n").write.mode("overwrite").parquet(f"{models}/losses/batch={batch_id}")
         new.linear.write.mode("overwrite").parquet(f"{models}/{batch_id}/linear")
         if new.factors is not None:
@@ -82,10 +86,8 @@ def evaluate_stream(lines: DataFrame, model: Model, file_type: str, checkpoint:
     """Losses of a stream under a fixed model, batch by batch: batch_id, loss, n."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        path = f"{out}/input-{batch_id}"
-        batch.select(F.monotonically_increasing_id().alias("seq"), "value").write.mode("overwrite").parquet(path)
-        samples = parse_samples(batch.sparkSession.read.schema("seq long, value string").parquet(path), file_type, mode)
-        mean_loss(logits(samples.filter(F.col("y").isNotNull()), model), model.params.strict_loss).select(F.lit(batch_id).cast("long").alias("batch_id"), "loss", "n").write.mode("overwrite").parquet(f"{out}/losses/batch={batch_id}")
+        samples = _readable(batch, f"{out}/input-{batch_id}", file_type, mode)
+        mean_loss(logits(samples, model), model.params.strict_loss).select(F.lit(batch_id).cast("long").alias("batch_id"), "loss", "n").write.mode("overwrite").parquet(f"{out}/losses/batch={batch_id}")
 
     lines.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return lines.sparkSession.read.schema("batch_id long, loss double, n long").parquet(f"{out}/losses/*")
