@@ -101,37 +101,37 @@ class Ranks:
         row = np.arange(n)
         pair = self.join(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(n, width)
         while len(row):
-            best = pair.min(1)
+            c = pair.argmin(1)  # the first of equal ones
+            r = np.arange(len(row))
+            best = pair[r, c]
             more = best != NONE
             if not more.all():
                 for i in np.flatnonzero(~more):
                     out[row[i]] = ids[i, : lengths[i]].copy()
-                ids, pair, row, best, lengths = ids[more], pair[more], row[more], best[more], lengths[more]
+                ids, pair, row, best, lengths, c = ids[more], pair[more], row[more], best[more], lengths[more], c[more]
                 if not len(row):
                     break
-            hit = pair == best[:, None]
-            first = hit.argmax(1)
-            alone = np.flatnonzero(self.unsafe[best])
-            hit[alone] = False
-            hit[alone, first[alone]] = True
-            if (hit[:, 1:] & hit[:, :-1]).any():  # of overlapping pairs every second one, from the left
-                before = np.maximum.accumulate(np.where(hit, -1, columns[:width]), 1)
-                hit &= (columns[:width] - before) % 2 == 1
-            r, c = np.nonzero(hit)
+                r = np.arange(len(row))
+            if width > WIDTHS[-1]:  # short rows seldom have a second pair of the rank
+                r, c = self._leftmost(pair, best, c)
             ids[r, c] = best[r]
             # compaction: the second id of each pair goes, what follows moves to the left
             if len(r) == len(row):
                 at, take = c, np.minimum(columns + (columns > c[:, None]), width)
+                lengths = lengths - 1
             else:
                 gone = np.zeros(ids.shape, np.uint8)
                 gone[r, c + 1] = 1
                 take = np.argsort(gone, 1, kind="stable")
                 at = c - (np.arange(len(r)) - np.searchsorted(r, r))
-            lengths = lengths - np.bincount(r, minlength=len(row))
+                lengths = lengths - np.bincount(r, minlength=len(row))
             ids = np.take_along_axis(ids, take, 1)
-            ids[columns >= lengths[:, None]] = -1
             pair = np.take_along_axis(pair, np.minimum(take[:, :width], width - 1), 1)
-            pair[columns[:width] >= lengths[:, None] - 1] = NONE
+            if len(r) == len(row):
+                ids[:, width], pair[:, width - 1] = -1, NONE
+            else:
+                ids[columns >= lengths[:, None]] = -1
+                pair[columns[:width] >= lengths[:, None] - 1] = NONE
             pair[r, at] = self.join(ids[r, at], ids[r, at + 1])
             left = at > 0
             r, at = r[left], at[left]
@@ -142,6 +142,18 @@ class Ranks:
                 ids, pair = ids[:, : width + 1].copy(), pair[:, :width].copy()
         return out
 
+    def _leftmost(self, pair: np.ndarray, best: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and columns of the first pair of the best rank, and of the next ones of that rank that can be joined in the same round."""
+        hit = pair == best[:, None]
+        alone = np.flatnonzero(self.unsafe[best])
+        hit[alone] = False
+        hit[alone, first[alone]] = True
+        if (hit[:, 1:] & hit[:, :-1]).any():  # of overlapping pairs every second one, from the left
+            columns = np.arange(pair.shape[1])
+            before = np.maximum.accumulate(np.where(hit, -1, columns), 1)
+            hit &= (columns - before) % 2 == 1
+        return np.nonzero(hit)
+
     def encode(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each piece as little-endian unsigned 32-bit integers."""
         out: list[bytes] = [b""] * len(pieces)

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from sparseloom.llm.common import read_table, shared_path, small_batches, texts
 from sparseloom.llm.pieces import Encoder
+from sparseloom.storage import remove_at_end
 
 #: Fixed values of the format.
 MASK = 0xA282EAD8
@@ -252,6 +253,8 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, index_path = shared_path(spark, "records"), shared_path(spark, "records-index")
     write_records(read_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     write_index(spark, path, index_path)
+    remove_at_end(spark, path)
+    remove_at_end(spark, index_path)
     index = spark.read.parquet(index_path)  # what was read back from the files
     out = with_global_start(index, index)
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
