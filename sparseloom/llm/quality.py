@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparseloom.llm.common import read_table, small_batches, texts
+from sparseloom.llm.common import materialize, read_table, small_batches, texts
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -164,7 +164,8 @@ def ablations(ledger_: DataFrame, policy: Policy) -> DataFrame:
 
 
 def op2_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = apply_policy(ledger(read_table(spark, sf_dir, "documents")), STANDARD)
+    stored = materialize(ledger(read_table(spark, sf_dir, "documents")), "ledger")  # policies come and go, rules are evaluated once
+    judged = apply_policy(stored, STANDARD)
     base_failed = F.col("fail_bits").bitwiseAND(F.lit(BASE.mask).cast("long")) != 0
     return judged.select("doc_id", *MEASURES[:5], base_failed.alias("base_failed"), "kept", "fail_bits", "n_upper", "n_lines")
 
