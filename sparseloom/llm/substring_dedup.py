@@ -112,27 +112,28 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
 
     signed = lambda x: pa.array(x.view(np.int64))
     seen = materialize(_scan(base, window, occurrences, "anchor long, stretch long, id long, version long, at long"), "runs")
-    # a class: runs of one anchor with equal words; its number of runs and one of them
-    classes = materialize(seen.groupBy("anchor", "stretch").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "version", "at")).alias("one")), "classes")
+    # a class: runs of one anchor with equal words; its number of runs and the place of one of them, as a hash
+    place = F.col("version").bitwiseXOR(F.shiftleft("at", 36))
+    classes = materialize(seen.groupBy("anchor", "stretch").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("one")), "classes")
     whole = seen.join(classes.filter("n > 1").select("anchor", "stretch"), ["anchor", "stretch"])
     whole = whole.select("id", "version", F.shiftright("at", _TAIL).alias("first"), F.expr(f"shiftleft(1L, cast(at & {(1 << _TAIL) - 1} AS int) + 1) - 1").alias("mask"))
     # runs that occur once, and one run of each class that they may share windows with
     unclear = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).filter("k > 1 AND least = 1").select("anchor")
-    tests = materialize(classes.join(unclear, "anchor").select("anchor", "n", "one.id", "one.version", "one.at"), "tests")
-    spread = F.col("version").bitwiseXOR(F.shiftleft("at", 36))
-    wanted = docs.sparkSession.sparkContext.broadcast(bit_filter(tests.select(spread.alias("h")), "h"))
+    tests = materialize(classes.join(unclear, "anchor").select("anchor", "n", "one"), "tests")
+    wanted = docs.sparkSession.sparkContext.broadcast(bit_filter(tests, "one"))
 
     def windows(r: Runs, b: pa.RecordBatch) -> pa.RecordBatch:
-        version = b.column(1).to_numpy()
-        use = np.flatnonzero(wanted.value.passes((version[r.doc] ^ (r.at << 36)).view(np.uint64)))
+        one = b.column(1).to_numpy()[r.doc] ^ (r.at << 36)
+        use = np.flatnonzero(wanted.value.passes(one.view(np.uint64)))
         row = pa.array(r.doc[use])
         hashes = [r.windows(i).view(np.int64) for i in use]
         ends = pa.array(np.cumsum([0, *map(len, hashes)]), pa.int32())
         flat = pa.array(np.concatenate([*hashes, np.zeros(0, np.int64)]))
-        return pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(r.at[use]), pa.ListArray.from_arrays(ends, flat)], ["id", "version", "at", "windows"])
+        return pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(r.at[use]), pa.array(one[use]), pa.ListArray.from_arrays(ends, flat)], ["id", "version", "at", "one", "windows"])
 
-    hashed = _scan(base, window, windows, "id long, version long, at long, windows array<long>").distinct()
-    tested = materialize(hashed.join(tests, ["id", "version", "at"]), "windows")
+    # a run of a row that is there twice comes twice, but is of a class of more than one run then, whose windows are only looked up
+    hashed = _scan(base, window, windows, "id long, version long, at long, one long, windows array<long>")
+    tested = materialize(hashed.join(tests, "one").drop("one"), "windows")
     each = tested.select("anchor", "n", "id", "version", F.shiftright("at", _TAIL).alias("first"), F.posexplode("windows").alias("k", "hash"))
     again = each.groupBy("anchor", "hash").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("anchor", "hash")
     ends = each.filter("n = 1").join(own_exchange(again, "anchor", "hash"), ["anchor", "hash"]).groupBy("id", "version", "first").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("mask"))
