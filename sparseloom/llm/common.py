@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparseloom.storage import materialize, shared_path
 
-__all__ = ["BitFilter", "bit_filter", "hash128", "materialize", "own_exchange", "read_table", "shared_path", "small_batches", "texts"]
+__all__ = ["BitFilter", "bit_filter", "hash128", "materialize", "own_exchange", "read_table", "shared_path", "sliced", "small_batches", "texts"]
 
 #: Rows of one Arrow batch handed to Python; long texts make small batches the safer choice.
 BATCH_ROWS = 1000
@@ -27,6 +30,14 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most so many rows, and of about so many bytes where several rows have them: what a worker makes of texts is bounded whatever the session's batch size."""
+    for b in batches:
+        step = max(1, min(rows, b.num_rows * size // max(1, b.nbytes)))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
+
+
 def own_exchange(sums: DataFrame, *keys: str) -> DataFrame:
     """Sums by keys (64-bit numbers, never null) that are about to meet the rows they were made from.
 
