@@ -54,13 +54,64 @@ MAIN_WORDS = frozenset("article body content entry main maincontent post postbod
 NEUTRAL = frozenset("area bar block body box container content entry group holder inner item items links list panel posts row section slot text thread top unit wrap wrapper".split())
 STATES = frozenset("has is no non not with without".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+#: Of HTML elements, those whose start ends an svg or math element around them. Fixed values.
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+_PLAIN = re.compile(r"[^>\"']*")
 _HINT = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none", re.I)
 _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 NONE, SIDE, TALK, MAIN = range(4)
 
 
+class Tags:
+    """The tags of a page, one after another, in time linear in its length.
+
+    A tag ends at the first > outside quotes; a quote that is never closed counts as
+    any other character. Where quotes swallow every > up to the end, tags from there on
+    end at the first >. Without a > what looks like a tag is text.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {q: page.rfind(q) for q in "\"'>"}
+        self.quotes = True
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """Start, end, whether it closes, name ('' for comments and declarations) and attributes of the first tag from a place on."""
+        page, last = self.page, self.last[">"]
+        while True:
+            start = page.find("<", at)
+            if start < 0:
+                return None
+            if page.startswith("<!--", start):
+                stop = page.find("-->", start + 4)
+                return start, len(page) if stop < 0 else stop + 3, False, "", ""
+            if start > last:
+                return None if page.find("<!--", start) < 0 else self.next(page.find("<!--", start))
+            if page[start + 1] in "!?":
+                return start, page.find(">", start) + 1, False, "", ""
+            name = _NAME.match(page, start + 1)
+            if name:
+                stop = self._stop(name.end())
+                return start, stop + 1, page[start + 1] == "/", name[1], page[name.end() : stop]
+            at = start + 1
+
+    def _stop(self, at: int) -> int:
+        page, first = self.page, at
+        while self.quotes:
+            at = _PLAIN.match(page, at).end()
+            if at >= len(page):
+                self.quotes = False
+            elif page[at] == ">":
+                return at
+            else:
+                at = (page.find(page[at], at + 1) if at < self.last[page[at]] else at) + 1
+        return page.find(">", first)
+
+
 @dataclass
 class Block:
     words: list[str] = field(default_factory=list)
@@ -128,18 +179,21 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
         if number >= 0:
             held[number] = total - held[number]
 
-    at, end = 0, len(page)
+    at, end, tags = 0, len(page), Tags(page)
     while at < end:
-        m = _TAG.search(page, at)
+        m = tags.next(at)
         if not m:
             break
-        if m.start() > at and not unseen:
-            parts.append((page[at : m.start()], link))
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        start, stop, closing, tag, attributes = m
+        if start > at and not unseen:
+            parts.append((page[at:start], link))
+        at, tag = stop, tag.lower()
         if not tag:
             continue
-        closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
+        if tag in BREAKOUT and not closing and not count["foreignobject"]:
+            for foreign in ("svg", "math"):
+                while count[foreign]:
+                    close()
         if tag == "br":
             parts.append((" ", link))
             continue
@@ -164,9 +218,16 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
             continue
         if tag in HEADINGS or tag == "p":
             heading = tag != "p"
+        if tag == "a" and count["a"]:  # links don't hold links
+            while stack[-1][0] != "a" and stack[-1][0] not in BLOCK:
+                close()
+            if stack[-1][0] == "a":
+                close()
+        if tag in SIBLINGS and len(stack) > 1 and stack[-1][0] == "a" and stack[-2][0] == tag:
+            close()
         if tag in SIBLINGS and stack and stack[-1][0] == tag:  # ends where the next one starts
             close()
-        elif tag not in BLOCK and tag not in UNSEEN and tag != "a" and "=" not in attributes and "hidden" not in attributes:
+        elif tag not in BLOCK and tag not in UNSEEN and tag not in ("a", "foreignobject") and "=" not in attributes and "hidden" not in attributes:
             continue  # inline markup
         kind = element_kind(tag, attributes, around[3]) if tag != "a" else NONE
         stack.append((tag, len(held) if kind in (SIDE, TALK) else -1, around, unseen, link))
@@ -187,7 +248,7 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
 
 FEATURES = (
     "words", "link", "words_before", "link_before", "words_after", "link_after", "words_before_2", "link_before_2", "words_after_2", "link_after_2",
-    "text_before", "text_after", "of_longest", "heading", "listed", "near_side", "near_talk", "near_main", "in_main", "side_share", "talk_share", "main_share",
+    "text_before", "text_after", "of_longest", "heading", "listed", "title_after", "near_side", "near_talk", "near_main", "in_main", "side_share", "talk_share", "main_share",
 )
 #: Words of a block of running text, and its largest link density.
 LONG, LINKED = 12, 0.34
@@ -209,10 +270,12 @@ def features(found: list[Block], held: list[int]) -> np.ndarray:
     near = np.array([b.near for b in found])
     main = np.array([b.main for b in found], float)
     inside = np.array([0, *held]) / total
+    headed = np.array([b.heading for b in found], float)
+    first = int(headed.argmax()) if headed.any() else 0  # blocks before it have a title still to come
     return np.stack([
         w, link[2:-2], words[1:-3], link[1:-3], words[3:-1], link[3:-1], words[:-4], link[:-4], words[4:], link[4:],
         before / total, (text.sum() - before - text) / total, w / w.max(),
-        np.array([b.heading for b in found], float), np.array([b.listed for b in found], float),
+        headed, np.array([b.listed for b in found], float), np.arange(n) < first,
         near == SIDE, near == TALK, near == MAIN, main,
         inside[[b.side + 1 for b in found]], inside[[b.talk + 1 for b in found]], np.full(n, (w * main).sum() / total),
     ], 1)
@@ -221,7 +284,7 @@ def features(found: list[Block], held: list[int]) -> np.ndarray:
 class DecisionTree:
     """Splits that lower the Gini impurity most, to a depth; leaves hold the majority."""
 
-    def __init__(self, depth: int = 9, least: int = 6):
+    def __init__(self, depth: int = 11, least: int = 6):
         self.depth, self.least = depth, least
         self.column, self.limit, self.low, self.high, self.value = [], [], [], [], []
 
@@ -279,7 +342,9 @@ NAMES = {
 }
 TAGS = {"top": ("nav", "header"), "side": ("aside",), "foot": ("footer",), "ad": ("aside",), "notice": ("dialog", "aside"), "more": ("nav", "aside"), "talk": ("section",), "main": ("article", "main")}
 #: Pages of the labelled table, and where its random choices start.
-PAGES, SEED = 1000, 3
+PAGES, SEED = 3000, 3
+#: Of how many labelled pages one is there a second time without any hint.
+BARE = 7
 
 
 def labelled_pages(n: int = PAGES, seed: int = SEED, themes: tuple[str, ...] = ("tags", "classes", "mixed", "none", "wrapped")) -> list[str]:
@@ -313,6 +378,8 @@ def labelled_pages(n: int = PAGES, seed: int = SEED, themes: tuple[str, ...] = (
 
     def article(marked: bool, mark) -> str:
         out = [f"<h1>{words('keep', size(6, 0.7, 20))}</h1>"] if rng.random() < 0.85 else []
+        if out and rng.random() < 0.04:
+            out.insert(0, text("keep", rng.randint(1, 6)))
         if rng.random() < 0.2:
             out.append(text("keep", rng.randint(2, 6)))
         middle = rng.choice((4, 12, 30, 45, 60))
@@ -348,9 +415,10 @@ def labelled_pages(n: int = PAGES, seed: int = SEED, themes: tuple[str, ...] = (
         def maybe(chance: float, part) -> str:
             return part() if rng.random() < chance else ""
 
-        def ad() -> str:
-            k = size(8, 0.6, 20 if marked else 9)
-            return mark("ad", text("drop", k, rng.choice((0, 0, k // 2, k)) if marked else k))
+        def ad(told: bool = marked) -> str:
+            """Where nothing tells of it, wholly a link."""
+            k = size(8, 0.6, 20 if told else 9)
+            return mark("ad", text("drop", k, rng.choice((0, 0, k // 2, k)) if told else k))
 
         def form() -> str:
             fields = "".join(f"<label>{words('drop', rng.randint(1, 2))}</label><input name=x>" for _ in range(rng.randint(1, 3)))
@@ -370,8 +438,9 @@ def labelled_pages(n: int = PAGES, seed: int = SEED, themes: tuple[str, ...] = (
             return mark("foot", maybe(0.4, lambda: links(rng.randint(2, 7), 3)) + text("drop", k, rng.choice((0, 0, k // 3, k))))
 
         top = maybe(0.2, lambda: mark("top", words("drop", rng.randint(1, 6)))) + maybe(0.9, lambda: mark("top", links(rng.randint(3, 12), 3)))
-        top += maybe(0.4, ad) + maybe(0.15 * marked, lambda: mark("notice", text("drop", size(14, 0.5, 30), rng.randrange(3))))
         main = article(marked, mark)
+        titled = main.startswith("<h1")  # what stands above a title tells of itself
+        top += maybe(0.4, lambda: ad(marked or titled)) + maybe(0.15 * marked, lambda: mark("notice", text("drop", size(14, 0.5, 30), rng.randrange(3))))
         if marked and rng.random() < 0.8:
             main = mark("main", main)
         left, right = (maybe(0.25, side) for _ in range(2))
@@ -401,14 +470,22 @@ def labelled_pages(n: int = PAGES, seed: int = SEED, themes: tuple[str, ...] = (
 
 
 def train_tree(pages: list[str] | None = None) -> DecisionTree:
-    rows, labels = [], []
-    for page in pages or labelled_pages():
+    rows, labels, hints = [], [], FEATURES.index("near_side")
+    for i, page in enumerate(pages or labelled_pages()):
         found, held = blocks(page)
         rows.append(features(found, held))
         labels += [b.words[0] == "keep" for b in found]
+        if i % BARE == 0:  # as if all its names were unknown
+            rows.append(np.where(np.arange(len(FEATURES)) < hints, rows[-1], 0))
+            labels += [b.words[0] == "keep" for b in found]
     return DecisionTree().fit(np.concatenate(rows), np.array(labels))
 
 
+@lru_cache(1)
+def default_tree() -> DecisionTree:
+    return train_tree()
+
+
 def main_text(page: str | None, tree: DecisionTree) -> str:
     found, held = blocks(page or "")
     if not found:
@@ -423,7 +500,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     that is cut off or nested wrongly is read as far as it goes. Equal rows get equal
     results; null ids and urls pass through. No shuffle.
     """
-    sent = pages.sparkSession.sparkContext.broadcast(tree or train_tree())  # some dozens of nodes
+    sent = pages.sparkSession.sparkContext.broadcast(tree or default_tree())  # some hundred nodes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grown = sent.value
