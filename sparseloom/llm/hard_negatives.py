@@ -32,7 +32,7 @@ _SLACK = 1e-9
 
 
 def prepare(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """id, label, vec (whole numbers, floor(256 x)) and len, without rows that take no part.
+    """id, label, vec (whole numbers, floor(256 x)), tag (a hash of vec, which tells rows of one id and label apart) and len, without rows that take no part.
 
     Those are rows with a null label, id or vector, or any null or non-finite component.
     Rows that agree in id, label and vector are one row.
@@ -42,7 +42,7 @@ def prepare(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     whole = F.transform("v", lambda c: F.rint(F.lit(256.0) * c - F.pmod(F.lit(256.0) * c, F.lit(1.0))) + F.lit(0.0))
     ok = x.filter(F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull()).filter(finite)
     length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, c: s + c * c))
-    return ok.select("id", "label", whole.alias("vec")).distinct().withColumn("len", length)
+    return ok.select("id", "label", whole.alias("vec")).distinct().withColumns({"len": length, "tag": F.xxhash64("vec")})
 
 
 def _class_of(df: DataFrame) -> DataFrame:
@@ -67,7 +67,7 @@ def buckets(rows: DataFrame, group: Column, queries: DataFrame, query_group: Col
     before = Window.partitionBy("grp").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, -1)  # some thousand lengths at most
     first = sizes.join(asked, "grp").withColumn("first", F.coalesce(F.sum("parts").over(before), F.lit(0)))
     met = r.join(own_exchange(first, "grp"), ["grp", "level"])
-    return met.select("grp", (F.col("first") + F.pmod(F.xxhash64("vec", "id"), F.col("parts"))).alias("no"), "blocks", "id", "label", "vec", "len")
+    return met.select("grp", (F.col("first") + F.pmod(F.xxhash64("vec", "id"), F.col("parts"))).alias("no"), "blocks", "id", "tag", "label", "vec", "len")
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -128,22 +128,22 @@ class Lists:
         return np.flatnonzero(met == len(chosen))
 
 
-def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -score if score.dtype != object else np.array([-s for s in score], object)))[:k]
+def _best(score: np.ndarray, ids: np.ndarray, tags: np.ndarray, k: int) -> np.ndarray:
+    return np.lexsort((tags, ids, -score if score.dtype != object else np.array([-s for s in score], object)))[:k]
 
 
 def _search_bucket(left: pa.Table, right: pa.Table, k: int, same: bool) -> pa.Table:
     """The first k rows of a bucket in each window of each anchor."""
     width = max((len(v) for v in left.column("vec")), default=0)
-    lists, ids, labels = Lists(_matrix(right.column("vec"), width)), right.column("id").to_numpy(), right.column("label").to_numpy()
-    out: tuple[list, ...] = ([], [], [], [], [])
+    lists, ids, tags, labels = Lists(_matrix(right.column("vec"), width)), *(right.column(c).to_numpy() for c in ("id", "tag", "label"))
+    out: tuple[list, ...] = ([], [], [], [], [], [])
     for h1, h2, q, label, windows in zip(*(left.column(c).to_pylist() for c in ("h1", "h2")), _matrix(left.column("vec"), width), *(left.column(c).to_pylist() for c in ("label", "windows"))):
         lows = [w["low"] for w in windows]
         found = lists.candidates(q, -math.inf if None in lows else float(min(lows)))
         found = found[(labels[found] == label) == same]
         if not len(found):
             continue
-        score, its = products(lists.vec[found], q), ids[found]
+        score, its, tag = products(lists.vec[found], q), ids[found], tags[found]
         for w in windows:
             inside = np.ones(len(found), bool)
             if w["low"] is not None:
@@ -151,17 +151,17 @@ def _search_bucket(left: pa.Table, right: pa.Table, k: int, same: bool) -> pa.Ta
             if w["high"] is not None:
                 inside &= score <= w["high"]
             at = np.flatnonzero(inside)
-            at = at[_best(score[at], its[at], k)]
-            for c, x in zip(out, ([h1] * len(at), [h2] * len(at), [w["no"]] * len(at), its[at].tolist(), [int(s) for s in score[at]])):
+            at = at[_best(score[at], its[at], tag[at], k)]
+            for c, x in zip(out, ([h1] * len(at), [h2] * len(at), [w["no"]] * len(at), its[at].tolist(), tag[at].tolist(), [int(s) for s in score[at]])):
                 c.extend(x)
-    return pa.table({n: pa.array(c, pa.int32() if n == "w" else pa.int64()) for n, c in zip(("h1", "h2", "w", "id", "score"), out)})
+    return pa.table({n: pa.array(c, pa.int32() if n == "w" else pa.int64()) for n, c in zip(("h1", "h2", "w", "id", "tag", "score"), out)})
 
 
-_FOUND = "h1 long, h2 long, w int, id long, score long"
+_FOUND = "h1 long, h2 long, w int, id long, tag long, score long"
 
 
 def search(queries: DataFrame, dealt: DataFrame, k: int, same: bool, group: Column) -> DataFrame:
-    """For each window of each query the first k rows (score descending, then id) of its group with a score within it: h1, h2, w, id, score.
+    """For each window of each query the first k rows (score descending, then id) of its group with a score within it: h1, h2, w, id, tag, score.
 
     queries: h1, h2 (their key), label, vec, len, windows, an array of (no, low, high) with
     a null bound where there is none. dealt: what buckets() made. same: whether rows of the
@@ -176,7 +176,7 @@ def search(queries: DataFrame, dealt: DataFrame, k: int, same: bool, group: Colu
     asked = materialize(asked.join(own_exchange(spans, "grp"), "grp").withColumn("block", F.pmod(F.xxhash64("h1", "h2"), F.col("blocks"))), "queries")
     found = spark.createDataFrame([], _FOUND)
     low, high = 0, 1
-    order = Window.partitionBy("h1", "h2", "w").orderBy(F.desc("score"), "id")
+    order = Window.partitionBy("h1", "h2", "w").orderBy(F.desc("score"), "id", "tag")
     while most is not None and low <= most:
         reached = found.groupBy("h1", "h2", "w").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).filter(F.col("n") >= k)
         reached = reached.groupBy("h1", "h2").agg(F.map_from_entries(F.collect_list(F.struct("w", "least"))).alias("least"))
@@ -185,11 +185,11 @@ def search(queries: DataFrame, dealt: DataFrame, k: int, same: bool, group: Colu
         steps = F.explode(F.sequence(F.lit(low).cast("long"), F.least(F.col("last"), F.lit(high - 1).cast("long")))).alias("no")
         left = now.select("grp", "block", steps, "h1", "h2", "label", "vec", raised.alias("windows"))
         some = dealt.filter((F.col("no") >= low) & (F.col("no") < high))
-        right = some.select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - F.lit(1).cast("long"))).alias("block"), "no", "id", "label", "vec")
+        right = some.select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - F.lit(1).cast("long"))).alias("block"), "no", "id", "tag", "label", "vec")
         keys = ("grp", "block", "no")
         met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda a, b: _search_bucket(a, b, k, same), _FOUND)
         best = found.union(met).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-        found = materialize(best.select("h1", "h2", "w", "id", "score"), "found")
+        found = materialize(best.select("h1", "h2", "w", "id", "tag", "score"), "found")
         low, high = high, high * GROWTH
     return found
 
@@ -210,26 +210,26 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, n_positives: int = POS
     """
     rows = materialize(_class_of(vectors), "vectors")
     part = Window.partitionBy("h1", "h2", F.pmod(F.xxhash64("id"), F.lit(16))).orderBy("id")
-    few = rows.withColumn("k", F.row_number().over(part)).filter(F.col("k") <= max(n_positives + 1, n_negatives)).select("id", "label", "vec", "len")
-    anchors = rows.filter(is_anchor).select("id", "h1", "h2")
+    few = rows.withColumn("k", F.row_number().over(part)).filter(F.col("k") <= max(n_positives + 1, n_negatives)).select("id", "tag", "label", "vec", "len")
+    anchors = rows.filter(is_anchor).select("id", "tag", "h1", "h2")
     asked = rows.filter(is_anchor).dropDuplicates(["h1", "h2"]).select("h1", "h2", "label", "vec", "len")
     bound = lambda x: F.lit(x).cast("long")
     window = lambda no, a, b: F.struct(no.cast("int").alias("no"), a.alias("low"), b.alias("high"))
     first = asked.withColumn("windows", F.array(window(F.lit(0), bound(None), bound(None))))
     near = search(first, buckets(few, F.col("label"), first, F.col("label")), n_positives + 1, True, F.col("label"))
     # one window for each positive that some anchor of the class may take
-    of = near.withColumn("no", F.row_number().over(Window.partitionBy("h1", "h2").orderBy(F.desc("score"), "id")).cast("int"))
-    of = materialize(of.select("h1", "h2", "no", F.col("id").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
+    of = near.withColumn("no", F.row_number().over(Window.partitionBy("h1", "h2").orderBy(F.desc("score"), "id", "tag")).cast("int"))
+    of = materialize(of.select("h1", "h2", "no", F.col("id").alias("positive_id"), "tag", F.col("score").alias("positive_score")), "positives")
     s = F.col("positive_score")
     least, greatest = -F.floor(F.expr(f"(-{low} * cast(positive_score AS decimal(20,0))) / 100")), F.floor(F.expr(f"({high} * cast(positive_score AS decimal(20,0))) / 100"))
     wins = of.filter(s >= 0).groupBy("h1", "h2").agg(F.collect_list(window(F.col("no"), least.cast("long"), greatest.cast("long"))).alias("windows"))
     second = asked.join(wins, ["h1", "h2"])
     all_ = F.lit(0).cast("long")
     far = search(second, buckets(few, all_, second, all_), n_negatives, False, all_)
-    ranked = far.withColumn("rank", F.row_number().over(Window.partitionBy("h1", "h2", "w").orderBy(F.desc("score"), "id")).cast("int"))
+    ranked = far.withColumn("rank", F.row_number().over(Window.partitionBy("h1", "h2", "w").orderBy(F.desc("score"), "id", "tag")).cast("int"))
     ranked = ranked.select("h1", "h2", F.col("w").alias("no"), "rank", F.col("id").alias("negative_id"), F.col("score").alias("negative_score"))
     # an anchor is none of its own positives
-    own = anchors.withColumnRenamed("id", "anchor_id").join(of, ["h1", "h2"]).filter("anchor_id != positive_id")
+    own = anchors.select("h1", "h2", F.col("id").alias("anchor_id"), F.col("tag").alias("own")).join(of, ["h1", "h2"]).filter("anchor_id != positive_id OR own != tag")
     taken = own.withColumn("k", F.row_number().over(Window.partitionBy("h1", "h2", "anchor_id").orderBy("no"))).filter(F.col("k") <= n_positives)
     return taken.join(ranked, ["h1", "h2", "no"]).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
 
@@ -247,7 +247,7 @@ WITH e AS (
   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
   SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
-  FROM e a JOIN e b ON a.id % 100 = 0 AND (a.id != b.id OR a.label != b.label)),
+  FROM e a JOIN e b ON a.id % 100 = 0 AND a != b),
 p AS (
   SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
   QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
