@@ -26,13 +26,6 @@ def with_bias(sums: DataFrame, linear: DataFrame, weight: Column) -> DataFrame:
     return sums.crossJoin(F.broadcast(bias))  # one row
 
 
-def pairs(samples: DataFrame) -> DataFrame:
-    """seq, i, fi, j, fj, xx: all pairs of entries of a sample, each once, those of one field too. They are made within the row; no join."""
-    later = F.transform("x", lambda e, k: F.transform(F.slice("x", k + 2, F.size("x")), lambda g: F.struct(
-        e.feat.alias("i"), e.field.alias("fi"), g.feat.alias("j"), g.field.alias("fj"), (e.value.cast("double") * g.value.cast("double")).alias("xx"))))
-    return samples.select("seq", F.explode(F.flatten(later)).alias("p")).select("seq", "p.*")
-
-
 def linear_sums(samples: DataFrame, model: Model) -> DataFrame:
     """seq, y, linear: bias and weighted sum of the entries. A feature of most samples is a key that adaptive execution splits, as the sums go on by sample."""
     w = F.coalesce("w", initial_weight(model.params, F.col("feat")))
@@ -52,17 +45,64 @@ def fm_logits(samples: DataFrame, model: Model) -> DataFrame:
     return with_bias(sums, model.linear, F.col("w")).select("seq", "y", (F.col("bias") + crossed).alias("logit"))
 
 
-def ffm_pairs(samples: DataFrame, model: Model) -> DataFrame:
-    """Pairs with the factors vi (of i for the field of j) and vj (of j for the field of i)."""
-    p = model.params
-    side = lambda a, f, v: model.factors.select(F.col("feat").alias(a), F.col("field").alias(f), F.col("v").alias(v))
-    both = pairs(samples).join(side("i", "fj", "vi"), ["i", "fj"], "left").join(side("j", "fi", "vj"), ["j", "fi"], "left")
-    return both.withColumns({"vi": F.coalesce("vi", initial_factors(p, F.col("i"), F.col("fj"))), "vj": F.coalesce("vj", initial_factors(p, F.col("j"), F.col("fi")))})
+def by_feature(linear: DataFrame, factors: DataFrame, per_field: bool) -> DataFrame:
+    """feat, w and v (an FM's factors) or blocks (an FFM's, by field): weights and factors of a feature in one row, so that entries meet a model once.
+
+    A feature has at most as many blocks as there are fields. The rows get an exchange of
+    their own for the join with entries, so adaptive execution can split a hot feature.
+    """
+    none = F.lit(None)
+    given = linear.select("feat", "w", none.cast("int").alias("field"), none.cast("array<double>").alias("v"))
+    both = given.unionByName(factors.select("feat", none.cast("double").alias("w"), F.col("field") if per_field else none.cast("int").alias("field"), "v"))
+    held = F.map_from_entries(F.collect_list(F.when(F.col("v").isNotNull(), F.struct("field", "v")))).alias("blocks") if per_field else F.max("v").alias("v")
+    return both.groupBy("feat").agg(F.max("w").alias("w"), held).withColumn("feat", F.bitwise_not(F.bitwise_not("feat")))
+
+
+def _added(a: Column, b: Column) -> Column:
+    """Sum of two arrays of vectors."""
+    return F.zip_with(a, b, lambda x, y: F.zip_with(x, y, lambda u, v: u + v))
+
+
+def field_sums(rows: DataFrame, k: int, squares: bool = False) -> DataFrame:
+    """rows (with fields and entries, as ffm_rows makes them) with sums: sums[i][j] is the sum of vx[j] over the entries of field i, fields in the order of fields; with squares also squared, of squared elements."""
+    zero = F.transform("fields", lambda _: F.array(*[F.lit(0.0)] * k))
+    of = lambda f, part: F.aggregate(F.filter("entries", lambda e: e.field == f), zero, lambda s, e: _added(s, part(e.vx)))
+    out = rows.withColumn("sums", F.transform("fields", lambda f: of(f, lambda vx: vx)))
+    if squares:
+        out = out.withColumn("squared", F.transform("fields", lambda f: of(f, lambda vx: F.transform(vx, lambda v: F.transform(v, lambda c: c * c)))))
+    return out
+
+
+def ffm_rows(samples: DataFrame, weights: DataFrame, w: Column, v) -> DataFrame:
+    """seq, y, linear (without the bias), fields and entries of each sample: fields are those it has, an entry is (feat, field, value, vx), vx[j] its factors for field j times its value.
+
+    A sample of m entries is m rows that meet the model once, on feat, and come back by
+    seq; pairs are never formed. w and v(feat, field) are what entries without a row in
+    weights have.
+    """
+    fields = F.array_distinct(F.transform("x", lambda e: e.field)).alias("fields")
+    each = samples.select("seq", "y", fields, F.explode_outer("x").alias("e")).select("seq", "y", "fields", "e.field", "e.feat", F.col("e.value").cast("double").alias("value"))
+    vx = F.transform("fields", lambda g: F.transform(F.coalesce(F.try_element_at("blocks", g), v(F.col("feat"), g)), lambda c: c * F.col("value")))
+    entry = F.when(F.col("feat").isNotNull(), F.struct("feat", "field", "value", vx.alias("vx")))
+    met = each.join(weights, "feat", "left")
+    return met.groupBy("seq").agg(F.max("y").alias("y"), F.first("fields").alias("fields"), F.coalesce(F.sum(F.coalesce("w", w) * F.col("value")), F.lit(0.0)).alias("linear"), F.collect_list(entry).alias("entries"))
+
+
+def ffm_crossed() -> Column:
+    """The sum over pairs of entries: half of what fields have with each other, less what entries have with themselves."""
+    at = F.sequence(F.lit(0), F.size("fields") - 1)
+    row = lambda i: F.aggregate(at, F.lit(0.0), lambda s, j: s + dot(F.col("sums")[i][j], F.col("sums")[j][i]))
+    every = F.aggregate(at, F.lit(0.0), lambda s, i: s + row(i))
+    own = lambda e: e.vx[F.array_position("fields", e.field).cast("int") - 1]
+    return F.when(F.size("entries") > 0, 0.5 * (every - F.aggregate("entries", F.lit(0.0), lambda s, e: s + dot(own(e), own(e))))).otherwise(0.0)
 
 
 def ffm_logits(samples: DataFrame, model: Model) -> DataFrame:
-    crossed = ffm_pairs(samples, model).groupBy("seq").agg(F.sum(dot(F.col("vi"), F.col("vj")) * F.col("xx")).alias("crossed"))
-    return linear_sums(samples, model).join(crossed, "seq", "left").select("seq", "y", (F.col("linear") + F.coalesce("crossed", F.lit(0.0))).alias("logit"))
+    p = model.params
+    weights = by_feature(model.linear.filter(F.col("feat") != BIAS), model.factors, True)
+    rows = ffm_rows(samples, weights, initial_weight(p, F.col("feat")), lambda feat, field: initial_factors(p, feat, field))
+    rows = field_sums(rows, p.n_factors).select("seq", "y", (F.col("linear") + ffm_crossed()).alias("sum"))
+    return with_bias(rows, model.linear, F.col("w")).select("seq", "y", (F.col("bias") + F.col("sum")).alias("logit"))
 
 
 def logits(samples: DataFrame, model: Model) -> DataFrame:

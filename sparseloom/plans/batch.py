@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from sparseloom.functions.expressions import dot, ftrl_weight, ftrl_z, log_loss, sigmoid, vector_sum
 from sparseloom.functions.params import Params
 from sparseloom.operators.model import BIAS, Model, empty_model, initial_factors
-from sparseloom.operators.score import entries, pairs, valid, with_bias
+from sparseloom.operators.score import by_feature, entries, ffm_crossed, ffm_rows, field_sums, valid, with_bias
 from sparseloom.storage import materialize
 
 
@@ -38,29 +38,40 @@ def _vector_weight(p: Params, n: str, z: str) -> Column:
     return F.zip_with(n, z, lambda a, b: ftrl_weight(a, b, p))
 
 
-def linear_gradients(samples: DataFrame, errors: DataFrame) -> DataFrame:
-    """feat, g, q: summed gradients and squared gradients of linear weights and bias. errors: seq, e.
-
-    Errors meet whole samples, before these are taken apart: one row for each is shuffled.
-    """
-    g = F.col("y") * F.col("value")  # entries pass on the error in the place of y
-    each = entries(samples.select("seq", "x").join(errors.select("seq", F.col("e").alias("y")), "seq")).filter(F.col("feat").isNotNull())
-    bias = errors.agg(F.sum("e").alias("g"), F.sum(F.col("e") * F.col("e")).alias("q")).filter(F.col("g").isNotNull())
-    return each.groupBy("feat").agg(F.sum(g).alias("g"), F.sum(g * g).alias("q")).unionByName(bias.withColumn("feat", F.lit(BIAS)))
+def linear_gradients(scored: DataFrame) -> DataFrame:
+    """feat, g, q: summed gradients and squared gradients of linear weights and bias. scored: e and entries (structs with feat and value)."""
+    g = F.col("e") * F.col("a.value")
+    each = scored.select("e", F.explode("entries").alias("a")).select("a.feat", g.alias("g"))
+    bias = scored.agg(F.sum("e").alias("g"), F.sum(F.col("e") * F.col("e")).alias("q")).filter(F.col("g").isNotNull())
+    return each.groupBy("feat").agg(F.sum("g").alias("g"), F.sum(F.col("g") * F.col("g")).alias("q")).unionByName(bias.withColumn("feat", F.lit(BIAS)))
 
 
-def fm_gradients(joined: DataFrame, sums: DataFrame, k: int) -> DataFrame:
-    """feat, g, q (arrays). joined: seq, feat, value, v; sums: seq, e, s (sum of v * value by factor)."""
-    g = F.zip_with("v", "s", lambda v, s: F.col("e") * (F.col("value") * s - v * F.col("value") * F.col("value")))
-    each = joined.join(sums, "seq").select("feat", g.alias("g"))
+def fm_gradients(scored: DataFrame, k: int) -> DataFrame:
+    """feat, g, q (arrays). scored: e, s (sum of v * value by factor) and entries (feat, value, v)."""
+    x = F.col("a.value")
+    g = F.zip_with("a.v", "s", lambda v, s: F.col("e") * (x * s - v * x * x))
+    each = scored.select("e", "s", F.explode("entries").alias("a")).select("a.feat", g.alias("g"))
     return each.groupBy("feat").agg(vector_sum(F.col("g"), k).alias("g"), vector_sum(F.transform("g", lambda x: x * x), k).alias("q"))
 
 
-def ffm_gradients(joined: DataFrame, errors: DataFrame, k: int) -> DataFrame:
-    """feat, field, g, q (arrays). joined: seq, i, fi, j, fj, xx, vi, vj; errors: seq, e."""
-    side = lambda feat, field, v: F.struct(F.col(feat).alias("feat"), F.col(field).alias("field"), F.transform(v, lambda x: x * F.col("e") * F.col("xx")).alias("g"))
-    each = joined.join(errors, "seq").select(F.explode(F.array(side("i", "fj", "vj"), side("j", "fi", "vi"))).alias("s")).select("s.*")
-    return each.groupBy("feat", "field").agg(vector_sum(F.col("g"), k).alias("g"), vector_sum(F.transform("g", lambda x: x * x), k).alias("q"))
+def ffm_gradients(scored: DataFrame, k: int) -> DataFrame:
+    """feat, field, g, q (arrays). scored: e, fields and entries, as ffm_rows makes them.
+
+    What an entry's factors for a field get is the sum of that field's other entries for
+    its own field, which field_sums has; g * g is summed up pair by pair, as there, from
+    the sums of squares. A field that no other entry of the sample has gives no row.
+    """
+    rows = field_sums(scored.select("e", "fields", "entries"), k, squares=True)
+    each = rows.select("e", "fields", "sums", "squared", F.transform("fields", lambda f: F.size(F.filter("entries", lambda a: a.field == f))).alias("n"), F.explode("entries").alias("a"))
+    each = each.withColumn("i", F.array_position("fields", F.col("a.field")).cast("int") - 1).select("*", F.posexplode("fields").alias("j", "field"))
+    own = F.col("i") == F.col("j")
+    rest = lambda total, part: F.when(own, F.zip_with(total, part, lambda t, c: t - c)).otherwise(total)
+    vx = F.col("a.vx")[F.col("i")]
+    scale = F.col("e") * F.col("a.value")
+    g = F.transform(rest(F.col("sums")[F.col("j")][F.col("i")], vx), lambda c: scale * c)
+    q = F.transform(rest(F.col("squared")[F.col("j")][F.col("i")], F.transform(vx, lambda c: c * c)), lambda c: scale * scale * F.greatest(c, F.lit(0.0)))
+    met = each.filter(F.col("n")[F.col("j")] - own.cast("int") > 0).select("a.feat", "field", g.alias("g"), q.alias("q"))
+    return met.groupBy("feat", "field").agg(vector_sum(F.col("g"), k).alias("g"), vector_sum(F.col("q"), k).alias("q"))
 
 
 def _updated_linear(model: Model, gradients: DataFrame) -> DataFrame:
@@ -86,36 +97,52 @@ def _updated_factors(model: Model, gradients: DataFrame) -> DataFrame:
     return new.select(*key, _vector_weight(p, "n", "z").alias("v"), "n", "z")
 
 
+def _current(model: Model) -> tuple[DataFrame, DataFrame | None]:
+    """Weights and factors that the sums stand for."""
+    p = model.params
+    linear = model.linear.select("feat", ftrl_weight(F.col("n"), F.col("z"), p).alias("w"))
+    return linear, None if model.factors is None else model.factors.select(*model.factor_key, _vector_weight(p, "n", "z").alias("v"))
+
+
+def first_factors(p: Params, *key: Column) -> Column:
+    """Factors that a coordinate has when it is met for the first time."""
+    if p.factor_init == "parity":
+        return _zeros(p.n_factors)
+    return F.transform(initial_factors(p, *key), lambda w: ftrl_weight(F.lit(0.0), ftrl_z(w, p), p))
+
+
+def scored_rows(samples: DataFrame, linear: DataFrame, factors: DataFrame | None, p: Params) -> DataFrame:
+    """seq, y, logit and what gradients need of each sample: entries, and s (FM) or fields (FFM).
+
+    linear: feat, w, with the bias; factors: feat[, field], v. Entries meet the model in one
+    join, on feat, and are put together again by seq; gradients need no join after that.
+    """
+    k, zero = p.n_factors, F.lit(0.0)
+    if p.model_type == "FFM":
+        weights = by_feature(linear.filter(F.col("feat") != BIAS), factors, True)
+        rows = ffm_rows(samples, weights, zero, lambda feat, field: first_factors(p, feat, field))
+        rows = field_sums(rows, k).select("seq", "y", "fields", "entries", (F.col("linear") + ffm_crossed()).alias("sum"))
+    else:
+        fm = p.model_type == "FM"
+        weights = by_feature(linear.filter(F.col("feat") != BIAS), factors, False) if fm else linear
+        met = entries(samples).join(weights, "feat", "left")
+        more = [vector_sum(F.col("vx"), k).alias("s"), F.sum(dot(F.col("vx"), F.col("vx"))).alias("sq")] if fm else []
+        if fm:
+            met = met.withColumn("v", F.coalesce("v", first_factors(p, F.col("feat")))).withColumn("vx", F.transform("v", lambda v: v * F.col("value")))
+        entry = F.when(F.col("feat").isNotNull(), F.struct("feat", "value", *(["v"] if fm else [])))
+        rows = met.groupBy("seq").agg(F.max("y").alias("y"), F.coalesce(F.sum(F.coalesce("w", zero) * F.col("value")), zero).alias("linear"), F.collect_list(entry).alias("entries"), *more)
+        crossed = F.coalesce(0.5 * (dot(F.col("s"), F.col("s")) - F.col("sq")), zero) if fm else zero
+        rows = rows.select("seq", "y", "entries", *(["s"] if fm else []), (F.col("linear") + crossed).alias("sum"))
+    return with_bias(rows, linear, F.col("w")).withColumn("logit", F.col("bias") + F.col("sum")).drop("bias", "sum")
+
+
 def batch_step(samples: DataFrame, model: Model) -> tuple[Model, DataFrame]:
     """The model after one step over all samples, and their losses before it: seq, y, logit, loss."""
-    p, k = model.params, model.params.n_factors
-    inside = valid(samples, p)
-    weight = F.coalesce(ftrl_weight(F.col("n"), F.col("z"), p), F.lit(0.0))
-    sums = entries(inside).join(model.linear.select("feat", "n", "z"), "feat", "left").groupBy("seq").agg(F.max("y").alias("y"), F.sum(weight * F.col("value")).alias("s"))
-    sums = with_bias(sums, model.linear, weight).select("seq", "y", (F.col("bias") + F.coalesce("s", F.lit(0.0))).alias("logit"))
-    joined = None
-    if p.model_type == "FM":
-        own = entries(inside).filter(F.col("feat").isNotNull()).join(model.factors.select("feat", "n", "z"), "feat", "left").withColumns(_factor_state(p, F.col("feat")))
-        joined = own.select("seq", "feat", "value", _vector_weight(p, "n", "z").alias("v"))
-        vx = joined.withColumn("vx", F.transform("v", lambda v: v * F.col("value")))
-        crossed = vx.groupBy("seq").agg(vector_sum(F.col("vx"), k).alias("s"), F.sum(dot(F.col("vx"), F.col("vx"))).alias("sq"))
-        sums = sums.join(crossed, "seq", "left").select("seq", "y", (F.col("logit") + F.coalesce(0.5 * (dot(F.col("s"), F.col("s")) - F.col("sq")), F.lit(0.0))).alias("logit"), "s")
-    elif p.model_type == "FFM":
-        joined = pairs(inside)
-        for a, f, v in (("i", "fj", "vi"), ("j", "fi", "vj")):
-            side = model.factors.select(F.col("feat").alias(a), F.col("field").alias(f), "n", "z")
-            joined = joined.join(side, [a, f], "left").withColumns(_factor_state(p, F.col(a), F.col(f))).withColumn(v, _vector_weight(p, "n", "z")).drop("n", "z")
-        crossed = joined.groupBy("seq").agg(F.sum(dot(F.col("vi"), F.col("vj")) * F.col("xx")).alias("crossed"))
-        sums = sums.join(crossed, "seq", "left").select("seq", "y", (F.col("logit") + F.coalesce("crossed", F.lit(0.0))).alias("logit"))
-    # losses and the gradients of each table go on from what is scored
-    scored = materialize(sums.withColumn("e", sigmoid(F.col("logit")) - F.col("y")), "scored")
-    errors = scored.select("seq", "e")
-    linear = _updated_linear(model, linear_gradients(inside, errors))
-    factors = None
-    if p.model_type == "FM":
-        factors = _updated_factors(model, fm_gradients(joined, scored.select("seq", "e", "s"), k))
-    elif p.model_type == "FFM":
-        factors = _updated_factors(model, ffm_gradients(joined, errors, k))
+    p = model.params
+    # losses and all gradients go on from what is scored
+    scored = materialize(scored_rows(valid(samples, p), *_current(model), p).withColumn("e", sigmoid(F.col("logit")) - F.col("y")), "scored")
+    linear = _updated_linear(model, linear_gradients(scored))
+    factors = None if model.factors is None else _updated_factors(model, (fm_gradients if p.model_type == "FM" else ffm_gradients)(scored, p.n_factors))
     losses = scored.select("seq", "y", "logit", log_loss(F.col("y"), F.col("logit"), p.strict_loss).alias("loss"))
     return Model(p, linear, factors), losses
 

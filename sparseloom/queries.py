@@ -11,8 +11,8 @@ from sparseloom.functions.params import EncodeParams, Params
 from sparseloom.operators import encode as enc
 from sparseloom.operators.filters import has_zero, in_range, nonzero, row_partitions
 from sparseloom.operators.model import Model, empty_model, export_text, import_text, initial_factors, initial_weight, load_model, save_model, zero_weights
-from sparseloom.operators.score import entries, ffm_pairs, logits, predict
-from sparseloom.plans.batch import batch_step, ffm_gradients, fm_gradients, train_batch
+from sparseloom.operators.score import logits, predict
+from sparseloom.plans.batch import batch_step, ffm_gradients, fm_gradients, scored_rows, train_batch
 from sparseloom.plans.mixing import mixing_round
 from sparseloom.plans.tasks import run as run_task
 from sparseloom.sources.sparse_text import line_formats, parse_by_pattern, parse_garbage_as_zero, parse_samples, read_lines, with_chunks, write_lines
@@ -364,15 +364,16 @@ def _fm_gradient_sql() -> str:
     return f"WITH {D}, r AS (SELECT *, 1 / (1 + exp(-({FM}))) - y AS err FROM d) SELECT feat, k, round(sum(g), 6) AS g, round(sum(g * g), 6) AS q FROM ({' UNION ALL '.join(rows)}) GROUP BY feat, k"
 
 
+def _scored(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Events scored by the weights of a rule, with their errors."""
+    s, n = numbered_samples(spark, sf_dir)
+    model = formula_model(spark, kind, n)
+    return scored_rows(s, model.linear, model.factors, model.params).withColumn("e", sigmoid(F.col("logit")) - F.col("y"))
+
+
 @query(_fm_gradient_sql())
 def fm_batch_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, n = numbered_samples(spark, sf_dir)
-    model = formula_model(spark, "FM", n)
-    joined = entries(s).filter("feat >= 0").join(model.factors.select("feat", "v"), "feat")
-    vx = joined.select("seq", F.transform("v", lambda v: v * F.col("value")).alias("vx"))
-    sums = vx.groupBy("seq").agg(F.array(*(F.sum(F.col("vx")[k]) for k in range(K))).alias("s"))
-    errors = logits(s, model).select("seq", (sigmoid(F.col("logit")) - F.col("y")).alias("e"))
-    return _vectors(fm_gradients(joined, sums.join(errors, "seq"), K), "feat")
+    return _vectors(fm_gradients(_scored(spark, sf_dir, "FM"), K), "feat")
 
 
 def _ffm_gradient_sql() -> str:
@@ -386,10 +387,7 @@ def _ffm_gradient_sql() -> str:
 
 @query(_ffm_gradient_sql())
 def ffm_batch_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, n = numbered_samples(spark, sf_dir)
-    model = formula_model(spark, "FFM", n)
-    errors = logits(s, model).select("seq", (sigmoid(F.col("logit")) - F.col("y")).alias("e"))
-    return _vectors(ffm_gradients(ffm_pairs(s, model), errors, K), "feat", "field")
+    return _vectors(ffm_gradients(_scored(spark, sf_dir, "FFM"), K), "feat", "field")
 
 
 def formula_start(spark: SparkSession, kind: str, n_feats: int, **more) -> Model:
