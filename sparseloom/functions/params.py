@@ -43,6 +43,8 @@ class Params:
     train_data: str = ""
     eval_data: str = ""
     model_path: str = ""
+    #: Where a task keeps what it has done, so that it goes on from there when it is run again.
+    work_path: str = ""
 
     def __post_init__(self):
         object.__setattr__(self, "model_type", self.model_type.upper())

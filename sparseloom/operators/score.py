@@ -15,9 +15,11 @@ def valid(samples: DataFrame, p) -> DataFrame:
     return samples.withColumn("x", in_range(F.col("x"), p.n_feats, p.n_fields if p.model_type == "FFM" else None))
 
 
-def entries(samples: DataFrame) -> DataFrame:
-    """seq, y, field, feat, value: a row for each entry, and one of nulls for a sample without entries, so sums by seq need no second look at the samples."""
-    return samples.select("seq", "y", F.explode_outer("x").alias("e")).select("seq", "y", "e.field", "e.feat", F.col("e.value").cast("double").alias("value"))
+def entries(samples: DataFrame, with_fields: bool = False) -> DataFrame:
+    """seq, y, field, feat, value: a row for each entry, and one of nulls for a sample without entries, so sums by seq need no second look at the samples. with_fields adds fields, those that the sample has."""
+    fields = [F.array_distinct(F.transform("x", lambda e: e.field)).alias("fields")] * with_fields
+    each = samples.select("seq", "y", *fields, F.explode_outer("x").alias("e"))
+    return each.select("seq", "y", *["fields"] * with_fields, "e.field", "e.feat", F.col("e.value").cast("double").alias("value"))
 
 
 def with_bias(sums: DataFrame, linear: DataFrame, weight: Column) -> DataFrame:
@@ -73,18 +75,15 @@ def field_sums(rows: DataFrame, k: int, squares: bool = False) -> DataFrame:
     return out
 
 
-def ffm_rows(samples: DataFrame, weights: DataFrame, w: Column, v) -> DataFrame:
-    """seq, y, linear (without the bias), fields and entries of each sample: fields are those it has, an entry is (feat, field, value, vx), vx[j] its factors for field j times its value.
+def ffm_rows(met: DataFrame, w: Column, v) -> DataFrame:
+    """seq, y, linear (without the bias), fields and entries of each sample: an entry is (feat, field, value, vx), vx[j] its factors for field j times its value.
 
-    A sample of m entries is m rows that meet the model once, on feat, and come back by
-    seq; pairs are never formed. w and v(feat, field) are what entries without a row in
-    weights have.
+    met: entries with their fields and what they have met of a model, w and blocks. A
+    sample of m entries is m rows, and pairs are never formed. w and v(feat, field) are
+    what entries have that met nothing.
     """
-    fields = F.array_distinct(F.transform("x", lambda e: e.field)).alias("fields")
-    each = samples.select("seq", "y", fields, F.explode_outer("x").alias("e")).select("seq", "y", "fields", "e.field", "e.feat", F.col("e.value").cast("double").alias("value"))
     vx = F.transform("fields", lambda g: F.transform(F.coalesce(F.try_element_at("blocks", g), v(F.col("feat"), g)), lambda c: c * F.col("value")))
     entry = F.when(F.col("feat").isNotNull(), F.struct("feat", "field", "value", vx.alias("vx")))
-    met = each.join(weights, "feat", "left")
     return met.groupBy("seq").agg(F.max("y").alias("y"), F.first("fields").alias("fields"), F.coalesce(F.sum(F.coalesce("w", w) * F.col("value")), F.lit(0.0)).alias("linear"), F.collect_list(entry).alias("entries"))
 
 
@@ -100,7 +99,7 @@ def ffm_crossed() -> Column:
 def ffm_logits(samples: DataFrame, model: Model) -> DataFrame:
     p = model.params
     weights = by_feature(model.linear.filter(F.col("feat") != BIAS), model.factors, True)
-    rows = ffm_rows(samples, weights, initial_weight(p, F.col("feat")), lambda feat, field: initial_factors(p, feat, field))
+    rows = ffm_rows(entries(samples, True).join(weights, "feat", "left"), initial_weight(p, F.col("feat")), lambda feat, field: initial_factors(p, feat, field))
     rows = field_sums(rows, p.n_factors).select("seq", "y", (F.col("linear") + ffm_crossed()).alias("sum"))
     return with_bias(rows, model.linear, F.col("w")).select("seq", "y", (F.col("bias") + F.col("sum")).alias("logit"))
 

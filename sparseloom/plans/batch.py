@@ -11,7 +11,7 @@ result of one sample after another (plans.mixing), but it depends on no partitio
 
 from __future__ import annotations
 
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,18 +74,18 @@ def ffm_gradients(scored: DataFrame, k: int) -> DataFrame:
     return met.groupBy("feat", "field").agg(vector_sum(F.col("g"), k).alias("g"), vector_sum(F.col("q"), k).alias("q"))
 
 
-def _updated_linear(model: Model, gradients: DataFrame) -> DataFrame:
+def _updated_linear(model: Model, gradients: DataFrame, how: str) -> DataFrame:
     p = model.params
     n, z, g, q = (F.coalesce(c, F.lit(0.0)) for c in ("n", "z", "g", "q"))
-    step = model.linear.select("feat", "n", "z").join(gradients, "feat", "full").select("feat", n.alias("n"), z.alias("z"), g.alias("g"), q.alias("q"))
+    step = model.linear.select("feat", "n", "z").join(gradients, "feat", how).select("feat", n.alias("n"), z.alias("z"), g.alias("g"), q.alias("q"))
     w = ftrl_weight(F.col("n"), F.col("z"), p)
     step = step.select("feat", (F.col("n") + F.col("q")).alias("n"), (F.col("z") + F.col("g") - (F.sqrt(F.col("n") + F.col("q")) - F.sqrt("n")) / p.w_alpha * w).alias("z"))
     return step.select("feat", ftrl_weight(F.col("n"), F.col("z"), p).alias("w"), "n", "z")
 
 
-def _updated_factors(model: Model, gradients: DataFrame) -> DataFrame:
+def _updated_factors(model: Model, gradients: DataFrame, how: str) -> DataFrame:
     p, key = model.params, model.factor_key
-    joined = model.factors.select(*key, "n", "z").join(gradients, key, "full")
+    joined = model.factors.select(*key, "n", "z").join(gradients, key, how)
     state = _factor_state(p, *(F.col(c) for c in key))
     parts = F.arrays_zip(state["n"].alias("n"), state["z"].alias("z"), F.coalesce("g", _zeros(p.n_factors)).alias("g"), F.coalesce("q", _zeros(p.n_factors)).alias("q"))
 
@@ -111,21 +111,24 @@ def first_factors(p: Params, *key: Column) -> Column:
     return F.transform(initial_factors(p, *key), lambda w: ftrl_weight(F.lit(0.0), ftrl_z(w, p), p))
 
 
-def scored_rows(samples: DataFrame, linear: DataFrame, factors: DataFrame | None, p: Params) -> DataFrame:
+def weights_by_feature(linear: DataFrame, factors: DataFrame | None, p: Params) -> DataFrame:
+    """What entries meet: feat, w and v (FM) or blocks (FFM). The bias stays behind."""
+    own = linear.filter(F.col("feat") != BIAS)
+    return own.select("feat", "w") if factors is None else by_feature(own, factors, p.model_type == "FFM")
+
+
+def scored_entries(met: DataFrame, linear: DataFrame, p: Params) -> DataFrame:
     """seq, y, logit and what gradients need of each sample: entries, and s (FM) or fields (FFM).
 
-    linear: feat, w, with the bias; factors: feat[, field], v. Entries meet the model in one
-    join, on feat, and are put together again by seq; gradients need no join after that.
+    met: entries that have met weights_by_feature; linear: where the bias is. They are put
+    together by seq, and gradients need no join after that.
     """
     k, zero = p.n_factors, F.lit(0.0)
     if p.model_type == "FFM":
-        weights = by_feature(linear.filter(F.col("feat") != BIAS), factors, True)
-        rows = ffm_rows(samples, weights, zero, lambda feat, field: first_factors(p, feat, field))
+        rows = ffm_rows(met, zero, lambda feat, field: first_factors(p, feat, field))
         rows = field_sums(rows, k).select("seq", "y", "fields", "entries", (F.col("linear") + ffm_crossed()).alias("sum"))
     else:
         fm = p.model_type == "FM"
-        weights = by_feature(linear.filter(F.col("feat") != BIAS), factors, False) if fm else linear
-        met = entries(samples).join(weights, "feat", "left")
         more = [vector_sum(F.col("vx"), k).alias("s"), F.sum(dot(F.col("vx"), F.col("vx"))).alias("sq")] if fm else []
         if fm:
             met = met.withColumn("v", F.coalesce("v", first_factors(p, F.col("feat")))).withColumn("vx", F.transform("v", lambda v: v * F.col("value")))
@@ -136,15 +139,44 @@ def scored_rows(samples: DataFrame, linear: DataFrame, factors: DataFrame | None
     return with_bias(rows, linear, F.col("w")).withColumn("logit", F.col("bias") + F.col("sum")).drop("bias", "sum")
 
 
+def scored_rows(samples: DataFrame, linear: DataFrame, factors: DataFrame | None, p: Params) -> DataFrame:
+    """scored_entries of samples. linear: feat, w; factors: feat[, field], v. Entries meet the model in one join, on feat."""
+    met = entries(samples, p.model_type == "FFM").join(weights_by_feature(linear, factors, p), "feat", "left")
+    return scored_entries(met, linear, p)
+
+
+@dataclass
+class Step:
+    """What a step does: new values of the coordinates that it touches, and the losses before it (seq, y, logit, loss)."""
+
+    linear: DataFrame
+    factors: DataFrame | None
+    losses: DataFrame
+
+
+def step_of(scored: DataFrame, model: Model, how: str = "right") -> Step:
+    """The step that scored samples ask for. how='full' gives the whole new tables instead of what has changed."""
+    p = model.params
+    scored = materialize(scored.withColumn("e", sigmoid(F.col("logit")) - F.col("y")), "scored")  # losses and all gradients go on from here
+    linear = _updated_linear(model, linear_gradients(scored), how)
+    factors = None if model.factors is None else _updated_factors(model, (fm_gradients if p.model_type == "FM" else ffm_gradients)(scored, p.n_factors), how)
+    return Step(linear, factors, scored.select("seq", "y", "logit", log_loss(F.col("y"), F.col("logit"), p.strict_loss).alias("loss")))
+
+
 def batch_step(samples: DataFrame, model: Model) -> tuple[Model, DataFrame]:
     """The model after one step over all samples, and their losses before it: seq, y, logit, loss."""
     p = model.params
-    # losses and all gradients go on from what is scored
-    scored = materialize(scored_rows(valid(samples, p), *_current(model), p).withColumn("e", sigmoid(F.col("logit")) - F.col("y")), "scored")
-    linear = _updated_linear(model, linear_gradients(scored))
-    factors = None if model.factors is None else _updated_factors(model, (fm_gradients if p.model_type == "FM" else ffm_gradients)(scored, p.n_factors))
-    losses = scored.select("seq", "y", "logit", log_loss(F.col("y"), F.col("logit"), p.strict_loss).alias("loss"))
-    return Model(p, linear, factors), losses
+    step = step_of(scored_rows(valid(samples, p), *_current(model), p), model, "full")
+    return Model(p, step.linear, step.factors), step.losses
+
+
+def batch_changes(samples: DataFrame, model: Model) -> Step:
+    """One step over all samples as what it changes. Of the model only what the samples touch is read on (and the bias), so a small step on a large model is small."""
+    p = model.params
+    inside = valid(samples, p)
+    touched = inside.select(F.explode(F.transform("x", lambda e: e.feat)).alias("feat")).union(inside.sparkSession.createDataFrame([(BIAS,)], "feat int")).distinct()
+    own = replace(model, linear=model.linear.join(touched, "feat", "left_semi"), factors=None if model.factors is None else model.factors.join(touched, "feat", "left_semi"))
+    return step_of(scored_rows(inside, *_current(own), p), own)
 
 
 def kept(model: Model) -> Model:

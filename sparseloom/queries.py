@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from sparseloom.plans.mixing import mixing_round
 from sparseloom.plans.tasks import run as run_task
 from sparseloom.sources.sparse_text import line_formats, parse_by_pattern, parse_garbage_as_zero, parse_samples, read_lines, with_chunks, write_lines
 from sparseloom.sources.tabular import read_train_eval, split
-from sparseloom.storage import materialize, shared_path
+from sparseloom.storage import materialize, scratch_path
 from sparseloom.streaming.online import latest_model, stream_lines, train_stream
 
 THRESHOLD = 60
@@ -473,7 +475,7 @@ def ftrl_batch_fm_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_factor_steps_sql("FFM", 1) + " SELECT f::INTEGER AS feat, g::INTEGER AS field, " + _FACTOR_ROWS.format(n=1))
 def ffm_model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A trained FFM, saved and loaded."""
-    path = shared_path(spark, "saved")
+    path = scratch_path(spark, "saved")
     save_model(trained_factors(spark, sf_dir, "FFM", 1)[1], path)
     return _factor_rows(load_model(spark, path))
 
@@ -481,7 +483,7 @@ def ffm_model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_factor_steps_sql("FM", 1) + " SELECT f::INTEGER AS feat, k::INTEGER AS k, round(v, 7) AS v FROM v1")
 def fm_text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A trained FM as text, and read again."""
-    model, path = trained_factors(spark, sf_dir, "FM", 1)[1], shared_path(spark, "text")
+    model, path = trained_factors(spark, sf_dir, "FM", 1)[1], scratch_path(spark, "text")
     export_text(model, path)
     return _factor_rows(import_text(spark, path, model.params)).select("feat", "k", "v")
 
@@ -520,29 +522,33 @@ ARRIVALS = 3
 _WRITTEN = "round_even(x, 4)::FLOAT::DOUBLE"
 
 
-def _arrivals(spark: SparkSession, sf_dir: str) -> str:
-    """Events as text files that arrive one after another: a folder, each file written after the one before."""
-    path = shared_path(spark, "lines")
-    text = materialize(enc.lines(samples(spark, sf_dir), "libffm"), "text")
-    for i in range(ARRIVALS):
-        text.filter(F.col("seq") % ARRIVALS == i).select("value").coalesce(1).write.mode("append").text(path)
+#: Events that are evaluated on, not trained on, where a query has both.
+HELD = "event_id % 4 = 1"
+
+
+def _arrivals(spark: SparkSession, sf_dir: str, which: str = "TRUE", parts: int = ARRIVALS) -> str:
+    """Events of a condition as text files that arrive one after another: a folder, each file written after the one before."""
+    path = scratch_path(spark, "lines")
+    text = materialize(enc.lines(samples(spark, sf_dir), "libffm").filter(which.replace("event_id", "seq")), "text")
+    for i in range(parts):
+        text.filter(F.col("seq") % parts == i).select("value").coalesce(1).write.mode("append").text(path)
     return path
 
 
-def _stream_sql(passes: int) -> str:
+def _stream_sql(passes: int, which: str = "TRUE") -> str:
     """LR steps over arrivals, unrolled."""
     sql = _steps_head(_WRITTEN)
     for i in range(passes * ARRIVALS):
-        sql += _step_sql(i, f"event_id % {ARRIVALS} = {i % ARRIVALS}")
+        sql += _step_sql(i, f"event_id % {ARRIVALS} = {i % ARRIVALS} AND {which}")
     return sql
 
 
 @query(_stream_sql(1) + f" SELECT f::INTEGER AS feat, round(w, 6) AS w, round(n, 5) AS n, round(z, 5) AS z FROM s{ARRIVALS}")
 def stream_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as text files, trained on as a stream, a file to a micro-batch."""
-    models, p = shared_path(spark, "online"), params("LR")
-    losses = train_stream(stream_lines(spark, _arrivals(spark, sf_dir), 1), p, "libffm", shared_path(spark, "offsets"), models)
-    model = latest_model(spark, models, losses, p).linear
+    models, p = scratch_path(spark, "online"), params("LR")
+    train_stream(stream_lines(spark, _arrivals(spark, sf_dir), 1), p, "libffm", scratch_path(spark, "offsets"), models)
+    model = latest_model(spark, models, p).linear
     return model.select("feat", F.round("w", 6).alias("w"), F.round("n", 5).alias("n"), F.round("z", 5).alias("z"))
 
 
@@ -553,34 +559,63 @@ def _epochs(spark: SparkSession, epochs: list) -> DataFrame:
     return spark.createDataFrame([(i, round(e.train_loss, 6), round(e.eval_loss, 6)) for i, e in enumerate(epochs)], "epoch int, train_loss double, eval_loss double")
 
 
+def _task_params(**more) -> Params:
+    """Of a linear model whose unseen features have weight 0, so that SQL can score them."""
+    return replace(params("LR"), init_stddev=0.0, **more)
+
+
 def _online_sql(passes: int) -> str:
-    sql = _stream_sql(passes)
+    sql = _stream_sql(passes, f"NOT ({HELD})")
     steps = passes * ARRIVALS
     for i in range(ARRIVALS, steps + 1, ARRIVALS):
-        sql += _logit_sql(f"t{i}", f"s{i}", "TRUE")
+        sql += _logit_sql(f"t{i}", f"s{i}", HELD)
     rows = [_EPOCH_LOSS.format(e=e, train=" UNION ALL ".join(f"SELECT y, logit FROM r{i}" for i in range(e * ARRIVALS, (e + 1) * ARRIVALS)), held=f"SELECT y, logit FROM t{(e + 1) * ARRIVALS}") for e in range(passes)]
     return sql + " " + " UNION ALL ".join(rows)
 
 
+def _both_paths(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    return {"train_data": _arrivals(spark, sf_dir, f"NOT ({HELD})"), "eval_data": _arrivals(spark, sf_dir, HELD, 1)}
+
+
 @query(_online_sql(2))
 def online_task(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two passes over arriving files and an evaluation after each: losses of the passes."""
-    path = _arrivals(spark, sf_dir)
-    return _epochs(spark, run_task(spark, params("LR", n_epochs=2, train_data=path, eval_data=path))[1])
+    """Two passes over arriving files and an evaluation on held-out ones after each: losses of the passes."""
+    return _epochs(spark, run_task(spark, _task_params(n_epochs=2, **_both_paths(spark, sf_dir)))[1])
 
 
 def _offline_sql(passes: int) -> str:
-    sql = _epochs_steps_sql(passes, _WRITTEN)
+    sql = _steps_head(_WRITTEN) + "".join(_step_sql(i, f"NOT ({HELD})") for i in range(passes))
     for i in range(1, passes + 1):
-        sql += _logit_sql(f"t{i}", f"s{i}", "TRUE")
+        sql += _logit_sql(f"t{i}", f"s{i}", HELD)
     return sql + " " + " UNION ALL ".join(_EPOCH_LOSS.format(e=e, train=f"SELECT y, logit FROM r{e}", held=f"SELECT y, logit FROM t{e + 1}") for e in range(passes))
 
 
 @query(_offline_sql(2))
 def offline_task(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two epochs over text files and an evaluation after each: losses of the epochs."""
-    path = _arrivals(spark, sf_dir)
-    return _epochs(spark, run_task(spark, params("LR", online=False, n_epochs=2, train_data=path, eval_data=path))[1])
+    """Two epochs over text files and an evaluation on held-out ones after each: losses of the epochs."""
+    return _epochs(spark, run_task(spark, _task_params(online=False, n_epochs=2, **_both_paths(spark, sf_dir)))[1])
+
+
+@query(_offline_sql(2))
+def offline_task_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A task of one epoch, and the same one again with a second epoch: it goes on from what it finds."""
+    both, work = _both_paths(spark, sf_dir), scratch_path(spark, "work")
+    for n in (1, 2):
+        epochs = run_task(spark, _task_params(online=False, n_epochs=n, work_path=work, **both))[1]
+    return _epochs(spark, epochs)
+
+
+@query(_stream_sql(1) + f" SELECT f::INTEGER AS feat, round(w, 6) AS w, round(n, 5) AS n, round(z, 5) AS z FROM s{ARRIVALS}")
+def stream_train_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream over the first arrivals, stopped, and another one over the same folder once the others are there."""
+    path, offsets, models = (scratch_path(spark, x) for x in ("lines", "offsets", "online"))
+    text = materialize(enc.lines(samples(spark, sf_dir), "libffm"), "text")
+    for i in range(ARRIVALS):
+        text.filter(F.col("seq") % ARRIVALS == i).select("value").coalesce(1).write.mode("append").text(path)
+        if i:
+            train_stream(stream_lines(spark, path, 1), params("LR"), "libffm", offsets, models)
+    model = latest_model(spark, models, params("LR")).linear
+    return model.select("feat", F.round("w", 6).alias("w"), F.round("n", 5).alias("n"), F.round("z", 5).alias("z"))
 
 
 # samples
@@ -621,7 +656,7 @@ def shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_epochs_sql(1))
 def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, path = train_batch(materialize(samples(spark, sf_dir), "samples"), params("LR")), shared_path(spark, "saved")
+    model, path = train_batch(materialize(samples(spark, sf_dir), "samples"), params("LR")), scratch_path(spark, "saved")
     save_model(model, path)
     return _rounded(load_model(spark, path).linear)
 
@@ -691,7 +726,7 @@ def parse_permissive(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT row_number() OVER (ORDER BY event_id) - 1 AS seq, event_id || ' ' || event_type AS value FROM events")
 def text_files_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines written to several files in order, and numbered as they are read."""
-    path = shared_path(spark, "ordered")
+    path = scratch_path(spark, "ordered")
     write_lines(events(spark, sf_dir).orderBy("event_id").select(F.concat_ws(" ", "event_id", "event_type").alias("value")), path)
     return read_lines(spark, path)
 
@@ -718,7 +753,7 @@ def csv_to_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train and eval rows as two CSV files with headers, read and encoded by the positions of columns."""
     paths = []
     for i, which in enumerate(("o_orderkey % 10 < 8", "o_orderkey % 10 >= 8")):
-        paths.append(shared_path(spark, f"csv{i}"))
+        paths.append(scratch_path(spark, f"csv{i}"))
         chosen = table(spark, sf_dir, "orders").filter(which)
         chosen.select("o_orderkey", "o_totalprice", "o_orderpriority", F.col("o_totalprice").alias("price"), "o_custkey").write.csv(paths[-1], header=True)
     p = EncodeParams(label_col=0, cat_cols=(1, 3), num_cols=(2,), threshold=150000, normalize=True)

@@ -23,16 +23,35 @@ def shared_path(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def remove_at_end(spark: SparkSession, path: str) -> None:
-    """Have the driver remove a path when it ends."""
+def _file_system(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a path that this library has written; nothing happens where it is gone."""
+    files, place = _file_system(spark, path)
+    files.delete(place, True)
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names within a folder; none if there is no such folder."""
+    files, place = _file_system(spark, path)
+    return [s.getPath().getName() for s in files.listStatus(place)] if files.exists(place) else []
+
+
+def scratch_path(spark: SparkSession, purpose: str) -> str:
+    """A shared path for what no one needs once the driver has ended: it is removed then (what is not there yet could not be put down for that, so the folder around it is made now)."""
+    path = shared_path(spark, purpose)
+    files, place = _file_system(spark, path)
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    return f"{path}/at"
 
 
 def materialize(df: DataFrame, purpose: str) -> DataFrame:
     """Write df and read it again: what follows starts from files, so its plan stays short and a lost executor costs one step. The files go when the driver ends."""
     spark = df.sparkSession
-    path = shared_path(spark, purpose)
+    path = scratch_path(spark, purpose)
     df.write.parquet(path)
-    remove_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)

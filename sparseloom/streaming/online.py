@@ -1,7 +1,7 @@
-"""Online training: lines arrive as files, each micro-batch is a step, the model is a versioned table.
+"""Online training: lines arrive as files, each micro-batch is a step, the model is a base and a log of changes.
 
-The version of a batch is its batch id, so a batch that is run again after a failure
-writes the same model in the same place.
+Batch b makes version b + 1 of the model from version b, so a batch that is run again
+after a failure writes the same changes in the same place.
 """
 
 from __future__ import annotations
@@ -13,16 +13,14 @@ from pyspark.sql import functions as F
 
 from sparseloom.functions.metrics import mean_loss
 from sparseloom.functions.params import Params
-from sparseloom.operators.model import FACTORS, LINEAR, Model, empty_model
+from sparseloom.operators.model import Model, empty_model
 from sparseloom.operators.score import logits
-from sparseloom.plans.batch import batch_step
+from sparseloom.operators.versions import ModelLog
+from sparseloom.plans.batch import batch_changes
 from sparseloom.sources.sparse_text import parse_samples
-from sparseloom.storage import shared_path
+from sparseloom.storage import listed, remove, scratch_path
 
-
-def _read(spark: SparkSession, path: str, p: Params) -> Model:
-    factors = spark.read.schema(FACTORS[p.model_type]).parquet(f"{path}/factors") if p.model_type != "LR" else None
-    return Model(p, spark.read.schema(LINEAR).parquet(f"{path}/linear"), factors)
+LOSSES = "batch_id long, loss double, n long"
 
 
 def stream_lines(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
@@ -39,31 +37,40 @@ def _readable(batch: DataFrame, path: str, file_type: str, mode: str) -> DataFra
 
 
 def train_stream(lines: DataFrame, p: Params, file_type: str, checkpoint: str, models: str, start: Model | None = None, mode: str = "FAILFAST") -> DataFrame:
-    """Run the stream over all that is there: losses of its batches, as batch_id, loss (mean, before the step) and n. Models go to models/<batch id>.
+    """Run the stream over all that is there: losses of its batches, as batch_id, loss (mean, before the step) and n. The model is a ModelLog in models.
 
-    seq is a hash of line and place in the batch, as lines have no key of their own.
+    A step reads what its lines touch of the model, and writes what it changes. With a
+    checkpoint and models of before it goes on from them, and start is not used. Lines are
+    parsed and given a key once for each batch, in a table that goes after the step.
     """
     p.check_format(file_type)
     spark = lines.sparkSession
-    first = start or empty_model(spark, p)
+    if ModelLog(spark, models, p).last() is None:
+        ModelLog(spark, models, p).start(start or empty_model(spark, p))
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        model = _read(session, f"{models}/{batch_id - 1}", p) if batch_id else first
-        new, losses = batch_step(_readable(batch, f"{models}/input-{batch_id}", file_type, mode), model)
-        mean_loss(losses, p.strict_loss).select(F.lit(batch_id).cast("long").alias("batch_id"), "loss", "n").write.mode("overwrite").parquet(f"{models}/losses/batch={batch_id}")
-        new.linear.write.mode("overwrite").parquet(f"{models}/{batch_id}/linear")
-        if new.factors is not None:
-            new.factors.write.mode("overwrite").parquet(f"{models}/{batch_id}/factors")
+        log, given = ModelLog(batch.sparkSession, models, p), f"{models}/input-{batch_id}"
+        done = batch_changes(_readable(batch, given, file_type, mode), log.read(batch_id))
+        mean_loss(done.losses, p.strict_loss).select(F.lit(batch_id).cast("long").alias("batch_id"), "loss", "n").write.mode("overwrite").parquet(f"{models}/losses/batch={batch_id}")
+        log.append(batch_id + 1, done.linear, done.factors)
+        log.compact()
+        remove(batch.sparkSession, given)
+
+    run_through(lines, step, checkpoint)
+    return batch_losses(spark, f"{models}/losses")
+
+
+def run_through(lines: DataFrame, step, checkpoint: str) -> None:
+    """Run a stream until all that is there has been through step."""
+    lines.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
-    query = lines.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema("batch_id long, loss double, n long").parquet(f"{models}/losses/*")
 
+def batch_losses(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(LOSSES).parquet(f"{path}/*") if listed(spark, path) else spark.createDataFrame([], LOSSES)
 
-def latest_model(spark: SparkSession, models: str, losses: DataFrame, p: Params) -> Model:
-    last = losses.agg(F.max("batch_id")).first()[0]
-    return empty_model(spark, p) if last is None else _read(spark, f"{models}/{last}", p)
+
+def latest_model(spark: SparkSession, models: str, p: Params) -> Model:
+    return ModelLog(spark, models, p).read()
 
 
 def mean_of(losses: DataFrame) -> float:
@@ -72,22 +79,30 @@ def mean_of(losses: DataFrame) -> float:
     return float("nan") if total is None else total
 
 
-def train_online(spark: SparkSession, path: str, p: Params, file_type: str, files_per_batch: int = 1, mode: str = "FAILFAST") -> Iterator[tuple[Model, float]]:
-    """n_epochs passes over the files of a folder: the model after each pass and the mean progressive loss in it."""
-    model = None
-    for _ in range(p.n_epochs):
-        models = shared_path(spark, "online")
-        losses = train_stream(stream_lines(spark, path, files_per_batch), p, file_type, shared_path(spark, "offsets"), models, model, mode)
-        model = latest_model(spark, models, losses, p)
-        yield model, mean_of(losses)
+def train_online(spark: SparkSession, path: str, p: Params, file_type: str, files_per_batch: int = 1, mode: str = "FAILFAST", work: str | None = None) -> Iterator[tuple[Model, float]]:
+    """n_epochs passes over the files of a folder: the model after each pass and the mean progressive loss in it.
+
+    work keeps the passes: what is done there is not done again, and a pass that was
+    stopped goes on after its last whole step.
+    """
+    model, work = None, work or scratch_path(spark, "online")
+    for k in range(p.n_epochs):
+        here = f"{work}/pass-{k}"
+        if "_SUCCESS" not in listed(spark, f"{here}/done"):
+            losses = train_stream(stream_lines(spark, path, files_per_batch), p, file_type, f"{here}/offsets", f"{here}/model", model, mode)
+            spark.createDataFrame([(mean_of(losses),)], "loss double").write.mode("overwrite").parquet(f"{here}/done")
+        model = latest_model(spark, f"{here}/model", p)
+        yield model, spark.read.parquet(f"{here}/done").first()["loss"]
 
 
 def evaluate_stream(lines: DataFrame, model: Model, file_type: str, checkpoint: str, out: str, mode: str = "FAILFAST") -> DataFrame:
     """Losses of a stream under a fixed model, batch by batch: batch_id, loss, n."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        samples = _readable(batch, f"{out}/input-{batch_id}", file_type, mode)
+        given = f"{out}/input-{batch_id}"
+        samples = _readable(batch, given, file_type, mode)
         mean_loss(logits(samples, model), model.params.strict_loss).select(F.lit(batch_id).cast("long").alias("batch_id"), "loss", "n").write.mode("overwrite").parquet(f"{out}/losses/batch={batch_id}")
+        remove(batch.sparkSession, given)
 
-    lines.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return lines.sparkSession.read.schema("batch_id long, loss double, n long").parquet(f"{out}/losses/*")
+    run_through(lines, step, checkpoint)
+    return batch_losses(lines.sparkSession, f"{out}/losses")

@@ -192,3 +192,117 @@ def test_tasks_with_bad_lines(spark, tmp_path, online):
         assert got[0].train_loss == pytest.approx(clean[0].train_loss)
     with pytest.raises(Exception):
         run(spark, params("LR", online=online, train_data=one["dirty"]))
+
+
+@pytest.mark.parametrize("online", [True, False])
+def test_stopped_tasks_go_on(spark, tmp_path, monkeypatch, online):
+    """A task that dies in its second epoch (a pass, in its second batch) and is run again ends as one that never died, and does nothing twice."""
+    from sparseloom.operators import versions
+    from sparseloom.plans import tasks
+
+    (tmp_path / "train").mkdir()
+    for i in range(2):
+        (tmp_path / "train" / f"{i}.txt").write_text("\n".join(LINES[i * 5 : i * 5 + 5]))
+    given = dict(online=online, n_epochs=2, train_data=str(tmp_path / "train"), eval_data=str(tmp_path / "train"))
+    p = params("LR", **given)
+    want_model, want = run(spark, p)
+    work = str(tmp_path / "work")
+    written, real = [], versions.ModelLog._write
+
+    def failing(self, place, tables):
+        if len(written) == (4 if online else 2):
+            written.append("died")
+            raise RuntimeError("died")
+        real(self, place, tables)
+        written.append(place)
+
+    monkeypatch.setattr(versions.ModelLog, "_write", failing)
+    with pytest.raises(Exception, match="died"):
+        run(spark, params("LR", **given, work_path=work))
+    model, epochs = run(spark, params("LR", **given, work_path=work))
+    assert [e.train_loss for e in epochs] == pytest.approx([e.train_loss for e in want]) and [e.eval_loss for e in epochs] == pytest.approx([e.eval_loss for e in want])
+    state = lambda m: {r["feat"]: r["z"] for r in m.linear.collect()}
+    assert state(model) == pytest.approx(state(want_model))
+    if online:
+        assert len(written) == 1 + 2 * (1 + 2)  # each pass starts a log and has two steps; one of them was begun twice
+    else:
+        assert len(written) == 1 + 1 + 2
+    with pytest.raises(ValueError, match="another task"):
+        run(spark, params("FM", online=online, w_l1=0.5, train_data=p.train_data, work_path=work))
+
+
+@pytest.mark.parametrize("kind", ["LR", "FM", "FFM"])
+def test_changes_are_what_a_step_touches(spark, samples, kind, monkeypatch, tmp_path):
+    """A log of small steps equals whole models, step by step and over compactions; bytes of a step follow what it touches."""
+    from sparseloom.operators import versions
+    from sparseloom.operators.versions import ModelLog
+    from sparseloom.plans.batch import batch_changes
+
+    monkeypatch.setattr(versions, "CHANGES", 2)
+    p = params(kind, factor_init="warm")
+    log, whole = ModelLog(spark, str(tmp_path / "log"), p), empty_model(spark, p)
+    assert log.last() is None
+    log.start(whole)
+    for i in range(3):
+        part = samples.filter(F.col("seq") % 3 == i)
+        done = batch_changes(part, log.read(i))
+        whole, losses = batch_step(part, whole)
+        assert sorted(map(tuple, done.losses.select("seq", F.round("loss", 9)).collect())) == sorted(map(tuple, losses.select("seq", F.round("loss", 9)).collect()))
+        log.append(i + 1, done.linear, done.factors)
+        assert done.linear.count() == part.select(F.explode("x")).select("col.feat").distinct().count() + 1
+        log.compact()
+        rows = lambda df: sorted((tuple(r[c] for c in r.__fields__ if c in ("feat", "field")), tuple(map(float, r["z"])) if isinstance(r["z"], list) else (r["z"],)) for r in df.collect())
+        for a, b in ((log.read().linear, whole.linear), *([] if kind == "LR" else [(log.read().factors, whole.factors)])):
+            got, want = rows(a), rows(b)
+            assert [k for k, _ in got] == [k for k, _ in want] and all(x == pytest.approx(y) for (_, x), (_, y) in zip(got, want))
+    assert log.last() == 3 and len(log._versions("base")) <= 2
+    with pytest.raises(ValueError):
+        log.read(99)
+
+
+@pytest.mark.parametrize("kind", ["FM", "FFM"])
+def test_field_blocks_against_pairs(spark, kind):
+    """Logits and gradients by sums equal those pair by pair, for fields with several entries and entries that repeat."""
+    import random
+
+    from sparseloom.plans.batch import ffm_gradients, fm_gradients, scored_rows
+    from sparseloom.functions.expressions import sigmoid
+
+    rnd, k, p = random.Random(3), 3, params(kind, n_factors=3, n_feats=9, factor_init="parity")
+    rows = [(i, i % 2, [(rnd.randrange(3), rnd.randrange(6), rnd.choice((1.0, 0.5, -2.0))) for _ in range(rnd.randrange(7))]) for i in range(30)] + [(99, 1, [(1, 2, 1.0), (1, 2, 1.0)])]
+    df = spark.createDataFrame(rows, "seq long, y int, x array<struct<field: int, feat: int, value: float>>")
+    w = {f: rnd.gauss(0, 1) for f in range(-1, 5)}  # feature 5 has no row, nor have some factors
+    key = [(f, g) for f in range(5) for g in range(3) if (f, g) != (1, 1)] if kind == "FFM" else [(f,) for f in range(5)]
+    v = {c: [rnd.gauss(0, 0.5) for _ in range(k)] for c in key}
+    linear = spark.createDataFrame(list(w.items()), "feat int, w double")
+    factors = spark.createDataFrame([(*c, x) for c, x in v.items()], "feat int, field int, v array<double>" if kind == "FFM" else "feat int, v array<double>")
+    of = lambda feat, field: v.get((feat, field) if kind == "FFM" else (feat,), [0.0] * k)
+    scored = scored_rows(df, linear, factors, p).withColumn("e", sigmoid(F.col("logit")) - F.col("y"))
+    logit = {}
+    want = {}
+    for seq, y, x in rows:
+        s = w[-1] + sum(w.get(i, 0.0) * c for _, i, c in x)
+        each = []
+        for a in range(len(x)):
+            for b in range(a + 1, len(x)):
+                (f, i, c), (g, j, d) = x[a], x[b]
+                vi, vj = of(i, g), of(j, f)
+                s += sum(m * n for m, n in zip(vi, vj)) * c * d
+                each += [((i, g), vj, c * d), ((j, f), vi, c * d)]
+        logit[seq], e = s, 1 / (1 + math.exp(-s)) - y
+        if kind == "FM":
+            each = []
+            total = [sum(of(i, 0)[t] * c for _, i, c in x) for t in range(k)]
+            each = [((i,), [c * total[t] - of(i, 0)[t] * c * c for t in range(k)], 1.0) for _, i, c in x]
+        for at, other, xx in each:
+            g, q = want.setdefault(at, ([0.0] * k, [0.0] * k))
+            for t in range(k):
+                g[t] += e * xx * other[t]
+                q[t] += (e * xx * other[t]) ** 2
+    assert {r["seq"]: r["logit"] for r in scored.collect()} == pytest.approx(logit)
+    got = {((r["feat"], r["field"]) if kind == "FFM" else (r["feat"],)): r for r in (ffm_gradients if kind == "FFM" else fm_gradients)(scored, k).collect()}
+    assert got.keys() == want.keys()
+    for at, (g, q) in want.items():
+        assert got[at]["g"] == pytest.approx(g, abs=1e-9) and got[at]["q"] == pytest.approx(q, abs=1e-9)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1  # one row for each entry, none for pairs
