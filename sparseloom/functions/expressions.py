@@ -46,9 +46,14 @@ def ftrl_z(w: Column, p: Params) -> Column:
     return -w * (p.w_l2 + p.w_beta / p.w_alpha) - F.signum(w) * p.w_l1
 
 
+def hash_draw(seed: int, *key: Column | str) -> Column:
+    """Even among the whole numbers of 53 bits, the same for a key however the data are partitioned."""
+    return F.xxhash64(F.lit(seed), *key).bitwiseAND(F.lit((1 << 53) - 1))
+
+
 def hash_uniform(seed: int, *key: Column | str) -> Column:
-    """Even in [0, 1), the same for a key however the data are partitioned."""
-    return F.xxhash64(F.lit(seed), *key).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
+    """Even in [0, 1)."""
+    return hash_draw(seed, *key) / float(1 << 53)
 
 
 def hash_gaussian(mean: float, stddev: float, seed: int, *key: Column | str) -> Column:

@@ -113,9 +113,13 @@ def lines(samples: DataFrame, file_type: str) -> DataFrame:
     return samples.select("seq", F.concat_ws(" ", F.col("y").cast("string"), F.transform("x", one)).alias("value"))
 
 
+def shuffled_by(seed: int, *key: str) -> tuple[Column | str, ...]:
+    """What shuffled rows are sorted by: an order that seed and key fix, whatever the partitioning."""
+    return F.xxhash64(F.lit(seed), *key), *key
+
+
 def shuffled(df: DataFrame, seed: int, *key: str) -> DataFrame:
-    """Rows in an order that seed and key fix, whatever the partitioning."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *key), *key)
+    return df.orderBy(*shuffled_by(seed, *key))
 
 
 def transform(train: DataFrame, evaluation: DataFrame, p: EncodeParams, seq: str) -> tuple[DataFrame, DataFrame]:

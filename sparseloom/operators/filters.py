@@ -22,10 +22,3 @@ def has_zero(weights: DataFrame, column: str) -> DataFrame:
     """One row: has_zero, whether a weight (or an element of an array of weights) is exactly 0; false without rows."""
     c = F.exists(column, lambda w: w == 0) if weights.schema[column].dataType.typeName() == "array" else F.col(column) == 0
     return weights.agg(F.coalesce(F.bool_or(c), F.lit(False)).alias("has_zero"))
-
-
-def row_partitions(df: DataFrame, order: str, parts: int) -> DataFrame:
-    """part: contiguous ranges of equally many rows in the order of a column whose values are 0, 1, 2 and so on."""
-    n = df.agg((F.max(order) + 1).alias("n"))
-    unit = F.ceil(F.col("n") / parts)
-    return df.crossJoin(F.broadcast(n)).select(*df.columns, F.floor(F.col(order) / unit).cast("int").alias("part"))  # n is one row

@@ -11,8 +11,10 @@ from sparseloom.functions.expressions import ftrl_weight, ftrl_z, log_loss, numb
 from sparseloom.functions.metrics import mean_loss
 from sparseloom.functions.params import EncodeParams, Params
 from sparseloom.operators import encode as enc
-from sparseloom.operators.filters import has_zero, in_range, nonzero, row_partitions
+from sparseloom.draws_sql import DRAW, SIGNED, UNIFORM, hashed
+from sparseloom.operators.filters import has_zero, in_range, nonzero
 from sparseloom.operators.model import Model, empty_model, export_text, import_text, initial_factors, initial_weight, load_model, save_model, zero_weights
+from sparseloom.operators.order import row_partitions, with_positions
 from sparseloom.operators.score import logits, predict
 from sparseloom.plans.batch import batch_step, ffm_gradients, fm_gradients, scored_rows, train_batch
 from sparseloom.plans.mixing import mixing_round
@@ -237,9 +239,17 @@ def has_zero_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return has_zero(table(spark, sf_dir, "lineitem"), "l_discount")
 
 
-@query("SELECT part, count(*) AS n, min(event_id) AS first FROM (SELECT event_id, floor(event_id / ceil((SELECT max(event_id) + 1 FROM events) / 7.0))::INTEGER AS part FROM events) GROUP BY part")
+@query("SELECT part, count(*) AS n, min(o_orderkey) AS first, max(o_orderkey) AS last FROM (SELECT o_orderkey, floor((row_number() OVER (ORDER BY o_orderkey) - 1) / ceil((SELECT count(*) FROM orders) / 7.0))::INTEGER AS part FROM orders) GROUP BY part")
 def row_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return row_partitions(events(spark, sf_dir), "event_id", 7).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"))
+    """Orders in seven ranges of equally many rows; their keys have gaps."""
+    dealt = row_partitions(table(spark, sf_dir, "orders").select("o_orderkey"), 7, "o_orderkey")
+    return dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"))
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS position FROM orders")
+def row_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    return with_positions(orders, F.desc("o_totalprice"), "o_orderkey").select("o_orderkey", "position")
 
 
 # functions
@@ -636,22 +646,17 @@ def negative_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.filter(inside).groupBy(given.alias("given"), F.when(F.col("own"), 1).otherwise(3).alias("copies")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT event_id, 1::BIGINT AS n_parts, TRUE AS shares_hold FROM events")
+@query(f"SELECT event_id, row_number() OVER (ORDER BY {DRAW}, event_id) <= round(0.8 * (SELECT count(*) FROM events)) AS train FROM {hashed('events', ('int', '42'), ('long', 'event_id'))}")
 def train_eval_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each row is in one of the two parts, and the parts have about their shares of the rows."""
+    """Exactly the share of the rows that is asked for, drawn by the key."""
     train, evaluation = split(events(spark, sf_dir), 0.8, 42, "event_id")
-    rows = train.select("event_id", F.lit(1).alias("t")).union(evaluation.select("event_id", F.lit(0)))
-    share = rows.agg(F.avg("t").alias("share"))  # one row
-    return rows.groupBy("event_id").agg(F.count(F.lit(1)).alias("n_parts")).crossJoin(F.broadcast(share)).select("event_id", "n_parts", F.col("share").between(0.75, 0.85).alias("shares_hold"))
+    return train.select("event_id", F.lit(True).alias("train")).union(evaluation.select("event_id", F.lit(False)))
 
 
-@query("SELECT event_id, event_type, user_id, value, TRUE AS out_of_order FROM events")
+@query(f"SELECT event_id, event_type, user_id, value, row_number() OVER (ORDER BY {SIGNED}, event_id) - 1 AS place FROM {hashed('events', ('int', '42'), ('long', 'event_id'))}")
 def shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shuffled rows, and whether places and ids have nothing to do with each other (a correlation below 0.1)."""
-    mixed = materialize(enc.shuffled(events(spark, sf_dir), 42, "event_id").withColumn("place", F.monotonically_increasing_id()), "shuffled")
-    ranks = mixed.groupBy(F.spark_partition_id().alias("part")).agg(F.corr("place", "event_id").alias("c"), F.count(F.lit(1)).alias("n"))
-    loose = ranks.agg((F.sum(F.abs("c") * F.col("n")) / F.sum("n") < 0.1).alias("out_of_order"))  # one row
-    return mixed.drop("place").crossJoin(F.broadcast(loose))
+    """Shuffled rows with their places."""
+    return with_positions(events(spark, sf_dir), *enc.shuffled_by(42, "event_id"), name="place")
 
 
 @query(_epochs_sql(1))
@@ -764,28 +769,33 @@ def csv_to_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].union(parts[1])
 
 
-@query("SELECT l_linenumber AS given, TRUE AS whole, TRUE AS within, TRUE AS reached, 2 * count(*) AS n FROM lineitem GROUP BY l_linenumber")
+_KEYED = "(SELECT l_orderkey::BIGINT * 8 + l_linenumber AS seq, l_quantity::INTEGER AS q, unnest([1, 2]) AS copy FROM lineitem)"
+
+
+@query(f"""WITH b AS (SELECT min(l_quantity::INTEGER) AS lo, max(l_quantity::INTEGER) AS hi FROM lineitem)
+SELECT (lo + floor({UNIFORM} * (hi - lo + 1)))::INTEGER AS drawn, count(*) AS n FROM {hashed(_KEYED, ("int", "42"), ("long", "seq"), ("int", "copy"), ("int", "0"))} CROSS JOIN b GROUP BY ALL""")
 def whole_number_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two negatives for each line, its quantity drawn from the whole numbers between the table's smallest and largest one, both of which come up."""
-    li = table(spark, sf_dir, "lineitem").select("l_linenumber", F.col("l_quantity").cast("int").alias("q"))
-    li = materialize(li.withColumn("seq", F.monotonically_increasing_id()), "lineitem")
+    """Two negatives for each line, its quantity drawn from the whole numbers between the table's smallest and largest one: how often each was drawn."""
+    li = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey").cast("long") * 8 + F.col("l_linenumber")).alias("seq"), F.col("l_quantity").cast("int").alias("q"))
     low = enc.bounds(li, ["q"]).first()
     x = F.array(F.struct(F.lit(0).alias("field"), F.lit(1).alias("feat"), F.col("q").cast("float").alias("value")))
     both = enc.with_negatives(li.select("seq", F.lit(1).alias("y"), x.alias("x")), [], [(float(low["min_q"]), float(low["max_q"]), True)], 2, 42)
-    drawn = both.filter("y = 0").select(F.col("x")[0].value.alias("q"))
-    ends = drawn.agg(F.min("q").alias("a"), F.max("q").alias("b"), F.count_if(F.col("q") != F.floor("q")).alias("broken"))  # one row
-    flags = ends.select((F.col("broken") == 0).alias("whole"), (F.col("a") >= low["min_q"]).alias("l"), (F.col("b") <= low["max_q"]).alias("h"), ((F.col("a") == low["min_q"]) & (F.col("b") == low["max_q"])).alias("reached"))
-    per = li.groupBy(F.col("l_linenumber").alias("given")).agg((2 * F.count(F.lit(1))).alias("n"))
-    return per.crossJoin(F.broadcast(flags)).select("given", "whole", (F.col("l") & F.col("h")).alias("within"), "reached", "n")
+    drawn = both.filter("y = 0").select(F.col("x")[0].value.cast("int").alias("drawn"))
+    return drawn.groupBy("drawn").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _gaussian_sql(table_: str, seed: int, *columns: tuple[str, str]) -> str:
+    """Columns key, k and w (mean 0.5, deviation 0.05) of a table of key and k."""
+    u = f"(SELECT key, k, {UNIFORM} AS u FROM {hashed(table_, ('int', str(2 * seed)), *columns)})"
+    v = f"(SELECT key, k, {UNIFORM} AS v FROM {hashed(table_, ('int', str(2 * seed + 1)), *columns)})"
+    return f"SELECT key, k, round(0.5 + 0.05 * sqrt(-2 * ln(1 - u)) * cos(2 * pi() * v), 9) AS w FROM {u} JOIN {v} USING (key, k)"
 
 
-@query("SELECT 'weights' AS part, count(DISTINCT user_id) AS n, TRUE AS mean_holds, TRUE AS spread_holds FROM events UNION ALL SELECT 'factors', 4 * count(*), TRUE, TRUE FROM events")
+@query(_gaussian_sql("(SELECT DISTINCT user_id::INTEGER AS key, -1 AS k FROM events)", 42, ("int", "key")) + " UNION ALL " + _gaussian_sql("(SELECT event_id::INTEGER AS key, unnest([0, 1, 2, 3]) AS k FROM events)", 43, ("int", "key"), ("int", "k")))
 def initial_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Initial weights of users and factors of events: drawn about the mean with the deviation asked for (within five standard errors)."""
+    """Initial weights of users (k = -1) and factors of events."""
     p = params("FM", init_mean=0.5)
     e = events(spark, sf_dir)
-    weights = e.select("user_id").distinct().select(F.lit("weights").alias("part"), initial_weight(p, F.col("user_id").cast("int")).alias("w"))
-    factors = e.select(F.lit("factors").alias("part"), F.explode(initial_factors(p, F.col("event_id").cast("int"))).alias("w"))
-    stats = weights.union(factors).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.avg("w").alias("m"), F.stddev_pop("w").alias("s"))
-    error = 5 * p.init_stddev / F.sqrt("n")
-    return stats.select("part", "n", (F.abs(F.col("m") - p.init_mean) < error).alias("mean_holds"), (F.abs(F.col("s") - p.init_stddev) < error).alias("spread_holds"))
+    weights = e.select(F.col("user_id").cast("int").alias("key")).distinct().select("key", F.lit(-1).alias("k"), initial_weight(p, F.col("key")).alias("w"))
+    factors = e.select(F.col("event_id").cast("int").alias("key")).select("key", F.posexplode(initial_factors(p, F.col("key"))).alias("k", "w"))
+    return weights.union(factors).select("key", "k", F.round("w", 9).alias("w"))

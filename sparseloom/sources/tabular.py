@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparseloom.functions.expressions import hash_uniform
+from sparseloom.functions.expressions import hash_draw
 from sparseloom.functions.params import EncodeParams
+from sparseloom.operators.order import first_rows
 
 
 def read_csv(spark: SparkSession, path: str, p: EncodeParams) -> DataFrame:
@@ -23,6 +24,10 @@ def read_train_eval(spark: SparkSession, p: EncodeParams, data_path: str = "", t
 
 
 def split(df: DataFrame, train_share: float, seed: int, *key: str) -> tuple[DataFrame, DataFrame]:
-    """Train and eval rows by a hash of the key (all columns if none): the same rows in every run and partitioning, of about that share."""
-    u = hash_uniform(seed, *(key or df.columns))
-    return df.filter(u < train_share), df.filter(u >= train_share)
+    """Train and eval rows by a hash of the key (all columns if none): the same rows in every run and partitioning.
+
+    Exactly round(train_share * rows) rows are for training, those of the smallest draws.
+    """
+    key = key or tuple(df.columns)
+    marked = first_rows(df, round(train_share * df.count()), hash_draw(seed, *key), *key)
+    return marked.filter("first").drop("first"), marked.filter("NOT first").drop("first")

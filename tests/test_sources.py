@@ -143,3 +143,34 @@ def test_dictionary_of_numbers_and_long_names(spark):
     assert [r["feat"] for r in words] == list(range(1, 16))
     assert [float(r["value"]) for r in words if r["field"] == 0] == sorted({r[0] for r in rows})
     assert [r["value"] for r in words if r["field"] == 1] == sorted(r[1] for r in rows)
+
+
+def test_exact_split(spark, monkeypatch):
+    """Exactly the share, the same rows however the table lies, with many equal rows and through several histograms."""
+    from sparseloom.operators import order
+    from sparseloom.sources.tabular import split
+
+    monkeypatch.setattr(order, "FEW", 5)
+    df = spark.range(500).selectExpr("id % 300 AS a", "CASE WHEN id < 200 THEN 1 ELSE id END AS b", "'x' AS first", "id AS _place")
+    for share in (0.0, 0.003, 0.5, 0.8, 1.0):
+        train, held = split(df.repartition(3), share, 7, "a", "b")
+        assert train.count() == round(500 * share) and train.count() + held.count() == 500
+        again, _ = split(df.repartition(5), share, 7, "a", "b")
+        assert sorted((r["a"], r["b"]) for r in train.collect()) == sorted((r["a"], r["b"]) for r in again.collect())
+    same = spark.createDataFrame([(1,)] * 90, "a int")
+    train, held = split(same, 0.3, 1)
+    assert (train.count(), held.count()) == (27, 63)
+    assert [x.count() for x in split(same.limit(0), 0.3, 1)] == [0, 0]
+
+
+def test_positions(spark):
+    from sparseloom.operators.order import row_partitions, with_positions
+
+    rows = [(i * 37 % 101, None if i % 9 == 0 else i % 5) for i in range(300)]
+    df = spark.createDataFrame(rows, "a int, b int").repartition(6)
+    got = with_positions(df, F.desc("b"), "a").orderBy("position").collect()
+    assert [r["position"] for r in got] == list(range(300))
+    assert [(r["b"], r["a"]) for r in got] == sorted(((b, a) for a, b in rows), key=lambda t: (t[0] is None, -(t[0] or 0), t[1]))
+    parts = row_partitions(df, 7, "a").groupBy("part").count().orderBy("part").collect()
+    assert [r["count"] for r in parts] == [43] * 6 + [42]
+    assert with_positions(df.limit(0), "a").count() == 0 and row_partitions(df.limit(0), 7, "a").count() == 0
