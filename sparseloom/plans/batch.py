@@ -97,7 +97,7 @@ def _updated_factors(model: Model, gradients: DataFrame, how: str) -> DataFrame:
     return new.select(*key, _vector_weight(p, "n", "z").alias("v"), "n", "z")
 
 
-def _current(model: Model) -> tuple[DataFrame, DataFrame | None]:
+def current(model: Model) -> tuple[DataFrame, DataFrame | None]:
     """Weights and factors that the sums stand for."""
     p = model.params
     linear = model.linear.select("feat", ftrl_weight(F.col("n"), F.col("z"), p).alias("w"))
@@ -166,7 +166,7 @@ def step_of(scored: DataFrame, model: Model, how: str = "right") -> Step:
 def batch_step(samples: DataFrame, model: Model) -> tuple[Model, DataFrame]:
     """The model after one step over all samples, and their losses before it: seq, y, logit, loss."""
     p = model.params
-    step = step_of(scored_rows(valid(samples, p), *_current(model), p), model, "full")
+    step = step_of(scored_rows(valid(samples, p), *current(model), p), model, "full")
     return Model(p, step.linear, step.factors), step.losses
 
 
@@ -176,7 +176,7 @@ def batch_changes(samples: DataFrame, model: Model) -> Step:
     inside = valid(samples, p)
     touched = inside.select(F.explode(F.transform("x", lambda e: e.feat)).alias("feat")).union(inside.sparkSession.createDataFrame([(BIAS,)], "feat int")).distinct()
     own = replace(model, linear=model.linear.join(touched, "feat", "left_semi"), factors=None if model.factors is None else model.factors.join(touched, "feat", "left_semi"))
-    return step_of(scored_rows(inside, *_current(own), p), own)
+    return step_of(scored_rows(inside, *current(own), p), own)
 
 
 def kept(model: Model) -> Model:

@@ -17,6 +17,7 @@ from sparseloom.operators.model import Model, empty_model, export_text, import_t
 from sparseloom.operators.order import row_partitions, with_positions
 from sparseloom.operators.score import logits, predict
 from sparseloom.plans.batch import batch_step, ffm_gradients, fm_gradients, scored_rows, train_batch
+from sparseloom.plans.bucketed import train_bucketed
 from sparseloom.plans.mixing import mixing_round
 from sparseloom.plans.tasks import run as run_task
 from sparseloom.sources.sparse_text import line_formats, parse_by_pattern, parse_garbage_as_zero, parse_samples, read_lines, with_chunks, write_lines
@@ -362,6 +363,25 @@ def ftrl_batch_epochs_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(train_batch(materialize(samples(spark, sf_dir), "samples"), params("LR", n_epochs=3)).linear)
 
 
+#: Lines as samples: feature 0 is the quantity of each line, then come suppliers and parts.
+_PART = 200_000
+_LINES = f"""
+k AS (SELECT row_number() OVER () AS event_id, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, l_suppkey::INTEGER AS s, {_PART} + l_partkey::INTEGER AS p, (l_quantity / 50.0)::FLOAT::DOUBLE AS x FROM lineitem),
+e AS (SELECT event_id, y, -1 AS f, 1.0::DOUBLE AS x FROM k UNION ALL SELECT event_id, y, 0, x FROM k UNION ALL SELECT event_id, y, s, 1 FROM k UNION ALL SELECT event_id, y, p, 1 FROM k),
+s0 AS (SELECT DISTINCT f, 0.0::DOUBLE AS n, 0.0::DOUBLE AS z, 0.0::DOUBLE AS w FROM e)"""
+
+
+@query(f"WITH {_LINES}{_step_sql(0)}{_step_sql(1)} SELECT f::INTEGER AS feat, round(w, 7) AS w, round(n, 5) AS n, round(z, 5) AS z FROM s2")
+def ftrl_bucketed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two steps over lines whose entries are written once, in buckets of features; the quantity is a feature of all of them, so it is split."""
+    li = table(spark, sf_dir, "lineitem")
+    entry = lambda field, feat, value: F.struct(F.lit(field).alias("field"), feat.cast("int").alias("feat"), value.cast("float").alias("value"))
+    x = F.array(entry(0, F.lit(0), F.col("l_quantity") / 50.0), entry(1, F.col("l_suppkey"), F.lit(1.0)), entry(2, F.col("l_partkey") + _PART, F.lit(1.0)))
+    given = li.select(F.monotonically_increasing_id().alias("seq"), (F.col("l_returnflag") == "R").cast("int").alias("y"), x.alias("x"))
+    model = train_bucketed(materialize(given, "samples"), params("LR", n_epochs=2), buckets=16, most=50_000).linear
+    return model.select("feat", F.round("w", 7).alias("w"), F.round("n", 5).alias("n"), F.round("z", 5).alias("z"))
+
+
 def _vectors(gradients: DataFrame, *key: str) -> DataFrame:
     long = gradients.select(*key, F.posexplode(F.arrays_zip("g", "q")).alias("k", "s"))
     return long.select(*key, "k", F.round("s.g", 6).alias("g"), F.round("s.q", 6).alias("q"))
@@ -527,6 +547,55 @@ def ftrl_mixing_ffm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixing(spark, sf_dir, "FFM")
 
 
+def document_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as samples: whether they are long, by language, source and a share of their id."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    words = enc.dictionaries(d, ["lang", "source"])
+    share = d.withColumn("share", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(97)) / 97.0)
+    return enc.encode(share, words, N_FEATS - 1, ["lang", "source"], ["share"], (F.col("n_chars") > 2000).cast("int"), "doc_id").filter(F.col("seq").isNotNull() & F.col("y").isNotNull())
+
+
+def _mixing_documents(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """The mixing plan over a table that grows; shards follow its rows, so that a task's work does not."""
+    s = materialize(document_samples(spark, sf_dir), "samples")
+    model, losses = mixing_round(s, empty_model(spark, params(kind, factor_init="warm")), max(SHARDS, -(-s.count() // 4096)))
+    return model.factors.select(*model.factor_key, "v", "n", "z").crossJoin(F.broadcast(losses.select("loss")))  # one row
+
+
+@query()
+def ftrl_mixing_fm_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixing_documents(spark, sf_dir, "FM")
+
+
+@query()
+def ftrl_mixing_ffm_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixing_documents(spark, sf_dir, "FFM")
+
+
+_STATE = "CASE WHEN k = 1 OR k = f THEN {new} ELSE {old} END"
+
+
+@query(f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER (ORDER BY s_suppkey) AS i, CASE WHEN s_acctbal > 4000 THEN 1 ELSE 0 END AS y, s_nationkey::INTEGER + 2 AS f FROM supplier),
+r AS (
+  SELECT 0::BIGINT AS i, list_transform(range(1, 40), lambda k: 0.0::DOUBLE) AS n, list_transform(range(1, 40), lambda k: 0.0::DOUBLE) AS z, list_transform(range(1, 40), lambda k: 0) AS met, 0.0::DOUBLE AS loss
+  UNION ALL
+  SELECT i, list_transform(range(1, 40), lambda k: {_STATE.format(new="n[k] + e * e", old="n[k]")}),
+    list_transform(range(1, 40), lambda k: {_STATE.format(new="z[k] + e - (sqrt(n[k] + e * e) - sqrt(n[k])) / 0.05 * CASE WHEN k = 1 THEN wb ELSE wf END", old="z[k]")}),
+    list_transform(range(1, 40), lambda k: {_STATE.format(new="1", old="met[k]")}), loss + CASE WHEN y = 1 THEN ln(1 + exp(-(wb + wf))) ELSE ln(1 + exp(wb + wf)) END
+  FROM (SELECT *, 1 / (1 + exp(-(wb + wf))) - y AS e FROM (
+    SELECT d.i, n, z, met, loss, d.f, d.y, {_PROX.format(z="z[1]", n="n[1]")} AS wb, {_PROX.format(z="z[d.f]", n="n[d.f]")} AS wf FROM r JOIN d ON d.i = r.i + 1)))
+SELECT k::INTEGER - 2 AS feat, round(n[k], 3) AS n, round(z[k], 3) AS z, round(loss / i, 3) AS loss FROM (SELECT *, unnest(range(1, 40)) AS k FROM r WHERE i = (SELECT count(*) FROM supplier)) WHERE met[k] = 1""")
+def ftrl_sequential_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers one after another in one shard: the plain sequential algorithm."""
+    supplier = table(spark, sf_dir, "supplier")
+    x = F.array(F.struct(F.lit(0).alias("field"), F.col("s_nationkey").cast("int").alias("feat"), F.lit(1.0).cast("float").alias("value")))
+    given = supplier.select(F.col("s_suppkey").alias("seq"), (F.col("s_acctbal") > 4000).cast("int").alias("y"), x.alias("x"))
+    model, losses = mixing_round(given, empty_model(spark, params("LR")), 1)
+    rows = model.linear.select("feat", F.round("n", 3).alias("n"), F.round("z", 3).alias("z"))
+    return rows.crossJoin(F.broadcast(losses.select(F.round("loss", 3).alias("loss"))))  # one row
+
+
 ARRIVALS = 3
 #: The number as it comes back from text of four decimals.
 _WRITTEN = "round_even(x, 4)::FLOAT::DOUBLE"

@@ -306,3 +306,27 @@ def test_field_blocks_against_pairs(spark, kind):
         assert got[at]["g"] == pytest.approx(g, abs=1e-9) and got[at]["q"] == pytest.approx(q, abs=1e-9)
     plan = scored._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate") == 1  # one row for each entry, none for pairs
+
+
+@pytest.mark.parametrize("kind", ["LR", "FFM"])
+def test_bucketed_training(spark, samples, kind):
+    """Entries in buckets give what a plain step gives, hot features in several parts; the join has no exchange."""
+    from sparseloom.plans.bucketed import Entries, train_bucketed
+
+    p = params(kind, n_epochs=2, factor_init="warm")
+    odd = samples.union(spark.createDataFrame([(77, 1, [])], samples.schema))
+    got, want = train_bucketed(odd, p, buckets=3, most=2), train_batch(odd, p)
+    for a, b in ((got.linear, want.linear), *([] if kind == "LR" else [(got.factors, want.factors)])):
+        flat = lambda df: {(r["feat"], r["field"] if "field" in r else -1): r["z"] for r in df.collect()}
+        one, two = flat(a), flat(b)
+        assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k]) for k in one)
+    entries = Entries.write(odd, p, 3, 2)
+    assert entries.parts.count() > 0
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        met = entries.met(got.linear.filter("feat >= 0").select("feat", "w", F.lit(None).alias("blocks")))
+        met.collect()
+        plan = met._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Join" in plan and "Exchange" not in plan
