@@ -28,6 +28,12 @@ def _file_system(spark: SparkSession, path: str):
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    """Have the driver remove a path, which is there by now, when it ends."""
+    files, place = _file_system(spark, path)
+    files.deleteOnExit(place)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Remove a path that this library has written; nothing happens where it is gone."""
     files, place = _file_system(spark, path)
