@@ -16,15 +16,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparseloom.llm.common import read_table, small_batches, texts
 
 ORDER = 4
-#: Bounds of the sample that the trees are grown from: texts of a language, picked by hash, and of their distinct grams the most frequent ones.
-SAMPLE_TEXTS, SAMPLE_GRAMS = 300, 500_000
+#: Bounds of the labelled sample that the trees are grown from, picked by hash: rows of a language, and rows of all languages together. Of the picked rows every gram counts.
+SAMPLE_TEXTS, SAMPLE_ROWS = 300, 30_000
 NO_LANGUAGE = "und"
 _PAD = b" " * ORDER
 #: Slots of the table of grams times languages, as a power of two.
@@ -106,7 +106,7 @@ class Scorer:
         bits = max(10, _TABLE_BITS - len(trees).bit_length())
         self.shift = np.uint64(64 - bits)
         self.key = np.full(1 << bits, np.uint64(2**64 - 1))
-        self.bits = np.zeros((1 << bits, len(trees)), np.float32)
+        self.bits = np.zeros((1 << bits, len(trees)))
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
@@ -125,7 +125,7 @@ class Scorer:
         bits = self.bits[slot]
         if new.any():
             fresh, back = np.unique(keys[new], return_inverse=True)
-            found = np.stack([t.code_lengths(fresh) for t in self.trees], 1).astype(np.float32)
+            found = np.stack([t.code_lengths(fresh) for t in self.trees], 1)
             bits[new] = found[back]
             where = self._slot(fresh)
             self.key[where], self.bits[where] = fresh, found  # of grams that share a slot the last stays
@@ -142,17 +142,19 @@ class Model:
         self.trees = [Tree(*counts[n]) for n in self.languages]
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_texts: int = SAMPLE_TEXTS, sample_grams: int = SAMPLE_GRAMS) -> Model:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_texts: int = SAMPLE_TEXTS, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Trees from about sample_texts texts of each language, picked by a hash of id and text, the same ones in every run.
 
-    Rows without text or language are left out; every other language is learned. Grams
-    are counted where the texts are; to the driver come counts, at most sample_grams for
-    a language. The share of texts is set from the exact number of rows of each language.
+    Rows without text or language are left out; every other language is learned. With so
+    many languages that these would be more than about sample_rows rows, each has its part
+    of them. Grams are counted where the texts are; to the driver come counts of all grams
+    of the picked rows. The share of texts is set from the exact number of rows of each language.
     """
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("lang")).filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
     numbers = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     place = (F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53)))
-    picked = rows.join(F.broadcast(numbers), "lang").filter(place < F.lit(float(sample_texts)) / F.col("n")).select("lang", "text")  # a row for each language
+    of_each = min(float(sample_texts), sample_rows / max(1, numbers.count()))
+    picked = rows.join(numbers, "lang").filter(place < F.lit(of_each) / F.col("n")).select("lang", "text")  # Spark broadcasts the numbers where they are few
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -164,8 +166,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
     sums = small_batches(picked).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    found = sums.withColumn("rank", rank).filter(F.col("rank") <= sample_grams).select("lang", "gram", "n").toArrow().sort_by([("lang", "ascending"), ("gram", "ascending")])
+    found = sums.toArrow().sort_by([("lang", "ascending"), ("gram", "ascending")])
     names, gram, n = found.column("lang").to_pandas().to_numpy(), found.column("gram").to_numpy().view(np.uint64), found.column("n").to_numpy()
     counts = {lang: (gram[names == lang], n[names == lang]) for lang in dict.fromkeys(names.tolist())}
     for r in numbers.select("lang").toLocalIterator():  # a language of nothing but empty texts

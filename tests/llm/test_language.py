@@ -82,3 +82,14 @@ def test_long_text(make_docs):
     model = Model({"en": gram_counts([b"one of the words in a line"]), "fr": gram_counts(["des mots dans une ligne".encode()])})
     got = predict(make_docs([(1, "the words in one line " * 150_000), (2, "une ligne des mots " * 100_000)]), model)
     assert {r["doc_id"]: r["lang_pred"] for r in got.collect()} == {1: "en", 2: "fr"}
+
+
+def test_all_grams_of_the_sample_count(make_docs):
+    """Nothing is left out of what was picked; with many languages the rows in all are bounded."""
+    docs = make_docs([(i, " ".join(f"{i * 7 + k:x}" for k in range(300))) for i in range(40)])
+    model = train(docs, sample_texts=40)
+    want = Tree(*gram_counts([" ".join(f"{i * 7 + k:x}" for k in range(300)).encode() for i in range(40)]))
+    assert all((a == b).all() for a, b in zip(model.trees[0].counts, want.counts))
+    many = docs.withColumn("lang", F.concat(F.lit("l"), (F.col("doc_id") % 20).cast("string")))
+    some = train(many, sample_rows=20)
+    assert len(some.languages) == 20 and sum(int(t.counts[0].sum()) for t in some.trees) < int(want.counts[0].sum())
