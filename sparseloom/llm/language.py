@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparseloom.llm.common import read_table, small_batches, texts
+from sparseloom.llm.common import materialize, read_table, small_batches, texts
 
 ORDER = 4
 #: Bounds of the labelled sample that the trees are grown from, picked by hash: rows of a language, and rows of all languages together. Of the picked rows every gram counts.
@@ -153,8 +153,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("lang")).filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
     numbers = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     place = (F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53)))
-    of_each = min(float(sample_texts), sample_rows / max(1, numbers.count()))
-    picked = rows.join(numbers, "lang").filter(place < F.lit(of_each) / F.col("n")).select("lang", "text")  # Spark broadcasts the numbers where they are few
+    numbers = materialize(numbers, "languages")
+    known = numbers.count()
+    few = F.broadcast(numbers) if known <= sample_rows else numbers
+    picked = rows.join(few, "lang").filter(place < F.lit(min(float(sample_texts), sample_rows / max(1, known))) / F.col("n")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
