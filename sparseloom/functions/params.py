@@ -45,6 +45,8 @@ class Params:
     model_path: str = ""
     #: Where a task keeps what it has done, so that it goes on from there when it is run again.
     work_path: str = ""
+    #: Bytes of text that a step of an online task takes, within files too; 0 for a whole file.
+    batch_bytes: int = 0
 
     def __post_init__(self):
         object.__setattr__(self, "model_type", self.model_type.upper())

@@ -86,7 +86,7 @@ def run(spark: SparkSession, p: Params, mode: str | None = None) -> tuple[Model,
         began = time.perf_counter()
 
     if p.online:
-        for i, (model, loss) in enumerate(train_online(spark, p.train_data, p, file_type, mode=mode, work=work)):
+        for i, (model, loss) in enumerate(train_online(spark, p.train_data, p, file_type, mode=mode, work=work, bytes_per_batch=p.batch_bytes or None)):
             kept_epoch(i, loss, lambda: evaluate_files(spark, p, file_type, model, mode))  # noqa: B023
     else:
         readable = lambda path: materialize(read_samples(spark, path, file_type, mode).filter(F.col("y").isNotNull()), "samples")

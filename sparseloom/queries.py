@@ -20,6 +20,7 @@ from sparseloom.plans.batch import batch_step, ffm_gradients, fm_gradients, scor
 from sparseloom.plans.bucketed import train_bucketed
 from sparseloom.plans.mixing import mixing_round
 from sparseloom.plans.tasks import run as run_task
+from sparseloom.sources.line_stream import bounded_lines
 from sparseloom.sources.sparse_text import line_formats, parse_by_pattern, parse_garbage_as_zero, parse_samples, read_lines, with_chunks, write_lines
 from sparseloom.sources.tabular import read_train_eval, split
 from sparseloom.storage import materialize, scratch_path
@@ -622,6 +623,31 @@ def _stream_sql(passes: int, which: str = "TRUE") -> str:
     return sql
 
 
+_FILE_LINE = _line(("0:", "a"), ("1:", "b")).split(" SELECT ", 1)[1].replace(" AS seq", "") + f"|| '2:' || c || ':' || {QUARTER} AS value FROM d"
+
+
+def _bounded_sql() -> str:
+    """LR steps over the bytes of one file, a third of them each: a line is of the step that its first byte is of."""
+    sql = _steps_head("floor(x * 4) / 4") + f""",
+t0 AS (SELECT event_id, sum(length(value) + 1) OVER (ORDER BY event_id) - length(value) - 1 AS place, sum(length(value) + 1) OVER () AS size FROM (SELECT {_FILE_LINE})),
+b AS (SELECT event_id, place::BIGINT // ceil(size / {ARRIVALS}.0)::BIGINT AS batch FROM t0)"""
+    for i in range(ARRIVALS):
+        sql += _step_sql(i, f"event_id IN (SELECT event_id FROM b WHERE batch = {i})")
+    return sql + f" SELECT f::INTEGER AS feat, round(w, 7) AS w, round(n, 6) AS n, round(z, 6) AS z FROM s{ARRIVALS}"
+
+
+@query(_bounded_sql())
+def stream_train_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as one text file, trained on as a stream of three batches within it."""
+    path, log, offsets, models = (scratch_path(spark, x) for x in ("file", "log", "offsets", "online"))
+    text = materialize(enc.lines(quarter_samples(spark, sf_dir), "libffm"), "text")
+    text.repartition(1).sortWithinPartitions("seq").select("value").write.text(path)
+    size = text.agg(F.sum(F.length("value") + 1)).first()[0] or 1
+    train_stream(bounded_lines(spark, path, log, -(-size // ARRIVALS)), params("LR"), "libffm", offsets, models)
+    model = latest_model(spark, models, params("LR")).linear
+    return model.select("feat", F.round("w", 7).alias("w"), F.round("n", 6).alias("n"), F.round("z", 6).alias("z"))
+
+
 @query(_stream_sql(1) + f" SELECT f::INTEGER AS feat, round(w, 6) AS w, round(n, 5) AS n, round(z, 5) AS z FROM s{ARRIVALS}")
 def stream_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as text files, trained on as a stream, a file to a micro-batch."""

@@ -17,6 +17,7 @@ from sparseloom.operators.model import Model, empty_model
 from sparseloom.operators.score import logits
 from sparseloom.operators.versions import ModelLog
 from sparseloom.plans.batch import batch_changes
+from sparseloom.sources.line_stream import bounded_lines
 from sparseloom.sources.sparse_text import parse_samples
 from sparseloom.storage import listed, remove, scratch_path
 
@@ -30,7 +31,7 @@ def stream_lines(spark: SparkSession, path: str, files_per_batch: int = 1) -> Da
 
 def _readable(batch: DataFrame, path: str, file_type: str, mode: str) -> DataFrame:
     """The samples of a batch, kept in path: lines are parsed and keys drawn once. Lines that a tolerant mode passes over are left out."""
-    keyed = batch.select(F.monotonically_increasing_id().alias("seq"), "value")
+    keyed = batch if "seq" in batch.columns else batch.select(F.monotonically_increasing_id().alias("seq"), "value")
     samples = parse_samples(keyed, file_type, mode).filter(F.col("y").isNotNull()).select("seq", "y", "x")
     samples.write.mode("overwrite").parquet(path)
     return batch.sparkSession.read.schema(samples.schema).parquet(path)
@@ -61,8 +62,20 @@ def train_stream(lines: DataFrame, p: Params, file_type: str, checkpoint: str, m
 
 
 def run_through(lines: DataFrame, step, checkpoint: str) -> None:
-    """Run a stream until all that is there has been through step."""
-    lines.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    """Run a stream until all that is there has been through step.
+
+    Lines with places of their own (sources.line_stream) come batch by batch until there
+    are no more; Spark knows what is there of other sources.
+    """
+    writer = lines.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    if "seq" not in lines.columns:
+        writer.trigger(availableNow=True).start().awaitTermination()
+        return
+    query = writer.start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
 
 
 def batch_losses(spark: SparkSession, path: str) -> DataFrame:
@@ -79,17 +92,21 @@ def mean_of(losses: DataFrame) -> float:
     return float("nan") if total is None else total
 
 
-def train_online(spark: SparkSession, path: str, p: Params, file_type: str, files_per_batch: int = 1, mode: str = "FAILFAST", work: str | None = None) -> Iterator[tuple[Model, float]]:
+def train_online(
+    spark: SparkSession, path: str, p: Params, file_type: str, files_per_batch: int = 1, mode: str = "FAILFAST", work: str | None = None, bytes_per_batch: int | None = None
+) -> Iterator[tuple[Model, float]]:
     """n_epochs passes over the files of a folder: the model after each pass and the mean progressive loss in it.
 
-    work keeps the passes: what is done there is not done again, and a pass that was
-    stopped goes on after its last whole step.
+    A step takes files_per_batch files, or bytes_per_batch bytes, within files too. work
+    keeps the passes: what is done there is not done again, and a pass that was stopped
+    goes on after its last whole step.
     """
     model, work = None, work or scratch_path(spark, "online")
     for k in range(p.n_epochs):
         here = f"{work}/pass-{k}"
         if "_SUCCESS" not in listed(spark, f"{here}/done"):
-            losses = train_stream(stream_lines(spark, path, files_per_batch), p, file_type, f"{here}/offsets", f"{here}/model", model, mode)
+            lines = bounded_lines(spark, path, f"{here}/files", bytes_per_batch) if bytes_per_batch else stream_lines(spark, path, files_per_batch)
+            losses = train_stream(lines, p, file_type, f"{here}/offsets", f"{here}/model", model, mode)
             spark.createDataFrame([(mean_of(losses),)], "loss double").write.mode("overwrite").parquet(f"{here}/done")
         model = latest_model(spark, f"{here}/model", p)
         yield model, spark.read.parquet(f"{here}/done").first()["loss"]

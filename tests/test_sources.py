@@ -174,3 +174,52 @@ def test_positions(spark):
     parts = row_partitions(df, 7, "a").groupBy("part").count().orderBy("part").collect()
     assert [r["count"] for r in parts] == [43] * 6 + [42]
     assert with_positions(df.limit(0), "a").count() == 0 and row_partitions(df.limit(0), 7, "a").count() == 0
+
+
+@pytest.mark.parametrize("text", [b"", b"\n", b"one", b"one\n", b"a\r\nbb\n\nccc", b"x" * 50 + b"\ny\n", "é\nü\n".encode()])
+def test_ranges_of_lines(tmp_path, text):
+    """Wherever a file is cut, each line comes once."""
+    import pyarrow as pa
+
+    from sparseloom.sources.line_stream import lines_of
+
+    (tmp_path / "f").write_bytes(text)
+    want = [line.removesuffix(b"\r") for line in text.split(b"\n")]
+    want = want[:-1] if want[-1] == b"" else want
+    for step in range(1, len(text) + 2):
+        got = []
+        for a in range(0, len(text), step):
+            with pa.OSFile(str(tmp_path / "f")) as f:
+                got += lines_of(f, a, min(a + step, len(text)))
+        assert [line for _, line in got] == want and [at for at, _ in got] == sorted({at for at, _ in got})
+
+
+def test_bounded_stream(spark, tmp_path):
+    """Batches of so many bytes within and over files; new files are found; a stopped stream goes on, its failed batch comes again, nothing is lost."""
+    from sparseloom.sources.line_stream import bounded_lines
+    from sparseloom.streaming.online import run_through
+
+    (tmp_path / "in").mkdir()
+    lines = [f"line {i} " + "x" * (i % 7) for i in range(60)]
+    (tmp_path / "in" / "b.txt").write_text("\n".join(lines[:40]) + "\n")
+    (tmp_path / "in" / "_hidden").write_text("no\n")
+    seen, die = {}, [3]
+
+    def step(batch, k):
+        rows = batch.orderBy("seq").collect()
+        if k == die[0]:
+            die[0] = None
+            raise RuntimeError("died")
+        assert k not in seen
+        seen[k] = [r["value"] for r in rows]
+
+    stream = lambda: bounded_lines(spark, str(tmp_path / "in"), str(tmp_path / "log"), 100, 30)
+    with pytest.raises(Exception):
+        run_through(stream(), step, str(tmp_path / "offsets"))
+    assert sorted(seen) == [0, 1, 2]
+    run_through(stream(), step, str(tmp_path / "offsets"))
+    assert sum((seen[k] for k in sorted(seen)), []) == lines[:40] and len(seen) >= 5
+    assert all(sum(len(v) + 1 for v in seen[k]) <= 220 for k in seen)
+    (tmp_path / "in" / "a.txt").write_text("\n".join(lines[40:]))
+    run_through(stream(), step, str(tmp_path / "offsets"))
+    assert sum((seen[k] for k in sorted(seen)), []) == lines
