@@ -20,7 +20,8 @@ from sparseloom.operators.score import valid
 from sparseloom.plans.batch import kept
 from sparseloom.storage import materialize
 
-_OUT = "feat int, field int, w float, n float, z float, v array<float>, vn array<float>, vz array<float>, loss double, rows long"
+#: A shard's state as rows, and its loss and samples beside the bias.
+FOLDED = "feat int, field int, w float, n float, z float, v array<float>, vn array<float>, vz array<float>, loss double, rows long"
 
 
 class Fold:
@@ -140,9 +141,14 @@ def _fold(p: Params, epochs: int, shuffle: int | None, rows: pd.DataFrame, state
     for epoch in range(epochs):
         order = range(len(samples)) if shuffle is None else np.random.default_rng([p.seed, shuffle + epoch]).permutation(len(samples))
         loss = sum(fold.step(*samples[i]) for i in order)
-    linear = [(feat, -1, *map(float, s), None, None, None, loss if feat == BIAS else 0.0, len(samples) if feat == BIAS else 0) for feat, s in fold.linear.items()]
+    return fold_rows(fold, loss, len(samples))
+
+
+def fold_rows(fold: Fold, loss: float, n: int) -> pd.DataFrame:
+    """The state of a shard as rows of FOLDED."""
+    linear = [(feat, -1, *map(float, s), None, None, None, loss if feat == BIAS else 0.0, n if feat == BIAS else 0) for feat, s in fold.linear.items()]
     factors = [(key[0], key[1] if len(key) > 1 else -1, None, None, None, *(a.tolist() for a in s), 0.0, 0) for key, s in fold.factors.items()]
-    return pd.DataFrame(linear + factors, columns=[c.split()[0] for c in _OUT.split(", ")])
+    return pd.DataFrame(linear + factors, columns=[c.split()[0] for c in FOLDED.split(", ")])
 
 
 def _state(model: Model, wanted: DataFrame) -> DataFrame:
@@ -159,22 +165,27 @@ def mixing_round(samples: DataFrame, model: Model, shards: int, epochs: int = 1,
     """Samples are taken in the order of seq, or, given the number of an epoch, in an order that it and the seed fix.
 
     Returns the average of the shards' models, a coordinate over the shards that touched it; and one row: loss (mean over the samples, in the last epoch) and n."""
-    p, k = model.params, model.params.n_factors
+    p = model.params
     dealt = valid(samples, p).select(F.pmod(F.xxhash64("seq"), F.lit(shards)).cast("int").alias("shard"), "seq", "y", "x")
     wanted = dealt.select(F.col("shard").alias("for_shard"), F.explode(F.concat(F.transform("x", lambda e: e.feat), F.array(F.lit(BIAS)))).alias("feat")).distinct()
 
     def run(rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         return _fold(p, epochs, shuffle, rows, state)
 
-    folded = dealt.groupBy("shard").cogroup(_state(model, wanted).groupBy("for_shard")).applyInPandas(run, _OUT)
-    folded = materialize(folded, "folded")  # linear weights and factors come from one run of the shards
+    folded = dealt.groupBy("shard").cogroup(_state(model, wanted).groupBy("for_shard")).applyInPandas(run, FOLDED)
+    return averaged(materialize(folded, "folded"), p)  # linear weights and factors come from one run of the shards
+
+
+def averaged(folded: DataFrame, p: Params) -> tuple[Model, DataFrame]:
+    """Rows of shards (FOLDED) as their average, a coordinate over the shards that touched it; and one row: loss (mean over the samples) and n."""
+    k = p.n_factors
     linear = folded.filter(F.col("w").isNotNull()).groupBy("feat").agg(*(F.avg(F.col(c).cast("double")).alias(c) for c in ("w", "n", "z")), F.sum("loss").alias("loss"), F.sum("rows").alias("rows"))
     factors = None
-    if model.factors is not None:
+    if p.model_type != "LR":
         count = F.count(F.lit(1))
         sums = folded.filter(F.col("v").isNotNull()).groupBy("feat", "field").agg(count.alias("m"), *(vector_sum(F.col(c).cast("array<double>"), k).alias(c) for c in ("v", "vn", "vz")))
         mean = lambda c: F.transform(c, lambda s: s / F.col("m"))
-        factors = sums.select(*model.factor_key, mean("v").alias("v"), mean("vn").alias("n"), mean("vz").alias("z"))
+        factors = sums.select("feat", *["field"] * (p.model_type == "FFM"), mean("v").alias("v"), mean("vn").alias("n"), mean("vz").alias("z"))
     losses = linear.filter(F.col("feat") == BIAS).select((F.col("loss") / F.col("rows")).alias("loss"), F.col("rows").alias("n"))
     return Model(p, linear.select("feat", "w", "n", "z"), factors), losses
 

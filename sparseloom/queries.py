@@ -24,6 +24,7 @@ from sparseloom.sources.line_stream import bounded_lines
 from sparseloom.sources.sparse_text import line_formats, parse_by_pattern, parse_garbage_as_zero, parse_samples, read_lines, with_chunks, write_lines
 from sparseloom.sources.tabular import read_train_eval, split
 from sparseloom.storage import materialize, scratch_path
+from sparseloom.streaming.fold import fold_stream, folded_model
 from sparseloom.streaming.online import latest_model, stream_lines, train_stream
 
 THRESHOLD = 60
@@ -576,7 +577,7 @@ def ftrl_mixing_ffm_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STATE = "CASE WHEN k = 1 OR k = f THEN {new} ELSE {old} END"
 
 
-@query(f"""
+_SEQUENTIAL = f"""
 WITH RECURSIVE d AS (SELECT row_number() OVER (ORDER BY s_suppkey) AS i, CASE WHEN s_acctbal > 4000 THEN 1 ELSE 0 END AS y, s_nationkey::INTEGER + 2 AS f FROM supplier),
 r AS (
   SELECT 0::BIGINT AS i, list_transform(range(1, 40), lambda k: 0.0::DOUBLE) AS n, list_transform(range(1, 40), lambda k: 0.0::DOUBLE) AS z, list_transform(range(1, 40), lambda k: 0) AS met, 0.0::DOUBLE AS loss
@@ -586,7 +587,10 @@ r AS (
     list_transform(range(1, 40), lambda k: {_STATE.format(new="1", old="met[k]")}), loss + CASE WHEN y = 1 THEN ln(1 + exp(-(wb + wf))) ELSE ln(1 + exp(wb + wf)) END
   FROM (SELECT *, 1 / (1 + exp(-(wb + wf))) - y AS e FROM (
     SELECT d.i, n, z, met, loss, d.f, d.y, {_PROX.format(z="z[1]", n="n[1]")} AS wb, {_PROX.format(z="z[d.f]", n="n[d.f]")} AS wf FROM r JOIN d ON d.i = r.i + 1)))
-SELECT k::INTEGER - 2 AS feat, round(n[k], 3) AS n, round(z[k], 3) AS z, round(loss / i, 3) AS loss FROM (SELECT *, unnest(range(1, 40)) AS k FROM r WHERE i = (SELECT count(*) FROM supplier)) WHERE met[k] = 1""")
+SELECT k::INTEGER - 2 AS feat, round(n[k], 3) AS n, round(z[k], 3) AS z, round(loss / i, 3) AS loss FROM (SELECT *, unnest(range(1, 40)) AS k FROM r WHERE i = (SELECT count(*) FROM supplier)) WHERE met[k] = 1"""
+
+
+@query(_SEQUENTIAL)
 def ftrl_sequential_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers one after another in one shard: the plain sequential algorithm."""
     supplier = table(spark, sf_dir, "supplier")
@@ -597,6 +601,19 @@ def ftrl_sequential_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(losses.select(F.round("loss", 3).alias("loss"))))  # one row
 
 
+@query(_SEQUENTIAL)
+def stream_fold_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as lines of a file that is read as a stream of three batches; a shard keeps its state over them."""
+    path, log, state, out = (scratch_path(spark, x) for x in ("file", "log", "state", "fold"))
+    y = (F.col("s_acctbal") > 4000).cast("int")
+    text = table(spark, sf_dir, "supplier").select("s_suppkey", F.format_string("%d %d:1", y, F.col("s_nationkey").cast("int")).alias("value"))
+    text.repartition(1).sortWithinPartitions("s_suppkey").select("value").write.text(path)
+    size = text.agg(F.sum(F.length("value") + 1)).first()[0] or 1
+    losses = fold_stream(bounded_lines(spark, path, log, -(-size // 3)), params("LR"), "libsvm", 1, state, out)
+    rows = folded_model(spark, params("LR"), state).linear.select("feat", F.round("n", 3).alias("n"), F.round("z", 3).alias("z"))
+    return rows.crossJoin(F.broadcast(losses.agg(F.round(F.sum("loss") / F.sum("rows"), 3).alias("loss"))))  # one row
+
+
 ARRIVALS = 3
 #: The number as it comes back from text of four decimals.
 _WRITTEN = "round_even(x, 4)::FLOAT::DOUBLE"

@@ -330,3 +330,23 @@ def test_bucketed_training(spark, samples, kind):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "Join" in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("kind", ["LR", "FFM"])
+def test_shards_keep_their_state_over_batches(spark, tmp_path, kind):
+    """A stream of small batches, stopped and started again, ends as one shard that took the lines one after another."""
+    from sparseloom.sources.line_stream import bounded_lines
+    from sparseloom.streaming.fold import fold_stream, folded_model
+
+    p = params(kind, factor_init="warm")
+    (tmp_path / "in").mkdir()
+    for k in range(2):
+        (tmp_path / "in" / f"{k}.txt").write_text("\n".join(LINES[k * 5 : k * 5 + 5]) + "\n")
+        losses = fold_stream(bounded_lines(spark, str(tmp_path / "in"), str(tmp_path / "log"), 60), p, "libffm", 1, str(tmp_path / "state"), str(tmp_path / "out"))
+    fold = Fold(p)
+    want = sum(fold.learn(y, [(i, f, 1.0) for i, f in enumerate(x)]) for y, x in ROWS)
+    model = folded_model(spark, p, str(tmp_path / "state"))
+    assert losses.count() >= 4 and losses.agg(F.sum("loss")).first()[0] == pytest.approx(want) and losses.agg(F.sum("rows")).first()[0] == 10
+    assert {r["feat"]: (r["n"], r["z"]) for r in model.linear.collect()} == {f: pytest.approx((float(s[1]), float(s[2]))) for f, s in fold.linear.items()}
+    if kind == "FFM":
+        assert {(r["feat"], r["field"]): r["z"] for r in model.factors.collect()} == {c: pytest.approx(s[2].tolist()) for c, s in fold.factors.items()}
