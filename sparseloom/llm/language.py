@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparseloom.llm.common import materialize, read_table, small_batches, texts
+from sparseloom.llm.common import materialize, read_table, sliced, small_batches, texts
 
 ORDER = 4
 #: Bounds of the labelled sample that the trees are grown from, picked by hash: rows of a language, and rows of all languages together. Of the picked rows every gram counts.
@@ -195,7 +195,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             _workers.clear()
             _workers[m.key] = Scorer(m.trees)
         scorer = _workers[m.key]
-        for b in batches:
+        for b in sliced(batches, size=1 << 20):  # a gram of a text takes some forty bytes while it is scored
             got = b.column(1).to_pylist()
             use = [i for i, t in enumerate(got) if t and m.languages and any(map(str.isalpha, t))]
             pred, score = [NO_LANGUAGE] * len(got), [0.0] * len(got)
