@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparseloom.llm.common import bit_filter, materialize, read_table, small_batches, texts
+from sparseloom.llm.common import bit_filter, materialize, read_table, sliced, small_batches, texts
 from sparseloom.llm.words import WordHashes, gram_hashes
 
 #: Words of a seed, and of the shortest tile.
@@ -174,6 +174,30 @@ def telling_seeds(item: np.ndarray, heat: dict[int, int], seed: int, coverage: f
     return np.array(hot[low:], np.int64)
 
 
+def held_words(item: np.ndarray, n: int, found: np.ndarray, places: list[list[int]]) -> list[np.ndarray]:
+    """The words that a document has where it holds seeds (of n words) of the item, in stretches that don't touch: the item knows them, so places suffice. Seeds of equal hashes are taken for equal."""
+    each, first = np.unique(gram_hashes(item, n).view(np.int64), return_index=True)
+    at = np.concatenate([np.array(p, np.int64) for p in places])
+    source = first[np.searchsorted(each, np.repeat(found, [len(p) for p in places]))]
+    order = np.argsort(at, kind="stable")
+    at, source = at[order], source[order]
+    step = np.diff(at)
+    local = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.minimum(step, n))])  # what lies between stretches takes no room
+    words = np.empty(local[-1] + n, np.uint64)
+    for k in range(n):
+        words[local + k] = item[source + k]
+    return np.split(words, local[1:][step > n])
+
+
+def met_places(pairs: DataFrame, seeds: DataFrame, hits: DataFrame) -> DataFrame:
+    """For each pair (doc_id, version, item_id, item_version) met: the seeds of the item that the document holds, each with its places. A list is as long as the item has seeds."""
+    doc, item = ["doc_id", "version"], ["item_id", "item_version"]
+    asked = pairs.join(seeds.select(*item, "seed"), item)
+    held = hits.join(pairs.select(*doc).distinct(), doc, "left_semi").dropDuplicates(doc)
+    held = held.select(*doc, F.explode(F.arrays_zip("seeds", "places")).alias("s")).select(*doc, F.col("s.seeds").alias("seed"), F.col("s.places").alias("at"))
+    return asked.join(held, [*doc, "seed"]).groupBy(*doc, *item).agg(F.collect_list(F.struct("seed", "at")).alias("met"))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", seed: int = SEED, coverage: float = COVERAGE) -> DataFrame:
     """Pairs of document and item whose coverage reaches the threshold: doc_id, item_id, n_item, n_covered, n_tiles, coverage.
 
@@ -182,10 +206,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     itself and the best coverage counts. Empty tables give an empty result. Columns
     other than ids and texts are not read.
 
-    The whole text is scanned once, against a filter of bounded size; only stretches of
-    words that may match an item leave the scan. Documents and items meet in a join on
+    The whole text is scanned once, against a filter of bounded size; only seeds that an
+    item may have leave the scan, with their places. Documents and items meet in a join on
     telling seeds: what many items and documents share makes pairs only where it covers
-    enough of an item by itself. Pairs are dealt out evenly and those whose shared seeds
+    enough of an item by itself. A pair gets the places of its item's own seeds and no
+    other words of the document, so a document that holds many items is not copied for
+    each of them. Pairs are dealt out evenly and those whose shared seeds
     cover too few words are not tiled.
     """
     items = materialize(_items(benchmark, item_col, item_text_col), "items")
@@ -196,29 +222,27 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = sent.value
         for b in batches:
-            ids, stretches, found = [], [], []
+            ids, found, places = [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 words = words_of(t)
-                edge = np.zeros(len(words) + 1, np.int64)
-                hits = []
+                hits: list[int] = []
+                at: list[list[int]] = []
                 for n in lengths:
                     s = gram_hashes(words, n)
-                    at = np.flatnonzero(marked.passes(s))
-                    if len(at):
-                        hits.append(np.unique(s[at]))
-                        edge[at] += 1
-                        edge[at + n] -= 1
+                    held = np.flatnonzero(marked.passes(s))
+                    if len(held):
+                        held = held[np.argsort(s[held], kind="stable")]
+                        each, first = np.unique(s[held], return_index=True)
+                        hits += each.view(np.int64).tolist()
+                        at += [x.tolist() for x in np.split(held, first[1:])]
                 if hits:
-                    edges = np.diff(np.concatenate([[0], (np.cumsum(edge) > 0).astype(np.int8)[:-1], [0]]))
-                    ids.append(i)
-                    stretches.append([words[x:y].view(np.int64).tolist() for x, y in zip(np.flatnonzero(edges > 0), np.flatnonzero(edges < 0))])
-                    found.append(np.unique(np.concatenate(hits)).view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), pa.array(stretches, pa.list_(pa.list_(pa.int64()))), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "stretches", "seeds"])
+                    ids.append(i), found.append(hits), places.append(at)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), pa.array(found, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.list_(pa.int32())))], ["doc_id", "seeds", "places"])
 
     base = texts(docs, id_col, text_col).filter(F.col("doc_id").isNotNull())
     kind, item_kind = base.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
-    hits = small_batches(base).mapInArrow(scan, f"doc_id {kind}, stretches array<array<long>>, seeds array<long>")
-    hits = materialize(hits.withColumn("version", F.xxhash64("stretches")), "stretches")
+    hits = small_batches(base).mapInArrow(scan, f"doc_id {kind}, seeds array<long>, places array<array<int>>")
+    hits = materialize(hits.withColumn("version", F.xxhash64("seeds", "places")), "places")
     # pairs that a seed would make, from sums on both sides
     held = hits.select(F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count(F.lit(1)).alias("n_docs"))
     asked = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("n_items"))
@@ -235,19 +259,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     telling = items.join(of_item, ["item_id", "item_version"]).select("item_id", "item_version", "item", "heats")
     telling = small_batches(telling).mapInArrow(choose, f"item_id {item_kind}, item_version long, seed long")
     pairs = hits.select("doc_id", "version", F.explode("seeds").alias("seed")).join(telling, "seed").select("doc_id", "version", "item_id", "item_version").distinct()
-    both = pairs.join(hits.select("doc_id", "version", "stretches").dropDuplicates(["doc_id", "version"]), ["doc_id", "version"]).join(items, ["item_id", "item_version"])
+    both = met_places(materialize(pairs, "pairs"), seeds, hits).join(items, ["item_id", "item_version"])
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.sparkSession.sparkContext.defaultParallelism)
-    dealt = both.select("doc_id", "item_id", "stretches", "item", "version").repartition(parts, "doc_id", "version", "item_id")
+    dealt = both.select("doc_id", "item_id", "met", "item", "version").repartition(parts, "doc_id", "version", "item_id")
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             n_covered, n_tiles, n_item = [], [], []
-            for stretches, item in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+            for met, item in zip(b.column(2), b.column(3).to_pylist()):
                 item = np.array(item, np.int64).view(np.uint64)
-                parts = [np.array(s, np.int64).view(np.uint64) for s in stretches]
                 n = min(seed, len(item))
-                shared = np.isin(gram_hashes(item, n), np.concatenate([gram_hashes(s, n) for s in parts]))
-                got = tiles(item, parts, seed) if cover(len(item), np.flatnonzero(shared), n) / len(item) >= coverage else []
+                found = met.values.field("seed").to_numpy()
+                shared = np.isin(seeds_of(item, seed).view(np.int64), found)
+                got = tiles(item, held_words(item, n, found, met.values.field("at").to_pylist()), seed) if cover(len(item), np.flatnonzero(shared), n) / len(item) >= coverage else []
                 n_covered.append(sum(n for _, _, n in got)), n_tiles.append(len(got)), n_item.append(len(item))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in (n_item, n_covered, n_tiles))], ["doc_id", "item_id", "n_item", "n_covered", "n_tiles"])
 

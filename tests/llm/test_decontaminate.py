@@ -1,8 +1,10 @@
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from sparseloom.llm.decontaminate import COVERAGE, SEED, find_leaks, flag_documents, seeds_of, telling_seeds, tiles, words_of
+from sparseloom.llm import decontaminate
+from sparseloom.llm.decontaminate import COVERAGE, SEED, find_leaks, flag_documents, held_words, seeds_of, telling_seeds, tiles, words_of
 from tests.llm.conftest import words
 
 
@@ -113,3 +115,40 @@ def test_one_very_long_text(spark, make_docs):
     long = " ".join(words(12, 400_000, 50_000) + item[30:] + words(13, 100_000, 50_000) + item[:30])
     benchmark = spark.createDataFrame([(0, " ".join(item)), (1, "other words that the text does not hold at all")], "item_id long, text string")
     assert [(r["doc_id"], r["item_id"], r["n_covered"]) for r in find_leaks(make_docs([(1, long), (2, "short")]), benchmark).collect()] == [(1, 0, 60)]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 5), min_size=1, max_size=14), st.lists(st.integers(1, 5), max_size=40), st.integers(1, 4))
+def test_places_are_enough(item, text, seed):
+    """Tiles of the words at the places of shared seeds are those of the whole text."""
+    a, b = np.array(item, np.uint64), np.array(text, np.uint64)
+    n = min(seed, len(a))
+    of_text = seeds_of(b, n) if len(b) >= n else np.zeros(0, np.uint64)
+    shared = np.intersect1d(seeds_of(a, seed), of_text)
+    whole = tiles(a, [b] if len(b) else [], seed)
+    if not len(shared):
+        assert not whole
+        return
+    got = tiles(a, held_words(a, n, shared.view(np.int64), [np.flatnonzero(of_text == s).tolist() for s in shared]), seed)
+    assert [(i, k) for i, _, k in got] == [(i, k) for i, _, k in whole]
+
+
+def test_document_with_the_whole_benchmark(spark, make_docs, monkeypatch):
+    """What pairs carry grows with the items, not with items times the length of the document."""
+    rare = lambda seed, n: [f"r{x}" for x in np.random.default_rng(seed).integers(0, 10**7, n)]
+    carried = []
+    real = decontaminate.met_places
+
+    def spied(*tables):
+        out = real(*tables)
+        carried.append(out.select(F.explode("met").alias("m")).agg(F.sum(F.size("m.at"))).first()[0])
+        return out
+
+    monkeypatch.setattr(decontaminate, "met_places", spied)
+    for n in (500, 2000):
+        items = [(i, " ".join(rare(i, 40))) for i in range(n)]
+        benchmark = spark.createDataFrame(items, "item_id long, text string")
+        docs = make_docs([(1, " ".join(t for _, t in items)), (2, " ".join(rare(10**6, 500))), (3, items[7][1])])
+        leaks = {(r["doc_id"], r["item_id"]) for r in find_leaks(docs, benchmark).collect()}
+        assert leaks == {(1, i) for i in range(n)} | {(3, 7)}
+        assert carried[-1] == 36 * (n + 1)
