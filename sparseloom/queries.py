@@ -16,6 +16,7 @@ from sparseloom.operators.filters import has_zero, in_range, nonzero
 from sparseloom.operators.model import Model, empty_model, export_text, import_text, initial_factors, initial_weight, load_model, save_model, zero_weights
 from sparseloom.operators.order import row_partitions, with_positions
 from sparseloom.operators.score import logits, predict
+from sparseloom.operators.sparse_model import sparse_linear, sparse_logits
 from sparseloom.plans.batch import batch_step, ffm_gradients, fm_gradients, scored_rows, train_batch
 from sparseloom.plans.bucketed import train_bucketed
 from sparseloom.plans.mixing import mixing_round
@@ -896,11 +897,15 @@ def whole_number_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.groupBy("drawn").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _gaussian_sql(table_: str, seed: int, *columns: tuple[str, str]) -> str:
-    """Columns key, k and w (mean 0.5, deviation 0.05) of a table of key and k."""
+def _normal_sql(table_: str, seed: int, mean: float, *columns: tuple[str, str]) -> str:
+    """Columns key, k and w (deviation 0.05) of a table of key and k."""
     u = f"(SELECT key, k, {UNIFORM} AS u FROM {hashed(table_, ('int', str(2 * seed)), *columns)})"
     v = f"(SELECT key, k, {UNIFORM} AS v FROM {hashed(table_, ('int', str(2 * seed + 1)), *columns)})"
-    return f"SELECT key, k, round(0.5 + 0.05 * sqrt(-2 * ln(1 - u)) * cos(2 * pi() * v), 9) AS w FROM {u} JOIN {v} USING (key, k)"
+    return f"SELECT key, k, {mean} + 0.05 * sqrt(-2 * ln(1 - u)) * cos(2 * pi() * v) AS w FROM {u} JOIN {v} USING (key, k)"
+
+
+def _gaussian_sql(table_: str, seed: int, *columns: tuple[str, str]) -> str:
+    return f"SELECT key, k, round(w, 9) AS w FROM ({_normal_sql(table_, seed, 0.5, *columns)})"
 
 
 @query(_gaussian_sql("(SELECT DISTINCT user_id::INTEGER AS key, -1 AS k FROM events)", 42, ("int", "key")) + " UNION ALL " + _gaussian_sql("(SELECT event_id::INTEGER AS key, unnest([0, 1, 2, 3]) AS k FROM events)", 43, ("int", "key"), ("int", "k")))
@@ -911,3 +916,16 @@ def initial_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = e.select(F.col("user_id").cast("int").alias("key")).distinct().select("key", F.lit(-1).alias("k"), initial_weight(p, F.col("key")).alias("w"))
     factors = e.select(F.col("event_id").cast("int").alias("key")).select("key", F.posexplode(initial_factors(p, F.col("key"))).alias("k", "w"))
     return weights.union(factors).select("key", "k", F.round("w", 9).alias("w"))
+
+
+@query(f"""WITH {D}, f AS (SELECT a AS feat FROM d UNION SELECT b FROM d UNION SELECT c FROM d),
+g AS ({_normal_sql("(SELECT feat::INTEGER AS key, 0 AS k FROM f)", 42, 0.02, ("int", "key"))}),
+w AS (SELECT feat, CASE WHEN feat % 4 = 3 THEN g.w WHEN feat * 37 % 101 < 70 THEN 0 ELSE {_w("feat")} END AS w FROM f JOIN g ON g.key = feat)
+SELECT event_id AS seq, y, round(0.1::DOUBLE + p.w + q.w + r.w * x, 8) AS logit FROM d JOIN w p ON p.feat = a JOIN w q ON q.feat = b JOIN w r ON r.feat = c""")
+def sparse_linear_logit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of a model most of whose touched weights are 0 and a quarter of whose features were never touched."""
+    given, n = numbered_samples(spark, sf_dir)
+    linear = formula_model(spark, "LR", n).linear.filter("feat < 0 OR feat % 4 != 3")
+    w = F.when((F.col("feat") >= 0) & (F.pmod(F.col("feat") * 37, F.lit(101)) < 70), 0.0).otherwise(F.col("w"))
+    model = sparse_linear(Model(params(init_mean=0.02), linear.withColumn("w", w)))
+    return sparse_logits(given, model).select("seq", "y", F.round("logit", 8).alias("logit"))
