@@ -350,3 +350,33 @@ def test_shards_keep_their_state_over_batches(spark, tmp_path, kind):
     assert {r["feat"]: (r["n"], r["z"]) for r in model.linear.collect()} == {f: pytest.approx((float(s[1]), float(s[2]))) for f, s in fold.linear.items()}
     if kind == "FFM":
         assert {(r["feat"], r["field"]): r["z"] for r in model.factors.collect()} == {c: pytest.approx(s[2].tolist()) for c, s in fold.factors.items()}
+
+
+@pytest.mark.parametrize("kind", ["LR", "FFM"])
+def test_samples_pass_through_a_shard(spark, samples, kind):
+    """A task of many samples holds none but those of a batch: batches come in one by one, and what the fold knew of before goes on."""
+    from sparseloom.plans import mixing
+
+    p = params(kind, factor_init="warm")
+    fold = Fold(p)
+    for _ in range(2):
+        for y, x in ROWS:
+            fold.learn(y, [(i, f, 1.0) for i, f in enumerate(x)])
+    first = mixing_round(samples, empty_model(spark, p), 1)[0]
+    model, losses = mixing_round(samples, first, 1)
+    assert {r["feat"]: r["z"] for r in model.linear.collect()} == {f: pytest.approx(float(s[2]), rel=1e-5) for f, s in fold.linear.items()}
+    assert losses.first()["n"] == 10
+
+    import pyarrow as pa
+
+    kind_of_x = pa.list_(pa.struct([("field", pa.int32()), ("feat", pa.int32()), ("value", pa.float32())]))
+    taken = []
+
+    def stream():
+        for i, (y, x) in enumerate(ROWS * 50):
+            taken.append(i)
+            entries = pa.array([[{"field": k, "feat": f, "value": 1.0} for k, f in enumerate(x)]], kind_of_x)
+            yield pa.RecordBatch.from_arrays([pa.array([i // 250], pa.int32()), pa.array([0], pa.int32()), pa.array([y], pa.int32()), entries, pa.nulls(1)], ["shard", "epoch", "y", "x", "state"])
+
+    next(mixing._fold(p, 1, stream()))
+    assert len(taken) == 251  # the first shard is given out before the second one is read
