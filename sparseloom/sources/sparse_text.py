@@ -18,18 +18,12 @@ _WHOLE, _REAL = r"^([+-]?\d+)", r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
 MODES = ("FAILFAST", "DROPMALFORMED", "PERMISSIVE")
 
 
-def _number(t: Column, kind: str, characters: str, pattern: str) -> Column:
-    """A plain cast serves for nearly all tokens; the pattern reads those that go on after the number."""
-    plain = F.when(F.translate(t, characters, "") == "", t.try_cast(kind))
-    return F.coalesce(plain, F.regexp_extract(t, pattern, 1).try_cast(kind))
-
-
 def _whole(t: Column) -> Column:
-    return _number(t, "int", "0123456789+-", _WHOLE)
+    return F.regexp_extract(t, _WHOLE, 1).try_cast("int")
 
 
 def _real(t: Column) -> Column:
-    return _number(t, "float", "0123456789+-.eE", _REAL)
+    return F.regexp_extract(t, _REAL, 1).try_cast("float")
 
 
 def token_format(token: Column) -> Column:
@@ -106,7 +100,9 @@ def parse_garbage_as_zero(lines: DataFrame, value_col: str = "value") -> DataFra
     x = F.transform(F.col("_i"), lambda k: F.struct(zero(_whole(at(3 * k + 2))).alias("field"), zero(_whole(at(3 * k + 3))).alias("feat"), F.coalesce(_real(at(3 * k + 4)), F.lit(0).cast("float")).alias("value")))
     rest = [c for c in lines.columns if c != value_col]
     base = lines.select(*rest, t.alias("_t"), i.alias("_i"))
-    return base.select(*rest, (zero(_whole(at(F.lit(1)))) > 0).cast("int").alias("y"), F.filter(x, lambda e: e.value != 0).alias("x"))
+    row = F.struct((zero(_whole(at(F.lit(1)))) > 0).cast("int").alias("y"), F.filter(x, lambda e: e.value != 0).alias("x"))
+    # Spark filters empty arrays away before it explodes them, and would read each line again for that; a generator of one row keeps it from doing so
+    return base.select(*rest, F.explode(F.array(row)).alias("_r")).select(*rest, F.col("_r.y").alias("y"), F.col("_r.x").alias("x"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -223,3 +223,15 @@ def test_bounded_stream(spark, tmp_path):
     (tmp_path / "in" / "a.txt").write_text("\n".join(lines[40:]))
     run_through(stream(), step, str(tmp_path / "offsets"))
     assert sum((seen[k] for k in sorted(seen)), []) == lines
+
+
+def test_tolerant_readers_read_a_line_once(spark):
+    """What explodes the entries doesn't have them read again to filter empty ones away; numbers are read as far as they go."""
+    from pyspark.sql import functions as F
+
+    from sparseloom.sources.sparse_text import parse_garbage_as_zero
+
+    lines = spark.createDataFrame([(0, "1 0:5:1.5 junk 1:6:-2.5e0x"), (1, ""), (2, "+1 1:99999999999:.5 -2:+7x:5.")], "seq long, value string")
+    rows = parse_garbage_as_zero(lines).select("seq", "y", F.posexplode("x").alias("pos", "e"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") == 4
+    assert sorted((r["seq"], r["y"], r["pos"], *r["e"]) for r in rows.collect()) == [(0, 1, 0, 0, 5, 1.5), (0, 1, 1, 0, 1, 6.0), (2, 1, 0, 1, 0, 0.5), (2, 1, 1, -2, 7, 5.0)]
