@@ -235,3 +235,16 @@ def test_tolerant_readers_read_a_line_once(spark):
     rows = parse_garbage_as_zero(lines).select("seq", "y", F.posexplode("x").alias("pos", "e"))
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") == 4
     assert sorted((r["seq"], r["y"], r["pos"], *r["e"]) for r in rows.collect()) == [(0, 1, 0, 0, 5, 1.5), (0, 1, 1, 0, 1, 6.0), (2, 1, 0, 1, 0, 0.5), (2, 1, 1, -2, 7, 5.0)]
+
+
+@pytest.mark.parametrize("name", ["stream_train_bounded", "stream_fold_lr"])
+def test_ordered_lines_are_not_sorted_in_one_task(spark, small, monkeypatch, name):
+    """Files that a stream reads in order are written by ranges, and batches of bytes go on from file to file."""
+    from sparseloom import queries
+
+    given = []
+    write = queries.write_lines
+    monkeypatch.setattr(queries, "write_lines", lambda lines, path: (given.append(lines), write(lines, path)))
+    queries.QUERIES[name](spark, small)
+    plan = given[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Sort") and "Repartition" not in plan
