@@ -140,9 +140,18 @@ def scored_entries(met: DataFrame, linear: DataFrame, p: Params) -> DataFrame:
 
 
 def scored_rows(samples: DataFrame, linear: DataFrame, factors: DataFrame | None, p: Params) -> DataFrame:
-    """scored_entries of samples. linear: feat, w; factors: feat[, field], v. Entries meet the model in one join, on feat."""
+    """scored_entries of samples. linear: feat, w; factors: feat[, field], v. Entries meet the model in one join, on feat.
+
+    Without factors only sums come back by sample, and meet the entries that the samples
+    hold anyway: lists of rows are sorted twice where Spark collects them for many keys.
+    """
     met = entries(samples, p.model_type == "FFM").join(weights_by_feature(linear, factors, p), "feat", "left")
-    return scored_entries(met, linear, p)
+    if p.model_type != "LR":
+        return scored_entries(met, linear, p)
+    sums = met.groupBy(F.col("seq").alias("_seq")).agg(F.coalesce(F.sum(F.col("w") * F.col("value")), F.lit(0.0)).alias("sum"))
+    held = F.transform("x", lambda e: F.struct(e.feat.alias("feat"), e.value.cast("double").alias("value")))
+    rows = samples.select("seq", "y", held.alias("entries")).join(sums, F.col("seq").eqNullSafe(F.col("_seq"))).drop("_seq")
+    return with_bias(rows, linear, F.col("w")).withColumn("logit", F.col("bias") + F.col("sum")).drop("bias", "sum")
 
 
 @dataclass

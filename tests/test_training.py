@@ -380,3 +380,18 @@ def test_samples_pass_through_a_shard(spark, samples, kind):
 
     next(mixing._fold(p, 1, stream()))
     assert len(taken) == 251  # the first shard is given out before the second one is read
+
+
+def test_linear_steps_collect_no_lists(spark, samples):
+    """Sums of a linear model come back to the entries that samples hold; samples without entries and one without a key count too."""
+    from sparseloom.plans.batch import current, scored_rows
+
+    p = params("LR")
+    odd = samples.union(spark.createDataFrame([(77, 1, []), (None, 1, [(0, 3, 2.0)])], samples.schema))
+    model = train_batch(odd, p)
+    weights = {r["feat"]: r["w"] for r in model.linear.collect()}
+    scored = scored_rows(odd, *current(model), p)
+    assert "collect_list" not in scored._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["seq"]: (r["y"], r["logit"], [tuple(e) for e in r["entries"]]) for r in scored.collect()}
+    rows = [(i, y, [(f, 1.0) for f in x]) for i, (y, x) in enumerate(ROWS)] + [(77, 1, []), (None, 1, [(3, 2.0)])]
+    assert got == {i: (y, pytest.approx(weights[-1] + sum(weights[f] * v for f, v in x)), x) for i, y, x in rows}
