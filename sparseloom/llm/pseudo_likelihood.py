@@ -26,9 +26,9 @@ sums by document come back. There, words of one 63-bit hash are taken for equal.
 from __future__ import annotations
 
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +51,8 @@ HIDDEN = 2 * SIDE * WIDTH
 BATCH, ROUNDS, RATE, GRID = 2048, 12, 0.005, float(1 << 20)
 #: Of the counts of neighbours: weight of the frequencies they are smoothed by, share of each side's evidence that counts.
 SMOOTH, SHARE_OF_SIDE = 5.0, 0.6
-#: Distinct words that a task counts before it hands the counts on.
-COUNTED = 200_000
+#: Words that a task counts at once before it hands the counts on.
+COUNTED = 1_000_000
 #: Words that make up 1/SHARE of all or more are known to every worker. Places of other words that one part of their counts meets, about.
 SHARE, PLACES = 200_000, 1_000_000
 #: Of the count of a bucket, for all words that the corpus doesn't have.
@@ -72,6 +72,10 @@ def code(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, 42) & _BITS63
 
 
+def codes_of(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(42)), np.uint64, len(words)).astype(np.int64) & _BITS63
+
+
 def _code() -> Column:
     return F.xxhash64("word").bitwiseAND(F.lit(_BITS63))
 
@@ -80,11 +84,19 @@ def _shapes(classes: int) -> tuple[tuple[int, ...], ...]:
     return (2 * SIDE, classes + 1, WIDTH), (HIDDEN, HIDDEN), (HIDDEN,), (HIDDEN, classes), (classes,)
 
 
-def _numbered(lookup: dict, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Values of all words, and how many words each text has."""
-    words = [t.encode("utf-8").split() for t in batch]
-    n = np.fromiter(map(len, words), np.int64, len(words))
-    return np.fromiter((lookup[w] for ws in words for w in ws), np.int64, int(n.sum())), n
+def _words(batch: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words, maximal runs of bytes other than ASCII white space, and how many each text has."""
+    lists = pc.ascii_split_whitespace(batch)
+    flat, of = lists.flatten(), pc.list_parent_indices(lists)
+    some = pc.not_equal(pc.binary_length(flat), 0)  # white space at an end of a text leaves an empty part
+    return flat.filter(some), np.bincount(of.filter(some).to_numpy(), minlength=len(batch))
+
+
+def _numbered(lookup: Classes | Codes, batch: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of all words, and how many words each text has. A word is looked up once in a batch."""
+    flat, n = _words(pa.array(batch, pa.string()))
+    coded = flat.dictionary_encode()
+    return lookup.values(coded.dictionary.cast(pa.binary()).to_pylist())[coded.indices.to_numpy()], n
 
 
 def _padded(ids: np.ndarray, n: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,21 +108,27 @@ def _padded(ids: np.ndarray, n: np.ndarray, end: int) -> tuple[np.ndarray, np.nd
     return padded, at
 
 
-class Classes(dict):
-    """Class of a word (bytes); words met before are remembered."""
+def _alone(ids: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """As _padded, for one text."""
+    padded = np.full(len(ids) + 2 * SIDE, end, np.int64)
+    padded[SIDE : SIDE + len(ids)] = ids
+    return padded, np.arange(SIDE, SIDE + len(ids))
+
+
+class Classes:
+    """Classes of words (bytes)."""
 
     def __init__(self, top: list[bytes], tops: int = TOP, buckets: int = BUCKETS):
-        super().__init__()
         self.top, self.tops, self.buckets = {w: i for i, w in enumerate(top)}, tops, buckets
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        c = self.top.get(word)
-        c = self[word] = self.tops + code(word) % self.buckets if c is None else c
-        return c
+    def __getitem__(self, word: bytes) -> int:
+        return int(self.values([word])[0])
+
+    def values(self, words: list[bytes]) -> np.ndarray:
+        own = np.fromiter(map(self.top.get, words, repeat(-1)), np.int64, len(words))
+        return np.where(own < 0, self.tops + codes_of(words) % self.buckets, own)
 
-    def of(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def of(self, batch: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Classes of all words with SIDE end marks around each text, places of the words, and how many each text has."""
         ids, n = _numbered(self, batch)
         return *_padded(ids, n, self.tops + self.buckets), n
@@ -142,21 +160,29 @@ class Network:
         self.values = values.astype(np.float32)
         self.parts = [p.reshape(s) for p, s in zip(np.split(self.values, sizes[:-1]), shapes)]
         self.out = self.values[sizes[-3] :].reshape(HIDDEN + 1, self.classes)  # weights and bias lie one after the other
+        self.embeddings = self.parts[0].reshape(-1, WIDTH)  # a row for each side and class
+        self.cells = np.arange(self.embeddings.size).reshape(-1, WIDTH)
+        self.ones = np.ones(self.classes, np.float32)
 
     def logits(self, padded: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        e, w1, b1, _, _ = self.parts
-        around = padded[at[:, None] + _AROUND]
-        x = e[_SIDES, around].reshape(len(at), -1)
+        """Rows of the embeddings around each place, these, hidden units and logits."""
+        _, w1, b1, _, _ = self.parts
+        around = padded.take(at[:, None] + _AROUND)
+        around += _SIDES * (self.classes + 1)
+        x = self.embeddings.take(around, axis=0).reshape(len(at), -1)
         h = np.ones((len(at), HIDDEN + 1), np.float32)  # the last unit is for the bias
-        np.tanh(x @ w1 + b1, out=h[:, :HIDDEN])
+        inner = x @ w1
+        inner += b1
+        np.tanh(inner, out=h[:, :HIDDEN])
         z = h @ self.out
-        np.minimum(z, 60, out=z)  # no overflow; such a logit is as good as certain
+        if not z.size or z.max() > 60:
+            np.minimum(z, 60, out=z)  # no overflow; such a logit is as good as certain
         return around, x, h, z
 
     def forward(self, padded: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         around, x, h, z = self.logits(padded, at)
         np.exp(z, out=z)
-        z *= 1 / z.sum(1, keepdims=True)
+        z *= (1 / (z @ self.ones))[:, None]
         return around, x, h, z
 
     def gradient(self, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -165,28 +191,31 @@ class Network:
         _, w1, _, w2, _ = self.parts
         h = units[:, :HIDDEN]
         p[np.arange(len(at)), padded[at]] -= 1
-        back = (p @ w2.T) * (1 - h * h)
-        cell = (around + _SIDES * (self.classes + 1))[:, :, None] * WIDTH + np.arange(WIDTH)
-        de = np.bincount(cell.ravel(), (back @ w1.T).ravel(), 2 * SIDE * (self.classes + 1) * WIDTH)
-        return np.concatenate([de, (x.T @ back).ravel(), back.sum(0), (units.T @ p).ravel()])
+        back = p @ w2.T
+        back *= 1 - h * h
+        de = np.bincount(self.cells.take(around, axis=0).ravel(), (back @ w1.T).ravel(), self.cells.size)
+        return np.concatenate([de, (x.T @ back).ravel(), back.sum(0), (p.T @ units).T.ravel()])
 
     def text_gradient(self, ids: np.ndarray) -> np.ndarray:
         """The gradient of a text, piece by piece on the grid: whole numbers."""
-        padded, at = _padded(ids, np.array([len(ids)]), self.classes)
+        padded, at = _alone(ids, self.classes)
         total = np.zeros(len(self.values))
         for k in range(0, len(at), BATCH):
-            total += np.rint(self.gradient(padded, at[k : k + BATCH]) * GRID)
+            piece = self.gradient(padded, at[k : k + BATCH])
+            piece *= GRID
+            np.rint(piece, out=piece)
+            total = piece if k == 0 else total + piece
         return total
 
     def log_prob(self, ids: np.ndarray) -> float:
         """Summed log-probability of the classes of a text. A text is never computed together with others, so equal ones score the same."""
-        padded, at = _padded(ids, np.array([len(ids)]), self.classes)
+        padded, at = _alone(ids, self.classes)
         total = 0.0
         for k in range(0, len(at), BATCH):
             part = at[k : k + BATCH]
             z = self.logits(padded, part)[3]
             own = z[np.arange(len(part)), padded[part]]
-            total += float((own - np.log(np.exp(z, out=z).sum(1))).sum(dtype=np.float64))
+            total += float((own - np.log(np.exp(z, out=z) @ self.ones)).sum(dtype=np.float64))
         return total
 
 
@@ -214,25 +243,21 @@ class Model:
         return self.vocabulary.top
 
 
-class Codes(dict):
-    """Code of a word (bytes), or ~i of the word i of the head; words met before are remembered."""
+class Codes:
+    """Codes of words (bytes), or ~i of the word i of the head."""
 
     def __init__(self, v: Vocabulary):
-        super().__init__()
         self.v, self.rank, classes = v, {w: ~i for i, w in enumerate(v.head)}, Classes(v.top, v.tops, v.buckets)
-        self.head_class = np.array([classes[w] for w in v.head], np.int64)
+        self.head_class = classes.values(list(v.head))
         own = self.head_class < v.tops
         self.head_log = np.where(own, 0, np.log(np.fromiter(v.head.values(), float, len(v.head))))
         self.class_log = np.concatenate([np.zeros(v.tops), np.log(v.in_bucket + UNSEEN)])
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        c = self.rank.get(word)
-        c = self[word] = code(word) if c is None else c
-        return c
+    def values(self, words: list[bytes]) -> np.ndarray:
+        rank = np.fromiter(map(self.rank.get, words, repeat(0)), np.int64, len(words))
+        return np.where(rank < 0, rank, codes_of(words))
 
-    def of(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def of(self, batch: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Codes and classes of all words, log P(word | class) as far as it is known here, and how many words each text has.
 
         What a word outside the head lacks is the logarithm of its count.
@@ -249,17 +274,17 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """word (binary) and n over all texts; each task hands on sums, not words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+        held: list[pa.Array] = []
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "n"])
+            counted = pa.chunked_array(held, pa.string()).value_counts()
+            return pa.RecordBatch.from_arrays([counted.field("values").cast(pa.binary()), counted.field("counts")], ["word", "n"])
 
         for b in batches:
-            for t in b.column(0).to_pylist():
-                counts.update(t.encode("utf-8").split())
-            if len(counts) > COUNTED:
+            held.append(_words(pa.array(b.column(0), pa.string()))[0])
+            if sum(map(len, held)) > COUNTED:
                 yield out()
-                counts.clear()
+                held.clear()
         yield out()
 
     return small_batches(docs.select("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -307,7 +332,7 @@ def _encoded(base: DataFrame, top: list[bytes], tops: int, buckets: int) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = Classes(top, tops, buckets)
         for b in batches:
-            ids, n = _numbered(classes, b.column(0).to_pylist())
+            ids, n = _numbered(classes, b.column(0))
             ends = np.cumsum(n)
             ids = ids.astype(np.uint16)
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([ids[j - k : j].tobytes() for j, k in zip(ends, n)], pa.binary())], ["slice", "classes"])
@@ -436,7 +461,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
         net, lookup = _workers[key]
         first = TaskContext.get().partitionId() << 32
         for batch, b in enumerate(batches, first):
-            codes, classes, within, n = lookup.of(b.column(1).to_pylist())
+            codes, classes, within, n = lookup.of(b.column(1))
             of = np.repeat(np.arange(len(n)), n)
             ends = np.cumsum(n)
             total = np.bincount(of, within, len(n)) + [net.log_prob(classes[j - k : j]) if k else 0.0 for j, k in zip(ends, n)]

@@ -178,3 +178,23 @@ def test_classes_grow_with_the_corpus():
     assert class_sizes(1000) == (48, 16)
     assert sum(class_sizes(10**8)) > sum(class_sizes(10**7)) > CLASSES
     assert len(Network(start_values(np.ones(200), [np.ones((201, 201))] * SIDE)).parts[4]) == 200
+
+
+def test_words_of_a_batch_are_looked_up_once():
+    """Values and lengths are those of splitting text by text, by ASCII white space alone, and a word that a batch repeats costs one lookup."""
+    import pyarrow as pa
+
+    from sparseloom.llm.pseudo_likelihood import _numbered, code
+
+    batch = ["", " ", "\n a\tb\x0bc\x0cd \r", "a b\x1cc\x85d\u2003e a", "\u00e9  a", "a " * 1000]
+    asked = []
+
+    class Lookup(Classes):
+        def values(self, words):
+            asked.extend(words)
+            return super().values(words)
+
+    got, n = _numbered(Lookup([b"a"]), pa.array(batch))
+    want = [t.encode().split() for t in batch]
+    assert n.tolist() == list(map(len, want)) and len(asked) == len(set(asked)) == len({w for ws in want for w in ws})
+    assert got.tolist() == [0 if w == b"a" else 48 + code(w) % 16 for ws in want for w in ws]
