@@ -11,15 +11,20 @@ result of one sample after another (plans.mixing), but it depends on no partitio
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import add
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparseloom.functions.expressions import dot, ftrl_weight, ftrl_z, log_loss, sigmoid, vector_sum
 from sparseloom.functions.params import Params
+from sparseloom.operators.arrays import FieldRows, fm_gradient, numbers
 from sparseloom.operators.model import BIAS, Model, empty_model, initial_factors
-from sparseloom.operators.score import by_feature, entries, ffm_crossed, ffm_rows, field_sums, valid, with_bias
+from sparseloom.operators.score import by_feature, entries, ffm_crossed, ffm_rows, valid, with_bias
 from sparseloom.storage import materialize
 
 
@@ -46,32 +51,20 @@ def linear_gradients(scored: DataFrame) -> DataFrame:
     return each.groupBy("feat").agg(F.sum("g").alias("g"), F.sum(F.col("g") * F.col("g")).alias("q")).unionByName(bias.withColumn("feat", F.lit(BIAS)))
 
 
+def _vector_gradients(scored: DataFrame, k: int, key: str, of: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+    """Sums of the gradients that of makes of a batch: feat[, field], g, q."""
+    each = scored.mapInArrow(lambda batches: map(of, batches), f"{key}, g array<double>, q array<double>")
+    return each.groupBy(*each.columns[:-2]).agg(vector_sum(F.col("g"), k).alias("g"), vector_sum(F.col("q"), k).alias("q"))
+
+
 def fm_gradients(scored: DataFrame, k: int) -> DataFrame:
     """feat, g, q (arrays). scored: e, s (sum of v * value by factor) and entries (feat, value, v)."""
-    x = F.col("a.value")
-    g = F.zip_with("a.v", "s", lambda v, s: F.col("e") * (x * s - v * x * x))
-    each = scored.select("e", "s", F.explode("entries").alias("a")).select("a.feat", g.alias("g"))
-    return each.groupBy("feat").agg(vector_sum(F.col("g"), k).alias("g"), vector_sum(F.transform("g", lambda x: x * x), k).alias("q"))
+    return _vector_gradients(scored.select("e", "s", "entries"), k, "feat int", lambda b: fm_gradient(numbers(b.column(0)), b.column(1), b.column(2), k))
 
 
 def ffm_gradients(scored: DataFrame, k: int) -> DataFrame:
-    """feat, field, g, q (arrays). scored: e, fields and entries, as ffm_rows makes them.
-
-    What an entry's factors for a field get is the sum of that field's other entries for
-    its own field, which field_sums has; g * g is summed up pair by pair, as there, from
-    the sums of squares. A field that no other entry of the sample has gives no row.
-    """
-    rows = field_sums(scored.select("e", "fields", "entries"), k, squares=True)
-    each = rows.select("e", "fields", "sums", "squared", F.transform("fields", lambda f: F.size(F.filter("entries", lambda a: a.field == f))).alias("n"), F.explode("entries").alias("a"))
-    each = each.withColumn("i", F.array_position("fields", F.col("a.field")).cast("int") - 1).select("*", F.posexplode("fields").alias("j", "field"))
-    own = F.col("i") == F.col("j")
-    rest = lambda total, part: F.when(own, F.zip_with(total, part, lambda t, c: t - c)).otherwise(total)
-    vx = F.col("a.vx")[F.col("i")]
-    scale = F.col("e") * F.col("a.value")
-    g = F.transform(rest(F.col("sums")[F.col("j")][F.col("i")], vx), lambda c: scale * c)
-    q = F.transform(rest(F.col("squared")[F.col("j")][F.col("i")], F.transform(vx, lambda c: c * c)), lambda c: scale * scale * F.greatest(c, F.lit(0.0)))
-    met = each.filter(F.col("n")[F.col("j")] - own.cast("int") > 0).select("a.feat", "field", g.alias("g"), q.alias("q"))
-    return met.groupBy("feat", "field").agg(vector_sum(F.col("g"), k).alias("g"), vector_sum(F.col("q"), k).alias("q"))
+    """feat, field, g, q (arrays). scored: e, fields and entries, as ffm_rows makes them. Pairs are never formed (operators.arrays)."""
+    return _vector_gradients(scored.select("e", "fields", "entries"), k, "feat int, field int", lambda b: FieldRows(b.column(1), b.column(2), k).gradients(numbers(b.column(0))))
 
 
 def _updated_linear(model: Model, gradients: DataFrame, how: str) -> DataFrame:
@@ -126,12 +119,13 @@ def scored_entries(met: DataFrame, linear: DataFrame, p: Params) -> DataFrame:
     k, zero = p.n_factors, F.lit(0.0)
     if p.model_type == "FFM":
         rows = ffm_rows(met, zero, lambda feat, field: first_factors(p, feat, field))
-        rows = field_sums(rows, k).select("seq", "y", "fields", "entries", (F.col("linear") + ffm_crossed()).alias("sum"))
+        rows = rows.select("seq", "y", "fields", "entries", (F.col("linear") + ffm_crossed(k)).alias("sum"))
     else:
         fm = p.model_type == "FM"
-        more = [vector_sum(F.col("vx"), k).alias("s"), F.sum(dot(F.col("vx"), F.col("vx"))).alias("sq")] if fm else []
+        vx = [F.col("v")[i] * F.col("value") for i in range(k)]
+        more = [F.array(*map(F.sum, vx)).alias("s"), F.sum(reduce(add, (c * c for c in vx))).alias("sq")] if fm else []
         if fm:
-            met = met.withColumn("v", F.coalesce("v", first_factors(p, F.col("feat")))).withColumn("vx", F.transform("v", lambda v: v * F.col("value")))
+            met = met.withColumn("v", F.coalesce("v", first_factors(p, F.col("feat"))))
         entry = F.when(F.col("feat").isNotNull(), F.struct("feat", "value", *(["v"] if fm else [])))
         rows = met.groupBy("seq").agg(F.max("y").alias("y"), F.coalesce(F.sum(F.coalesce("w", zero) * F.col("value")), zero).alias("linear"), F.collect_list(entry).alias("entries"), *more)
         crossed = F.coalesce(0.5 * (dot(F.col("s"), F.col("s")) - F.col("sq")), zero) if fm else zero

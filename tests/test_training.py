@@ -395,3 +395,17 @@ def test_linear_steps_collect_no_lists(spark, samples):
     got = {r["seq"]: (r["y"], r["logit"], [tuple(e) for e in r["entries"]]) for r in scored.collect()}
     rows = [(i, y, [(f, 1.0) for f in x]) for i, (y, x) in enumerate(ROWS)] + [(77, 1, []), (None, 1, [(3, 2.0)])]
     assert got == {i: (y, pytest.approx(weights[-1] + sum(weights[f] * v for f, v in x)), x) for i, y, x in rows}
+
+
+@pytest.mark.parametrize("kind", ["FM", "FFM"])
+def test_gradients_are_summed_before_they_are_rows(spark, samples, kind):
+    """A batch of samples gives a row for each coordinate that it has, not one for each entry and field."""
+    from sparseloom.plans.batch import current, ffm_gradients, fm_gradients, scored_rows
+
+    p = params(kind, factor_init="warm")
+    twice = samples.union(samples.withColumn("seq", F.col("seq") + 100)).coalesce(1)
+    scored = scored_rows(twice, *current(train_batch(twice, p)), p).withColumn("e", F.lit(0.5)).coalesce(1)
+    sums = (fm_gradients if kind == "FM" else ffm_gradients)(scored, p.n_factors)
+    plan = sums._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "explode" not in plan.split("MapInArrow")[0]
+    assert sums.count() == sums.select(*sums.columns[:-2]).distinct().count() > 0
