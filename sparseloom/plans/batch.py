@@ -134,12 +134,16 @@ def scored_entries(met: DataFrame, linear: DataFrame, p: Params) -> DataFrame:
 
 
 def scored_rows(samples: DataFrame, linear: DataFrame, factors: DataFrame | None, p: Params) -> DataFrame:
-    """scored_entries of samples. linear: feat, w; factors: feat[, field], v. Entries meet the model in one join, on feat.
+    """What scored_met says of samples. linear: feat, w; factors: feat[, field], v. Entries meet the model in one join, on feat."""
+    return scored_met(samples, entries(samples, p.model_type == "FFM").join(weights_by_feature(linear, factors, p), "feat", "left"), linear, p)
+
+
+def scored_met(samples: DataFrame, met: DataFrame, linear: DataFrame, p: Params) -> DataFrame:
+    """scored_entries of samples whose entries have met a model.
 
     Without factors only sums come back by sample, and meet the entries that the samples
     hold anyway: lists of rows are sorted twice where Spark collects them for many keys.
     """
-    met = entries(samples, p.model_type == "FFM").join(weights_by_feature(linear, factors, p), "feat", "left")
     if p.model_type != "LR":
         return scored_entries(met, linear, p)
     sums = met.groupBy(F.col("seq").alias("_seq")).agg(F.coalesce(F.sum(F.col("w") * F.col("value")), F.lit(0.0)).alias("sum"))

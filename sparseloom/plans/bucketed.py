@@ -2,7 +2,8 @@
 
 A step joins all entries with the model. Here entries lie on disk in buckets by feature,
 sorted, and each version of the model is written in the same buckets, so the join has no
-exchange on either side; entries are shuffled once a step, back to their samples. A
+exchange on either side; what entries give is shuffled once a step, back to their
+samples: sums for a linear model, whose samples hold their entries anyway. A
 feature of many samples is split into parts by a hash of the sample, and its row of the
 model is there for each part, so no bucket outgrows a task.
 """
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from sparseloom.functions.params import Params
 from sparseloom.operators.model import Model, empty_model
 from sparseloom.operators.score import entries, valid
-from sparseloom.plans.batch import current, scored_entries, step_of, weights_by_feature
+from sparseloom.plans.batch import current, scored_met, step_of, weights_by_feature
 from sparseloom.plans.batch import kept as kept_model
 from sparseloom.storage import materialize, scratch_path
 
@@ -37,8 +38,9 @@ def _bucketed(df: DataFrame, buckets: int, purpose: str) -> str:
 
 @dataclass
 class Entries:
-    """Samples as entries in buckets, and the number of parts of the features that have several."""
+    """Samples, their entries in buckets, and the number of parts of the features that have several."""
 
+    samples: DataFrame
     table: str
     parts: DataFrame
     buckets: int
@@ -49,12 +51,13 @@ class Entries:
         """Entries of samples, invalid ones left out. most: how many entries of a feature share a part."""
         spark = samples.sparkSession
         buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        each = entries(valid(samples, p), p.model_type == "FFM")
+        inside = valid(samples, p)
+        each = entries(inside, p.model_type == "FFM")
         sizes = each.filter(F.col("feat").isNotNull()).groupBy("feat").agg(F.ceil(F.count(F.lit(1)) / F.lit(most)).cast("int").alias("parts"))
         parts = materialize(sizes.filter("parts > 1"), "parts")  # at most a row for each `most` entries
         of = F.pmod(F.xxhash64("seq"), F.when(F.col("feat").isNull(), F.lit(1 << 30)).otherwise(F.coalesce("parts", F.lit(1))))
         dealt = each.join(parts, "feat", "left").withColumn("part", of.cast("int")).drop("parts")
-        return cls(_bucketed(dealt, buckets, "entries"), parts, buckets, p)
+        return cls(inside, _bucketed(dealt, buckets, "entries"), parts, buckets, p)
 
     def met(self, weights: DataFrame) -> DataFrame:
         """Entries with what they meet of a model: a join of buckets."""
@@ -69,7 +72,7 @@ def bucketed_step(given: Entries, model: Model) -> tuple[Model, DataFrame]:
     """As plans.batch.batch_step, over entries in buckets."""
     p = model.params
     linear, factors = current(model)
-    scored = scored_entries(given.met(weights_by_feature(linear, factors, p)), linear, p)
+    scored = scored_met(given.samples, given.met(weights_by_feature(linear, factors, p)), linear, p)
     step = step_of(scored, model, "full")
     return Model(p, step.linear, step.factors), step.losses
 

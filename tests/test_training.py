@@ -409,3 +409,12 @@ def test_gradients_are_summed_before_they_are_rows(spark, samples, kind):
     plan = sums._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "explode" not in plan.split("MapInArrow")[0]
     assert sums.count() == sums.select(*sums.columns[:-2]).distinct().count() > 0
+
+
+def test_linear_steps_over_buckets_collect_no_lists(spark, samples, monkeypatch):
+    from sparseloom.plans import bucketed
+
+    plans, step = [], bucketed.step_of
+    monkeypatch.setattr(bucketed, "step_of", lambda scored, *more: plans.append(scored._jdf.queryExecution().optimizedPlan().toString()) or step(scored, *more))
+    bucketed.train_bucketed(samples, params("LR"), buckets=3, most=2)
+    assert len(plans) == 1 and "collect_list" not in plans[0]
