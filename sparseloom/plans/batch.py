@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from sparseloom.functions.expressions import dot, ftrl_weight, ftrl_z, log_loss, sigmoid, vector_sum
 from sparseloom.functions.params import Params
 from sparseloom.operators.arrays import FieldRows, fm_gradient, numbers
+from sparseloom.operators.blocks import block_gradients, block_logits
 from sparseloom.operators.model import BIAS, Model, empty_model, initial_factors
-from sparseloom.operators.score import by_feature, entries, ffm_crossed, ffm_rows, valid, with_bias
+from sparseloom.operators.score import by_feature, entries, ffm_crossed, ffm_rows, logits, valid, with_bias
 from sparseloom.storage import materialize
 
 
@@ -170,22 +171,41 @@ def step_of(scored: DataFrame, model: Model, how: str = "right") -> Step:
     return Step(linear, factors, scored.select("seq", "y", "logit", log_loss(F.col("y"), F.col("logit"), p.strict_loss).alias("loss")))
 
 
+def linear_step(samples: DataFrame, model: Model, how: str = "right") -> Step:
+    """The step of a linear model by blocks of samples (operators.blocks). how as in step_of."""
+    p = model.params
+    given = materialize(block_gradients(samples, current(model)[0], p), "scored")
+    sums = given.filter(F.col("feat").isNotNull()).groupBy("feat").agg(F.sum("g").alias("g"), F.sum("q").alias("q"))
+    losses = given.filter(F.col("feat").isNull()).select("seq", "y", "logit", log_loss(F.col("y"), F.col("logit"), p.strict_loss).alias("loss"))
+    return Step(_updated_linear(model, sums, how), None, losses)
+
+
 def batch_step(samples: DataFrame, model: Model) -> tuple[Model, DataFrame]:
     """The model after one step over all samples, and their losses before it: seq, y, logit, loss."""
     p = model.params
-    step = step_of(scored_rows(valid(samples, p), *current(model), p), model, "full")
+    if model.factors is None:
+        step = linear_step(samples, model, "full")
+    else:
+        step = step_of(scored_rows(valid(samples, p), *current(model), p), model, "full")
     return Model(p, step.linear, step.factors), step.losses
 
 
 def batch_changes(samples: DataFrame, model: Model) -> Step:
     """One step over all samples as what it changes. Of the model only what the samples touch is read on (and the bias), so a small step on a large model is small."""
     p = model.params
+    if model.factors is None:
+        return linear_step(samples, model)
     inside = valid(samples, p)
     touched = inside.select(F.explode(F.transform("x", lambda e: e.feat)).alias("feat")).union(inside.sparkSession.createDataFrame([(BIAS,)], "feat int")).distinct()
-    own = replace(model, linear=model.linear.join(touched, "feat", "left_semi"), factors=None if model.factors is None else model.factors.join(touched, "feat", "left_semi"))
+    own = replace(model, linear=model.linear.join(touched, "feat", "left_semi"), factors=model.factors.join(touched, "feat", "left_semi"))
     return step_of(scored_rows(inside, *current(own), p), own)
 
 
+def held_logits(samples: DataFrame, model: Model) -> DataFrame:
+    """seq, y, logit of samples that are kept in files, as they may be read several times."""
+    return (block_logits if model.factors is None else logits)(samples, model)
+
+
 def kept(model: Model) -> Model:
     """The model, read back from files: a step's plan doesn't grow with the steps before it."""
     return replace(model, linear=materialize(model.linear, "linear"), factors=None if model.factors is None else materialize(model.factors, "factors"))

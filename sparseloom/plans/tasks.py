@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 from sparseloom.functions.metrics import mean_loss
 from sparseloom.functions.params import Params
 from sparseloom.operators.model import Model, empty_model, save_model
-from sparseloom.operators.score import logits
 from sparseloom.operators.versions import ModelLog
-from sparseloom.plans.batch import batch_step
+from sparseloom.plans.batch import batch_step, held_logits
 from sparseloom.sources.sparse_text import detect_format, read_samples
 from sparseloom.storage import listed, materialize, scratch_path
 from sparseloom.streaming.online import evaluate_stream, mean_of, stream_lines, train_online
@@ -29,7 +28,7 @@ class Epoch:
 
 
 def evaluate(samples: DataFrame, model: Model) -> float:
-    return mean_loss(logits(samples, model), model.params.strict_loss).first()["loss"]
+    return mean_loss(held_logits(samples, model), model.params.strict_loss).first()["loss"]
 
 
 def evaluate_files(spark: SparkSession, p: Params, file_type: str, model: Model, mode: str) -> float:

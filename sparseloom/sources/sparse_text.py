@@ -15,6 +15,8 @@ from sparseloom.storage import materialize
 ENTRY = "struct<field: int, feat: int, value: float>"
 #: Numbers are read as far as they go, so '1.0' is the whole number 1.
 _WHOLE, _REAL = r"^([+-]?\d+)", r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
+#: Lines of plain short numbers with single spaces: most lines are, and need no pattern for each number. Possessive, so long lines take no stack.
+_PLAIN = r"^\d{1,9}(?: %s\d{1,9}:[+-]?\d{1,9}(?:\.\d{1,9})?)*+$"
 MODES = ("FAILFAST", "DROPMALFORMED", "PERMISSIVE")
 
 
@@ -59,20 +61,27 @@ def parse_samples(lines: DataFrame, file_type: str, mode: str = "FAILFAST", valu
         raise ValueError(f"mode is one of {', '.join(MODES)}")
     n = 2 if file_type == "libsvm" else 3
     rest = [c for c in lines.columns if c != value_col]
-    cut = lines.select(*rest, F.col(value_col).alias("_line"), tokens(F.col(value_col)).alias("_t"))
+    line = F.col(value_col)
+    plain = F.coalesce(line.rlike(_PLAIN % (r"\d{1,9}:" if n == 3 else "")), F.lit(False))
+    cut = lines.select(*rest, line.alias("_line"), plain.alias("_plain"), F.when(plain, F.split(line, " ")).otherwise(tokens(line)).alias("_t"))
+
+    def short(p: Column) -> Column:
+        field = F.lit(0) if n == 2 else p[0].try_cast("int")
+        return F.struct(field.alias("field"), p[n - 2].try_cast("int").alias("feat"), p[n - 1].try_cast("float").alias("value"))
 
     def entry(p: Column) -> Column:
         part = [F.try_element_at(p, F.lit(i + 1)) for i in range(n)]
-        field = F.lit(0) if n == 2 else _whole(part[0])
-        return F.struct(field.alias("field"), _whole(part[n - 2]).alias("feat"), _real(part[n - 1]).alias("value"), (F.size(p) == n).alias("ok"))
+        field = F.when(F.size(p) == n, F.lit(0) if n == 2 else _whole(part[0]))  # null: not an entry
+        return F.struct(field.alias("field"), _whole(part[n - 2]).alias("feat"), _real(part[n - 1]).alias("value"))
 
-    found = F.transform(F.transform(F.slice("_t", 2, F.greatest(F.size("_t") - 1, F.lit(0))), lambda t: F.split(t, ":")), entry)
-    row = F.struct(_whole(F.try_element_at("_t", F.lit(1))).alias("y"), found.alias("x"))
+    first, parts = F.try_element_at("_t", F.lit(1)), F.transform(F.slice("_t", 2, F.greatest(F.size("_t") - 1, F.lit(0))), lambda t: F.split(t, ":"))
+    read_as = lambda y, of: F.struct(y.alias("y"), F.transform(parts, of).alias("x"))
+    row = F.when(F.col("_plain"), read_as(first.try_cast("int"), short)).otherwise(read_as(_whole(first), entry))
     # what is read is used several times below; a generator of one row keeps it from being computed for each use
-    read = cut.select(*rest, "_line", F.explode(F.array(row)).alias("_r")).select(*rest, "_line", F.col("_r.y").alias("_y"), F.col("_r.x").alias("_x"))
-    good = F.col("_y").isNotNull() & ~F.exists("_x", lambda e: ~e.ok | e.field.isNull() | e.feat.isNull() | e.value.isNull())
-    good = F.coalesce(good, F.lit(False))
-    x = F.filter(F.transform("_x", lambda e: F.struct(e.field.alias("field"), e.feat.alias("feat"), e.value.alias("value"))), lambda e: e.value != 0)
+    read = cut.select(*rest, "_line", "_plain", F.explode(F.array(row)).alias("_r")).select(*rest, "_line", "_plain", F.col("_r.y").alias("_y"), F.col("_r.x").alias("_x"))
+    good = F.col("_y").isNotNull() & ~F.exists("_x", lambda e: e.field.isNull() | e.feat.isNull() | e.value.isNull())
+    good = F.col("_plain") | F.coalesce(good, F.lit(False))
+    x = F.filter("_x", lambda e: e.value != 0)
     y = (F.col("_y") > 0).cast("int")
     if mode == "DROPMALFORMED":
         return read.filter(good).select(*rest, y.alias("y"), x.alias("x"))

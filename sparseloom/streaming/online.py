@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 from sparseloom.functions.metrics import mean_loss
 from sparseloom.functions.params import Params
 from sparseloom.operators.model import Model, empty_model
-from sparseloom.operators.score import logits
 from sparseloom.operators.versions import ModelLog
-from sparseloom.plans.batch import batch_changes
+from sparseloom.plans.batch import batch_changes, held_logits
 from sparseloom.sources.line_stream import bounded_lines
 from sparseloom.sources.sparse_text import parse_samples
 from sparseloom.storage import listed, remove, scratch_path
@@ -118,7 +117,7 @@ def evaluate_stream(lines: DataFrame, model: Model, file_type: str, checkpoint:
     def step(batch: DataFrame, batch_id: int) -> None:
         given = f"{out}/input-{batch_id}"
         samples = _readable(batch, given, file_type, mode)
-        mean_loss(logits(samples, model), model.params.strict_loss).select(F.lit(batch_id).cast("long").alias("batch_id"), "loss", "n").write.mode("overwrite").parquet(f"{out}/losses/batch={batch_id}")
+        mean_loss(held_logits(samples, model), model.params.strict_loss).select(F.lit(batch_id).cast("long").alias("batch_id"), "loss", "n").write.mode("overwrite").parquet(f"{out}/losses/batch={batch_id}")
         remove(batch.sparkSession, given)
 
     run_through(lines, step, checkpoint)

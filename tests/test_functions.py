@@ -69,3 +69,11 @@ def test_options():
 @given(st.sampled_from(["yes", "TRUE", "y", "1", "no", "False", "n", "0"]))
 def test_flag(word):
     assert flag(word) == (word.lower() in ("yes", "true", "y", "1"))
+
+
+def test_number_text_of_whole_numbers(spark):
+    """Whole numbers have a way of their own, within what a long holds; the text is that of other numbers."""
+    rows = [(1.0,), (25.0,), (999999999.0,), (1e9,), (1e20,), (-1.0,), (-0.0,), (float("nan"),), (None,)]
+    for kind in ("float", "double"):
+        text = [r[0] for r in values(spark, rows, f"x {kind}", number_text(F.col("x")))]
+        assert text == ["1.0", "25.0", "1000000000.0" if kind == "float" else "999999999.0", "1000000000.0", "100000002004087730000.0" if kind == "float" else "100000000000000000000.0", "-1.0", "0.0", "NaN", "null"]

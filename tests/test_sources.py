@@ -248,3 +248,17 @@ def test_ordered_lines_are_not_sorted_in_one_task(spark, small, monkeypatch, nam
     queries.QUERIES[name](spark, small)
     plan = given[0]._jdf.queryExecution().optimizedPlan().toString()
     assert plan.startswith("Sort") and "Repartition" not in plan
+
+
+@pytest.mark.parametrize("file_type", ["libsvm", "libffm"])
+def test_plain_lines_are_read_as_others(spark, file_type):
+    """Lines of the plain form have a short way; a space at the end sends them the long one."""
+    n = 2 if file_type == "libsvm" else 3
+    entry = lambda i, v: ":".join([str(i % 3), str(i), v][3 - n :])
+    numbers = ["1", "0", "0.0", "-0.5", "+2", "0.1234567", "123456789.123456789", "999999999"]
+    lines = ["1", "0 " + entry(999999999, "1"), "000000002 " + " ".join(entry(i, v) for i, v in enumerate(numbers))]
+    assert parsed(spark, lines, file_type) == parsed(spark, [x + " " for x in lines], file_type)
+    long = "1 " + " ".join(entry(i, "0.5") for i in range(100_000))
+    assert len(parsed(spark, [long], file_type)[0]["x"]) == 100_000
+    bad = ["1 " + entry(1, "1") + ":", "1 " + entry(1, ""), "1 1", "x", "1 " + entry(1, "1") + " 1:1:1:1"]
+    assert [r["y"] for r in parsed(spark, bad + lines, file_type, "PERMISSIVE")] == [None] * len(bad) + [1, 0, 1]

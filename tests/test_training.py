@@ -418,3 +418,60 @@ def test_linear_steps_over_buckets_collect_no_lists(spark, samples, monkeypatch)
     monkeypatch.setattr(bucketed, "step_of", lambda scored, *more: plans.append(scored._jdf.queryExecution().optimizedPlan().toString()) or step(scored, *more))
     bucketed.train_bucketed(samples, params("LR"), buckets=3, most=2)
     assert len(plans) == 1 and "collect_list" not in plans[0]
+
+
+def _common(spark):
+    """300 samples that share feature 7, some twice or out of range; others lack entries, or entries at all."""
+    x = "CASE WHEN id % 50 = 9 THEN NULL WHEN id % 50 = 10 THEN array() ELSE array(struct(0 AS field, 7 AS feat, float(1) AS value), named_struct('field', 1, 'feat', int(id % 11 + 10), 'value', float(id / 100)), named_struct('field', 1, 'feat', 7, 'value', float(0.5)), named_struct('field', 1, 'feat', 99, 'value', float(1))) END"
+    return spark.range(300).selectExpr("IF(id = 5, NULL, id) AS seq", "int(id % 3 = 0) AS y", f"CAST({x} AS array<struct<field: int, feat: int, value: float>>) AS x")
+
+
+@pytest.mark.parametrize("most", [1, 40, 10**6])
+def test_linear_blocks(spark, most):
+    """Sums and scores by blocks are those of all entries; what comes back for a feature of all samples are as many rows as blocks."""
+    from sparseloom.functions.expressions import sigmoid
+    from sparseloom.operators.blocks import block_gradients, block_logits
+    from sparseloom.plans.batch import current, linear_gradients, scored_rows
+
+    df = _common(spark)
+    p = params("LR", init_stddev=0.5)
+    model = train_batch(df.filter("seq < 200"), p)
+    linear = current(model)[0]
+    scored = scored_rows(df.withColumn("x", F.filter("x", lambda e: e.feat < 50)), linear, None, p).withColumn("e", sigmoid(F.col("logit")) - F.col("y"))
+    rows = block_gradients(df, linear, p, most).collect()
+    got = {}
+    for r in rows:
+        if r["feat"] is not None:
+            got.setdefault(r["feat"], []).append((r["g"], r["q"]))
+    want = {r["feat"]: (r["g"], r["q"]) for r in linear_gradients(scored).collect()}
+    assert got.keys() == want.keys()
+    for f, parts in got.items():
+        assert [sum(v) for v in zip(*parts)] == pytest.approx(list(want[f]))
+    total = df.select(F.sum(F.greatest(F.size("x"), F.lit(1)))).first()[0]
+    assert len(got[7]) <= -(-total // most)
+    by_seq = lambda rows: {r["seq"]: (r["y"], pytest.approx(r["logit"])) for r in rows}
+    assert by_seq(r for r in rows if r["feat"] is None) == {r["seq"]: (r["y"], r["logit"]) for r in scored.collect()}
+    fresh = empty_model(spark, p)  # features that training never saw have their initial weights
+    for m in (model, fresh):
+        assert by_seq(block_logits(df, m, most).collect()) == {r["seq"]: (r["y"], r["logit"]) for r in logits(df, m).collect()}
+
+
+def test_linear_step_without_samples(spark):
+    new, losses = batch_step(_common(spark).limit(0), empty_model(spark, params("LR")))
+    assert new.linear.count() == 0 and losses.count() == 0
+
+
+def test_online_linear_steps_go_by_blocks(spark, tmp_path, monkeypatch):
+    """Neither a step nor an evaluation joins entries with weights one by one."""
+    from sparseloom.plans import batch
+    from sparseloom.streaming import online
+
+    plans, keep, loss = [], batch.materialize, online.mean_loss
+    plan = lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+    monkeypatch.setattr(batch, "materialize", lambda df, purpose: plan(df) or keep(df, purpose))
+    monkeypatch.setattr(online, "mean_loss", lambda df, *more: plan(df) or loss(df, *more))
+    (tmp_path / "train").mkdir()
+    (tmp_path / "train" / "a.txt").write_text("\n".join(LINES))
+    run(spark, params("LR", train_data=str(tmp_path / "train"), eval_data=str(tmp_path / "train")))
+    scored = [p for p in plans if "Generate explode" in p]
+    assert len(scored) == 2 and all("FlatMapCoGroupsInArrow" in p for p in scored)
