@@ -179,6 +179,50 @@ def test_mixing_queries_have_averaged_factors(spark, small, kind):
     assert "CoGroup" not in model.factors._jdf.queryExecution().toString()
 
 
+@pytest.fixture
+def far_numbers(monkeypatch):
+    """Categories of the queries are numbered as if those of a million users came before them, so that numbers go on beyond 2**20. Returns by how much."""
+    from sparseloom import queries
+
+    plain, shift = queries.enc.dictionaries, (1 << 20) - 10
+    monkeypatch.setattr(queries.enc, "dictionaries", lambda train, columns, first=1: plain(train, columns, first + shift))
+    return shift
+
+
+def test_mixing_query_keeps_all_features(spark, small, far_numbers, monkeypatch):
+    """Features beyond 2**20 train as others do: a linear model is the same whatever their numbers are."""
+    from sparseloom import queries
+
+    far = {r["feat"]: (r["w"], r["n"], r["z"], r["loss"]) for r in queries.ftrl_mixing_lr(spark, small).collect()}
+    monkeypatch.undo()
+    near = {r["feat"]: (r["w"], r["n"], r["z"], r["loss"]) for r in queries.ftrl_mixing_lr(spark, small).collect()}
+    assert far.keys() == {f + far_numbers * (f > 0) for f in near} and max(far) > 1 << 20
+    for f, state in near.items():
+        assert far[f + far_numbers * (f > 0)] == pytest.approx(state, rel=1e-6)
+
+
+@pytest.mark.parametrize("kind", ["FM", "FFM"])
+@pytest.mark.parametrize("name", ["ftrl_mixing_{}", "ftrl_mixing_{}_documents"])
+def test_mixing_queries_keep_all_factors(spark, small, far_numbers, name, kind):
+    from sparseloom import queries
+
+    s = queries.document_samples(spark, small) if "documents" in name else queries.samples(spark, small)
+    x = s.select(F.explode("x").alias("e")).select("e.field", "e.feat").distinct().collect()
+    assert len({r["feat"] for r in x}) == len(x) and max(r["feat"] for r in x) > 1 << 20  # no feature stands for two fields
+    rows = queries.QUERIES[name.format(kind.lower())](spark, small).filter("v IS NOT NULL").select("feat").distinct().collect()
+    assert {r["feat"] for r in rows} == {r["feat"] for r in x}
+
+
+def test_bucketed_lines_keep_all_parts(spark, small, duck, same_rows, tmp_path):
+    """Keys of parts beyond 2**20, against SQL."""
+    from sparseloom import queries
+
+    li = spark.read.parquet(f"{small}/lineitem.parquet")
+    li.withColumn("l_partkey", F.col("l_partkey") + (1 << 20)).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    sql = queries.ORACLES["ftrl_bucketed_lines"].replace("FROM lineitem", f"FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    same_rows(queries.ftrl_bucketed_lines(spark, str(tmp_path)), duck, sql)
+
+
 @pytest.mark.parametrize("online", [True, False])
 def test_tasks_with_bad_lines(spark, tmp_path, online):
     """In a tolerant mode lines that can't be read train nothing, alone or online; else they end the task."""
